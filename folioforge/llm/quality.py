@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from folioforge.llm.common import fold
 
 DIMS_BITS = 12
+#: After the hashed n-grams: one place for words that repeat the one before, counted with this weight.
+DIMS, REPEAT_WEIGHT = (1 << DIMS_BITS) + 1, 25
 
 
 def _shape_table() -> bytes:
@@ -24,18 +27,20 @@ _SHAPES = _shape_table()
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed n-grams and their counts: byte trigrams of the text, and 4-grams of its shape."""
+    """Hashed n-grams and their counts: byte trigrams of the text, 4-grams of its shape, and immediate repeats of words."""
     raw = (text or "").encode("utf-8", "surrogatepass")
-    out = np.zeros(1 << DIMS_BITS, np.int64)
+    out = np.zeros(DIMS, np.int64)
     half = np.uint32(32 - DIMS_BITS + 1)
     b = np.frombuffer(raw, np.uint8).astype(np.uint32)
     if len(b) >= 3:
         code = ((b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]) * np.uint32(2654435761)
-        out += np.bincount((code >> half).astype(np.int64), minlength=1 << DIMS_BITS)
+        out += np.bincount((code >> half).astype(np.int64), minlength=DIMS)
     s = np.frombuffer(raw.translate(_SHAPES), np.uint8).astype(np.uint32)
     if len(s) >= 4:
         code = ((s[:-3] << np.uint32(24)) | (s[1:-2] << np.uint32(16)) | (s[2:-1] << np.uint32(8)) | s[3:]) * np.uint32(2246822519)
-        out += np.bincount((code >> half).astype(np.int64) + (1 << (DIMS_BITS - 1)), minlength=1 << DIMS_BITS)
+        out += np.bincount((code >> half).astype(np.int64) + (1 << (DIMS_BITS - 1)), minlength=DIMS)
+    words = raw.split()
+    out[-1] = REPEAT_WEIGHT * sum(map(eq, words, words[1:]))
     at = np.flatnonzero(out)
     return at, out[at]
 
@@ -102,7 +107,7 @@ def fit_neighbours(docs: DataFrame, labels: DataFrame, per_class: int = 2000, di
     got = sample.mapInArrow(count, "i string, y int, at binary, n binary").toPandas().sort_values(["i", "y"], kind="stable")
     if got["y"].nunique() < 2:
         return None
-    tf = np.zeros((len(got), 1 << DIMS_BITS), np.float32)
+    tf = np.zeros((len(got), DIMS), np.float32)
     for row, at, n in zip(tf, got["at"], got["n"], strict=True):
         row[np.frombuffer(at, np.int32)] = _damped(np.frombuffer(n, np.int32))
     idf = np.log((1 + len(tf)) / (1 + (tf > 0).sum(0))).astype(np.float32) + 1
