@@ -10,6 +10,7 @@ from folioforge.llm.decontam import find_contamination
 from folioforge.llm.exact_dedup import exact_groups
 from folioforge.llm.language import fit_languages, identify_languages
 from folioforge.llm.line_dedup import drop_frequent_lines
+from folioforge.llm.near_dup import near_duplicates
 from folioforge.llm.quality import fit_neighbours, score_quality
 from folioforge.llm.secrets import find_secrets, written
 
@@ -32,6 +33,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model).select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -74,6 +80,15 @@ t as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_
 select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256,
   coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
 from d left join c using (doc_id) left join t using (doc_id)""",
+    "op5_near_dup": f"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (select distinct doc_id, array_to_string(w[i : i + greatest(0, least(3, len(w)) - 1)], ' ') as s from w, lateral (select unnest(range(1, greatest(1, len(w) - 2) + 1)) as i) where len(w) > 0),
+n as (select doc_id, count(*) as n from s group by doc_id),
+c as (select x.doc_id as a, y.doc_id as b, count(*) as m from s x join s y on x.s = y.s and x.doc_id < y.doc_id group by all),
+e as (select a, b from c join n p on p.doc_id = a join n q on q.doc_id = b where 100 * m >= 85 * (p.n + q.n - m)),
+r as (select doc_id as node, doc_id as seen from documents union select r.node, case when e.a = r.seen then e.b else e.a end from r join e on r.seen = e.a or r.seen = e.b)
+select d.doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, min(r.seen) as component_id, min(r.seen) = d.doc_id as kept
+from documents d join r on r.node = d.doc_id left join n on n.doc_id = d.doc_id group by d.doc_id""",
     "op8_exact_dedup": f"""
 with n as (select doc_id, translate(coalesce(text, ''), {_AZ}) as t from documents)
 select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size, doc_id = max(doc_id) over (partition by t) as kept, sha256(t) as text_sha256 from n""",
@@ -107,4 +122,4 @@ from documents d left join g using (doc_id)"""
 
 SQL["op9_secret_scan"] = _secrets_sql()
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_decontamination, op4_quality, op8_exact_dedup, op9_secret_scan, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_decontamination, op4_quality, op5_near_dup, op8_exact_dedup, op9_secret_scan, op10_language_id)}
