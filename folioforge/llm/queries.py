@@ -10,9 +10,15 @@ from folioforge.llm.decontam import find_contamination
 from folioforge.llm.exact_dedup import exact_groups
 from folioforge.llm.language import fit_languages, identify_languages
 from folioforge.llm.line_dedup import drop_frequent_lines
+from folioforge.llm.mixing import mix_sources
 from folioforge.llm.near_dup import near_duplicates
+from folioforge.llm.pii import replace_pii
 from folioforge.llm.quality import fit_neighbours, score_quality
 from folioforge.llm.secrets import find_secrets, written
+from folioforge.llm.substring_dedup import repeated_passages
+
+#: Draws the surrogates of op3; an installation passes its own to ``replace_pii``.
+PII_KEY = "folioforge-demo-key"
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +32,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_pii(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -38,6 +48,15 @@ def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").alias("size"))
+    return mix_sources(docs, size_col="size").select("doc_id", "mix_source", "block", "slot", "release", "deadline", "mix_start", "in_mix")
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"), min_words=50)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -89,6 +108,23 @@ e as (select a, b from c join n p on p.doc_id = a join n q on q.doc_id = b where
 r as (select doc_id as node, doc_id as seen from documents union select r.node, case when e.a = r.seen then e.b else e.a end from r join e on r.seen = e.a or r.seen = e.b)
 select d.doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, min(r.seen) as component_id, min(r.seen) = d.doc_id as kept
 from documents d join r on r.node = d.doc_id left join n on n.doc_id = d.doc_id group by d.doc_id""",
+    "op6_mixing": """
+with recursive d as (select doc_id, coalesce(source, '') as source, greatest(coalesce(length(text), 0), 1) as size from documents),
+t as (select source, sum(size) as n, sqrt(sum(size)) as w from d group by source),
+x as (select source, n, w / sum(w) over () * 1000 as exact from t),
+f as (select source, n, exact, greatest(1, floor(exact))::bigint as a0, row_number() over (order by floor(exact) - exact, source) as r from x),
+a as (select source, n, a0 + (r <= 1000 - sum(a0) over ())::bigint as a, row_number() over (order by source) as i from f),
+p as (select list(a order by i) as a from a),
+s(t, slot, done) as (select 0, 0, list_transform(a, lambda y: 0) from p
+  union all select t + 1, pick, list_transform(done, lambda y, i: y + (i = pick)::int) from (
+    select s.t, s.done, list_sort(list_filter(list_transform(p.a, lambda y, i: case when s.done[i] < y and s.done[i] * 1000 // y <= s.t then ((s.done[i] + 1) * 1000 + y - 1) // y * 100000 + i end), lambda z: z is not null))[1] % 100000 as pick
+    from s, p where s.t < 1000)),
+k as (select a.source, a.a, a.n, s.t - 1 as slot, row_number() over (partition by a.source order by s.t) as k from s join a on s.slot = a.i where s.t > 0),
+e as (select min((n + 131071) // 131072 // a * 1000 + slot) as e from k where k = (n + 131071) // 131072 % a + 1),
+m as (select doc_id, source, coalesce(sum(size) over (partition by source order by md5(doc_id::varchar) rows between unbounded preceding and 1 preceding), 0)::bigint as mix_start from d)
+select doc_id, m.source as mix_source, mix_start // 131072 as block, mix_start // 131072 // a * 1000 + slot as slot, mix_start // 131072 * 1000 // a as release,
+  ((mix_start // 131072 + 1) * 1000 + a - 1) // a as deadline, mix_start, mix_start // 131072 // a * 1000 + slot < e.e as in_mix
+from m join k on k.source = m.source and k.k = mix_start // 131072 % k.a + 1, e""",
     "op8_exact_dedup": f"""
 with n as (select doc_id, translate(coalesce(text, ''), {_AZ}) as t from documents)
 select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size, doc_id = max(doc_id) over (partition by t) as kept, sha256(t) as text_sha256 from n""",
@@ -122,4 +158,4 @@ from documents d left join g using (doc_id)"""
 
 SQL["op9_secret_scan"] = _secrets_sql()
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_decontamination, op4_quality, op5_near_dup, op8_exact_dedup, op9_secret_scan, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_decontamination, op3_pii, op4_quality, op5_near_dup, op6_mixing, op7_substring_dedup, op8_exact_dedup, op9_secret_scan, op10_language_id)}
