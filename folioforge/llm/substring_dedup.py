@@ -7,20 +7,23 @@ from pyspark.sql import functions as F
 
 from folioforge.llm.common import ascii_lower, hash_pair, left_on_row, texts
 
-#: A unit: up to the end of a sentence or line, with the marks and blanks after it. Units cover the text.
-UNIT = r"[^.!?\n]*+[.!?]*+[ \n]*+"
+#: A unit: up to the end of a sentence or line, with all ASCII marks and blanks after it. Units cover the text.
+UNIT = r"[^.!?\n]*+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*+"
+
+#: What separates words: ASCII other than letters and digits.
+NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def repeated_passages(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Remove passages that an earlier document, or an earlier place of the same document, has already.
     A text is cut into units (sentences, and lines in them); units are equal when they are after
-    lower-casing A-Z and reducing blanks. Of equal units the one of the least doc_id stays, and in it
+    lower-casing A-Z when only their words count, without marks between them. Of equal units the one of the least doc_id stays, and in it
     the first. Other occurrences go where they stand in an unbroken run of such of at least ``min_words``
     words; single common sentences aren't touched.
 
     Returns one row for each row of ``docs``: doc_id, text (what stays), n_units, n_removed (units),
     removed (array of start, end in code points of the original text, end exclusive, words,
-    keep_doc_id (of the first unit)). A null or empty text has no units. Rows that share a doc_id count
+    keep_doc_id (of the first unit)). A null or empty text has no units; the blanks and marks before the first word never go. Rows that share a doc_id count
     as one document, so neither loses what the other has; null doc_ids come after all others. An empty
     table gives an empty result; other columns are ignored.
 
@@ -29,7 +32,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, id_col: str = "doc_i
     """
     base = texts(docs, id_col, text_col)
     units = base.select("doc_id", "_th", F.posexplode(F.regexp_extract_all("text", F.lit(UNIT), F.lit(0))).alias("pos", "unit")).where("unit <> ''")
-    key = F.btrim(F.regexp_replace(ascii_lower(F.col("unit")), r"[\s]+", " "))
+    key = F.btrim(F.regexp_replace(ascii_lower(F.col("unit")), NO_WORD, " "))
     h1, h2 = hash_pair(F.col("key"))
     units = units.select("doc_id", "_th", "pos", key.alias("key")).where("key <> ''").select("doc_id", "_th", "pos", (F.size(F.split("key", " "))).alias("words"), h1.alias("h1"), h2.alias("h2"))
     often = units.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("keep_doc_id")).where("n > 1").select("h1", "h2", "keep_doc_id")
