@@ -44,7 +44,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    small_batches(spark, 128)  # a batch holds pairs of shingle sets, too
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
@@ -54,7 +54,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(table(spark, sf_dir, "documents"), min_words=50)
+    return repeated_passages(table(spark, sf_dir, "documents"), min_words=30)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
