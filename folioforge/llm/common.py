@@ -47,6 +47,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A set of rows to drop of at most so many is broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def without(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys aren't among ``gone``; nulls equal each other."""
+    gone = cut(gone.distinct())
+    named = gone.withColumnsRenamed({k: f"_gone{i}" for i, k in enumerate(keys)})
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_gone{i}"))
+    return rows.join(F.broadcast(named) if gone.count() <= BROADCAST_ROWS else named, same, "left_anti")
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the rows of an Arrow batch, so that a batch of long texts fits in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

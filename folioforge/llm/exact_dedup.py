@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import ascii_lower, cut, texts
+from folioforge.llm.common import ascii_lower, cut, texts, without
 
 #: A set of repeated fingerprints of at most so many rows (8 bytes each) is broadcast; a larger one is joined by a shuffle.
 BROADCAST_FINGERPRINTS = 1_000_000
@@ -136,3 +136,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.join(groups, "text_sha256", "left").select(
         "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256"
     )
+
+
+def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns, that ``exact_groups`` keeps; of rows that repeat a doc_id
+    and a text, any one. Only ids and digests are shuffled, but for rows whose id repeats."""
+    digest = F.sha2(ascii_lower(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))), 256)
+    marked = docs.select("*", F.col(f"`{id_col}`").alias("_exact_id"), digest.alias("_exact_sha"))
+    gone = exact_groups(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_exact_id"), F.col("text_sha256").alias("_exact_sha"))
+    marked = without(marked, gone, ["_exact_id", "_exact_sha"])
+    twice = cut(docs.groupBy(F.col(f"`{id_col}`").alias("_exact_id")).count().where("count > 1").select("_exact_id"))
+    if not twice.isEmpty():
+        once = marked.join(twice.withColumnRenamed("_exact_id", "_twice_id"), F.col("_exact_id").eqNullSafe(F.col("_twice_id")), "left")
+        repeats = once.where("_twice_id is not null or _exact_id is null").dropDuplicates(["_exact_id", "_exact_sha"])
+        marked = once.where("_twice_id is null and _exact_id is not null").unionByName(repeats)
+    return marked.select(*[f"`{c}`" for c in docs.columns])

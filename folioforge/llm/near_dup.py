@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 
 from folioforge.llm.common import LOWER_BYTES, cut
 
-ROWS, BANDS = 6, 28
+#: MinHash functions, and the chance at most that a pair at the threshold shares no band.
+HASHES, MISS = 180, 1e-6
 #: Bins of the one-permutation MinHash whose samples are folded, and bits of the parity bitmap.
 BINS_BITS, SKETCH_BITS = 10, 2048
 #: Standard deviations below the threshold at which a sketch still passes a pair.
@@ -47,20 +49,29 @@ def shingles(text: str | None, size: int = 3) -> np.ndarray:
     return np.unique(x)
 
 
+def banding(similarity: float) -> tuple[int, int]:
+    """The most rows in a band, so that buckets are small, for which no more than HASHES functions
+    make enough bands to miss a pair at the similarity with a chance of MISS at most; and the bands."""
+    need = lambda rows: math.ceil(math.log(MISS) / math.log1p(-min(similarity**rows, 1 - 1e-12)))
+    rows = max((r for r in range(1, 65) if r * need(r) <= HASHES), default=1)
+    return rows, need(rows)
+
+
 class Hashes:
     """MinHash functions of a seed: bands for candidates, and odd sketches that estimate similarity."""
 
-    def __init__(self, seed: int = 1):
+    def __init__(self, similarity: float, seed: int = 1):
+        self.rows, self.n_bands = banding(similarity)
         rng = np.random.default_rng(seed)
         draw = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64)
-        self.a, self.b = draw(ROWS * BANDS) * np.uint64(2) + np.uint64(1), draw(ROWS * BANDS)
-        self.row, self.band = draw(ROWS) * np.uint64(2) + np.uint64(1), draw(BANDS)
+        self.a, self.b = draw(self.rows * self.n_bands) * np.uint64(2) + np.uint64(1), draw(self.rows * self.n_bands)
+        self.row, self.band = draw(self.rows) * np.uint64(2) + np.uint64(1), draw(self.n_bands)
 
     def bands(self, s: np.ndarray) -> np.ndarray:
-        low = np.full(ROWS * BANDS, np.iinfo(np.uint64).max, np.uint64)
+        low = np.full(len(self.a), np.iinfo(np.uint64).max, np.uint64)
         for i in range(0, len(s), 1024):
             np.minimum(low, (s[i : i + 1024, None] * self.a + self.b).min(0), out=low)
-        return _mix((_mix(low).reshape(BANDS, ROWS) * self.row).sum(1, dtype=np.uint64) + self.band).view(np.int64)
+        return _mix((_mix(low).reshape(self.n_bands, self.rows) * self.row).sum(1, dtype=np.uint64) + self.band).view(np.int64)
 
     def sketch(self, s: np.ndarray) -> tuple[bytes, int]:
         """The least hash of each bin, folded into a bitmap of parities; and how many bins have one."""
@@ -116,8 +127,8 @@ def link_components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
-def _profiles(docs: DataFrame, size: int) -> DataFrame:
-    hashes = Hashes()
+def _profiles(docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    hashes = Hashes(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -245,7 +256,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, id_col: s
     similarity = percent / 100
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     known = docs.where("doc_id is not null")
-    profile = cut(_profiles(docs, size))
+    profile = cut(_profiles(docs, size, similarity))
     sets = profile.where("n > 0 and doc_id is not null")
     least = sets.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     same = sets.join(least, ["d1", "d2"]).select("doc_id", "rep")
