@@ -39,7 +39,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, id_col: str = "doc_i
     again = Window.partitionBy("doc_id", "_th", "h1", "h2").orderBy("pos")
     found = units.join(often, ["h1", "h2"])
     own = F.col("doc_id").eqNullSafe(F.col("keep_doc_id"))
-    found = found.withColumn("nth", F.when(own, F.row_number().over(again)).otherwise(2)).where("nth > 1")
+    found = found.withColumn("nth", F.when(own, F.rank().over(again)).otherwise(2)).where("nth > 1")
     line = Window.partitionBy("doc_id", "_th").orderBy("pos")
     # rows that repeat a doc_id and a text give the same positions
     found = found.groupBy("doc_id", "_th", "pos").agg(F.first("words").alias("words"), F.first("keep_doc_id").alias("keep_doc_id"))
