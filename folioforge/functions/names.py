@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from folioforge.functions.text import BLANK, nfc
+from folioforge.functions.text import BLANK, let, nfc
 from folioforge.registry import ALIASES, HINTS
 
 ILLEGAL = r'[\x00-\x1f\x7f-\x9f<>:"/\\|?*]'
@@ -31,14 +31,16 @@ def safe_name(c: Column, unicode_form: bool = True) -> Column:
     x = base_name(F.coalesce(c, F.lit("")))
     x = nfc(x) if unicode_form else x
     x = F.regexp_replace(F.regexp_replace(x, ILLEGAL, "_"), BLANK + "+", " ")
-    x = F.regexp_replace(F.regexp_replace(F.trim(x), r"^\.+", ""), r"[. ]+\z", "")
+    return let(F.regexp_replace(F.regexp_replace(F.trim(x), r"^\.+", ""), r"[. ]+\z", ""), _shortened)
+
+
+def _shortened(x: Column) -> Column:
     dotted = F.instr(x, ".") > 0
     stem = F.when(dotted, F.regexp_replace(x, r"\.[^.]*\z", "")).otherwise(x)
     extension = F.when(dotted, F.substring(F.substring_index(x, ".", -1), 1, EXTENSION_CHARS)).otherwise("")
-    stem = F.when(stem.rlike(RESERVED), F.concat(stem, F.lit("_file"))).otherwise(stem)
-    stem = F.when(stem == "", NAMELESS).otherwise(stem)
-    stem = F.when(F.length(stem) > STEM_CHARS, F.regexp_replace(F.substring(stem, 1, STEM_CHARS), r"[. ]+\z", "")).otherwise(stem)
-    return F.when(x == "", NAMELESS).otherwise(F.when(extension != "", F.concat_ws(".", stem, extension)).otherwise(stem))
+    stem = let(stem, lambda s: F.when(s.rlike(RESERVED), F.concat(s, F.lit("_file"))).when(s == "", NAMELESS).otherwise(s))
+    stem = let(stem, lambda s: F.when(F.length(s) > STEM_CHARS, F.regexp_replace(F.substring(s, 1, STEM_CHARS), r"[. ]+\z", "")).otherwise(s))
+    return F.when(x == "", NAMELESS).when(extension != "", F.concat_ws(".", stem, extension)).otherwise(stem)
 
 
 def extension_of(safe: Column) -> Column:
@@ -47,7 +49,9 @@ def extension_of(safe: Column) -> Column:
 
 
 def markdown_name(safe: Column) -> Column:
-    return F.when(safe.rlike(r"[^.]\.[^.]*\z|^\..*\..*"), F.concat(F.regexp_replace(safe, r"\.[^.]*\z", ""), F.lit(".md"))).otherwise(F.concat(safe, F.lit(".md")))
+    """A safe name with .md in the place of its extension, or after it where it has none."""
+    stem = F.regexp_replace(safe, r"\.[^.]*\z", "")
+    return F.concat(F.when(stem == "", safe).otherwise(stem), F.lit(".md"))
 
 
 def canonical_extension(c: Column) -> Column:

@@ -26,7 +26,7 @@ def page_range(c: Column) -> Column:
 def usable_languages(requested: Column, installed: Column) -> Column:
     """struct<languages, missing> of 'eng+ben' against those installed, in the order asked for; where
     none is installed: eng, or else the first."""
-    asked = F.filter(F.transform(F.split(requested, r"\+", -1), F.trim), lambda x: x != "")
+    asked = F.filter(F.transform(F.split(requested, r"\+", -1), lambda x: F.trim(x)), lambda x: x != "")
     usable = F.filter(asked, lambda x: F.array_contains(installed, x))
     fallback = F.when(F.array_contains(installed, "eng"), "eng").otherwise(F.get(installed, F.lit(0)))
     return F.struct(F.when(F.size(usable) > 0, F.array_join(usable, "+")).otherwise(fallback).alias("languages"), F.array_except(asked, installed).alias("missing"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,6 +17,11 @@ BLANK = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u30
 CUT_NOTICE = "\n\n---\n\n_Output truncated: this document exceeded the size limit._\n"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it stands in the expression."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
 @F.pandas_udf(StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Unicode normal form C; Spark has no expression for it."""
