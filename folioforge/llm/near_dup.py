@@ -15,8 +15,8 @@ from folioforge.llm.common import LOWER_BYTES, cut
 
 #: MinHash functions, and the chance at most that a pair at the threshold shares no band.
 HASHES, MISS = 180, 1e-6
-#: Bins of the one-permutation MinHash whose samples are folded, and bits of the parity bitmap.
-BINS_BITS, SKETCH_BITS = 10, 2048
+#: Bits of the parity bitmap, and shingles at most that it takes: of a larger set the least hashes are sampled.
+SKETCH_BITS, SAMPLES = 2048, 2048
 #: Standard deviations below the threshold at which a sketch still passes a pair.
 MARGIN = 5.0
 #: Members of a bucket that are compared with each other in one go; a larger bucket is dealt into blocks of so many.
@@ -73,30 +73,36 @@ class Hashes:
             np.minimum(low, (s[i : i + 1024, None] * self.a + self.b).min(0), out=low)
         return _mix((_mix(low).reshape(self.n_bands, self.rows) * self.row).sum(1, dtype=np.uint64) + self.band).view(np.int64)
 
-    def sketch(self, s: np.ndarray) -> tuple[bytes, int]:
-        """The least hash of each bin, folded into a bitmap of parities; and how many bins have one."""
-        h = np.sort(_mix(s + _M1))
-        bins = h >> np.uint64(64 - BINS_BITS)
-        low = h[np.append(True, bins[1:] != bins[:-1])] if len(h) else h
+    def sketch(self, s: np.ndarray, similarity: float) -> tuple[bytes, int]:
+        """The set's hashes below 2**-level, folded into a bitmap of parities, and the level: the least
+        at which SAMPLES are expected at most. Where the partner of a similar pair may have the next
+        level, that level's bitmap follows, so that any similar pair has a level in common."""
+        h = _mix(s + _M1)
+        level = max(0, math.ceil(math.log2(max(1, len(s)) / SAMPLES)))
+        out = [self._fold(h, level)]
+        if len(s) / similarity > SAMPLES << level:
+            out.append(self._fold(h, level + 1))
+        return b"".join(out), level
+
+    @staticmethod
+    def _fold(h: np.ndarray, level: int) -> bytes:
+        low = h[h <= np.uint64(0xFFFFFFFFFFFFFFFF >> level)]
         odd = np.bincount((_mix(low + _M2) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
-        return np.packbits(odd.astype(np.uint8)).tobytes(), len(low)
+        return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def most_odd_bits(sizes_a: np.ndarray, sizes_b: np.ndarray, samples_a: np.ndarray, samples_b: np.ndarray, similarity: float) -> np.ndarray:
-    """XOR population counts up to which pairs of such set sizes and sample numbers may reach the similarity.
+def most_odd_bits(sizes_a: np.ndarray, sizes_b: np.ndarray, level: np.ndarray, similarity: float) -> np.ndarray:
+    """XOR population counts up to which pairs of such set sizes may reach the similarity.
 
-    Of the u elements of a union, bins hold U samples, of which the similarity's share is common. The
-    number of samples that only one side has follows, and from it how many bits are odd; MARGIN standard
-    deviations of both steps are added. Where bins are many against u nearly all elements are samples, so
-    the first step hardly varies."""
-    k, n = float(1 << BINS_BITS), float(SKETCH_BITS)
-    u = (sizes_a + sizes_b) / (1 + similarity)
-    union = k * -np.expm1(-u / k)
-    spread = np.sqrt(np.maximum(similarity * (1 - similarity) * union * np.clip(1 - union / np.maximum(u, 1), 0.02, 1), 0.25))
-    # samples vary both in how many are common and in how many bins collide
-    apart = np.maximum(samples_a + samples_b - 2 * similarity * union, 0) + MARGIN * 2 * spread + 2
-    odd = n / 2 * -np.expm1(-2 * apart / n)
-    return odd + MARGIN * np.sqrt(np.maximum(apart * apart / n, 0.25))
+    It bounds how many elements only one side has. At level 0 all of them are folded, and as equal
+    places cancel in pairs, never more bits are odd: nothing similar is lost. At higher levels, and for
+    the cancelling that is to be expected, MARGIN standard deviations are added."""
+    n, p = float(SKETCH_BITS), 0.5**level
+    apart = (sizes_a + sizes_b) * (1 - similarity) / (1 + similarity) + 1e-6
+    d = np.where(level == 0, apart, apart * p + MARGIN * np.sqrt(apart * p) + 1)
+    one, two = (1 - 2 / n) ** (2 * d), (1 - 4 / n) ** d
+    spread = np.sqrt(np.maximum(n / 4 * (1 - one) + n * (n - 1) / 4 * (two - one), 0))
+    return np.minimum(d, n / 2 * (1 - (1 - 2 / n) ** d) + MARGIN * spread + 2)
 
 
 def link_components(edges: DataFrame) -> DataFrame:
@@ -132,37 +138,47 @@ def _profiles(docs: DataFrame, size: int, similarity: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, d1, d2, bands, sketch, samples = [], [], [], [], [], []
+            n, d1, d2, bands, sketch, level = [], [], [], [], [], []
             for t in b.column(1):
                 s = shingles(t.as_py(), size)
                 digest = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
-                odd, m = hashes.sketch(s)
-                for to, v in zip((n, d1, d2, bands, sketch, samples), (len(s), digest[0], digest[1], hashes.bands(s) if len(s) else [], odd, m), strict=True):
+                odd, m = hashes.sketch(s, similarity)
+                for to, v in zip((n, d1, d2, bands, sketch, level), (len(s), digest[0], digest[1], hashes.bands(s) if len(s) else [], odd, m), strict=True):
                     to.append(v)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary()), pa.array(samples, pa.int32())], names=["doc_id", "n", "d1", "d2", "bands", "sketch", "samples"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary()), pa.array(level, pa.int32())], names=["doc_id", "n", "d1", "d2", "bands", "sketch", "level"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, bands array<long>, sketch binary, samples int")
+    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, bands array<long>, sketch binary, level int")
 
 
-def _odd_bits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x ^ y).sum(-1, dtype=np.int64)
+def _words(column: pa.Array) -> np.ndarray:
+    """Sketches of a column as 64-bit words: row, own or next level, word."""
+    size = SKETCH_BITS // 8
+    return np.frombuffer(b"".join(x.ljust(2 * size, b"\0") for x in column.to_pylist()), np.uint64).reshape(len(column), 2, -1)
 
 
-def _words(column: pa.Array) -> np.ndarray:
-    """Sketches of a column as rows of 64-bit words."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+def _close(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, lx: np.ndarray, ly: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of sketches x and y, of sets of sizes nx and ny and levels lx and ly (all broadcast against each
+    other): how many bits are odd, and whether that lets the pair be similar."""
+    odd = np.bitwise_count(x[..., 0, :] ^ y[..., 0, :]).sum(-1, dtype=np.int64)
+    limit = most_odd_bits(nx, ny, np.maximum(lx, ly), similarity)
+    if (lx != ly).any():
+        for k, a, b in ((1, 0, 1), (-1, 1, 0)):
+            other = np.bitwise_count(x[..., a, :] ^ y[..., b, :]).sum(-1, dtype=np.int64)
+            odd = np.where(lx - ly == k, other, odd)
+        limit = np.where(np.abs(lx - ly) > 1, -1, limit)
+    return odd, odd <= limit
 
 
 def _passed(pairs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs a, b whose sketches may reach the similarity; columns x_a, x_b: node, n, samples, sketch."""
+    """The pairs a, b whose sketches may reach the similarity; with columns n, level, sketch of both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            na, nb, ma, mb = (b.column(i).to_numpy(zero_copy_only=False) for i in range(2, 6))
-            ok = _odd_bits(_words(b.column(6)), _words(b.column(7))) <= most_odd_bits(na, nb, ma, mb, similarity)
+            na, nb, la, lb = (b.column(i).to_numpy(zero_copy_only=False) for i in range(2, 6))
+            ok = _close(_words(b.column(6)), _words(b.column(7)), na, nb, la, lb, similarity)[1]
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], names=["a", "b"])
 
-    return pairs.select("a", "b", "n_a", "n_b", "samples_a", "samples_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "n_a", "n_b", "level_a", "level_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
@@ -191,7 +207,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, size: int) -> Da
 
 def _between(held: DataFrame, similarity: float, most: int) -> DataFrame:
     """Pairs a, b of members of one bucket, but of different components, whose sketches pass. Columns of
-    ``held``: h, i, j (a pair of blocks of a bucket), side, node, component, n, samples, sketch. Of a
+    ``held``: h, i, j (a pair of blocks of a bucket), side, node, component, n, level, sketch. Of a
     member and another component at most ``most`` pairs are given, the closest; more: some were left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,9 +236,8 @@ def _between(held: DataFrame, similarity: float, most: int) -> DataFrame:
     def compared(x, y, node, comp, n, m, words) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
         for lo in range(0, len(x), 64):
             u = x[lo : lo + 64]
-            odd = _odd_bits(words[u][:, None], words[y][None])
-            limit = most_odd_bits(n[u][:, None].astype(float), n[y][None].astype(float), m[u][:, None], m[y][None], similarity)
-            i, j = np.nonzero((odd <= limit) & (comp[u][:, None] != comp[y][None]) & (node[u][:, None] != node[y][None]))
+            odd, close = _close(words[u][:, None], words[y][None], n[u][:, None].astype(float), n[y][None].astype(float), m[u][:, None], m[y][None], similarity)
+            i, j = np.nonzero(close & (comp[u][:, None] != comp[y][None]) & (node[u][:, None] != node[y][None]))
             if len(i):
                 order = np.lexsort((odd[i, j], comp[y[j]], i))
                 i, j = i[order], j[order]
@@ -233,7 +248,7 @@ def _between(held: DataFrame, similarity: float, most: int) -> DataFrame:
                 a, b = node[u[i[few]]], node[y[j[few]]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), not few.all()))], names=["a", "b", "more"])
 
-    rows = held.select("h", "i", "j", "side", "node", "component", "n", "samples", "sketch").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
+    rows = held.select("h", "i", "j", "side", "node", "component", "n", "level", "sketch").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
     return rows.mapInArrow(run, "a long, b long, more boolean")
 
 
@@ -260,14 +275,14 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, id_col: s
     sets = profile.where("n > 0 and doc_id is not null")
     least = sets.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     same = sets.join(least, ["d1", "d2"]).select("doc_id", "rep")
-    nodes = cut(sets.join(least, ["d1", "d2"]).where("doc_id = rep").select(F.col("doc_id").alias("node"), "n", "samples", "sketch", "bands").dropDuplicates(["node"]))
+    nodes = cut(sets.join(least, ["d1", "d2"]).where("doc_id = rep").select(F.col("doc_id").alias("node"), "n", "level", "sketch", "bands").dropDuplicates(["node"]))
     bands = nodes.select("node", F.explode("bands").alias("h"))
     first = bands.groupBy("h").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = cut(bands.join(first, "h").select("h", "node", "a", "members"))
-    traits = nodes.select("node", "n", "samples", "sketch")
+    traits = nodes.select("node", "n", "level", "sketch")
 
     def of(side: str) -> DataFrame:
-        return traits.withColumnsRenamed({"node": side, "n": f"n_{side}", "samples": f"samples_{side}", "sketch": f"sketch_{side}"})
+        return traits.withColumnsRenamed({"node": side, "n": f"n_{side}", "level": f"level_{side}", "sketch": f"sketch_{side}"})
 
     star = shared.where("a <> node").select("a", F.col("node").alias("b")).distinct()
     passed = cut(_passed(star.join(of("b"), "b").join(of("a"), "a"), similarity))

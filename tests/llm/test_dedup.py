@@ -195,3 +195,22 @@ def test_passages_odd_rows(spark):
     assert {r["doc_id"]: r["text"] for r in got}[None] == ""
     assert [r["n_removed"] for r in got if r["doc_id"] == 1] == [0, 0]
     assert rows(repeated_passages(empty_documents(spark))) == []
+
+
+def test_sketches_lose_no_similar_pair():
+    """Sets of any size, also around the sizes at which sampling starts, near the threshold."""
+    from folioforge.llm.near_dup import Hashes, _close, _words
+    import pyarrow as pa
+
+    rng, hashes, dropped = np.random.default_rng(5), Hashes(0.85), 0
+    for n in (2, 7, 40, 300, 1700, 1900, 2040, 2300, 4000, 9000):
+        for share in (0.3, 0.8, 0.86):
+            a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            k = round(2 * share * n / (1 + share))
+            b = np.concatenate([a[:k], rng.integers(0, 1 << 63, n - k, dtype=np.uint64)])
+            similar = k / (2 * n - k) >= 0.85
+            (x, lx), (y, ly) = hashes.sketch(np.sort(a), 0.85), hashes.sketch(np.sort(b), 0.85)
+            ok = _close(_words(pa.array([x])), _words(pa.array([y])), np.array([n]), np.array([n]), np.array([lx]), np.array([ly]), 0.85)[1][0]
+            assert ok or not similar
+            dropped += not ok
+    assert dropped >= 15
