@@ -43,7 +43,7 @@ def tidy_prose(c: Column) -> Column:
     c = F.regexp_replace(c, r"([^\n])\n(?=#{1,6} )", "$1\n\n")
     c = F.regexp_replace(c, r"(?md)^(#{1,6} [^\n]*)$", "$1\n")
     c = F.regexp_replace(c, r"\A\n{2,}|\n{2,}\z", "\n")
-    return F.when(c == "\n", "").otherwise(F.regexp_replace(c, r"\n{3,}", "\n\n"))
+    return F.regexp_replace(F.regexp_replace(c, r"\A\n\z", ""), r"\n{3,}", "\n\n")
 
 
 FENCED = r"(?md)^[ \t]*(```|~~~)"
@@ -72,7 +72,7 @@ def fence_segments(c: Column) -> Column:
     return F.aggregate(F.split(c, "\n", -1), start, step, last)
 
 
-def outside_fences(c: Column, change) -> Column:  # noqa: ANN001
+def outside_fences(c: Column, change: Callable[[Column], Column]) -> Column:
     """``change`` applied to prose alone. Texts without a fence, most of them, take the direct way."""
     parts = F.transform(fence_segments(c), lambda s: F.when(s["code"], s["text"]).otherwise(change(s["text"])))
     return F.when(c.rlike(FENCED), F.array_join(parts, "\n")).otherwise(change(c))
@@ -80,12 +80,13 @@ def outside_fences(c: Column, change) -> Column:  # noqa: ANN001
 
 def normalize_markdown(c: Column, unicode_form: bool = True) -> Column:
     """Tidied Markdown that ends in one newline; '' where nothing but blanks is left, also for null.
-    Without ``unicode_form`` the whole expression stays in the JVM."""
+    Without ``unicode_form`` the whole expression stays in the JVM. Each step is computed once: a step
+    that uses the text of the one before several times gets it by ``let``."""
     c = F.coalesce(c, F.lit(""))
-    c = clean_characters(nfc(c) if unicode_form else c)
-    c = outside_fences(c, tidy_prose)
-    c = F.when(c.rlike(FENCED), outside_fences(c, lambda s: F.regexp_replace(s, r"\n{3,}", "\n\n"))).otherwise(c)
-    return F.when(c.rlike(r"^" + BLANK + r"*\z"), "").otherwise(F.concat(F.btrim(c, F.lit("\n")), F.lit("\n")))
+    c = let(clean_characters(nfc(c) if unicode_form else c), lambda x: outside_fences(x, tidy_prose))
+    # seams between segments can bring back runs of blank lines; those inside a fence belong to the code
+    c = let(c, lambda x: F.when(x.rlike(FENCED) & x.contains("\n\n\n"), outside_fences(x, lambda s: F.regexp_replace(s, r"\n{3,}", "\n\n"))).otherwise(x))
+    return let(c, lambda x: F.when(x.rlike(r"^" + BLANK + r"*\z"), "").otherwise(F.concat(F.btrim(x, F.lit("\n")), F.lit("\n"))))
 
 
 def contains_raw_html(c: Column) -> Column:

@@ -210,7 +210,7 @@ def ocr_word_filter(spark, d):
     return layout.recognised(w).groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept"))
 
 
-@query(f'with {t.LINES} select doc_id, line, text, "left", "right", top, bottom, height, round(confidence, 6) as confidence, n_words::bigint as n_words, round(norm_height, 6) as norm_height from lines')
+@query(f'with {t.LINES} select doc_id, line, text, "left", "right"::int as "right", top, bottom, height, round(confidence, 6) as confidence, n_words::bigint as n_words, round(norm_height, 6) as norm_height from lines')
 def ocr_lines(spark, d):
     return _lines(spark, d).select("doc_id", "line", "text", "left", "right", "top", "bottom", "height", F.round("confidence", 6).alias("confidence"), "n_words", F.round("norm_height", 6).alias("norm_height"))
 

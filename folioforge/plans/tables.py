@@ -12,8 +12,15 @@ EXTENSIONS = [f[0] for f in FORMATS] + [".doc", ".TXT", ".tar.gz", ""]
 STEMS = ["../../etc/passwd", "C:\\Users\\admin\\secret", ".hidden", "CON", "a  b\tc", "report<1>|2", "naïve résumé", "x" * 140, "..", "trailing. ."]
 
 
+#: Below so many bytes a table is dealt out to all cores; a file that small may be one row group, and so one task.
+SPREAD_BELOW = 32 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table as it is; only a very small one is spread over the cores before work is done on it."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SPREAD_BELOW
+    return df.repartition(spark.sparkContext.defaultParallelism) if small else df
 
 
 def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,6 +127,6 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def literal(spark: SparkSession, column: str, values: list) -> DataFrame:
-    return spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"id long, {column} string")
+    return spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"id int, {column} string")
 
 
