@@ -6,6 +6,7 @@ an ordered walk over few lines, is a grouped function."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 import numpy as np
@@ -13,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.functions.text import extent_factor, heading_level, join_lines, list_item
+from folioforge.functions.text import BULLET, NUMBER, extent_factor, join_lines
 
 LINE = ["doc_id", "page", "block", "paragraph", "line"]
 PAGE = ["doc_id", "page"]
@@ -174,19 +175,6 @@ def _render(rows: list[list[tuple[float, str]]]) -> str | None:
     return "\n".join(f"| {' | '.join(row)} |" for row in shown)
 
 
-def page_blocks(ordered: DataFrame, cell: DataFrame, heights: DataFrame, widths: DataFrame) -> DataFrame:
-    """doc_id, page, markdown, word_count, confidence of each page. ``ordered``: lines in reading order.
-
-    Lines are classified by expressions (table run, list item, heading, prose); a grouped function then
-    walks down the lines of one page. Tables take lines first; one that can't be rendered falls back
-    to lines. A prose line opens a paragraph after any other block."""
-    per_line = cell.groupBy(*LINE).agg(F.array_sort(F.collect_list(F.struct("cell", "x", "text"))).alias("cells"))
-    x = ordered.join(per_line, LINE).join(heights, "doc_id").join(widths, PAGE)
-    text = F.trim("text")
-    x = x.select(*PAGE, "block", "rank", "right", "top", "bottom", text.alias("text"), "cells", "n_words", "confidence", "body_height", "char_width", list_item(text).alias("item"), heading_level(text, F.col("n_words"), F.col("norm_height"), F.col("body_height")).alias("level"), F.transform("words", lambda w: w["width"].cast("double")).alias("widths"))
-    return x.groupBy(*PAGE).applyInPandas(_assemble, "doc_id long, page int, markdown string, word_count long, confidence double, warnings array<string>")
-
-
 def _runs(n_cells: list[int]) -> dict[int, int]:
     out, at = {}, 0
     while at < len(n_cells):
@@ -206,18 +194,87 @@ def _glued(parts: list[str]) -> str:
     return out
 
 
-def _assemble(key: tuple, page: pd.DataFrame) -> pd.DataFrame:
-    page = page.sort_values("rank", kind="stable")
-    line = page.to_dict("records")
+def _factor(text: str) -> float:
+    if not re.search("[A-Za-z]", text):
+        return 1.0
+    deep, tall = re.search("[gjpqy]", text), re.search("[bdfhklt]", text) or any(c.isupper() or c.isdigit() for c in text)
+    return 1.0 if deep and tall else 0.78 if tall else 0.82 if deep else 0.58
+
+
+def _item(text: str) -> str | None:
+    if m := re.match(BULLET, text):
+        return f"- {text[m.end() :].strip()}"
+    if m := re.match(NUMBER, text):
+        return f"{m[1]}. {text[m.end() :].strip()}"
+    return None
+
+
+def _level(text: str, n: int, height: float, body: float) -> int | None:
+    if body <= 0 or n > 14:
+        return None
+    grade = sum(height / body >= r for r in (1.70, 1.40, 1.22))
+    shout = n <= 8 and len(text) >= 3 and text == text.upper() and re.search("[a-zA-Z]", text)
+    return 4 - grade if grade else 2 if shout else None
+
+
+def _gutter(left: np.ndarray, right: np.ndarray, width: int) -> float | None:
+    """Where the widest stretch begins that no line covers in the middle half; None without one."""
+    if len(left) < GUTTER_LINES or width <= 0:
+        return None
+    order = np.argsort(left, kind="stable")
+    l, r = np.clip(left, 0, width - 1)[order], np.clip(right, 0, width - 1)[order] + 1
+    lo, hi = int(width * 0.25), int(width * 0.75)
+    start = np.maximum(np.concatenate([[0], np.maximum.accumulate(r)]), lo)
+    size = np.minimum(np.append(l, hi), hi) - start
+    best = int(np.argmax(size))
+    return float(start[best]) if size[best] >= max(1, width * GUTTER_SHARE) else None
+
+
+def _page(key: tuple, words: pd.DataFrame) -> pd.DataFrame:
+    """The Markdown of a page from its words; columns body_height and page_width say what its document and page are like."""
+    order = np.lexsort([words[c].to_numpy() for c in ("pos", "left", "line", "paragraph", "block")])
+    col = {c: words[c].to_numpy()[order] for c in words.columns}
+    ids = np.stack([col[c] for c in ("block", "paragraph", "line")], 1)
+    first = np.append(True, (ids[1:] != ids[:-1]).any(1))
+    starts = np.flatnonzero(first)
+    ends = np.append(starts[1:], len(first))
+    word_right = col["left"] + col["width"]
+    left, right = np.minimum.reduceat(col["left"], starts), np.maximum.reduceat(word_right, starts)
+    top, bottom = np.minimum.reduceat(col["top"], starts), np.maximum.reduceat(col["top"] + col["height"], starts)
+    sizes = np.array([len(t) for t in col["text"]])
+    long = sizes > 1
+    gap = (float(np.median(col["width"][long] / sizes[long])) if long.any() else 8.0) * CELL_GAP
+    opens = first | np.append(True, col["left"][1:] - word_right[:-1] > gap)
+    cell_at = np.flatnonzero(opens)
+    cell_end = np.append(cell_at[1:], len(opens))
+    line_of = np.cumsum(first) - 1
+    cells: list[list] = [[] for _ in starts]
+    for s, e in zip(cell_at, cell_end, strict=True):
+        cells[line_of[s]].append((float(col["left"][s]), " ".join(col["text"][s:e])))
+    gutter = _gutter(left, right, int(col["page_width"][0]))
+    side = (left + right) / 2 > gutter if gutter is not None else np.zeros(len(starts), bool)
+    body = float(col["body_height"][0])
+    line = []
+    for i in np.lexsort([left, top, side]):
+        text = " ".join(col["text"][starts[i] : ends[i]])
+        n, shown = int(ends[i] - starts[i]), text.strip()
+        line.append({"text": shown, "block": col["block"][starts[i]], "right": right[i], "top": top[i], "bottom": bottom[i], "cells": cells[i], "item": _item(shown), "level": _level(shown, n, (bottom[i] - top[i]) / _factor(text), body), "widths": col["width"][starts[i] : ends[i]]})
+    blocks = _blocks(line, body, gap)
+    warnings = [] if blocks else ["No readable text was found on this page."]
+    return pd.DataFrame({"doc_id": [key[0]], "page": [key[1]], "markdown": ["\n\n".join(blocks)], "word_count": [len(first)], "confidence": [float(col["confidence"].mean())], "warnings": [warnings]})
+
+
+def _blocks(line: list[dict], body: float, gap: float) -> list[str]:
+    """Walk down the lines: tables take lines first, and one that can't be rendered falls back to lines;
+    then list items, headings and prose. A prose line opens a paragraph after any other block."""
     runs = _runs([len(x["cells"]) for x in line])
     in_table = {i for a, b in runs.items() for i in range(a, b)}
-    prose = [x for i, x in enumerate(line) if i not in in_table and pd.isna(x["level"])] or line
-    body, gap = line[0]["body_height"], line[0]["char_width"] * CELL_GAP
+    prose = [x for i, x in enumerate(line) if i not in in_table and x["level"] is None] or line
     allowance = max(gap, float(np.median(np.concatenate([x["widths"] for x in prose]))) * 1.3)
     reach: dict = {}
     for x in prose:
         reach.setdefault(x["block"], []).append(x["right"])
-    reach = {b: sorted(v)[int(len(v) * 0.9) if len(v) > 1 else 0] - allowance for b, v in reach.items()}
+    reach = {b: sorted(v)[int(len(v) * 0.9)] - allowance for b, v in reach.items()}
     blocks: list[str] = []
     open_: list[str] = []
     before = None
@@ -230,10 +287,10 @@ def _assemble(key: tuple, page: pd.DataFrame) -> pd.DataFrame:
     at = 0
     while at < len(line):
         x = line[at]
-        table = _render([[(c["x"], c["text"]) for c in v["cells"]] for v in line[at : runs[at]]]) if at in runs else None
-        if table or x["item"] is not None or not pd.isna(x["level"]):
+        table = _render([v["cells"] for v in line[at : runs[at]]]) if at in runs else None
+        if table or x["item"] is not None or x["level"] is not None:
             close()
-            blocks.append(table or x["item"] or f"{'#' * int(x['level'])} {x['text']}")
+            blocks.append(table or x["item"] or f"{'#' * x['level']} {x['text']}")
             at = runs[at] if table else at + 1
             continue
         if x["text"]:
@@ -244,10 +301,7 @@ def _assemble(key: tuple, page: pd.DataFrame) -> pd.DataFrame:
             before = x
         at += 1
     close()
-    n = int(page["n_words"].sum())
-    mean = float((page["confidence"] * page["n_words"]).sum() / n) if n else 0.0
-    warnings = [] if blocks else ["No readable text was found on this page."]
-    return pd.DataFrame({"doc_id": [key[0]], "page": [key[1]], "markdown": ["\n\n".join(blocks)], "word_count": [n], "confidence": [mean], "warnings": [warnings]})
+    return blocks
 
 
 def documents(pages: DataFrame, low: float = 70.0) -> DataFrame:
@@ -269,9 +323,20 @@ def documents(pages: DataFrame, low: float = 70.0) -> DataFrame:
     return out.withColumn("warnings", F.array_distinct(F.concat("noted", F.coalesce(empty, none), F.coalesce(low_, none)))).drop("noted")
 
 
+def word_body_heights(words: DataFrame) -> DataFrame:
+    """``body_heights`` straight from words: what a line's text is like is a few flags, so lines are
+    aggregated before the shuffle and no text is moved."""
+    has = lambda p: F.bool_or(F.col("text").rlike(p))
+    line = words.groupBy(*LINE).agg((F.max(F.col("top") + F.col("height")) - F.min("top")).alias("span"), F.count(F.lit(1)).alias("n"), has("[A-Za-z]").alias("latin"), has("[gjpqy]").alias("deep"), has(r"[bdfhklt]|\p{Lu}|\p{Nd}").alias("tall"))
+    factor = F.when(~F.col("latin") | (F.col("deep") & F.col("tall")), 1.0).when(F.col("tall"), 0.78).when(F.col("deep"), 0.82).otherwise(0.58)
+    return line.groupBy("doc_id").agg(F.percentile(F.col("span") / factor, F.lit(0.5), F.col("n")).alias("body_height"))
+
+
 def reconstruct(words: DataFrame, page_widths: DataFrame) -> DataFrame:
-    """Markdown of every page. The body height is that of the whole document, so headings agree across pages."""
+    """doc_id, page, markdown, word_count, confidence, warnings of every page. The body height is that of
+    the whole document, so headings agree across pages; it is the one thing a page can't know, and is
+    aggregated first. Then each page is put together from its words, which are shuffled once, by page."""
     w = recognised(words)
-    line, widths = lines(w), char_widths(w)
-    ordered = reading_order(line, gutters(line, page_widths))
-    return page_blocks(ordered, cells(w, widths), body_heights(line), widths)
+    page = page_widths.join(word_body_heights(w), "doc_id").select(*PAGE, "page_width", "body_height")
+    x = w.select(*LINE, "pos", "text", "left", "top", "width", "height", "confidence").join(page, PAGE)
+    return x.groupBy(*PAGE).applyInPandas(_page, "doc_id long, page int, markdown string, word_count long, confidence double, warnings array<string>")
