@@ -54,7 +54,9 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(table(spark, sf_dir, "documents"), min_words=30)
+    out = repeated_passages(table(spark, sf_dir, "documents"), min_words=30)
+    spans = F.transform("removed", lambda r: F.concat_ws(":", r["start"].cast("string"), r["end"].cast("string"), r["keep_doc_id"].cast("string")))
+    return out.select("doc_id", "text", "n_units", "n_removed", F.array_join(spans, ",").alias("removed"))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,6 +127,17 @@ m as (select doc_id, source, coalesce(sum(size) over (partition by source order
 select doc_id, m.source as mix_source, mix_start // 131072 as block, mix_start // 131072 // a * 1000 + slot as slot, mix_start // 131072 * 1000 // a as release,
   ((mix_start // 131072 + 1) * 1000 + a - 1) // a as deadline, mix_start, mix_start // 131072 // a * 1000 + slot < e.e as in_mix
 from m join k on k.source = m.source and k.k = mix_start // 131072 % k.a + 1, e""",
+    "op7_substring_dedup": f"""
+with d as (select doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '[^.!?\\n]*[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*'), lambda x: x <> '') as parts from documents),
+u as (select doc_id, unnest(parts) as unit, unnest(range(len(parts))) as pos from d),
+k as (select doc_id, pos, unit, sum(length(unit)) over (partition by doc_id order by pos) as upto, trim(regexp_replace(translate(unit, {_AZ}), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g')) as key from u),
+o as (select key, min(doc_id) as keep from k where key <> '' group by key having count(*) > 1),
+f as (select doc_id, pos, unit, upto, len(string_split(key, ' ')) as words, keep, case when doc_id = keep then rank() over (partition by doc_id, key order by pos) else 2 end as nth from k join o using (key)),
+i as (select *, pos - row_number() over (partition by doc_id order by pos) as island from f where nth > 1),
+r as (select doc_id, min(pos) as a, max(pos) as b, min(upto - length(unit)) as s, max(upto) as e, arg_min(keep, pos) as keep from i group by doc_id, island having sum(words) >= 30),
+g as (select doc_id, sum(b - a + 1) as n, string_agg(s || ':' || e || ':' || keep, ',' order by s) as removed from r group by doc_id),
+t as (select k.doc_id, string_agg(unit, '' order by pos) as text from k where not exists (select 1 from r where r.doc_id = k.doc_id and k.pos between r.a and r.b) group by k.doc_id)
+select d.doc_id, coalesce(t.text, '') as text, len(parts)::bigint as n_units, coalesce(n, 0)::bigint as n_removed, coalesce(removed, '') as removed from d left join g using (doc_id) left join t using (doc_id)""",
     "op8_exact_dedup": f"""
 with n as (select doc_id, translate(coalesce(text, ''), {_AZ}) as t from documents)
 select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size, doc_id = max(doc_id) over (partition by t) as kept, sha256(t) as text_sha256 from n""",
