@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import ascii_lower, hash_pair, left_on_row, texts
+from folioforge.llm.common import ascii_lower, cut, hash_pair, left_on_row, texts
 
 #: Stripped at both ends of a line before it is compared.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -31,10 +31,11 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     empty table gives an empty result. Other columns are ignored.
 
     Only hashes and positions of lines are shuffled to find what goes; the texts are shuffled once.
-    The join with the frequent keys can be split by AQE where one line is very common.
+    The frequent keys are checkpointed, so that their join is one between plain shuffles, which AQE
+    can split where one line is very common.
     """
     base = texts(docs, id_col, text_col)
-    frequent = frequent_lines(base, min_docs, min_chars)
+    frequent = cut(frequent_lines(base, min_docs, min_chars))
     lines = base.select("doc_id", "_th", F.posexplode(F.split(ascii_lower(F.col("text")), "\n", -1)).alias("pos", "line"))
     h1, h2 = hash_pair(F.col("key"))
     lines = lines.select("doc_id", "_th", "pos", F.btrim("line", F.lit(BLANKS)).alias("key")).where(F.length("key") >= min_chars)
