@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import ascii_lower, hash_pair, left_on_row, texts
+from folioforge.llm.common import ascii_lower, cut, hash_pair, left_on_row, texts
 
 #: A unit: up to the end of a sentence or line, with all ASCII marks and blanks after it. Units cover the text.
 UNIT = r"[^.!?\n]*+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*+"
@@ -28,16 +28,18 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, id_col: str = "doc_i
     table gives an empty result; other columns are ignored.
 
     128-bit digests and positions are shuffled, texts once. Counts and least ids are combined before
-    the shuffle; the join with repeated digests can be split by AQE where one is very common.
+    the shuffle. The repeated digests are checkpointed, so that their join is one between plain shuffles,
+    which AQE can split where one unit is very common.
     """
     base = texts(docs, id_col, text_col)
     units = base.select("doc_id", "_th", F.posexplode(F.regexp_extract_all("text", F.lit(UNIT), F.lit(0))).alias("pos", "unit")).where("unit <> ''")
     key = F.btrim(F.regexp_replace(ascii_lower(F.col("unit")), NO_WORD, " "))
     h1, h2 = hash_pair(F.col("key"))
     units = units.select("doc_id", "_th", "pos", key.alias("key")).where("key <> ''").select("doc_id", "_th", "pos", (F.size(F.split("key", " "))).alias("words"), h1.alias("h1"), h2.alias("h2"))
-    often = units.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("keep_doc_id")).where("n > 1").select("h1", "h2", "keep_doc_id")
+    often = cut(units.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("keep_doc_id")).where("n > 1").select("h1", "h2", "keep_doc_id"))
     again = Window.partitionBy("doc_id", "_th", "h1", "h2").orderBy("pos")
-    found = units.join(often, ["h1", "h2"])
+    # by document before anything is ranked: else the join could not be split where a unit is very common
+    found = units.join(often, ["h1", "h2"]).repartition("doc_id", "_th")
     own = F.col("doc_id").eqNullSafe(F.col("keep_doc_id"))
     found = found.withColumn("nth", F.when(own, F.rank().over(again)).otherwise(2)).where("nth > 1")
     line = Window.partitionBy("doc_id", "_th").orderBy("pos")
