@@ -14,6 +14,8 @@ from folioforge.llm.common import ascii_lower, cut, texts, without
 
 #: A set of repeated fingerprints of at most so many rows (8 bytes each) is broadcast; a larger one is joined by a shuffle.
 BROADCAST_FINGERPRINTS = 1_000_000
+#: Likewise of groups of equal texts (some 120 bytes each).
+BROADCAST_GROUPS = 200_000
 
 
 class CountingQuotientFilter:
@@ -130,10 +132,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n_repeated = repeated.count()
     candidates = base.join(F.broadcast(repeated) if n_repeated <= BROADCAST_FINGERPRINTS else repeated, "fp", "left_semi")
     groups = candidates.groupBy("norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
-    groups = groups.select(F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size")
+    groups = cut(groups.select(F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size"))
     rows = base.select("doc_id", F.sha2("norm", 256).alias("text_sha256"))
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return rows.join(groups, "text_sha256", "left").select(
+    return rows.join(F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups, "text_sha256", "left").select(
         "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256"
     )
 
