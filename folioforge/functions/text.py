@@ -159,3 +159,27 @@ def heading_level(c: Column, n_words: Column, height: Column, body: Column) -> C
     ratio = height / F.when(body > 0, body)
     shout = (n_words <= 8) & c.rlike("[a-zA-Z]") & (c == F.upper(c)) & (F.length(c) >= 3)
     return F.when((n_words > 14) | ratio.isNull(), F.lit(None).cast("int")).when(ratio >= 1.70, 1).when(ratio >= 1.40, 2).when(ratio >= 1.22, 3).when(shout, 2)
+
+
+def byte_size(n: Column) -> Column:
+    """A number of bytes to read: 820 B, 4.2 MB, 12 KB."""
+    power = F.when(n < 1 << 20, 1).when(n < 1 << 30, 2).otherwise(3)
+    value = n / F.pow(F.lit(1024.0), power)
+    shown = F.when(value < 10, F.format_string("%.1f", value)).otherwise(F.round(value).cast("long").cast("string"))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(F.concat_ws(" ", shown, F.get(F.array(F.lit("KB"), F.lit("MB"), F.lit("GB")), power - 1)))
+
+
+def duration(ms: Column) -> Column:
+    """Milliseconds to read: 820ms, 8.2s, 2m 5s."""
+    s = ms / 1000
+    return F.when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms"))).when(s < 60, F.format_string("%.1fs", s)).otherwise(F.format_string("%dm %ds", F.floor(s / 60), F.round(s % 60).cast("long")))
+
+
+def plural(n: Column, one: str, many: str | None = None) -> Column:
+    return F.concat_ws(" ", n.cast("string"), F.when(n == 1, one).otherwise(many or f"{one}s"))
+
+
+def badge(filename: Column) -> Column:
+    """The extension in capitals, or FILE."""
+    end = F.regexp_extract(filename, r"\.([^.]*)\z", 1)
+    return F.when(end == "", "FILE").otherwise(F.upper(end))

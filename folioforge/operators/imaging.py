@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LOW_CONTRAST, MARGIN = 90, 0.35
@@ -29,34 +29,85 @@ def otsu(pixels: DataFrame) -> DataFrame:
 
 
 def ink_paper(pixels: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """image, ink, paper: mean levels of dark and of light pixels; 0 and 255 where there is none."""
+    """image, ink, paper: mean levels of dark and of light pixels; 0 and 255 where either is missing."""
     x = pixels.join(thresholds, "image")
     dark = F.col("level") <= F.col("threshold")
-    return x.groupBy("image").agg(F.coalesce(F.avg(F.when(dark, F.col("level"))), F.lit(0.0)).alias("ink"), F.coalesce(F.avg(F.when(~dark, F.col("level"))), F.lit(255.0)).alias("paper"))
+    means = x.groupBy("image").agg(F.avg(F.when(dark, F.col("level"))).alias("i"), F.avg(F.when(~dark, F.col("level"))).alias("p"))
+    both = F.col("i").isNotNull() & F.col("p").isNotNull()
+    return means.select("image", F.when(both, F.col("i")).otherwise(0.0).alias("ink"), F.when(both, F.col("p")).otherwise(255.0).alias("paper"))
 
 
 def stretch(pixels: DataFrame, tones: DataFrame) -> DataFrame:
-    """Pixels of images whose ink and paper lie within LOW_CONTRAST of each other stretched linearly, with
-    a margin at both ends; others as they are. As every level maps to one level, this is a table of 256 rows."""
-    x = pixels.join(tones, "image")
+    """Pixels of faded images (ink and paper less than LOW_CONTRAST apart) stretched so that levels up to
+    a margin above the ink are black and those from a margin below the paper are white; others as they are.
+    The map is computed once for each level that an image has, not for each pixel."""
     room = (F.col("paper") - F.col("ink")) * MARGIN
-    lo, hi = F.col("ink") - room, F.col("paper") + room
-    to = F.greatest(F.lit(0.0), F.least(F.lit(255.0), (F.col("level") - lo) * 255.0 / (hi - lo)))
-    flat = F.col("paper") - F.col("ink") < LOW_CONTRAST
-    return x.withColumn("level", F.when(flat & (hi > lo), F.bround(to)).otherwise(F.col("level")).cast("int")).drop("ink", "paper")
+    low, high = F.col("ink") + room, F.col("paper") - room
+    to = F.when(F.col("level") <= low, 0.0).when(F.col("level") >= high, 255.0).otherwise(F.bround((F.col("level") - low) * 255.0 / F.greatest(high - low, F.lit(1.0))))
+    faded = F.col("paper") - F.col("ink") < LOW_CONTRAST
+    table = pixels.select("image", "level").distinct().join(tones, "image").select("image", "level", F.when(faded, to).otherwise(F.col("level")).cast("int").alias("to"))
+    return pixels.join(table, ["image", "level"]).withColumn("level", F.col("to")).drop("to")
 
 
-def skew(dark: DataFrame, limit: float = 12.0, step: float = 0.25, gain: float = 1.15) -> DataFrame:
+def noise(pixels: DataFrame) -> DataFrame:
+    """image, noise: mean change that a 3x3 median would make, over pixels (image, x, y, level) with all neighbours."""
+    offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
+    near = pixels.select("image", "level", F.explode(offsets).alias("o"), "x", "y").select("image", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"), "level", ((F.col("o.dx") == 0) & (F.col("o.dy") == 0)).alias("own"))
+    median = near.groupBy("image", "x", "y").agg(F.median("level").alias("m"), F.max(F.when(F.col("own"), F.col("level"))).alias("level"), F.count(F.lit(1)).alias("n")).where("n = 9")
+    return median.groupBy("image").agg(F.avg(F.abs(F.col("level") - F.col("m"))).alias("noise"))
+
+
+def dark_pixels(pixels: DataFrame) -> DataFrame:
+    """Pixels darker than the image's mean by half a standard deviation or more."""
+    limit = pixels.groupBy("image").agg((F.avg("level") - 0.5 * F.stddev_pop("level")).alias("limit"))
+    return pixels.join(limit, "image").where(F.col("level") < F.col("limit")).drop("limit")
+
+
+def skew(dark: DataFrame, sizes: DataFrame, limit: float = 12.0, step: float = 0.25, gain: float = 1.15, least: int = 50) -> DataFrame:
     """image, angle: the turn at which the rows of dark pixels (image, x, y) differ most in how many they
-    hold; 0.0 where that lies at the edge of the range or is less than ``gain`` times the level's. The first of equals."""
+    hold, by the variance over the rows of the image (sizes: image, width, height). Level where nothing
+    is better, or what is lies at the edge of the range or is less than ``gain`` times as good, or fewer
+    than ``least`` pixels are dark. Of equals the level one, then the lowest angle.
+
+    Each pixel is counted at every angle before the shuffle, so what is shuffled is rows of images."""
     angles = F.transform(F.sequence(F.lit(0), F.lit(int(2 * limit / step))), lambda i: i * step - limit)
-    turned = dark.select("image", F.explode(angles).alias("angle"), "x", "y")
+    turned = dark.join(sizes, "image").select("image", "width", "height", "x", "y", F.explode(angles).alias("angle"))
     rad = F.radians("angle")
-    row = F.floor(F.col("y") * F.cos(rad) - F.col("x") * F.sin(rad))
-    rows = turned.groupBy("image", "angle", row.alias("row")).agg(F.count(F.lit(1)).alias("n"))
-    # rows without dark pixels lie between the first and the last and count as zero
-    height = F.max("row") - F.min("row") + 1
-    v = rows.groupBy("image", "angle").agg((F.sum(F.col("n") * F.col("n")) / height - F.pow(F.sum("n") / height, 2)).alias("v"))
-    best = v.groupBy("image").agg(F.max_by("angle", F.struct("v", -F.col("angle"))).alias("angle"), F.max("v").alias("v"), F.max(F.when(F.col("angle") == 0, F.col("v"))).alias("v0"))
-    ok = (F.abs("angle") < limit - step) & (F.col("v") >= gain * F.col("v0"))
+    row = ((F.col("x") - F.col("width") / 2) * F.sin(rad) + (F.col("y") - F.col("height") / 2) * F.cos(rad) + F.col("height") / 2).cast("int")
+    rows = turned.groupBy("image", "height", "angle", F.greatest(F.lit(0), F.least(row, F.col("height") - 1)).alias("row")).agg(F.count(F.lit(1)).alias("n"))
+    v = rows.groupBy("image", "height", "angle").agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.col("n")).alias("q"))
+    v = v.withColumn("v", F.round(F.col("q") / F.col("height") - F.pow(F.col("t") / F.col("height"), 2), 6))
+    best = v.groupBy("image").agg(F.max_by("angle", F.struct("v", F.col("angle") == 0, -F.col("angle"))).alias("angle"), F.max("v").alias("v"), F.max(F.when(F.col("angle") == 0, F.col("v"))).alias("level_v"), F.max("t").alias("t"))
+    ok = (F.col("t") >= least) & (F.abs("angle") < limit - step) & ((F.col("level_v") <= 0) | (F.col("v") >= gain * F.col("level_v")))
     return best.select("image", F.when(ok, F.col("angle")).otherwise(0.0).alias("angle"))
+
+
+def upscale_factor(width: Column, wanted: int = 1400, most: int = 4000) -> Column:
+    """By how much a narrow image is enlarged; 1.0 where that would be 1.05 or less."""
+    f = F.least(wanted / width, most / width)
+    return F.when((width > 0) & (width < wanted) & (f > 1.05), f).otherwise(1.0)
+
+
+def render_scale(dpi: Column, width_pt: Column, height_pt: Column, longest: int) -> Column:
+    """Pixels a point of a PDF page at ``dpi``, less where its longer side would go over ``longest``."""
+    scale = dpi / 72
+    side = F.greatest(width_pt, height_pt) * scale
+    return F.when(side > longest, scale * longest / side).otherwise(scale)
+
+
+def orientation(report: Column, least: float = 1.5) -> Column:
+    """Degrees to turn a page by, of an orientation report with 'Rotate: n' and 'Orientation confidence: x';
+    0 without both, or with a confidence below ``least``."""
+    turn = F.regexp_extract(report, r"Rotate:\s*(\d+)", 1).try_cast("int")
+    sure = F.regexp_extract(report, r"Orientation confidence:\s*([\d.]+)", 1).try_cast("double")
+    return F.when(sure >= least, F.pmod(turn, F.lit(360))).otherwise(0)
+
+
+def better_reading(words: DataFrame, weak: float = 62.0) -> DataFrame:
+    """doc_id, page, processed: whether to keep a page as preprocessed, from the words of both readings
+    (doc_id, page, processed, confidence). It is kept where its mean confidence is ``weak`` or more, or the plain
+    page's confidences don't add up to more."""
+    of = lambda p: F.coalesce(F.sum(F.when(F.col("processed") == p, F.col("confidence"))), F.lit(0.0))
+    mean = F.avg(F.when(F.col("processed"), F.col("confidence")))
+    keep = F.coalesce(mean >= weak, F.lit(False)) | (of(False) <= of(True))
+    return words.groupBy("doc_id", "page").agg(keep.alias("processed"))

@@ -74,3 +74,14 @@ def as_response(files: DataFrame) -> DataFrame:
 def latest_status(events: DataFrame) -> DataFrame:
     """file_id, status of status events (file_id, ts, event_id, status): the last one counts."""
     return events.groupBy("file_id").agg(F.max_by("status", F.struct("ts", "event_id")).alias("status"))
+
+
+def noted(warnings: Column, message: str) -> Column:
+    """Warnings with the message, once."""
+    return F.array_union(warnings, F.array(F.lit(message)))
+
+
+def rollup(results: DataFrame) -> DataFrame:
+    """One row over results (status, seconds, confidence): how many passed, total and mean seconds, mean confidence of those known."""
+    sure = F.when(F.col("confidence") >= 0, F.col("confidence"))
+    return results.agg(F.count_if(F.col("status") == "completed").alias("passed"), F.count(F.lit(1)).alias("n"), F.sum("seconds").alias("total_seconds"), F.avg("seconds").alias("mean_seconds"), F.avg(sure).alias("mean_confidence"))

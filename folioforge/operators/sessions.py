@@ -55,3 +55,9 @@ def orphans(folders: DataFrame, live: DataFrame, now: Column, minutes: int = 30)
     """Folders (session_id, modified) of no live session that are older than twice a session's time."""
     age = micros(now) - micros(F.col("modified"))
     return folders.join(live.select("session_id"), "session_id", "left_anti").where(age > 2 * minutes * 60_000_000)
+
+
+def expired(events: DataFrame, now: Column, minutes: int = 30) -> DataFrame:
+    """user_id, last_seen, is_over: whether a client's session has ended by ``now``; each event extends it."""
+    last = events.groupBy("user_id").agg(F.max("ts").alias("last_seen"))
+    return last.withColumn("is_over", micros(now) - micros(F.col("last_seen")) >= minutes * 60_000_000)

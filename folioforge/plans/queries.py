@@ -468,3 +468,62 @@ def otsu_threshold(spark, d):
 def ink_and_paper(spark, d):
     px = imaging.part_pixels(t.table(spark, d, "part"))
     return imaging.ink_paper(px, px.select("image").distinct().withColumn("threshold", F.lit(128))).select("image", F.round("ink", 6).alias("ink"), F.round("paper", 6).alias("paper"))
+
+
+_GRID = "grid as (select p_brand as image, x, y, (p_size * 5 + (p_partkey * 7 + x * 13 + y * 29) % 11)::int as level from (select p_brand, any_value(p_size) as p_size, min(p_partkey) as p_partkey from (select p_brand, min(p_size) over (partition by p_brand) as p_size, p_partkey from part) group by p_brand), (select unnest(range(8)) as x), (select unnest(range(6)) as y))"
+
+
+@query(f"""with {_GRID}, n as (select a.image, a.x, a.y, any_value(a.level) as level, median(b.level) as m from grid a join grid b on a.image = b.image and abs(a.x - b.x) <= 1 and abs(a.y - b.y) <= 1 group by a.image, a.x, a.y having count(*) = 9) select image, round(avg(abs(level - m)), 6) as noise from n group by image""")
+def image_noise(spark, d):
+    p = t.table(spark, d, "part").groupBy(F.col("p_brand").alias("image")).agg(F.min("p_size").alias("s"), F.min("p_partkey").alias("k"))
+    at = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda x: F.transform(F.sequence(F.lit(0), F.lit(5)), lambda y: F.struct(x.alias("x"), y.alias("y"))))))
+    px = p.select("image", "s", "k", at.alias("p")).select("image", "p.x", "p.y", (F.col("s") * 5 + (F.col("k") * 7 + F.col("p.x") * 13 + F.col("p.y") * 29) % 11).cast("int").alias("level"))
+    return imaging.noise(px).select("image", F.round("noise", 6).alias("noise"))
+
+
+@query(f"""with {_PIX}, tone as (select image, min(level)::double as ink, min(level) + 80.0 as paper from pix group by image), u as (select distinct image, level from pix)
+select image, level as before, (case when level <= ink + 28 then 0 when level >= paper - 28 then 255 else round_even((level - ink - 28) * 255.0 / 24, 0) end)::int as after from u join tone using (image)""")
+def image_stretch(spark, d):
+    px = imaging.part_pixels(t.table(spark, d, "part")).withColumn("before", F.col("level"))
+    tones = px.groupBy("image").agg(F.min("level").cast("double").alias("ink"), (F.min("level") + 80.0).alias("paper"))
+    return imaging.stretch(px, tones).select("image", "before", F.col("level").alias("after")).distinct()
+
+
+@query("""select event_id, case when value < 50 then 0 else ((event_id % 6) * 90 % 360)::int end as degrees from events""")
+def ocr_orientation(spark, d):
+    e = t.table(spark, d, "events")
+    report = F.concat(F.lit("Rotate: "), ((F.col("event_id") % 6) * 90).cast("string"), F.lit("\nOrientation confidence: "), F.when(F.col("value") < 50, "1.49").otherwise("1.5"))
+    return e.select("event_id", imaging.orientation(report).alias("degrees"))
+
+
+@query(f"""with {t.WORDS}, b as (select doc_id, avg(confidence - 20) as mean, sum(confidence - 20) as a, sum(case when pos % 2 = 0 then confidence else 0 end) as b from words group by doc_id) select doc_id, mean >= 62 or b <= a as processed from b""")
+def ocr_better_reading(spark, d):
+    w = t.words(spark, d).select("doc_id", "page", "pos", "confidence")
+    both = w.select("doc_id", "page", F.lit(True).alias("processed"), (F.col("confidence") - 20).alias("confidence")).union(w.where("pos % 2 = 0").select("doc_id", "page", F.lit(False), "confidence"))
+    return imaging.better_reading(both).select("doc_id", "processed")
+
+
+@query(f"""with {t.FILES} select file_id, case when contains(filename, '.') and string_split(filename, '.')[-1] <> '' then upper(string_split(filename, '.')[-1]) else 'FILE' end as badge,
+case when size < 1024 then size || ' B' when size < 1048576 then case when size / 1024.0 < 10 then round((size / 1024.0)::decimal(18, 10), 1)::decimal(18, 1)::varchar else round(size / 1024.0)::bigint::varchar end || ' KB' end as shown, (file_id % 3) || case when file_id % 3 = 1 then ' file' else ' files' end as n_files from files""")
+def file_labels(spark, d):
+    f = t.files(spark, d)
+    return f.select("file_id", text.badge(F.col("filename")).alias("badge"), text.byte_size(F.col("size")).alias("shown"), text.plural(F.col("file_id") % 3, "file").alias("n_files"))
+
+
+@query("select event_id, case when v < 1000 then v || 'ms' when v < 60000 then round((v / 1000.0)::decimal(18, 6), 1)::decimal(18, 1)::varchar || 's' else (v // 60000) || 'm ' || round(v % 60000 / 1000.0::double)::bigint || 's' end as took from (select event_id, event_id * 37 as v from events)")
+def event_durations(spark, d):
+    return t.table(spark, d, "events").select("event_id", text.duration(F.col("event_id") * 37).alias("took"))
+
+
+@query("select count(*) filter (where event_type = 'click')::bigint as passed, count(*)::bigint as n, round(sum(value), 4) as total_seconds, round(avg(value), 6) as mean_seconds, round(avg(value - 50) filter (where value >= 50), 6) as mean_confidence from events")
+def job_rollup(spark, d):
+    e = t.table(spark, d, "events").select(F.when(F.col("event_type") == "click", "completed").otherwise("failed").alias("status"), F.col("value").alias("seconds"), (F.col("value") - 50).alias("confidence"))
+    x = jobs.rollup(e)
+    return x.select("passed", "n", F.round("total_seconds", 4).alias("total_seconds"), F.round("mean_seconds", 6).alias("mean_seconds"), F.round("mean_confidence", 6).alias("mean_confidence"))
+
+
+@query("with m as (select max(ts) as now from events) select user_id, max(ts) as last_seen, epoch_us(any_value(now)) - epoch_us(max(ts)) >= 1800000000 as is_over from events, m group by user_id")
+def session_expired(spark, d):
+    e = t.table(spark, d, "events")
+    now = e.agg(F.max("ts").cast("string")).first()[0]
+    return sessions.expired(e, F.lit(now).cast("timestamp"))

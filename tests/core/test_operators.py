@@ -1,6 +1,7 @@
 """Layout, jobs, sessions, archives, conversion and streams."""
 
 import io
+import math
 import os
 import random
 import zipfile
@@ -253,15 +254,20 @@ def test_registry_holds_together(spark):
 def test_tones_and_skew(spark):
     px = spark.createDataFrame([("a", v) for v in [10] * 50 + [20] * 10 + [200] * 90] + [("b", 7)], "image string, level int")
     assert {r["image"]: r["threshold"] for r in imaging.otsu(px).collect()} == {"a": 20, "b": 128}
-    tones = imaging.ink_paper(px, imaging.otsu(px))
-    got = {r["image"]: r for r in tones.collect()}
-    assert got["a"]["paper"] == 200 and got["b"]["paper"] == 255 and got["b"]["ink"] == 7
-    flat = spark.createDataFrame([("f", 100), ("f", 150)], "image string, level int")
+    got = {r["image"]: r for r in imaging.ink_paper(px, imaging.otsu(px)).collect()}
+    assert got["a"]["paper"] == 200 and (got["b"]["ink"], got["b"]["paper"]) == (0, 255)
+    flat = spark.createDataFrame([("f", v) for v in (100, 117, 118, 125, 133, 150)], "image string, level int")
     levels = sorted(r["level"] for r in imaging.stretch(flat, spark.createDataFrame([("f", 100.0, 150.0)], "image string, ink double, paper double")).collect())
-    assert levels == [53, 202] or levels[0] < 60 < 195 < levels[1]
-    import math
+    assert levels == [0, 0, 8, 128, 255, 255]
+    tilt = [("s", x, round(y - x * math.tan(math.radians(3)))) for y in range(40, 240, 20) for x in range(300)]
+    level = [("l", x, y) for y in range(0, 200, 20) for x in range(300)]
+    few = [("f", x, 5) for x in range(9)]
+    sizes = spark.createDataFrame([(i, 300, 260) for i in "slf"], "image string, width int, height int")
+    got = {r["image"]: r["angle"] for r in imaging.skew(spark.createDataFrame(tilt + level + few, "image string, x int, y int"), sizes).collect()}
+    assert abs(got["s"] - 3) <= 0.25 and got["l"] == 0.0 and got["f"] == 0.0
 
-    tilt = [("s", x, round(y + x * math.tan(math.radians(3)))) for y in range(0, 200, 20) for x in range(0, 300)]
-    level = [("l", x, y) for y in range(0, 200, 20) for x in range(0, 300)]
-    got = {r["image"]: r["angle"] for r in imaging.skew(spark.createDataFrame(tilt + level, "image string, x int, y int")).collect()}
-    assert abs(got["s"] - 3) <= 0.5 and got["l"] == 0.0
+
+def test_scales(spark):
+    one = spark.range(1)
+    assert one.select(imaging.upscale_factor(F.lit(700)), imaging.upscale_factor(F.lit(1390)), imaging.render_scale(F.lit(300), F.lit(612), F.lit(792), 10000), imaging.render_scale(F.lit(300), F.lit(7200), F.lit(10), 10000)).first()[:] == (2.0, 1.0, 300 / 72, 10000 / 7200)
+    assert one.select(jobs.noted(F.array(F.lit("a")), "b"), jobs.noted(F.array(F.lit("a")), "a")).first()[:] == (["a", "b"], ["a"])
