@@ -388,16 +388,20 @@ def job_caps(spark, d):
     return jobs.within_caps(t.files(spark, d), 4, 8000).select("file_id", "n_so_far", "bytes_so_far", "error")
 
 
-@query()
+def _unique_sql(stem: str) -> str:
+    return f"""with recursive {t.FILES}, f as (select job_id, ord, row_number() over (partition by job_id order by ord) as k, {stem} as stem from files),
+s as (select job_id, 0::bigint as k, []::varchar[] as taken from files group by job_id
+  union all select s.job_id, f.k, list_append(s.taken, case when not list_contains(s.taken, stem || '.md') then stem || '.md' else list_filter(list_transform(range(2, 20), lambda i: stem || '-' || i || '.md'), lambda v: not list_contains(s.taken, v))[1] end) from s join f on f.job_id = s.job_id and f.k = s.k + 1)
+select f.job_id, ord, taken[-1] as name from s join f on f.job_id = s.job_id and f.k = s.k"""
+
+
+@query(_unique_sql("'doc' || case when ord % 3 = 2 then '-2' else '' end"))
 def file_dedupe_names(spark, d):
     f = t.files(spark, d).withColumn("filename", F.concat(F.lit("doc"), F.when(F.col("ord") % 3 == 2, "-2").otherwise(""), F.lit(".md")))
     return jobs.unique_names(f).select("job_id", "ord", "name")
 
 
-@query(f"""with recursive {t.FILES}, f as (select job_id, ord, row_number() over (partition by job_id order by ord) as k, 'a' || case when ord % 2 = 1 then '-2' else '' end as stem from files),
-s as (select job_id, 0::bigint as k, []::varchar[] as taken from files group by job_id
-  union all select s.job_id, f.k, list_append(s.taken, case when not list_contains(s.taken, stem || '.md') then stem || '.md' else list_filter(list_transform(range(2, 20), lambda i: stem || '-' || i || '.md'), lambda v: not list_contains(s.taken, v))[1] end) from s join f on f.job_id = s.job_id and f.k = s.k + 1)
-select f.job_id, ord, taken[-1] as name from s join f on f.job_id = s.job_id and f.k = s.k""")
+@query(_unique_sql("'a' || case when ord % 2 = 1 then '-2' else '' end"))
 def job_unique_names(spark, d):
     f = t.files(spark, d).withColumn("filename", F.concat(F.lit("a"), F.when(F.col("ord") % 2 == 1, "-2").otherwise(""), F.lit(".md")))
     return jobs.unique_names(f).select("job_id", "ord", "name")
