@@ -38,12 +38,19 @@ def left_on_row(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(found, same, "left").drop("_found_id", "_found_th")
 
 
-def cut(df: DataFrame) -> DataFrame:
+#: Rows at least that a checkpoint file of a small table holds.
+ROWS_PER_FILE = 100_000
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder of ``spark.checkpoint.dir``, which
-    all executors share. Only where the session has none, as in tests, a temporary folder is used."""
+    all executors share. Only where the session has none, as in tests, a temporary folder is used.
+    ``rows``: about how many there are, where that is known; small tables then aren't strewn over many files."""
     sc = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not sc.getCheckpointDir():
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    if rows is not None:
+        df = df.coalesce(max(sc.defaultParallelism, -(-rows // ROWS_PER_FILE)))
     return df.checkpoint(eager=True)
 
 

@@ -109,27 +109,33 @@ def link_components(edges: DataFrame) -> DataFrame:
     """node, component (least node that can be reached) of every node of the edges a, b.
 
     Every node hooks onto its least neighbour, trees are flattened by pointer jumping, and what is left
-    of the edges between trees goes on; stars and chains take few rounds. Only sums and minima by key
+    of the edges between trees goes on; stars and chains take few rounds. Only minima by key and joins
     are shuffled, and each round is checkpointed. Nothing is collected."""
-    edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-    labels = None
-    while not edges.isEmpty():
+    edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    n = edges.count()
+    edges, labels = cut(edges, n), None
+
+    def jumped(tree: DataFrame) -> DataFrame:
+        root = tree.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        return tree.join(root, "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved"))
+
+    while n:
         both = edges.select(F.col("b").alias("node"), F.col("a").alias("up")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("up")))
-        tree = cut(both.groupBy("node").agg(F.min("up").alias("up")))
-        while True:
-            root = tree.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            tree = cut(tree.join(root, "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
-            if tree.where("moved").isEmpty():
-                break
-        tree = tree.select("node", "up")
+        tree = both.groupBy("node").agg(F.min("up").alias("up"))
+        moved = True
+        while moved:
+            tree = cut(jumped(jumped(tree).drop("moved")), 2 * n)
+            moved = not tree.where("moved").isEmpty()
+            tree = tree.drop("moved")
         of = lambda side: tree.select(F.col("node").alias(side), F.col("up").alias(f"{side}_up"))  # noqa: B023, E731
+        edges = edges.join(of("a"), "a").join(of("b"), "b").select(F.least("a_up", "b_up").alias("a"), F.greatest("a_up", "b_up").alias("b")).where("a <> b")
+        edges = cut(edges.distinct(), n)
         if labels is None:
             labels = tree.select("node", F.col("up").alias("component"))
         else:
             step = tree.select(F.col("node").alias("component"), "up")
-            labels = cut(labels.join(step, "component", "left").select("node", F.coalesce("up", "component").alias("component")))
-        edges = edges.join(of("a"), "a").join(of("b"), "b").select(F.least("a_up", "b_up").alias("a"), F.greatest("a_up", "b_up").alias("b")).where("a <> b")
-        edges = cut(edges.distinct())
+            labels = cut(labels.join(step, "component", "left").select("node", F.coalesce("up", "component").alias("component")), 2 * n)
+        n = edges.count()
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
@@ -197,7 +203,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, size: int) -> Da
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], names=["a", "b"])
 
-    ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
     few = ids.count() <= BROADCAST_IDS
     found = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, s binary")
     left, right = found.select(F.col("doc_id").alias("a"), F.col("s").alias("s_a")), found.select(F.col("doc_id").alias("b"), F.col("s").alias("s_b"))
@@ -286,9 +292,10 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, id_col: s
 
     star = shared.where("a <> node").select("a", F.col("node").alias("b")).distinct()
     passed = cut(_passed(star.join(of("b"), "b").join(of("a"), "a"), similarity))
-    links = cut(_confirmed(passed, known, percent, size))
     # rows that share a doc_id but not a text are one document
-    links = cut(links.union(same.where("doc_id <> rep").join(same.select("doc_id").groupBy("doc_id").count().where("count > 1"), "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
+    twice = same.select("doc_id").groupBy("doc_id").count().where("count > 1")
+    shared_ids = same.where("doc_id <> rep").join(twice, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    links = cut(_confirmed(passed, known, percent, size).union(shared_ids))
     labels = link_components(links)
     most = 16
     while True:
@@ -301,12 +308,11 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, id_col: s
         side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
         each = each.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "node", "component")
         pairs = cut(_between(each.join(traits, "node"), similarity, most).groupBy("a", "b").agg(F.max("more").alias("more")))
-        fresh = pairs.select("a", "b").join(passed, ["a", "b"], "left_anti")
+        fresh = cut(pairs.select("a", "b").join(passed, ["a", "b"], "left_anti"))
         if fresh.isEmpty():
             break
-        passed = cut(passed.union(fresh))
-        more = _confirmed(cut(fresh), known, percent, size)
-        links = cut(links.union(more))
+        passed = passed.union(fresh)
+        links = links.union(cut(_confirmed(fresh, known, percent, size)))
         labels = link_components(links)
         if pairs.where("more").isEmpty():
             break
