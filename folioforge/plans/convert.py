@@ -110,17 +110,21 @@ def expanded(files: DataFrame, settings: Settings) -> DataFrame:
     return rest.unionByName(failed).unionByName(seen)
 
 
-def recognized(files: DataFrame, recognizer: Recognizer) -> DataFrame:
-    """key, ocr struct<markdown, confidence, pages, warnings> of the files by the recognizer's words."""
+def recognized(files: DataFrame, recognizer: Recognizer, max_pages: int) -> DataFrame:
+    """key, ocr struct<markdown, confidence, pages, warnings> of the files by the recognizer's words, on
+    the pages asked for, and of these the first ``max_pages``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for key, data, ext in zip(b["key"], b["content"], b["detected"], strict=True):
+            for key, data, ext, wanted in zip(b["key"], b["content"], b["detected"], b["wanted"], strict=True):
                 rows = recognizer(bytes(data), ext)
+                asked = {r[0] for r in rows} if wanted is None else {r[0] for r in rows} & set(wanted)
+                first = set(sorted(asked)[:max_pages])
+                rows = [r for r in rows if r[0] in first]
                 if rows:
                     yield pd.DataFrame([(key, *r) for r in rows], columns=["doc_id", *(c.split()[0] for c in WORDS.split(", "))])
 
-    w = files.select("key", "content", "detected").mapInPandas(run, f"doc_id long, {WORDS}")
+    w = files.select("key", "content", "detected", F.when(F.col("detected") == ".pdf", F.col("range.pages")).alias("wanted")).mapInPandas(run, f"doc_id long, {WORDS}")
     widths = w.groupBy("doc_id", "page").agg(F.max(F.col("left") + F.col("width")).alias("page_width"))
     d = layout.documents(layout.reconstruct(w, widths))
     return d.select(F.col("doc_id").alias("key"), F.struct("markdown", "confidence", "pages", "warnings").alias("ocr"))
@@ -146,7 +150,7 @@ def convert(files: DataFrame, mode: str = "auto", pages: str | None = None, sett
     n_pages = F.coalesce("read.pages", F.lit(1))
     x = x.withColumn("scanned", pdf & F.col("error").isNull() & (F.col("mode") != "off") & ((F.col("mode") == "force") | ~text.meaningful_text(F.col("read.markdown"), n_pages, settings.min_chars_per_page)))
     if recognizer is not None:
-        x = x.join(recognized(x.where((image & F.col("error").isNull()) | F.col("scanned")), recognizer), "key", "left")
+        x = x.join(recognized(x.where((image & F.col("error").isNull()) | F.col("scanned")), recognizer, settings.max_pages), "key", "left")
     else:
         x = x.withColumn("ocr", F.lit(None).cast("struct<markdown:string,confidence:double,pages:bigint,warnings:array<string>>"))
     layer = F.coalesce("read.markdown", F.lit(""))

@@ -7,6 +7,7 @@ import json
 import zipfile
 from collections.abc import Callable
 
+from folioforge.registry import ALIASES, FORMATS
 from folioforge.sources import office, trees
 
 Reader = Callable[[bytes, "str | None"], "tuple[str, str | None]"]
@@ -34,6 +35,15 @@ def register(extension: str, reader: Reader) -> None:
     READERS[extension.lower()] = reader
 
 
+def reader_for(extension: str, mime: str = "") -> Reader | None:
+    """The reader of an extension; the MIME type counts only where there is no extension at all."""
+    ext = extension.lower()
+    if not ext:
+        kind = mime.split(";")[0].strip().lower()
+        ext = next((f[0] for f in FORMATS if kind and kind == f[4][0]), next((f[0] for f in FORMATS if kind in f[4]), ""))
+    return READERS.get(ALIASES.get(ext, ext))
+
+
 def zip_kind(data: bytes) -> str | None:
     """What a ZIP container is, by what it holds; None where it can't be read."""
     try:

@@ -224,6 +224,13 @@ def test_options_and_recognition(spark, converted):
     got = {r["filename"]: r for r in convert(three, recognizer=words).collect()}
     assert got["i.png"]["markdown"].startswith("# Title") and got["i.png"]["metadata"]["ocr_confidence"] == 80.0 and got["i.png"]["metadata"]["ocr_used"]
     assert not got["a.pdf"]["metadata"]["ocr_used"] and any("less" in w for w in got["a.pdf"]["warnings"])
+
+    def pages(content, extension):
+        return [(p, 1, 1, 0, 0, f"page{p}", 100, 0, 50, 26, 80.0) for p in (1, 2, 3, 4)]
+
+    pdfs = three.where("filename = 'a.pdf'")
+    assert convert(pdfs, mode="force", recognizer=pages, settings=Settings(max_pages=2)).first()["markdown"] == "page1\n\npage2\n"
+    assert convert(pdfs, mode="force", pages="2-4", recognizer=pages, settings=Settings(max_pages=2)).first()["markdown"] == "page2\n\npage3\n"
     assert convert(three, mode="off", recognizer=words).where("filename = 'i.png'").first()["error"]["code"] == "ocr_unavailable"
     assert convert(three, custom={".pdf": lambda data, charset: ("mine " * 30, "t")}).where("filename = 'a.pdf'").first()["markdown"].startswith("mine")
 

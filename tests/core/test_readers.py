@@ -175,3 +175,8 @@ def test_text_faults_and_charsets():
     assert readers.text_fault(".xml", b"x<a/>", "utf-8") and readers.text_fault(".xml", b"<a/>", "utf-8") is None and readers.text_fault(".html", b"plain", "utf-8")
     assert readers.text_fault(".csv", b" \n", "utf-8") == "empty" and readers.text_fault(".json", b"[" * (600 * 1024), "utf-8") is None
     assert [readers.charset_of(x) for x in (b"\xef\xbb\xbfa", "é".encode(), b"\xe9", b"\x81")] == ["utf-8-sig", "utf-8", "cp1252", "latin-1"]
+
+
+def test_extension_goes_before_mime():
+    assert readers.reader_for(".JSON", "text/html") is trees.read_json and readers.reader_for("", "application/json; charset=x") is trees.read_json
+    assert readers.reader_for(".htm") is office.read_html and readers.reader_for(".txt", "application/json") is None and readers.reader_for("", "") is None
