@@ -1,11 +1,15 @@
-"""Substring dedup by hashing sentences and lines."""
+"""Substring dedup by hashing sentences and lines, and then windows of words."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import ascii_lower, cut, hash_pair, left_on_row, texts
+from folioforge.llm.common import BROADCAST_ROWS, LOWER_BYTES, ascii_lower, cut, hash_pair, left_on_row, texts
 
 #: A unit: up to the end of a sentence or line, with all ASCII marks and blanks after it. Units cover the text.
 UNIT = r"[^.!?\n]*+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*+"
@@ -13,15 +17,155 @@ UNIT = r"[^.!?\n]*+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*+"
 #: What separates words: ASCII other than letters and digits.
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+#: The bytes of words in lower-cased text, a number for each byte, and odd multipliers of the rolling hashes.
+_IN_WORD = np.array([48 <= b <= 57 or 97 <= b <= 122 or b >= 128 for b in range(256)])
+_BYTE = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64)
+_M = tuple(np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+#: Bits of the bitmap of fingerprints that occur more than once: 8 MB, however large the corpus.
+BITMAP_BITS = 26
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _M[1]
+    x = (x ^ (x >> np.uint64(29))) * _M[2]
+    return x ^ (x >> np.uint64(32))
+
+
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(by: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of an odd number and of its inverse modulo 2^64, kept for the next batch."""
+    if len(_POWERS.get(int(by), ((), ()))[0]) < n:
+        power = lambda m: np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, m, np.uint64))])
+        _POWERS[int(by)] = power(by), power(np.uint64(pow(int(by), -1, 1 << 64)))
+    return _POWERS[int(by)]
+
+
+def _runs(x: np.ndarray, starts: np.ndarray, ends: np.ndarray, by: np.uint64) -> np.ndarray:
+    """Hashes of the runs of ``x`` from ``starts`` to ``ends`` (exclusive), by sums of prefixes modulo 2^64."""
+    up, down = _powers(by, len(x) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * up[: len(x)])])
+    return _mix((sums[ends] - sums[starts]) * down[starts])
+
+
+class Windows:
+    """The windows of ``passage`` words of some texts that hold a word outside the spans given (start, end in
+    code points). row, at (its first word), start, end (of the text it covers, up to the next word) of each;
+    fp: its fingerprint, which is the least hash of the runs of half as many words in it. Equal windows have
+    equal fingerprints. ``first``: windows that are enough to tell which fingerprints lie in two places."""
+
+    def __init__(self, batch: list[str], spans: list[list[tuple[int, int]]], passage: int):
+        # a byte that is in no word stands between texts
+        raw = [t.encode("utf-8", "surrogatepass").translate(LOWER_BYTES) for t in batch]
+        b = np.frombuffer(b"\n" + b"\n".join(raw) + b"\n", np.uint8)
+        begin = np.concatenate([[0], np.cumsum([len(t) + 1 for t in raw], dtype=np.int64)]) + 1
+        code_point = np.concatenate([[0], np.cumsum((b & 0xC0) != 0x80)])
+        edge = np.flatnonzero(np.diff(_IN_WORD[b].view(np.int8))) + 1
+        first, last = edge[::2], edge[1::2]
+        self.passage, self.words = passage, _runs(_BYTE[b], first, last, _M[0])
+        bounds = np.searchsorted(first, begin)
+        row = np.repeat(np.arange(len(batch)), np.diff(bounds))
+        start, base = code_point[first], code_point[begin]
+        # a window reaches to the next word of its text, or to the end of the text
+        after = np.append(start[1:], 0)[: len(row)]
+        full = np.flatnonzero(np.diff(bounds))
+        after[bounds[full + 1] - 1] = base[full + 1] - 1
+        gone = np.zeros(len(row) + 1, np.int64)
+        for i, s in enumerate(spans):
+            for lo, hi in s:
+                gone[np.searchsorted(start, base[i] + lo)] += 1
+                gone[np.searchsorted(start, base[i] + hi)] -= 1
+        stays = np.concatenate([[0], np.cumsum(np.cumsum(gone)[:-1] == 0)])
+        n, half = max(0, len(row) - passage + 1), (passage + 1) // 2
+        self.place = at = np.flatnonzero((row[:n] == row[passage - 1 :][:n]) & (stays[passage:][:n] > stays[:n]))
+        k = np.arange(max(0, len(row) - half + 1))
+        least, wide, width = _runs(self.words, k, k + half, _M[1]), 1, passage - half + 1
+        while wide < width:
+            by = min(wide, width - wide)
+            least, wide = np.minimum(least[:-by], least[by:]), wide + by
+        self.fp = least[at].view(np.int64)
+        new = np.append(True, (np.diff(self.fp) != 0) | (np.diff(at) != 1) | (np.diff(row[at]) != 0))[: len(at)]
+        # one run of words is in ``width`` windows at most, so a fingerprint that holds on for longer is repeated
+        index = np.arange(len(at))
+        self.first = (index - np.maximum.accumulate(np.where(new, index, 0))) % width == 0
+        self.row, self.start, self.end = row[at], start[at] - base[row[at]], after[at + passage - 1] - base[row[at]]
+        self.at = at - bounds[self.row]
+
+    def digests(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = self.place[some]
+        h1, h2 = (_runs(self.words, at, at + self.passage, m).view(np.int64) for m in (_M[2], _M[0]))
+        return h1, h2
+
 
-def repeated_passages(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _windows_of(b: pa.RecordBatch, passage: int, chars: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, Windows]]:
+    """The windows of a batch of doc_id, _th, text, spans, about half a million code points at a time."""
+    size = np.cumsum([len(t) for t in b.column(2).to_pylist()], dtype=np.int64)
+    cuts = np.flatnonzero(np.diff(size // chars)) + 1
+    for lo, hi in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
+        part = b.slice(lo, hi - lo)
+        spans = [[(s["start"], s["end"]) for s in r or ()] for r in part.column(3).to_pylist()]
+        yield part, Windows(part.column(2).to_pylist(), spans, passage)
+
+
+def _repeated_windows(rows: DataFrame, passage: int) -> DataFrame | None:
+    """doc_id, _th, at, start, end, h1, h2 of the windows of doc_id, _th, text, spans that may occur more than
+    once: of all that do, and of few others. None where no fingerprint occurs twice. Only
+    fingerprints are shuffled; which of them are repeated is told by a bitmap of a set size."""
+    spark = rows.sparkSession
+
+    def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, w in _windows_of(b, passage):
+                yield pa.RecordBatch.from_arrays([pa.array(w.fp[w.first])], names=["fp"])
+
+    twice = rows.mapInArrow(fingerprints, "fp long").groupBy("fp").count().where("count > 1")
+    bit = F.shiftrightunsigned("fp", 64 - BITMAP_BITS)
+    packed = twice.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(fp, {64 - BITMAP_BITS}) & 63 as int))")).alias("bits")).toArrow()
+    if not packed.num_rows:
+        return None
+    bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
+    bitmap[packed["word"].to_numpy()] = packed["bits"].to_numpy().view(np.uint64)
+    held = spark.sparkContext.broadcast(bitmap)
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, w in _windows_of(b, passage):
+                bit = w.fp.view(np.uint64) >> np.uint64(64 - BITMAP_BITS)
+                on = np.flatnonzero((held.value[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1))
+                ids = [part.column(i).take(pa.array(w.row[on])) for i in (0, 1)]
+                rest = [pa.array(x[on].astype(np.int32)) for x in (w.at, w.start, w.end)]
+                yield pa.RecordBatch.from_arrays([*ids, *rest, *map(pa.array, w.digests(on))], names=["doc_id", "_th", "at", "start", "end", "h1", "h2"])
+
+    return rows.mapInArrow(windows, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, _th long, at int, start int, end int, h1 long, h2 long")
+
+
+def _repeats(windows: DataFrame, passage: int) -> DataFrame:
+    """doc_id, _th, wins (array of start, end, keep_doc_id): the text under windows that the document of the
+    least doc_id has too, or that an earlier place of this one has without overlap."""
+    windows = cut(windows)
+    often = cut(windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("keep_doc_id")).where("n > 1").select("h1", "h2", "keep_doc_id"))
+    found = windows.join(often, ["h1", "h2"]).repartition("doc_id", "_th")
+    own = F.col("doc_id").eqNullSafe(F.col("keep_doc_id"))
+    since = F.col("at") - F.min("at").over(Window.partitionBy("doc_id", "_th", "h1", "h2"))
+    found = found.withColumn("since", since).where(~own | (F.col("since") >= passage))
+    line = Window.partitionBy("doc_id", "_th").orderBy("at")
+    found = found.withColumn("new", (F.col("at") - F.coalesce(F.lag("at").over(line), F.lit(-passage - 1)) > passage).cast("int"))
+    found = found.withColumn("island", F.sum("new").over(line))
+    found = found.groupBy("doc_id", "_th", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("keep_doc_id", "at").alias("keep_doc_id"))
+    return found.groupBy("doc_id", "_th").agg(F.array_sort(F.collect_list(F.struct("start", "end", "keep_doc_id"))).alias("wins"))
+
+
+def repeated_passages(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", passage: int = 50) -> DataFrame:
     """Remove passages that an earlier document, or an earlier place of the same document, has already.
     A text is cut into units (sentences, and lines in them); units are equal when they are after
     lower-casing A-Z when only their words count, without marks between them. Of equal units the one of the least doc_id stays, and in it
     the first. Other occurrences go where they stand in an unbroken run of such of at least ``min_words``
-    words; single common sentences aren't touched.
+    words; single common sentences aren't touched. Then every window of ``passage`` words, wherever in a sentence
+    it starts and ends, goes in the same way: where the first occurrence is in another document, or in
+    this one without overlap. Windows that lie wholly in what the units took are not looked at.
 
-    Returns one row for each row of ``docs``: doc_id, text (what stays), n_units, n_removed (units),
+    Returns one row for each row of ``docs``: doc_id, text (what stays), n_units, n_removed (units, in whole or in part),
     removed (array of start, end in code points of the original text, end exclusive, words,
     keep_doc_id (of the first unit)). A null or empty text has no units; the blanks and marks before the first word never go. Rows that share a doc_id count
     as one document, so neither loses what the other has; null doc_ids come after all others. An empty
@@ -29,7 +173,9 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, id_col: str = "doc_i
 
     128-bit digests and positions are shuffled, texts once. Counts and least ids are combined before
     the shuffle. The repeated digests are checkpointed, so that their join is one between plain shuffles,
-    which AQE can split where one unit is very common.
+    which AQE can split where one unit is very common. Of windows only those are shuffled whose fingerprint
+    is repeated; they and what is found are checkpointed. What is removed meets the texts by a broadcast
+    where it is for few rows, and else by a shuffle of the texts, which are then checkpointed once.
     """
     base = texts(docs, id_col, text_col)
     units = base.select("doc_id", "_th", F.posexplode(F.regexp_extract_all("text", F.lit(UNIT), F.lit(0))).alias("pos", "unit")).where("unit <> ''")
@@ -48,7 +194,10 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, id_col: str = "doc_i
     found = found.withColumn("island", F.col("pos") - F.row_number().over(line))
     runs = found.groupBy("doc_id", "_th", "island").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.sum("words").alias("words"), F.min_by("keep_doc_id", "pos").alias("keep_doc_id")).where(F.col("words") >= min_words)
     runs = runs.groupBy("doc_id", "_th").agg(F.array_sort(F.collect_list(F.struct("first", "last", "words", "keep_doc_id"))).alias("runs"))
-    out = left_on_row(base, runs).withColumn("parts", F.regexp_extract_all("text", F.lit(UNIT), F.lit(0)))
+    runs = cut(runs)
+    few = runs.count() <= BROADCAST_ROWS
+    out = left_on_row(base, F.broadcast(runs)) if few else cut(left_on_row(base, runs))
+    parts = F.regexp_extract_all("text", F.lit(UNIT), F.lit(0))
     # one pass over the lengths of units gives the offsets of all runs
     chars = lambda start, n: F.aggregate(F.slice("parts", start + 1, n), F.lit(0), lambda a, x: a + F.length(x))
     kind = "array<struct<start:int,end:int,words:bigint,keep_doc_id:" + base.schema["doc_id"].dataType.simpleString() + ">>"
@@ -61,14 +210,40 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, id_col: str = "doc_i
 
     start = F.struct(F.lit(0).alias("units"), F.lit(0).alias("chars"), F.array().cast(kind).alias("spans"))
     spans = F.aggregate("runs", start, step, lambda s: s["spans"])
-    starts = F.concat(F.array(F.lit(0)), F.transform("runs", lambda r: r["last"] + 1))
-    ends = F.concat(F.transform("runs", lambda r: r["first"]), F.array(F.size("parts")))
-    kept = F.array_join(F.flatten(F.zip_with(starts, ends, lambda s, e: F.slice("parts", s + 1, e - s))), "")
-    n_removed = F.aggregate("runs", F.lit(0), lambda a, r: a + r["last"] - r["first"] + 1)
+    spans = F.when(F.col("runs").isNull(), F.array().cast(kind)).otherwise(spans)
+    slim = out.withColumn("parts", F.when(F.col("runs").isNotNull(), parts))
+    slim = slim.select("doc_id", "_th", "text", F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
+    windows = _repeated_windows(slim, passage)
+    if windows is None:
+        out = out.withColumn("wins", F.lit(None).cast("array<struct<start:int,end:int,keep_doc_id:" + base.schema["doc_id"].dataType.simpleString() + ">>"))
+    else:
+        wins = cut(_repeats(windows, passage))
+        out = left_on_row(out, F.broadcast(wins) if wins.count() <= BROADCAST_ROWS else wins)
+    out = out.withColumn("parts", parts).withColumn("spans", spans)
+
+    def join(s: Column, x: Column) -> Column:
+        """Spans that meet or overlap become one, of the document of the first."""
+        end = F.element_at(s, -1)["end"]
+        last = F.struct(F.element_at(s, -1)["start"].alias("start"), F.greatest(end, x["end"]).alias("end"), F.lit(0).cast("long").alias("words"), F.element_at(s, -1)["keep_doc_id"].alias("keep_doc_id"))
+        meets = (F.size(s) > 0) & (F.try_element_at(s, F.lit(-1))["end"] > x["start"])
+        return F.when(meets, F.concat(F.slice(s, 1, F.size(s) - 1), F.array(last)).cast(kind)).otherwise(F.concat(s, F.array(x)).cast(kind))
+
+    both = F.array_sort(F.concat("spans", F.transform("wins", lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.lit(0).cast("long").alias("words"), w["keep_doc_id"].alias("keep_doc_id"))).cast(kind)))
+    piece = lambda start, end: F.substring(F.col("text"), start + 1, end - start)
+    count = lambda t: F.size(F.filter(F.split(F.regexp_replace(ascii_lower(t), NO_WORD, " "), " "), lambda w: w != "")).cast("long")
+    both = F.transform(F.aggregate(both, F.array().cast(kind), join), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), count(piece(s["start"], s["end"])).alias("words"), s["keep_doc_id"].alias("keep_doc_id")))
+    some = F.col("wins").isNotNull()
+    out = out.withColumn("removed", F.when(some, both.cast(kind)).otherwise(F.col("spans")))
+    starts = F.concat(F.array(F.lit(0)), F.transform("removed", lambda s: s["end"]))
+    ends = F.concat(F.transform("removed", lambda s: s["start"]), F.array(F.length("text")))
+    kept = F.array_join(F.zip_with(starts, ends, piece), "")
+    in_span = lambda a, z: F.exists("removed", lambda s: (s["start"] < z) & (s["end"] > a)).cast("int")
+    touched = F.aggregate("parts", F.struct(F.lit(0).alias("chars"), F.lit(0).alias("n")), lambda s, x: F.struct((s["chars"] + F.length(x)).alias("chars"), (s["n"] + in_span(s["chars"], s["chars"] + F.length(x))).alias("n")), lambda s: s["n"])
+    by_units = F.aggregate("runs", F.lit(0), lambda a, r: a + r["last"] - r["first"] + 1)
     return out.select(
         "doc_id",
-        F.when(F.col("runs").isNull(), F.col("text")).otherwise(kept).alias("text"),
+        F.when(F.size("removed") == 0, F.col("text")).otherwise(kept).alias("text"),
         F.size(F.filter("parts", lambda x: x != "")).cast("long").alias("n_units"),
-        F.coalesce(n_removed, F.lit(0)).cast("long").alias("n_removed"),
-        F.when(F.col("runs").isNull(), F.array().cast(kind)).otherwise(spans).alias("removed"),
+        F.when(some, touched).otherwise(F.coalesce(by_units, F.lit(0))).cast("long").alias("n_removed"),
+        "removed",
     )

@@ -1,6 +1,7 @@
 """Line, near, substring and exact dedup against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -214,3 +215,32 @@ def test_sketches_lose_no_similar_pair():
             assert ok or not similar
             dropped += not ok
     assert dropped >= 15
+
+
+def brute_passages(data, kept, n):
+    """Of the texts in order: windows of n words in what is kept that an earlier text has."""
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    seen, left = set(), 0
+    for d, t in data:
+        left += sum(tuple(w[i : i + n]) in seen for w in [word.findall(lower(kept[d]))] for i in range(len(w) - n + 1))
+        w = word.findall(lower(t))
+        seen |= {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    return left
+
+
+def test_passages_within_sentences(spark):
+    """Passages of exactly 50 words and more that start and end within sentences, with few or no whole units."""
+    rng = random.Random(4)
+    words = lambda k: [rng.choice("aeiou") + str(rng.randrange(10**6)) for _ in range(k)]
+    shared, short = " ".join(words(20)) + ". Ünï " + " ".join(words(9)) + ".\n" + " ".join(words(20)), " ".join(words(49))
+    data = [(k, "😀 Own " + " ".join(words(30 + k)) + " " + x + " " + " ".join(words(25)) + ".") for k, x in enumerate([shared, re.sub("[a-z]", lambda m: m[0].upper(), shared), short, short, shared.replace(" ", ", ")])]
+    data.append((9, " ".join([short, "one", short, "one two."])))
+    got = {r["doc_id"]: r for r in rows(repeated_passages(spark.createDataFrame(data, "doc_id long, text string"), min_words=30))}
+    assert [got[k]["text"] == t for k, t in data] == [True, False, True, True, False, False]
+    assert brute_passages(data, {d: t for d, t in data}, 50) > 0 and brute_passages(data, {d: r["text"] for d, r in got.items()}, 50) == 0
+    for k in (1, 4):
+        (s,) = got[k]["removed"]
+        text = dict(data)[k]
+        assert re.split(r"[ .,\n]+", lower(text[s["start"] : s["end"]]).strip()) == re.split(r"[ .,\n]+", lower(shared))
+        assert (s["words"], s["keep_doc_id"], got[k]["n_removed"]) == (50, 0, 3) and got[k]["text"] == text[: s["start"]] + text[s["end"] :]
+    assert got[9]["removed"][0]["words"] == 50
