@@ -23,6 +23,8 @@ KINDS = {
     "name": r"(?<![\p{L}])(?:" + "|".join((*MALE, *FEMALE)) + r")\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
 }
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
+#: A name or the local part of an e-mail address grows by one syllable or letter with every so many redraws.
+REDRAWS = 4
 #: Given names by gender, and syllables of family names, by script.
 GIVEN = {
     ("latin", "m"): ("Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karim", "Leon", "Marco", "Nils", "Oscar", "Paul"),
@@ -97,11 +99,14 @@ def _luhn(body: Column) -> Column:
 def surrogate_of(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     """The replacement of an entity in its canonical form, drawn by the key. Of an e-mail the domain
     depends on the domain alone and keeps its last label; a card keeps its first digit and a right check
-    digit; an octet is 1 to 254; a name keeps gender, script and number of words."""
+    digit; an octet is 1 to 254; a name keeps gender, script and number of words. Names and local parts
+    grow with the attempt, so that there are always enough; the other kinds keep their length, which leaves
+    8e8 surrogates or more to each."""
     stream = _stream(key, kind, canon, attempt)
     local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
     host, last = F.regexp_replace(domain, r"\.[^.]+$", ""), F.substring_index(domain, ".", -1)
-    email = F.concat(_like(local, stream), F.lit("@"), _like(host, _stream(key, F.lit("domain"), domain, F.lit(0))), F.lit("."), last)
+    grown = F.floor(attempt / REDRAWS).cast("int")
+    email = F.concat(_like(F.concat(local, F.repeat(F.lit("x"), grown)), stream), F.lit("@"), _like(host, _stream(key, F.lit("domain"), domain, F.lit(0))), F.lit("."), last)
     body = F.concat(F.substring(canon, 1, 1), _like(F.expr("substring(canon, 2, length(canon) - 2)"), stream))
     octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_nibble(stream, i) % 254 + 1).cast("string")), ".")
     words = F.split(F.substring_index(canon, ":", -1), " ")
@@ -112,7 +117,7 @@ def surrogate_of(key: str, kind: Column, canon: Column, attempt: Column) -> Colu
         given = F.when(mine, F.element_at(F.array(*map(F.lit, names)), _nibble(stream, F.lit(0)) % len(names) + 1)).otherwise(given)
     for s, parts in SYLLABLES.items():
         table = F.array(*map(F.lit, parts))
-        made = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.element_at(table, _nibble(stream, i) % len(parts) + 1)), "")  # noqa: B023
+        made = F.array_join(F.transform(F.sequence(F.lit(1), grown + 4), lambda i: F.element_at(table, _nibble(stream, i) % len(parts) + 1)), "")  # noqa: B023
         family = F.when(script == s, F.initcap(made)).otherwise(family)
     name = F.when(F.size(words) > 1, F.concat_ws(" ", given, family)).otherwise(family)
     return F.when(kind == "email", email).when(kind == "card", F.concat(body, _luhn(body))).when(kind == "ip", octets).when(kind == "name", name).otherwise(_like(canon, stream))

@@ -100,6 +100,24 @@ def test_pii_surrogates_stay_distinct(spark):
     assert not {(r["kind"], r["surrogate"]) for r in got} & set(canon)
 
 
+def test_pii_surrogates_never_run_out(spark, monkeypatch):
+    """More names than there are of four syllables, and more one-digit local parts than digits drawn for them."""
+    import folioforge.llm.pii as module
+
+    rounds, cut = [], module.cut
+
+    def counted(df):
+        rounds.append(1)
+        assert len(rounds) < 60
+        return cut(df)
+
+    monkeypatch.setattr(module, "cut", counted)
+    monkeypatch.setattr(module, "SYLLABLES", {"latin": ("ba", "de"), "cyrillic": ("ба", "де")})
+    canon = [("name", f"{g}:name{i}") for g in "mf" for i in range(30)] + [("email", f"{i}@mail.org") for i in range(10)] + [("email", f"+@{c}.org") for c in "abcdefghijklmnopqrstuvwxyz0123456789"]
+    got = rows(assign_surrogates(spark.createDataFrame(canon, "kind string, canon string"), "k"))
+    assert {(r["kind"], r["canon"]) for r in got} == set(canon) and len({(r["kind"], r["surrogate"]) for r in got}) == len(canon)
+
+
 def test_pii_odd_rows(spark):
     assert len(rows(replace_pii(odd_documents(spark), "k"))) == 9
     assert rows(replace_pii(empty_documents(spark), "k")) == []
