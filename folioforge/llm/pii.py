@@ -151,11 +151,13 @@ def assign_surrogates(entities: DataFrame, key: str) -> DataFrame:
     are those that meet the surrogate of another entity (of which the first keeps it) or any entity of
     the corpus, until none does: so different entities stay different, and no surrogate reads as someone else's."""
     known = cut(entities.distinct().withColumn("attempt", F.lit(0)))
-    real = known.select("kind", F.col("canon").alias("surrogate"))
+    # names are compared in lower case and without the gender
+    real = known.select("kind", F.when(F.col("kind") == "name", F.substring_index("canon", ":", -1)).otherwise(F.col("canon")).alias("form")).distinct()
     while True:
         drawn = known.withColumn("surrogate", surrogate_of(key, F.col("kind"), F.col("canon"), F.col("attempt")))
         rank = F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("attempt", "canon"))
-        drawn = drawn.withColumn("met", rank > 1).join(real.withColumn("taken", F.lit(True)), ["kind", "surrogate"], "left")
+        drawn = drawn.withColumn("met", rank > 1).withColumn("form", F.when(F.col("kind") == "name", F.lower("surrogate")).otherwise(F.col("surrogate")))
+        drawn = drawn.join(real.withColumn("taken", F.lit(True)), ["kind", "form"], "left")
         drawn = cut(drawn.select("kind", "canon", "attempt", "surrogate", (F.col("met") | F.coalesce("taken", F.lit(False))).alias("again")))
         if drawn.where("again").isEmpty():
             return drawn.select("kind", "canon", "surrogate")

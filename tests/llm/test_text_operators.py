@@ -118,6 +118,16 @@ def test_pii_surrogates_never_run_out(spark, monkeypatch):
     assert {(r["kind"], r["canon"]) for r in got} == set(canon) and len({(r["kind"], r["surrogate"]) for r in got}) == len(canon)
 
 
+def test_pii_surrogates_of_names_are_no_real_names(spark):
+    given = ("Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karim", "Leon", "Marco", "Nils", "Oscar", "Paul")
+    canon = [("name", "m:some one"), ("name", "f:other")]
+    first = {r["canon"]: r["surrogate"] for r in rows(assign_surrogates(spark.createDataFrame(canon, "kind string, canon string"), "k"))}
+    assert first["m:some one"].split(" ")[0] in given
+    canon += [("name", "m:" + lower(first["m:some one"])), ("name", "m:" + lower(first["f:other"]))]
+    got = rows(assign_surrogates(spark.createDataFrame(canon, "kind string, canon string"), "k"))
+    assert len(got) == 4 and not {lower(r["surrogate"]) for r in got} & {c.split(":")[1] for _, c in canon}
+
+
 def test_pii_odd_rows(spark):
     assert len(rows(replace_pii(odd_documents(spark), "k"))) == 9
     assert rows(replace_pii(empty_documents(spark), "k")) == []
