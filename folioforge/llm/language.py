@@ -39,10 +39,10 @@ class MixtureModel:
     langs: tuple[str, ...]
     prob: np.ndarray
 
-    def infer(self, docs: list[np.ndarray], penalty: float = 6.0, largest_set: int = 3, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    def infer(self, docs: list[np.ndarray], penalty: float = 6.0, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
         """Of each text, given as n-gram codes, the share of each language and whether it is in the
         chosen set. Expectation-maximisation over the mixture of the languages' n-gram models gives the
-        shares; nested sets, by falling share, are compared by log-likelihood less ``penalty`` * size."""
+        shares; nested sets of every size, by falling share, are compared by log-likelihood less ``penalty`` * size."""
         n_lang, counts = len(self.langs), [np.bincount(d, minlength=1 << DIMS_BITS) for d in docs]
         codes = [np.flatnonzero(c) for c in counts]
         sizes = np.array([len(c) for c in codes])
@@ -67,7 +67,7 @@ class MixtureModel:
         order = np.argsort(-share, axis=1, kind="stable")
         rank = np.argsort(order, axis=1)
         best, best_score, kept = None, None, None
-        for size in range(1, min(largest_set, n_lang) + 1):
+        for size in range(1, n_lang + 1):
             inside = rank < size
             pi = np.where(inside, np.maximum(share, 1e-6), 0).astype(np.float32)
             pi /= pi.sum(1, keepdims=True)

@@ -6,9 +6,10 @@ import re
 from collections import Counter, defaultdict
 
 import ahocorasick
+import numpy as np
 import pytest
 from folioforge.llm.decontam import find_contamination, scan, windows_of
-from folioforge.llm.language import fit_languages, identify_languages
+from folioforge.llm.language import MixtureModel, fit_languages, identify_languages
 from folioforge.llm.mixing import mix_sources, pfair_period, quantised
 from folioforge.llm.pii import assign_surrogates, replace_pii
 from folioforge.llm.quality import fit_neighbours, score_quality
@@ -165,6 +166,16 @@ def test_language_held_out_and_mixtures(spark):
     assert rows(identify_languages(empty_documents(spark), model)) == []
 
 
+def test_language_sets_have_no_largest_size():
+    rng = np.random.default_rng(2)
+    prob = rng.dirichlet(np.full(1 << 13, 0.3), 5)
+    model = MixtureModel(tuple("abcde"), np.ascontiguousarray(prob.T.astype(np.float32)))
+    want = np.array([0.36, 0.27, 0.22, 0.15, 0])
+    doc = np.concatenate([rng.choice(1 << 13, round(3000 * w), p=p) for w, p in zip(want, prob, strict=True)])
+    shares, kept = model.infer([doc])
+    assert kept[0].tolist() == [True] * 4 + [False] and np.abs(shares[0] - want).max() < 0.03
+
+
 def test_pfair_keeps_every_source_within_a_block(spark):
     shares = quantised({"a": 5, "b": 3.3, "c": 1, "d": 0.001}, 97)
     assert sum(shares.values()) == 97 and min(shares.values()) == 1
