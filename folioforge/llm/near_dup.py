@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,14 +13,12 @@ from pyspark.sql import functions as F
 
 from folioforge.llm.common import LOWER_BYTES, cut
 
-#: MinHash functions, and the chance at most that a pair at the threshold shares no band.
+#: MinHash functions, and the chance at most that a pair at the threshold shares no band; likewise that its sketches drop it.
 HASHES, MISS = 180, 1e-6
-#: Bits of the parity bitmap, and shingles at most that it takes: of a larger set the least hashes are sampled.
-SKETCH_BITS, SAMPLES = 2048, 2048
-#: Standard deviations below the threshold at which a sketch still passes a pair.
-MARGIN = 5.0
-#: Members of a bucket that are compared with each other in one go; a larger bucket is dealt into blocks of so many.
-BLOCK = 1024
+#: Bits of the parity bitmap into which the MinHash samples are folded.
+SKETCH_BITS = 1024
+#: Members of a bucket that are compared with each other in one go, and shingles of theirs at most; what is larger is dealt into blocks.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
 #: A set of ids of at most so many rows is broadcast; a larger one is joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -57,6 +55,16 @@ def banding(similarity: float) -> tuple[int, int]:
     return rows, need(rows)
 
 
+def most_differing(samples: int, similarity: float) -> int:
+    """Of so many MinHash samples, the number that differ in a pair of the similarity at most, but for a chance of MISS."""
+    left, differ = 1.0, 1 - similarity
+    for d in range(samples + 1):
+        left -= math.comb(samples, d) * differ**d * similarity ** (samples - d)
+        if left <= MISS:
+            return d
+    return samples
+
+
 class Hashes:
     """MinHash functions of a seed: bands for candidates, and odd sketches that estimate similarity."""
 
@@ -66,43 +74,34 @@ class Hashes:
         draw = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64)
         self.a, self.b = draw(self.rows * self.n_bands) * np.uint64(2) + np.uint64(1), draw(self.rows * self.n_bands)
         self.row, self.band = draw(self.rows) * np.uint64(2) + np.uint64(1), draw(self.n_bands)
+        self.place = draw(len(self.a))
+        # every sample that differs makes two bits odd at most
+        self.least_estimate = self.estimate(np.array(2 * most_differing(len(self.a), similarity)))
 
-    def bands(self, s: np.ndarray) -> np.ndarray:
+    def samples(self, s: np.ndarray) -> np.ndarray:
+        """The least value of each function over a set."""
         low = np.full(len(self.a), np.iinfo(np.uint64).max, np.uint64)
         for i in range(0, len(s), 1024):
             np.minimum(low, (s[i : i + 1024, None] * self.a + self.b).min(0), out=low)
-        return _mix((_mix(low).reshape(self.n_bands, self.rows) * self.row).sum(1, dtype=np.uint64) + self.band).view(np.int64)
-
-    def sketch(self, s: np.ndarray, similarity: float) -> tuple[bytes, int]:
-        """The set's hashes below 2**-level, folded into a bitmap of parities, and the level: the least
-        at which SAMPLES are expected at most. Where the partner of a similar pair may have the next
-        level, that level's bitmap follows, so that any similar pair has a level in common."""
-        h = _mix(s + _M1)
-        level = max(0, math.ceil(math.log2(max(1, len(s)) / SAMPLES)))
-        out = [self._fold(h, level)]
-        if len(s) / similarity > SAMPLES << level:
-            out.append(self._fold(h, level + 1))
-        return b"".join(out), level
-
-    @staticmethod
-    def _fold(h: np.ndarray, level: int) -> bytes:
-        low = h[h <= np.uint64(0xFFFFFFFFFFFFFFFF >> level)]
-        odd = np.bincount((_mix(low + _M2) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
-        return np.packbits(odd.astype(np.uint8)).tobytes()
+        return _mix(low)
 
+    def bands(self, samples: np.ndarray) -> np.ndarray:
+        return _mix((samples.reshape(self.n_bands, self.rows) * self.row).sum(1, dtype=np.uint64) + self.band).view(np.int64)
 
-def most_odd_bits(sizes_a: np.ndarray, sizes_b: np.ndarray, level: np.ndarray, similarity: float) -> np.ndarray:
-    """XOR population counts up to which pairs of such set sizes may reach the similarity.
+    def sketch(self, samples: np.ndarray) -> bytes:
+        """The samples, each with its function, folded into a bitmap of parities."""
+        odd = np.bincount((_mix(samples + self.place) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+        return np.packbits(odd.astype(np.uint8)).tobytes()
+
+    def estimate(self, odd: np.ndarray) -> np.ndarray:
+        """The similarity that an XOR population count of two sketches tells: 1 + n / 4k * ln(1 - 2 odd / n)
+        for n bits and k samples, the Jaccard similarity of which half the differing ones cancel on average."""
+        return 1 + SKETCH_BITS / (4 * len(self.a)) * np.log(np.maximum(1 - 2 * odd / SKETCH_BITS, 1e-9))
 
-    It bounds how many elements only one side has. At level 0 all of them are folded, and as equal
-    places cancel in pairs, never more bits are odd: nothing similar is lost. At higher levels, and for
-    the cancelling that is to be expected, MARGIN standard deviations are added."""
-    n, p = float(SKETCH_BITS), 0.5**level
-    apart = (sizes_a + sizes_b) * (1 - similarity) / (1 + similarity) + 1e-6
-    d = np.where(level == 0, apart, apart * p + MARGIN * np.sqrt(apart * p) + 1)
-    one, two = (1 - 2 / n) ** (2 * d), (1 - 4 / n) ** d
-    spread = np.sqrt(np.maximum(n / 4 * (1 - one) + n * (n - 1) / 4 * (two - one), 0))
-    return np.minimum(d, n / 2 * (1 - (1 - 2 / n) ** d) + MARGIN * spread + 2)
+    def close(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether sketches x and y (as words, broadcast against each other) may be of similar sets: the
+        estimate is as high as it is for any pair at the threshold, but for a chance of MISS."""
+        return self.estimate(np.bitwise_count(x ^ y).sum(-1, dtype=np.int64)) >= self.least_estimate
 
 
 def link_components(edges: DataFrame) -> DataFrame:
@@ -139,61 +138,51 @@ def link_components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
-def _profiles(docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    hashes = Hashes(similarity)
-
+def _profiles(docs: DataFrame, size: int, hashes: Hashes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, d1, d2, bands, sketch, level = [], [], [], [], [], []
+            n, d1, d2, bands, sketch = [], [], [], [], []
             for t in b.column(1):
                 s = shingles(t.as_py(), size)
                 digest = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
-                odd, m = hashes.sketch(s, similarity)
-                for to, v in zip((n, d1, d2, bands, sketch, level), (len(s), digest[0], digest[1], hashes.bands(s) if len(s) else [], odd, m), strict=True):
+                low = hashes.samples(s) if len(s) else None
+                for to, v in zip((n, d1, d2, bands, sketch), (len(s), digest[0], digest[1], [] if low is None else hashes.bands(low), b"" if low is None else hashes.sketch(low)), strict=True):
                     to.append(v)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary()), pa.array(level, pa.int32())], names=["doc_id", "n", "d1", "d2", "bands", "sketch", "level"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["doc_id", "n", "d1", "d2", "bands", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, bands array<long>, sketch binary, level int")
+    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, bands array<long>, sketch binary")
 
 
 def _words(column: pa.Array) -> np.ndarray:
-    """Sketches of a column as 64-bit words: row, own or next level, word."""
-    size = SKETCH_BITS // 8
-    return np.frombuffer(b"".join(x.ljust(2 * size, b"\0") for x in column.to_pylist()), np.uint64).reshape(len(column), 2, -1)
+    """Sketches of a column as 64-bit words."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
 
 
-def _close(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, lx: np.ndarray, ly: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Of sketches x and y, of sets of sizes nx and ny and levels lx and ly (all broadcast against each
-    other): how many bits are odd, and whether that lets the pair be similar."""
-    odd = np.bitwise_count(x[..., 0, :] ^ y[..., 0, :]).sum(-1, dtype=np.int64)
-    limit = most_odd_bits(nx, ny, np.maximum(lx, ly), similarity)
-    if (lx != ly).any():
-        for k, a, b in ((1, 0, 1), (-1, 1, 0)):
-            other = np.bitwise_count(x[..., a, :] ^ y[..., b, :]).sum(-1, dtype=np.int64)
-            odd = np.where(lx - ly == k, other, odd)
-        limit = np.where(np.abs(lx - ly) > 1, -1, limit)
-    return odd, odd <= limit
-
-
-def _passed(pairs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs a, b whose sketches may reach the similarity; with columns n, level, sketch of both."""
+def _passed(pairs: DataFrame, hashes: Hashes) -> DataFrame:
+    """The pairs a, b whose sketches pass; with columns sketch_a, sketch_b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            na, nb, la, lb = (b.column(i).to_numpy(zero_copy_only=False) for i in range(2, 6))
-            ok = _close(_words(b.column(6)), _words(b.column(7)), na, nb, la, lb, similarity)[1]
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], names=["a", "b"])
+            ok = pa.array(hashes.close(_words(b.column(2)), _words(b.column(3)))) if b.num_rows else pa.array([], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
 
-    return pairs.select("a", "b", "n_a", "n_b", "level_a", "level_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
-    """The pairs a, b whose full shingle sets have 100 * intersection >= ``percent`` * union."""
+def _sets_of(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """doc_id and s, the full shingle set, of the documents of some ids (column doc_id)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), size).tobytes() for t in b.column(1)], pa.binary())], names=["doc_id", "s"])
 
+    ids = ids.distinct()
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, s binary")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
+    """The pairs a, b whose full shingle sets have 100 * intersection >= ``percent`` * union."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = []
@@ -201,61 +190,125 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, size: int) -> Da
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(x) + len(y) - len(np.union1d(x, y))
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok, pa.bool_())), b.column(1).filter(pa.array(ok, pa.bool_()))], names=["a", "b"])
 
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    few = ids.count() <= BROADCAST_IDS
-    found = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, s binary")
+    found = _sets_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))), docs, size)
     left, right = found.select(F.col("doc_id").alias("a"), F.col("s").alias("s_a")), found.select(F.col("doc_id").alias("b"), F.col("s").alias("s_b"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "s_a", "s_b")
     return both.mapInArrow(compare, "a long, b long")
 
 
-def _between(held: DataFrame, similarity: float, most: int) -> DataFrame:
-    """Pairs a, b of members of one bucket, but of different components, whose sketches pass. Columns of
-    ``held``: h, i, j (a pair of blocks of a bucket), side, node, component, n, level, sketch. Of a
-    member and another component at most ``most`` pairs are given, the closest; more: some were left out."""
+def _cells(held: DataFrame, capacity: int, rows: int) -> DataFrame:
+    """Deal the members of the buckets that hold several components into cells, so that any two members
+    of different components of a bucket meet in just one. ``held``: h, node, component, w.
+
+    The members of a bucket's largest component needn't meet each other. They and the rest are dealt into
+    blocks of about ``capacity`` of w. A cell (h, kind, i, j) holds the blocks i and j of the rest (kind 0),
+    or block i of the rest and block j of the largest component (kind 1). side: 0 and 1 are to be
+    compared with each other, 2 among themselves. A bucket of one large component and few others gives as many rows as it has members."""
+    each = held.groupBy("h", "component").agg(F.sum("w").alias("w"))
+    each = each.groupBy("h").agg(F.max(F.struct("w", (-F.col("component")).alias("c"))).alias("top"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    blocks = lambda w: F.greatest(F.lit(1), F.ceil(w / capacity)).cast("int")
+    open_ = cut(each.select("h", (-F.col("top.c")).alias("main"), blocks(F.col("top.w")).alias("most"), blocks(F.col("w") - F.col("top.w")).alias("rest")), rows)
+    main = F.col("component") == F.col("main")
+    own = F.pmod(F.xxhash64("node"), F.when(main, F.col("most")).otherwise(F.col("rest")).cast("long")).cast("int")
+    cell = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    mine = F.col("own")
+    of_main = F.transform(upto("rest"), lambda k: cell(1, k, mine, F.lit(1)))
+    of_rest = F.transform(upto("rest"), lambda k: cell(0, F.least(mine, k), F.greatest(mine, k), F.when(mine == k, 2).when(mine < k, 0).otherwise(1)))
+    of_rest = F.concat(of_rest, F.transform(upto("most"), lambda k: cell(1, mine, k, F.lit(0))))
+    dealt = held.join(open_, "h").withColumn("own", own).select("h", "node", "component", F.explode(F.when(main, of_main).otherwise(of_rest)).alias("cell"))
+    return dealt.select("h", "cell.*", "node", "component")
+
+
+def _by_cell(rows: DataFrame, run_cell: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Calls ``run_cell`` with all rows of each cell: columns h, kind, i, j and what follows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for b in batches:
             t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
-            keys = np.stack([t.column(i).to_numpy() for i in range(3)], 1)
-            bounds = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)]])
-            yield from groups(t, bounds[:-1])
-            rest = t.slice(bounds[-2])
+            keys = np.stack([t.column(i).to_numpy() for i in range(4)], 1)
+            bounds = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1)]
+            for s, e in zip(bounds[:-1], bounds[1:], strict=True):
+                yield from run_cell(t.slice(s, e - s).combine_chunks())
+            rest = t.slice(bounds[-1])
         if rest is not None and rest.num_rows:
-            yield from groups(rest, np.array([0, rest.num_rows]))
+            yield from run_cell(rest.combine_chunks())
+
+    key = ["h", "kind", "i", "j"]
+    return rows.select(*key, *[c for c in rows.columns if c not in key]).repartition(*key).sortWithinPartitions(*key).mapInArrow(run, schema)
 
-    def groups(t: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(bounds) < 2:
+
+def _met_before(bands: np.ndarray, h: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Tells of members i and j (broadcast against each other) of bucket h whether they share a bucket of an
+    earlier band: there, they are compared already."""
+    before = bands[:, : int(np.argmax(bands[0] == h))]
+    return lambda i, j: (before[i] == before[j]).any(-1)
+
+
+def _candidates(cells: DataFrame, hashes: Hashes) -> DataFrame:
+    """h, node: the members of a cell of which some pair passes by its sketches, is of different components and in no
+    earlier bucket; at most as many rows as the cell has. Columns of ``cells``: of ``_cells``, bands, sketch."""
+
+    def run_cell(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        side, node, comp = (t.column(c).to_numpy() for c in ("side", "node", "component"))
+        if (comp == comp[0]).all():
+            return
+        words, h = _words(t.column("sketch")), int(t.column(0)[0].as_py())
+        met = _met_before(np.array(t.column("bands").to_pylist(), np.int64), h)
+        x, y, on = np.flatnonzero(side != 1), np.flatnonzero(side != 0), np.zeros(len(node), bool)
+        for lo in range(0, len(x), step := max(1, (1 << 16) // max(1, len(y)))):
+            u = x[lo : lo + step, None]
+            i, j = np.nonzero(hashes.close(words[u], words[y][None]) & (comp[u] != comp[y]))
+            i, j = u[i, 0], y[j]
+            new = ~met(i, j)
+            on[i[new]] = on[j[new]] = True
+        if on.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(on.sum(), h)), pa.array(node[on])], names=["h", "node"])
+
+    return _by_cell(cells, run_cell, "h long, node long")
+
+
+def _linked(cells: DataFrame, percent: int) -> DataFrame:
+    """a, b: confirmed links between components that meet in a cell, no more than connect these components, so fewer
+    rows than the cell has members. Every pair of a cell of different components is compared by full sets, unless links found
+    before connect it or it shares an earlier bucket. Columns of ``cells``: of ``_cells``, bands, s (the set)."""
+
+    def run_cell(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        side, node = (t.column(c).to_numpy() for c in ("side", "node"))
+        comp = np.unique(t.column("component").to_numpy(), return_inverse=True)[1]
+        if not comp.any():
             return
-        t = t.combine_chunks()
-        side, node, comp, n, m = (t.column(i).to_numpy() for i in range(3, 8))
-        words = _words(t.column(8))
-        for s, e in zip(bounds[:-1], bounds[1:], strict=True):
-            x = s + np.flatnonzero(side[s:e] != 1)
-            y = s + np.flatnonzero(side[s:e] != 0)
-            if len(y) and (comp[s:e] != comp[s]).any():
-                yield from compared(x, y, node, comp, n, m, words)
-
-    def compared(x, y, node, comp, n, m, words) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-        for lo in range(0, len(x), 64):
-            u = x[lo : lo + 64]
-            odd, close = _close(words[u][:, None], words[y][None], n[u][:, None].astype(float), n[y][None].astype(float), m[u][:, None], m[y][None], similarity)
-            i, j = np.nonzero(close & (comp[u][:, None] != comp[y][None]) & (node[u][:, None] != node[y][None]))
-            if len(i):
-                order = np.lexsort((odd[i, j], comp[y[j]], i))
-                i, j = i[order], j[order]
-                c = comp[y[j]]
-                first = np.append(True, (i[1:] != i[:-1]) | (c[1:] != c[:-1]))
-                rank = np.arange(len(i)) - np.maximum.accumulate(np.where(first, np.arange(len(i)), 0))
-                few = rank < most
-                a, b = node[u[i[few]]], node[y[j[few]]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), not few.all()))], names=["a", "b", "more"])
-
-    rows = held.select("h", "i", "j", "side", "node", "component", "n", "level", "sketch").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
-    return rows.mapInArrow(run, "a long, b long, more boolean")
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("s").chunk(0)]
+        size = np.array([len(s) for s in sets])
+        start = np.concatenate([[0], np.cumsum(size)])
+        distinct, code = np.unique(np.concatenate(sets), return_inverse=True)
+        held = np.zeros(len(distinct), bool)
+        met = _met_before(np.array(t.column("bands").to_pylist(), np.int64), int(t.column(0)[0].as_py()))
+        x, y, a, b = np.flatnonzero(side != 1), np.flatnonzero(side != 0), [], []
+        for u in x:
+            near = y[(comp[y] != comp[u]) & ((side[u] == 0) | (node[y] > node[u]))]
+            # a set too small or large for the other can't reach the threshold
+            near = near[100 * np.minimum(size[near], size[u]) >= percent * np.maximum(size[near], size[u])]
+            near = near[~met(u, near)]
+            if not len(near):
+                continue
+            mine = code[start[u] : start[u + 1]]
+            held[mine] = True
+            at = np.concatenate([code[start[k] : start[k + 1]] for k in near])
+            both = np.add.reduceat(held[at], np.concatenate([[0], np.cumsum(size[near])[:-1]]), dtype=np.int64)
+            held[mine] = False
+            for k in near[100 * both >= percent * (size[near] + size[u] - both)]:
+                if comp[k] != comp[u]:
+                    comp[comp == comp[k]] = comp[u]
+                    a.append(min(node[u], node[k]))
+                    b.append(max(node[u], node[k]))
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return _by_cell(cells, run_cell, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -268,56 +321,49 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, id_col: s
     linked, and where such rows lead several groups of equal texts one of them stands for the links; a null doc_id has a null component and is kept. An empty table gives an empty result; other columns are ignored.
 
     Rows with equal sets are one node from the start. MinHash bands deal nodes into buckets; in each
-    bucket all are paired with its least member alone, odd sketches drop the pairs that can't reach
+    bucket all are paired with its least member alone, odd sketches of the MinHash samples drop the pairs that can't reach
     the threshold, and the rest is confirmed on full sets. That joins most of a large group at a cost in
-    proportion to its size. Then, in buckets that hold several components, sketches of members of
-    different components are compared in blocks inside a task, and what passes is confirmed, too. Where
-    many members of two components pass, the closest come first; rounds go on until nothing was left out.
+    proportion to its size. Then, in buckets that hold several components, members of different
+    components meet in blocks inside a task: first their sketches, which tells the members that have a candidate,
+    then the full sets of these. Every pair is compared in the first bucket it shares, and only links that
+    connect components leave a task, so neither pass gives more rows than it reads. Nothing is left out.
     """
-    similarity = percent / 100
+    hashes = Hashes(percent / 100)
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     known = docs.where("doc_id is not null")
-    profile = cut(_profiles(docs, size, similarity))
+    profile = cut(_profiles(docs, size, hashes))
+    n = profile.count()
     sets = profile.where("n > 0 and doc_id is not null")
-    least = sets.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    same = sets.join(least, ["d1", "d2"]).select("doc_id", "rep")
-    nodes = cut(sets.join(least, ["d1", "d2"]).where("doc_id = rep").select(F.col("doc_id").alias("node"), "n", "level", "sketch", "bands").dropDuplicates(["node"]))
+    # checkpointed, so that the joins with them are between plain shuffles, which AQE can split where one set or bucket is very common
+    often = cut(sets.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members")).where("members > 1").select("d1", "d2", "rep"), n)
+    twice = cut(sets.groupBy("doc_id").count().where("count > 1").select("doc_id"), n)
+    nodes = sets.join(often, ["d1", "d2"], "left").where("rep is null or rep = doc_id").select(F.col("doc_id").alias("node"), "n", "sketch", "bands")
+    some_twice = not twice.isEmpty()
+    nodes = cut(nodes.dropDuplicates(["node"]) if some_twice else nodes)
     bands = nodes.select("node", F.explode("bands").alias("h"))
-    first = bands.groupBy("h").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    shared = cut(bands.join(first, "h").select("h", "node", "a", "members"))
-    traits = nodes.select("node", "n", "level", "sketch")
+    first = cut(bands.groupBy("h").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("members")).where("members > 1").select("h", "a"), n)
+    shared = cut(bands.join(first, "h").select("h", "node", "a"))
 
-    def of(side: str) -> DataFrame:
-        return traits.withColumnsRenamed({"node": side, "n": f"n_{side}", "level": f"level_{side}", "sketch": f"sketch_{side}"})
+    def sketch_of(side: str) -> DataFrame:
+        return nodes.select(F.col("node").alias(side), F.col("sketch").alias(f"sketch_{side}"))
 
     star = shared.where("a <> node").select("a", F.col("node").alias("b")).distinct()
-    passed = cut(_passed(star.join(of("b"), "b").join(of("a"), "a"), similarity))
-    # rows that share a doc_id but not a text are one document
-    twice = same.select("doc_id").groupBy("doc_id").count().where("count > 1")
-    shared_ids = same.where("doc_id <> rep").join(twice, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links = cut(_confirmed(passed, known, percent, size).union(shared_ids))
-    labels = link_components(links)
-    most = 16
-    while True:
-        held = shared.join(labels, "node", "left").select("h", "node", "members", F.coalesce("component", "node").alias("component"))
-        open_ = held.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("h")
-        blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-        own = F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int")
-        each = held.join(open_, "h").select("h", "node", "component", blocks.alias("blocks"), own.alias("own"))
-        each = each.select("h", "node", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-        each = each.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "node", "component")
-        pairs = cut(_between(each.join(traits, "node"), similarity, most).groupBy("a", "b").agg(F.max("more").alias("more")))
-        fresh = cut(pairs.select("a", "b").join(passed, ["a", "b"], "left_anti"))
-        if fresh.isEmpty():
-            break
-        passed = passed.union(fresh)
-        links = links.union(cut(_confirmed(fresh, known, percent, size)))
-        labels = link_components(links)
-        if pairs.where("more").isEmpty():
-            break
-        most *= 8
-    reps = least.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
-    out = profile.select("doc_id", "n", "d1", "d2").join(reps, ["d1", "d2"], "left")
-    component = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "doc_id"))
+    links = _confirmed(cut(_passed(star.join(sketch_of("b"), "b").join(sketch_of("a"), "a"), hashes), n), known, percent, size)
+    if some_twice:  # rows that share a doc_id but not a text are one document
+        links = links.union(sets.join(often, ["d1", "d2"]).where("doc_id <> rep").join(twice, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    labels = link_components(cut(links, n))
+    held = shared.select("h", "node").join(labels, "node", "left").select("h", "node", F.coalesce("component", "node").alias("component"))
+    traits = nodes.select("node", "bands", "sketch")
+    near = cut(_candidates(_cells(held.withColumn("w", F.lit(1)), BLOCK, n).join(traits, "node"), hashes).distinct(), n)
+    full = _sets_of(near.select(F.col("node").alias("doc_id")), known, size).withColumnRenamed("doc_id", "node")
+    if some_twice:
+        full = full.dropDuplicates(["node"])
+    held = near.join(labels, "node", "left").join(nodes.select("node", F.col("n").alias("w")), "node").select("h", "node", F.coalesce("component", "node").alias("component"), "w")
+    found = cut(_linked(_cells(held, BLOCK_SHINGLES, n).join(nodes.select("node", "bands"), "node").join(full, "node"), percent), n)
+    of = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"{side}_c"))
+    between = found.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b"))
+    above = link_components(between).select(F.col("node").alias("component"), F.col("component").alias("top"))
+    out = profile.select("doc_id", "n", "d1", "d2").join(often, ["d1", "d2"], "left").withColumn("node", F.coalesce("rep", "doc_id"))
+    out = out.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).join(above, "component", "left")
+    component = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("top", "component"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

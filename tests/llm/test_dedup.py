@@ -198,23 +198,70 @@ def test_passages_odd_rows(spark):
     assert rows(repeated_passages(empty_documents(spark))) == []
 
 
-def test_sketches_lose_no_similar_pair():
-    """Sets of any size, also around the sizes at which sampling starts, near the threshold."""
-    from folioforge.llm.near_dup import Hashes, _close, _words
-    import pyarrow as pa
-
-    rng, hashes, dropped = np.random.default_rng(5), Hashes(0.85), 0
-    for n in (2, 7, 40, 300, 1700, 1900, 2040, 2300, 4000, 9000):
-        for share in (0.3, 0.8, 0.86):
+def test_sketches_estimate_and_lose_no_similar_pair():
+    """Sets of any size near the threshold: the estimate is close, and what it drops is far below."""
+    from folioforge.llm.near_dup import Hashes
+
+    rng, hashes, dropped, errors = np.random.default_rng(5), Hashes(0.85), 0, []
+    for n in (2, 7, 40, 300, 1700, 4000, 9000):
+        for share in (0.3, 0.5, 0.86, 0.95):
             a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
             k = round(2 * share * n / (1 + share))
             b = np.concatenate([a[:k], rng.integers(0, 1 << 63, n - k, dtype=np.uint64)])
-            similar = k / (2 * n - k) >= 0.85
-            (x, lx), (y, ly) = hashes.sketch(np.sort(a), 0.85), hashes.sketch(np.sort(b), 0.85)
-            ok = _close(_words(pa.array([x])), _words(pa.array([y])), np.array([n]), np.array([n]), np.array([lx]), np.array([ly]), 0.85)[1][0]
-            assert ok or not similar
-            dropped += not ok
-    assert dropped >= 15
+            true = k / (2 * n - k)
+            x, y = (np.frombuffer(hashes.sketch(hashes.samples(np.sort(s))), np.uint64) for s in (a, b))
+            assert hashes.close(x, y) or true < 0.85
+            dropped += not hashes.close(x, y)
+            if true >= 0.85:
+                errors.append(abs(hashes.estimate(np.bitwise_count(x ^ y).sum()) - true))
+    assert dropped >= 12 and max(errors) < 0.12
+
+
+def components_by_all_pairs(data, size, percent):
+    sets = {d: set(shingles(t, size).tolist()) for d, t in data}
+    up = {d: d for d in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    return {d: root(d) for d in sets}
+
+
+@pytest.mark.parametrize("edits", [(9, 13), (17, 23)])
+def test_loose_groups_give_no_more_rows_than_members(spark, monkeypatch, edits):
+    """Edits of one text, pairs just above and just below the threshold, in blocks: components are those of all
+    pairs, and what the comparing passes give out is at most what they read."""
+    import folioforge.llm.near_dup as module
+
+    rng, counts = random.Random(11), {}
+    base = [f"w{i}" for i in range(300)]
+    data = []
+    for d in range(150):
+        w = list(base)
+        for i in rng.sample(range(300), rng.randint(*edits)):
+            w[i] = f"x{d}y{i}"
+        data.append((d, " ".join(w)))
+    for name in ("_candidates", "_linked"):
+
+        def counted(cells, how, name=name, real=getattr(module, name)):
+            out = real(cells, how).cache()
+            counts[name] = (cells.count(), out.count())
+            return out
+
+        monkeypatch.setattr(module, name, counted)
+    monkeypatch.setattr(module, "BLOCK", 32)
+    monkeypatch.setattr(module, "BLOCK_SHINGLES", 32 * 300)
+    got = rows(near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), 5, 80))
+    want = components_by_all_pairs(data, 5, 80)
+    assert {r["doc_id"]: r["component_id"] for r in got} == want and 1 < len(set(want.values()))
+    assert all(given <= read for read, given in counts.values())
 
 
 def brute_passages(data, kept, n):
