@@ -44,11 +44,14 @@ ROWS_PER_FILE = 100_000
 
 def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder of ``spark.checkpoint.dir``, which
-    all executors share. Only where the session has none, as in tests, a temporary folder is used.
-    ``rows``: about how many there are, where that is known; small tables then aren't strewn over many files."""
+    all executors share. Where the session has none, a temporary folder is used in local mode, as in tests; on a
+    cluster it raises. ``rows``: about how many there are at most, where that is known; small tables then aren't strewn over many files."""
     sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    if not sc.getCheckpointDir():
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
     if rows is not None:
         df = df.coalesce(max(sc.defaultParallelism, -(-rows // ROWS_PER_FILE)))
     return df.checkpoint(eager=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 from folioforge.llm.common import ascii_lower, cut, texts, without
 
+#: Bits, bits of a quotient, bytes of a remainder, slots.
+_HEAD = struct.Struct("<BBBI")
 #: A set of repeated fingerprints of at most so many rows (8 bytes each) is broadcast; a larger one is joined by a shuffle.
 BROADCAST_FINGERPRINTS = 1_000_000
 #: Likewise of groups of equal texts (some 120 bytes each).
@@ -30,11 +33,14 @@ class CountingQuotientFilter:
         self.occupied, self.run_end, self.remainders, self.repeated, self.counts = occupied, run_end, remainders, repeated, counts
 
     @classmethod
-    def build(cls, fingerprints: np.ndarray, bits: int, counts: np.ndarray | None = None) -> CountingQuotientFilter:
-        """fingerprints: uint64 below 2**bits, in any order and with repeats; counts: of each, else 1."""
-        weights = np.ones(len(fingerprints), np.int64) if counts is None else counts
-        unique, where = np.unique(fingerprints, return_inverse=True)
-        total = np.bincount(where, weights, len(unique)).astype(np.int64)
+    def build(cls, fingerprints: np.ndarray, bits: int) -> CountingQuotientFilter:
+        """fingerprints: uint64 below 2**bits, in any order and with repeats."""
+        return cls.of_sorted(*np.unique(fingerprints, return_counts=True), bits)
+
+    @classmethod
+    def of_sorted(cls, unique: np.ndarray, total: np.ndarray, bits: int) -> CountingQuotientFilter:
+        """Of distinct fingerprints in order, and the count of each."""
+        total = total.astype(np.int64)
         q = min(bits - 1, max(1, int(len(unique)).bit_length()))
         r = np.uint64(bits - q)
         quotients = (unique >> r).astype(np.int64)
@@ -52,33 +58,49 @@ class CountingQuotientFilter:
         return (quotients[run] << np.uint64(self.bits - self.q)) | self.remainders, counts
 
     def to_bytes(self) -> bytes:
-        width = 4 if self.bits - self.q <= 32 else 8
-        head = np.array([self.bits, self.q, len(self.remainders), width], np.int64)
-        flags = [np.packbits(x) for x in (self.occupied, self.run_end, self.repeated)]
-        return b"".join(x.tobytes() for x in (head, *flags, self.remainders.astype(f"<u{width}"), self.counts))
+        """Seven bytes of a head, the bits, remainders in as many whole bytes as they need, and counts above one."""
+        width = (self.bits - self.q + 7) // 8
+        flags = [np.packbits(x).tobytes() for x in (self.occupied, self.run_end, self.repeated)]
+        remainders = self.remainders.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+        return b"".join((_HEAD.pack(self.bits, self.q, width, len(self.remainders)), *flags, remainders.tobytes(), self.counts.astype("<i8").tobytes()))
 
     @classmethod
     def from_bytes(cls, data: bytes) -> CountingQuotientFilter:
-        bits, q, n, width = (int(x) for x in np.frombuffer(data, np.int64, 4))
-        at, flags = 32, []
+        bits, q, width, n = _HEAD.unpack_from(data)
+        at, flags = _HEAD.size, []
         for size in (1 << q, n, n):
             flags.append(np.unpackbits(np.frombuffer(data, np.uint8, (size + 7) // 8, at), count=size).astype(bool))
             at += (size + 7) // 8
-        remainders = np.frombuffer(data, f"<u{width}", n, at).astype(np.uint64)
-        return cls(bits, q, flags[0], flags[1], remainders, flags[2], np.frombuffer(data, np.int64, -1, at + n * width))
+        remainders = np.zeros((n, 8), np.uint8)
+        remainders[:, :width] = np.frombuffer(data, np.uint8, n * width, at).reshape(n, width)
+        return cls(bits, q, flags[0], flags[1], remainders.view("<u8").reshape(n).astype(np.uint64), flags[2], np.frombuffer(data, "<i8", -1, at + n * width).astype(np.int64))
 
     @classmethod
     def merge(cls, filters: list[CountingQuotientFilter], bits: int) -> CountingQuotientFilter:
-        """Union of multisets: the sorted remainders of all runs are brought together and counts added."""
+        """Union of multisets. Runs follow one another by quotient and remainders are sorted within each, so a
+        filter is read in the order of its fingerprints; two and two are merged in that order, and equal ones add their counts."""
         parts = [f.items() for f in filters]
-        return cls.build(np.concatenate([p[0] for p in parts]), bits, np.concatenate([p[1] for p in parts]))
+        while len(parts) > 1:
+            parts = [_merged(*parts[i], *parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+        return cls.of_sorted(*parts[0], bits) if parts else cls.build(np.zeros(0, np.uint64), bits)
+
+
+def _merged(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sorted lists of distinct fingerprints, with their counts, as one."""
+    at = np.searchsorted(a, b)
+    same = np.zeros(len(b), bool)
+    inside = at < len(a)
+    same[inside] = a[at[inside]] == b[inside]
+    n = n.copy()
+    n[at[same]] += m[same]
+    return np.insert(a, at[~same], b[~same]), np.insert(n, at[~same], m[~same])
 
 
-def repeated_fingerprints(fingerprints: DataFrame, n_rows: int, rows_per_range: int = 1 << 14) -> DataFrame:
+def repeated_fingerprints(fingerprints: DataFrame, n_rows: int, rows_per_range: int = 1 << 22) -> DataFrame:
     """fp, n: the values of the long column ``fp`` that more than one row has. Every partition builds
-    a filter for each range of fingerprints; those of a range are merged in one task. Ranges grow in
-    number with ``n_rows``, so that a merge stays small, and equal fingerprints are one counted slot
-    already in the filter of a partition, so a value with a third of all rows is no heavier than another."""
+    a filter for each range of fingerprints; those of a range are merged in one task. A range holds about
+    ``rows_per_range`` rows, some 40 MB of filters, so ranges are as few as memory lets them be and filters as dense. Equal
+    fingerprints are one counted slot already in the filter of a partition, so a value with a third of all rows is no heavier than another."""
     g = max(4, int(n_rows // rows_per_range).bit_length())
     bits = 64 - g
 
@@ -96,14 +118,15 @@ def repeated_fingerprints(fingerprints: DataFrame, n_rows: int, rows_per_range:
             yield from pieces(parts, counts)
 
     def pieces(parts: list[np.ndarray], counts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        fp, n = np.concatenate(parts), np.concatenate(counts)
-        order = np.argsort(fp)
-        fp, n = fp[order], n[order]
+        held = list(zip(parts, counts, strict=True))
+        while len(held) > 1:
+            held = [_merged(*held[i], *held[i + 1]) if i + 1 < len(held) else held[i] for i in range(0, len(held), 2)]
+        fp, n = held[0]
         ranges = fp >> np.uint64(bits)
         ids, first = np.unique(ranges, return_index=True)
         ends = [*first[1:], len(fp)]
         for lo in range(0, len(ids), 256):
-            out = [CountingQuotientFilter.build(fp[s:e] & np.uint64((1 << bits) - 1), bits, n[s:e]).to_bytes() for s, e in zip(first[lo : lo + 256], ends[lo : lo + 256], strict=True)]
+            out = [CountingQuotientFilter.of_sorted(fp[s:e] & np.uint64((1 << bits) - 1), n[s:e], bits).to_bytes() for s, e in zip(first[lo : lo + 256], ends[lo : lo + 256], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + 256].astype(np.int64)), pa.array(out, pa.binary())], names=["range", "cqf"])
 
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -125,7 +148,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     count in group_size and share one verdict. An empty table gives an empty result; other columns are ignored.
 
     Fingerprints that counting quotient filters count more than once send their rows to byte
-    verification: these texts are grouped by all their bytes. A text of a unique fingerprint is never shuffled.
+    verification: these texts are grouped by all their bytes. While at most BROADCAST_FINGERPRINTS repeat, no other text is
+    shuffled; beyond that every text is, once, to meet the repeated fingerprints.
     """
     base = texts(docs, id_col, text_col).select("doc_id", ascii_lower(F.col("text")).alias("norm")).withColumn("fp", F.xxhash64("norm"))
     repeated = cut(repeated_fingerprints(base, docs.count()).select("fp"))

@@ -85,7 +85,8 @@ def fit_languages(docs: DataFrame, max_per_lang: int = 3000, mod: int = 4, held_
     """Learn from the texts and non-null languages of the rows whose crc32 of the id isn't in the fold
     ``held_out`` of ``mod``. Of each language about ``max_per_lang`` documents are taken, those of
     the smallest hashes of their ids, so that the model costs the same at any size; all are taken where
-    a language has fewer. None where nothing can be learnt."""
+    a language has fewer. None where nothing can be learnt. Every distinct value of ``lang_col`` but ``und`` is a
+    language; the driver holds one row of 8192 numbers for each."""
     rows = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
     rows = rows.where((fold(F.col("i"), mod) != held_out) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != UNKNOWN))
     share = {r["lang"]: min(1.0, max_per_lang / r["count"]) for r in rows.groupBy("lang").count().collect()}
@@ -111,12 +112,31 @@ def fit_languages(docs: DataFrame, max_per_lang: int = 3000, mod: int = 4, held_
     return MixtureModel(langs, np.ascontiguousarray((n / n.sum(1, keepdims=True)).T.astype(np.float32)))
 
 
+#: Different n-grams times languages that are worked on at a time: so many floats, and a few arrays of the kind.
+CELLS = 1 << 22
+
+
+def _portions(codes: dict[int, np.ndarray], n_langs: int) -> Iterator[list[int]]:
+    """The rows of a batch in portions of at most CELLS, or of one row."""
+    some, size = [], 0
+    for i, c in codes.items():
+        cells = min(len(c), 1 << DIMS_BITS) * n_langs
+        if some and size + cells > CELLS:
+            yield some
+            some, size = [], 0
+        some.append(i)
+        size += cells
+    if some:
+        yield some
+
+
 def identify_languages(docs: DataFrame, model: MixtureModel | None, text_col: str = "text", batch: int = 256) -> DataFrame:
     """All columns of ``docs``, one row for each of its rows, with lang_pred (the language of the
     largest share in the chosen set), score (that share, 0 to 1), lang_set (the set, by falling
     share) and lang_shares. A column of ``docs`` with such a name is replaced. A text that is null or
     has no letter is ``und`` with score 0, and so is every text where there is no model. Rows may
-    repeat; an empty table gives an empty result. Whole texts are read; nothing is shuffled."""
+    repeat; an empty table gives an empty result. Whole texts are read, in portions bounded by n-grams times
+    languages; nothing is shuffled."""
     new = {"lang_pred": "string", "score": "double", "lang_set": "array<string>", "lang_shares": "array<double>"}
     held = docs.drop(*new)
     at = held.columns.index(text_col)
@@ -130,9 +150,9 @@ def identify_languages(docs: DataFrame, model: MixtureModel | None, text_col: st
                 for i, text in enumerate(b.column(at)):
                     if model is not None and has_letter(text.as_py()) and len(c := ngram_codes(text.as_py())):
                         codes[i] = c
-                if codes:
-                    shares, kept = model.infer(list(codes.values()))
-                    for i, share, inside in zip(codes, shares, kept, strict=True):
+                for some in _portions(codes, len(model.langs) if model else 1):
+                    shares, kept = model.infer([codes[i] for i in some])
+                    for i, share, inside in zip(some, shares, kept, strict=True):
                         order = [k for k in np.argsort(-share, kind="stable") if inside[k]]
                         rows[i] = (model.langs[order[0]], float(min(1.0, share[order[0]])), [model.langs[k] for k in order], [float(share[k]) for k in order])
                 types = (pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64()))

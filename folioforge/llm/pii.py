@@ -9,32 +9,40 @@ from folioforge.llm.common import cut, left_on_row, texts
 
 _EDGE, _END = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 #: Titles that tell a gender.
-MALE = ("Mr", "Sir", "Herr", "Señor", "Don", "Monsieur", "Signor", "Господин", "Г-н")
-FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Señora", "Doña", "Madame", "Signora", "Госпожа", "Г-жа")
+MALE = ("Mr", "Sir", "Herr", "Señor", "Don", "Monsieur", "Signor", "Господин", "Г-н", "Κύριος")
+FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Señora", "Doña", "Madame", "Signora", "Госпожа", "Г-жа", "Κυρία")
+#: A title, and a word of a name in a script that surrogates are drawn in.
+TITLE = "(?:" + "|".join((*MALE, *FEMALE)) + r")\.? "
+_WORD = r"[[\p{IsLatin}\p{IsCyrillic}\p{IsGreek}]&&\p{Lu}]\p{Ll}+"
 #: Kinds in the order of precedence where two match at one place. Runs are possessive and start at their
 #: edges, so that every pattern takes time in proportion to the text.
 KINDS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.){1,8}[A-Za-z]{2,24}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}](?:[\p{L}\p{N}-]{0,62}\.){1,8}\p{L}{2,24}",
     "phone": _EDGE + r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}" + _END,
     "ssn": _EDGE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _END,
     "ip": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9A-Za-z])",
     "card": _EDGE + r"[0-9](?:[ -]?[0-9]){12,18}" + _END,
     "iban": _EDGE + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?" + _END,
-    "name": r"(?<![\p{L}])(?:" + "|".join((*MALE, *FEMALE)) + r")\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
+    "name": r"(?<!\p{L})" + TITLE + _WORD + "(?: " + _WORD + ")?",
 }
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 #: A name or the local part of an e-mail address grows by one syllable or letter with every so many redraws.
 REDRAWS = 4
+#: Rounds at most. While half of a kind's surrogates are free, a round settles half of what is left or more.
+ROUNDS = 64
 #: Given names by gender, and syllables of family names, by script.
 GIVEN = {
     ("latin", "m"): ("Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karim", "Leon", "Marco", "Nils", "Oscar", "Paul"),
     ("latin", "f"): ("Anna", "Bella", "Clara", "Diana", "Elena", "Frida", "Greta", "Hanna", "Irma", "Julia", "Katia", "Lena", "Maria", "Nora", "Olga", "Paula"),
     ("cyrillic", "m"): ("Антон", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Иван", "Кирилл", "Лев", "Максим", "Никита", "Олег", "Павел", "Роман", "Семён", "Тимур"),
     ("cyrillic", "f"): ("Анна", "Белла", "Вера", "Галина", "Дарья", "Елена", "Зоя", "Ирина", "Кира", "Лидия", "Мария", "Нина", "Ольга", "Полина", "Роза", "Софья"),
+    ("greek", "m"): ("Αντώνης", "Βασίλης", "Γιάννης", "Δημήτρης", "Ηλίας", "Θωμάς", "Κώστας", "Λεωνίδας", "Μάρκος", "Νίκος", "Πέτρος", "Σπύρος", "Στέλιος", "Τάσος", "Φώτης", "Χρήστος"),
+    ("greek", "f"): ("Άννα", "Βασιλική", "Γεωργία", "Δήμητρα", "Ελένη", "Ζωή", "Ιωάννα", "Κατερίνα", "Λυδία", "Μαρία", "Νίκη", "Όλγα", "Ρένα", "Σοφία", "Φωτεινή", "Χριστίνα"),
 }
 SYLLABLES = {
     "latin": ("ba", "de", "fi", "go", "ha", "ju", "ke", "li", "mo", "na", "pe", "ri", "so", "ta", "ve", "zu"),
     "cyrillic": ("ба", "де", "фи", "го", "ха", "жу", "ке", "ли", "мо", "на", "пе", "ри", "со", "та", "ве", "зу"),
+    "greek": ("βα", "δε", "φι", "γο", "χα", "ζε", "κε", "λι", "μο", "να", "πε", "ρι", "σο", "τα", "βι", "ξυ"),
 }
 
 
@@ -50,15 +58,24 @@ def kind_of(value: Column) -> Column:
     return out
 
 
+def bare(value: Column) -> Column:
+    """A name without its title, in lower case."""
+    return F.lower(F.regexp_replace(value, "^" + TITLE, ""))
+
+
+def gender(value: Column) -> Column:
+    return F.when(F.regexp_extract(value, r"^([^ .]+)", 1).isin(*FEMALE), "f").otherwise("m")
+
+
 def canonical(kind: Column, value: Column) -> Column:
-    """What all mentions of one entity have in common, however they are written."""
-    name = F.lower(F.regexp_replace(value, r"^[^ ]+ ", ""))
-    gender = F.when(F.regexp_extract(value, r"^([^ .]+)", 1).isin(*FEMALE), "f").otherwise("m")
+    """What all mentions of one entity have in common, however they are written. A phone number without a
+    country code is one of +1."""
+    digits = _digits(value)
     return (
-        F.when(kind.isin("phone"), F.right(_digits(value), F.lit(10)))
-        .when(kind.isin("ssn", "card"), _digits(value))
+        F.when(kind == "phone", F.when((F.length(digits) == 11) & digits.startswith("1"), F.right(digits, F.lit(10))).otherwise(digits))
+        .when(kind.isin("ssn", "card"), digits)
         .when(kind == "iban", F.regexp_replace(value, " ", ""))
-        .when(kind == "name", F.concat_ws(":", gender, name))
+        .when(kind == "name", F.concat_ws(":", gender(value), bare(value)))
         .otherwise(F.lower(value))
     )
 
@@ -73,15 +90,19 @@ def _stream(key: str, kind: Column, what: Column, attempt: Column) -> Column:
     return F.concat(F.sha2(text, 256), F.sha2(F.concat(text, F.lit("\x1f+")), 256))
 
 
-def _like(value: Column, stream: Column) -> Column:
-    """Every letter and digit replaced by one of its sort; a digit that leads a group isn't 0 or 1."""
+def _like(value: Column, stream: Column, lead: tuple[int, ...] = ()) -> Column:
+    """Every letter and digit replaced by one of its sort and script; a digit that leads a group, or stands at one
+    of the places ``lead``, isn't 0 or 1."""
     chars = F.split(value, "")
 
     def one(c: Column, i: Column) -> Column:
         b, before = _nibble(stream, i), F.get(chars, i - 1)
         pick = lambda of: F.substring(F.lit(of), b % len(of) + 1, F.lit(1))
-        leads = (i == 0) | ~F.coalesce(before.rlike("[0-9]"), F.lit(False))
-        return F.when(c.rlike("[0-9]"), F.when(leads, pick("23456789")).otherwise(pick("0123456789"))).when(c.rlike("[a-z]"), pick("abcdefghijklmnopqrstuvwxyz")).when(c.rlike("[A-Z]"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).otherwise(c)
+        leads = (i == 0) | i.isin(*lead) | ~F.coalesce(before.rlike("[0-9]"), F.lit(False))
+        out = F.when(c.rlike("[0-9]"), F.when(leads, pick("23456789")).otherwise(pick("0123456789")))
+        out = out.when(c.rlike("[a-z]"), pick("abcdefghijklmnopqrstuvwxyz")).when(c.rlike("[A-Z]"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+        out = out.when(c.rlike(r"\p{IsCyrillic}"), pick("абвгдежзиклмнопрстуфхцчшэюя")).when(c.rlike(r"\p{IsGreek}"), pick("αβγδεζηθικλμνξοπρστυφχψω"))
+        return out.when(c.rlike(r"\p{L}"), pick("àáâãäåæçèéêëìíîïñòóôõöøùúûü")).otherwise(c)
 
     return F.array_join(F.transform(chars, one), "")
 
@@ -96,21 +117,30 @@ def _luhn(body: Column) -> Column:
     return (F.pmod(F.lit(10) - total % 10, F.lit(10))).cast("string")
 
 
+def _iban(country: Column, body: Column) -> Column:
+    """With the check digits that the remainder by 97 asks for."""
+    chars = F.split(F.concat(body, country, F.lit("00")), "")
+    left = F.aggregate(chars, F.lit(0), lambda r, c: F.when(c.rlike("[0-9]"), r * 10 + c.try_cast("int")).otherwise(r * 100 + F.ascii(c) - 55) % 97)
+    return F.concat(country, F.lpad((98 - left).cast("string"), 2, "0"), body)
+
+
 def surrogate_of(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     """The replacement of an entity in its canonical form, drawn by the key. Of an e-mail the domain
-    depends on the domain alone and keeps its last label; a card keeps its first digit and a right check
-    digit; an octet is 1 to 254; a name keeps gender, script and number of words. Names and local parts
-    grow with the attempt, so that there are always enough; the other kinds keep their length, which leaves
-    8e8 surrogates or more to each."""
+    depends on the domain alone and keeps its last label; a phone number keeps its country code; a card keeps its first
+    digit and a right check digit, an IBAN its country and right check digits; an octet is 1 to 254; a name keeps gender,
+    script and number of words. Names and local parts grow with the attempt, so that there are always enough; the other
+    kinds keep their length, which leaves 8e8 surrogates or more to each."""
     stream = _stream(key, kind, canon, attempt)
     local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
     host, last = F.regexp_replace(domain, r"\.[^.]+$", ""), F.substring_index(domain, ".", -1)
     grown = F.floor(attempt / REDRAWS).cast("int")
     email = F.concat(_like(F.concat(local, F.repeat(F.lit("x"), grown)), stream), F.lit("@"), _like(host, _stream(key, F.lit("domain"), domain, F.lit(0))), F.lit("."), last)
     body = F.concat(F.substring(canon, 1, 1), _like(F.expr("substring(canon, 2, length(canon) - 2)"), stream))
+    phone = F.concat(F.expr("substring(canon, 1, length(canon) - 10)"), _like(F.right(canon, F.lit(10)), stream, (3,)))
+    iban = _iban(F.substring(canon, 1, 2), _like(F.expr("substring(canon, 5)"), stream))
     octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_nibble(stream, i) % 254 + 1).cast("string")), ".")
     words = F.split(F.substring_index(canon, ":", -1), " ")
-    script = F.when(canon.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+    script = F.when(canon.rlike(r"\p{IsCyrillic}"), "cyrillic").when(canon.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
     given, family = F.lit(None).cast("string"), F.lit(None).cast("string")
     for (s, g), names in GIVEN.items():
         mine = (script == s) & canon.startswith(f"{g}:")
@@ -120,11 +150,12 @@ def surrogate_of(key: str, kind: Column, canon: Column, attempt: Column) -> Colu
         made = F.array_join(F.transform(F.sequence(F.lit(1), grown + 4), lambda i: F.element_at(table, _nibble(stream, i) % len(parts) + 1)), "")  # noqa: B023
         family = F.when(script == s, F.initcap(made)).otherwise(family)
     name = F.when(F.size(words) > 1, F.concat_ws(" ", given, family)).otherwise(family)
-    return F.when(kind == "email", email).when(kind == "card", F.concat(body, _luhn(body))).when(kind == "ip", octets).when(kind == "name", name).otherwise(_like(canon, stream))
+    return F.when(kind == "email", email).when(kind == "card", F.concat(body, _luhn(body))).when(kind == "phone", phone).when(kind == "iban", iban).when(kind == "ip", octets).when(kind == "name", name).otherwise(_like(canon, stream))
 
 
-def written_as(kind: Column, value: Column, surrogate: Column) -> Column:
-    """The surrogate in the format of one mention: separators, country code, title and case stay."""
+def written_as(kind: Column, value: Column, surrogate: Column, part: Column) -> Column:
+    """The surrogate in the format of one mention: separators, country code, title and case stay; of a name
+    that the mention has in ``part``, the family name."""
     keep = F.greatest(F.length(_digits(value)) - F.length(surrogate), F.lit(0))
 
     def put(of: str) -> Column:
@@ -141,33 +172,68 @@ def written_as(kind: Column, value: Column, surrogate: Column) -> Column:
         lambda s, c: F.struct(F.concat(s["out"], F.when(c == " ", c).otherwise(F.substring(surrogate, s["k"] + 1, F.lit(1)))).alias("out"), (s["k"] + (c != " ").cast("int")).alias("k")),
         lambda s: s["out"],
     )
-    title = F.regexp_extract(value, r"^([^ ]+ )", 1)
+    title = F.regexp_extract(value, f"^({TITLE})", 1)
+    name = F.concat(title, F.when(part, F.substring_index(surrogate, " ", -1)).otherwise(surrogate))
     email = F.when(value == F.upper(value), F.upper(surrogate)).otherwise(surrogate)
-    return F.when(kind.isin("phone", "ssn", "card"), put("[0-9]")).when(kind == "iban", spaced).when(kind == "name", F.concat(title, surrogate)).when(kind == "email", email).otherwise(surrogate)
+    return F.when(kind.isin("phone", "ssn", "card"), put("[0-9]")).when(kind == "iban", spaced).when(kind == "name", name).when(kind == "email", email).otherwise(surrogate)
 
 
 def assign_surrogates(entities: DataFrame, key: str) -> DataFrame:
     """kind, canon, surrogate for the distinct entities kind, canon. Drawn again, with the next attempt,
     are those that meet the surrogate of another entity (of which the first keeps it) or any entity of
-    the corpus, until none does: so different entities stay different, and no surrogate reads as someone else's."""
-    known = cut(entities.distinct().withColumn("attempt", F.lit(0)))
+    the corpus: so different entities stay different, and no surrogate reads as someone else's. Each round
+    looks only at what the last one left. Where ROUNDS aren't enough, as a kind of a set length has nearly as many entities as
+    surrogates, it raises."""
+    pending = cut(entities.distinct().withColumn("attempt", F.lit(0)))
     # names are compared in lower case and without the gender
-    real = known.select("kind", F.when(F.col("kind") == "name", F.substring_index("canon", ":", -1)).otherwise(F.col("canon")).alias("form")).distinct()
-    while True:
-        drawn = known.withColumn("surrogate", surrogate_of(key, F.col("kind"), F.col("canon"), F.col("attempt")))
-        rank = F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("attempt", "canon"))
+    real = pending.select("kind", F.when(F.col("kind") == "name", F.substring_index("canon", ":", -1)).otherwise(F.col("canon")).alias("form")).distinct()
+    settled = pending.limit(0).select("kind", "canon", F.lit("").alias("surrogate"))
+    for _ in range(ROUNDS):
+        drawn = pending.withColumn("surrogate", surrogate_of(key, F.col("kind"), F.col("canon"), F.col("attempt")))
+        rank = F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("canon"))
         drawn = drawn.withColumn("met", rank > 1).withColumn("form", F.when(F.col("kind") == "name", F.lower("surrogate")).otherwise(F.col("surrogate")))
         drawn = drawn.join(real.withColumn("taken", F.lit(True)), ["kind", "form"], "left")
-        drawn = cut(drawn.select("kind", "canon", "attempt", "surrogate", (F.col("met") | F.coalesce("taken", F.lit(False))).alias("again")))
-        if drawn.where("again").isEmpty():
-            return drawn.select("kind", "canon", "surrogate")
-        known = drawn.select("kind", "canon", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"))
+        drawn = drawn.join(settled.select("kind", "surrogate", F.lit(True).alias("given")), ["kind", "surrogate"], "left")
+        again = F.col("met") | F.col("taken").isNotNull() | F.col("given").isNotNull()
+        drawn = cut(drawn.select("kind", "canon", "attempt", "surrogate", again.alias("again")))
+        settled = settled.union(drawn.where("not again").select("kind", "canon", "surrogate"))
+        pending = drawn.where("again").select("kind", "canon", (F.col("attempt") + 1).alias("attempt"))
+        if pending.isEmpty():
+            return settled
+    raise ValueError(f"no surrogates are left for some entities after {ROUNDS} rounds")
+
+
+def _pattern() -> Column:
+    """``ANY``, and the full names that the text has after a title, wherever they stand without one."""
+    full = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(KINDS["name"]), F.lit(0)), lambda x: F.regexp_replace(x, "^" + TITLE, "")))
+    full = F.filter(full, lambda x: x.contains(" "))
+    more = F.concat(F.lit(ANY + r"|(?<!\p{L})(?=\p{Lu})(?:"), F.array_join(full, "|"), F.lit(r")(?!\p{L})"))
+    return F.when(F.col("text").rlike(KINDS["name"]) & (F.size(full) > 0), more).otherwise(F.lit(ANY))
+
+
+def _resolved(names: DataFrame) -> DataFrame:
+    """Mentions of names (doc_id, _th, value, canon, ...) with the canon of the full name that the same text has
+    after a title: where the full name stands without one, and where only the family name does after a title of the
+    gender, if just one full name has it (part: true)."""
+    row = ["doc_id", "_th"]
+    titled, words = F.col("value").rlike("^" + TITLE), bare(F.col("value"))
+    full = names.where(titled & words.contains(" ")).select(*row, "canon", words.alias("full"), gender(F.col("value")).alias("gender"))
+    links = full.groupBy(*row, F.concat(F.lit("="), F.col("full")).alias("link")).agg(F.min("canon").alias("of"))
+    family = F.concat_ws(":", "gender", F.substring_index("full", " ", -1)).alias("link")
+    links = links.unionByName(full.groupBy(*row, family).agg(F.min("canon").alias("of"), F.max("canon").alias("other")).where("of = other").drop("other"))
+    links = links.select(F.col("doc_id").alias("_of_id"), F.col("_th").alias("_of_th"), F.col("link").alias("_of_link"), "of")
+    link = F.when(~titled, F.concat(F.lit("="), words)).when(~words.contains(" "), F.col("canon"))
+    same = F.col("doc_id").eqNullSafe(F.col("_of_id")) & (F.col("_th") == F.col("_of_th")) & (link == F.col("_of_link"))
+    out = names.join(links, same, "left").withColumn("part", titled & F.col("of").isNotNull())
+    return out.withColumn("canon", F.coalesce("of", "canon")).drop("_of_id", "_of_th", "_of_link", "of")
 
 
 def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Replace e-mail addresses, phone numbers, social security numbers, IPv4 addresses, card numbers,
-    IBANs and names after a title by surrogates that a secret ``key`` draws. Mentions of one entity get
-    one surrogate everywhere, in the format of each mention.
+    """Replace e-mail addresses, phone numbers, social security numbers, IPv4 addresses, card numbers (13 to 19
+    digits with a right check digit), IBANs and names after a title by surrogates that a secret ``key`` draws.
+    Mentions of one entity get one surrogate everywhere, in the format of each mention. A full name that stands after a
+    title is also replaced where the same text has it without one, and a family name alone after a title belongs to it.
+    Names are those in Latin, Cyrillic and Greek letters; other scripts are left alone.
 
     Returns one row for each row of ``docs``: doc_id, text (with surrogates), n_entities, entities (array
     of kind, start, end in code points of the original text, end exclusive, and surrogate as written). A null or empty text has
@@ -177,19 +243,23 @@ def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     Only matches are exploded; the distinct entities are checked for collisions by sorts on the
     surrogate. The join with mentions can be split by AQE where one entity is very common.
     """
-    base = texts(docs, id_col, text_col)
-    found = F.regexp_extract_all(F.col("text"), F.lit(ANY), F.lit(0))
-    pieces = F.split(F.col("text"), ANY, -1)
+    base = texts(docs, id_col, text_col).withColumn("_pat", _pattern())
+    found = F.regexp_extract_all(F.col("text"), F.col("_pat"), F.lit(0))
+    pieces = F.split(F.col("text"), F.col("_pat"), -1)
     hits = base.where(F.col("text").rlike(ANY)).select("doc_id", "_th", F.posexplode(F.transform(found, lambda x, i: F.struct(x.alias("value"), F.length(F.get(pieces, i)).alias("gap")))).alias("pos", "m"))
     hits = hits.select("doc_id", "_th", "pos", "m.value", "m.gap").distinct().withColumn("kind", kind_of(F.col("value"))).withColumn("canon", canonical(F.col("kind"), F.col("value")))
-    hits = cut(hits)
-    surrogates = assign_surrogates(hits.select("kind", "canon"), key)
+    digits = _digits(F.col("value"))
+    luhn = _luhn(F.substring(digits, F.lit(1), F.length(digits) - 1)) == F.right(digits, F.lit(1))
+    hits = cut(hits.withColumn("real", (F.col("kind") != "card") | luhn).withColumn("part", F.lit(False)))
+    hits = hits.where("kind <> 'name'").unionByName(_resolved(hits.where("kind = 'name'").drop("part")))
+    surrogates = assign_surrogates(hits.where("real").select("kind", "canon"), key)
     end = F.sum(F.col("gap") + F.length("value")).over(Window.partitionBy("doc_id", "_th").orderBy("pos")).cast("int")
-    spans = hits.withColumn("end", end).join(surrogates, ["kind", "canon"])
-    spans = spans.select("doc_id", "_th", "pos", "kind", (F.col("end") - F.length("value")).alias("start"), "end", written_as(F.col("kind"), F.col("value"), F.col("surrogate")).alias("surrogate"))
-    spans = spans.groupBy("doc_id", "_th").agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "start", "end", "surrogate"))).alias("m"))
+    spans = hits.withColumn("end", end).join(surrogates, ["kind", "canon"], "left")
+    shown = F.when(F.col("real"), written_as(F.col("kind"), F.col("value"), F.col("surrogate"), F.col("part"))).otherwise(F.col("value"))
+    spans = spans.select("doc_id", "_th", "pos", "kind", (F.col("end") - F.length("value")).alias("start"), "end", shown.alias("surrogate"), "real")
+    spans = spans.groupBy("doc_id", "_th").agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "start", "end", "surrogate", "real"))).alias("m"))
     out = left_on_row(base, spans)
     text = F.array_join(F.zip_with(pieces, F.transform("m", lambda x: x["surrogate"]), lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
-    entities = F.transform("m", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["surrogate"].alias("surrogate")))
+    entities = F.transform(F.filter("m", lambda x: x["real"]), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["surrogate"].alias("surrogate")))
     none = F.array().cast("array<struct<kind:string,start:int,end:int,surrogate:string>>")
     return out.select("doc_id", F.when(F.col("m").isNull(), F.col("text")).otherwise(text).alias("text"), F.coalesce(F.size(entities), F.lit(0)).cast("long").alias("n_entities"), F.coalesce(entities, none).alias("entities"))

@@ -65,21 +65,28 @@ class LatentNeighbours:
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
     def scores(self, vectors: np.ndarray, block: int = 1024) -> np.ndarray:
-        """Exact cosines with all labelled vectors, block by block, and the vote of the nearest, each
-        weighted by a power of its similarity. Without a similar neighbour: the share of label 1."""
+        """Exact cosines with all labelled vectors, block by block, and the vote of the nearest (of equally near
+        ones those that come first), each weighted by a power of its similarity. Without a similar neighbour: the share of label 1."""
         k = min(self.neighbours, len(self.labels))
         sims = np.full((len(vectors), 0), 0, np.float32)
         labels = np.zeros((len(vectors), 0), np.float32)
         for lo in range(0, len(self.labels), block):
             s = np.hstack([sims, vectors @ self.vectors[lo : lo + block].T])
             y = np.hstack([labels, np.broadcast_to(self.labels[lo : lo + block], (len(vectors), len(self.labels[lo : lo + block])))])
-            top = np.argpartition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k]
-            sims, labels = np.take_along_axis(s, top, 1), np.take_along_axis(y, top, 1)
+            top = _nearest(s, min(k, s.shape[1]))
+            sims, labels = s[top].reshape(len(s), -1), y[top].reshape(len(s), -1)
         w = np.maximum(sims, 0).astype(np.float64) ** 8
         total = w.sum(1)
         return np.where(total > 1e-9, np.clip((w * labels).sum(1) / np.maximum(total, 1e-9), 0, 1), self.prior)
 
 
+def _nearest(s: np.ndarray, k: int) -> np.ndarray:
+    """Marks the k largest of each row, and of equal ones the first."""
+    least = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k] if k else np.zeros((len(s), 1), s.dtype)
+    above, level = s > least, s == least
+    return above | (level & (np.cumsum(level, 1) <= k - above.sum(1, keepdims=True)))
+
+
 def _damped(n: np.ndarray) -> np.ndarray:
     """Counts damped by the square root; length doesn't matter, since vectors get length 1."""
     return np.sqrt(n.astype(np.float32))
@@ -89,9 +96,12 @@ def fit_neighbours(docs: DataFrame, labels: DataFrame, per_class: int = 2000, di
     """Fit on labelled rows whose crc32 of the id isn't in the fold ``held_out`` of ``mod``: about
     ``per_class`` of each label, those of the smallest hashes of their ids, so the labelled vectors
     that are broadcast stay below 2 * ``per_class`` * ``dims`` * 4 bytes or so at any size. Texts are
-    turned into counts on the executors; only these reach the driver. None where a label is missing."""
+    turned into counts on the executors; only these reach the driver. An id whose rows in ``labels`` contradict each other
+    isn't learnt from; different texts under one id all have its label, and equal ones count once. Ids
+    without a text, and labels other than 0 and 1, are skipped. None where a label is missing."""
     known = labels.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{label_col}`").cast("int").alias("y"))
     known = known.where(F.col("i").isNotNull() & F.col("y").isin(0, 1) & (fold(F.col("i"), mod) != held_out))
+    known = known.groupBy("i").agg(F.min("y").alias("y"), F.max("y").alias("other")).where("y = other").drop("other")
     share = {r["y"]: min(1.0, per_class / r["count"]) for r in known.groupBy("y").count().collect()}
     if len(share) < 2:
         return None
@@ -103,8 +113,8 @@ def fit_neighbours(docs: DataFrame, labels: DataFrame, per_class: int = 2000, di
             found = [features(t.as_py()) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([f[0].astype(np.int32).tobytes() for f in found]), pa.array([f[1].astype(np.int32).tobytes() for f in found])], names=["i", "y", "at", "n"])
 
-    sample = rows.join(F.broadcast(known.where(part).distinct()), "i").select(F.col("i").cast("string"), "y", "text")
-    got = sample.mapInArrow(count, "i string, y int, at binary, n binary").toPandas().sort_values(["i", "y"], kind="stable")
+    sample = rows.join(F.broadcast(known.where(part)), "i").select(F.col("i").cast("string"), "y", "text").distinct()
+    got = sample.mapInArrow(count, "i string, y int, at binary, n binary").toPandas().sort_values(["i", "y", "at", "n"], kind="stable")
     if got["y"].nunique() < 2:
         return None
     tf = np.zeros((len(got), DIMS), np.float32)

@@ -54,8 +54,8 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = repeated_passages(table(spark, sf_dir, "documents"), min_words=30)
-    spans = F.transform("removed", lambda r: F.concat_ws(":", r["start"].cast("string"), r["end"].cast("string"), r["keep_doc_id"].cast("string")))
+    out = repeated_passages(table(spark, sf_dir, "documents"), min_words=50)
+    spans = F.transform("removed", lambda r: F.concat_ws(":", r["start"].cast("string"), r["end"].cast("string"), r["words"].cast("string"), r["keep_doc_id"].cast("string")))
     return out.select("doc_id", "text", "n_units", "n_removed", F.array_join(spans, ",").alias("removed"))
 
 
@@ -128,16 +128,25 @@ select doc_id, m.source as mix_source, mix_start // 131072 as block, mix_start /
   ((mix_start // 131072 + 1) * 1000 + a - 1) // a as deadline, mix_start, mix_start // 131072 // a * 1000 + slot < e.e as in_mix
 from m join k on k.source = m.source and k.k = mix_start // 131072 % k.a + 1, e""",
     "op7_substring_dedup": f"""
-with d as (select doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '[^.!?\\n]*[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*'), lambda x: x <> '') as parts from documents),
-u as (select doc_id, unnest(parts) as unit, unnest(range(len(parts))) as pos from d),
-k as (select doc_id, pos, unit, sum(length(unit)) over (partition by doc_id order by pos) as upto, trim(regexp_replace(translate(unit, {_AZ}), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g')) as key from u),
-o as (select key, min(doc_id) as keep from k where key <> '' group by key having count(*) > 1),
-f as (select doc_id, pos, unit, upto, len(string_split(key, ' ')) as words, keep, case when doc_id = keep then rank() over (partition by doc_id, key order by pos) else 2 end as nth from k join o using (key)),
-i as (select *, pos - row_number() over (partition by doc_id order by pos) as island from f where nth > 1),
-r as (select doc_id, min(pos) as a, max(pos) as b, min(upto - length(unit)) as s, max(upto) as e, arg_min(keep, pos) as keep from i group by doc_id, island having sum(words) >= 30),
-g as (select doc_id, sum(b - a + 1) as n, string_agg(s || ':' || e || ':' || keep, ',' order by s) as removed from r group by doc_id),
-t as (select k.doc_id, string_agg(unit, '' order by pos) as text from k where not exists (select 1 from r where r.doc_id = k.doc_id and k.pos between r.a and r.b) group by k.doc_id)
-select d.doc_id, coalesce(t.text, '') as text, len(parts)::bigint as n_units, coalesce(n, 0)::bigint as n_removed, coalesce(removed, '') as removed from d left join g using (doc_id) left join t using (doc_id)""",
+with d as (select doc_id, coalesce(text, '') as text, translate(coalesce(text, ''), {_AZ}) as low from documents),
+x as (select doc_id, text, regexp_extract_all(low, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w, string_split_regex(low, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as g from d),
+e as (select doc_id, unnest(range(1, len(w) + 1)) as i, unnest(w) as v, unnest(g[: len(w)]) as gap from x),
+p as (select doc_id, i, (sum(len(gap) + len(v)) over (partition by doc_id order by i) - len(v))::bigint as start from e),
+n as (select x.doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) as h from x, lateral (select unnest(range(1, len(w) - 48)) as i) where len(w) >= 50),
+o as (select h, min(doc_id) as keep from n group by h having count(*) > 1),
+f as (select doc_id, i, keep, case when doc_id = keep then i - min(i) over (partition by doc_id, h) else 50 end as since from n join o using (h)),
+j as (select doc_id, i, keep, (i - coalesce(lag(i) over (partition by doc_id order by i), -100) > 50)::int as new from f where since >= 50),
+k as (select doc_id, i, keep, sum(new) over (partition by doc_id order by i) as island from j),
+r as (select doc_id, min(i) as a, max(i) + 50 as z, arg_min(keep, i) as keep from k group by doc_id, island),
+s as (select r.doc_id, p.start as a, coalesce(q.start, len(x.text)) as z, r.z - r.a as words, keep from r join x using (doc_id) join p on p.doc_id = r.doc_id and p.i = r.a left join p q on q.doc_id = r.doc_id and q.i = r.z),
+l0 as (select doc_id, list_filter(regexp_extract_all(text, '[^\\n]*[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*'), lambda y: y <> '') as u from d),
+l1 as (select doc_id, unnest(u) as line, unnest(range(len(u))) as pos from l0),
+l as (select doc_id, pos, len(line) as size, sum(len(line)) over (partition by doc_id order by pos) as upto from l1),
+c as (select l.doc_id, count(*) as n_units, count(*) filter (where exists (select 1 from s where s.doc_id = l.doc_id and s.a < l.upto and s.z > l.upto - l.size)) as n_removed from l group by l.doc_id),
+t as (select doc_id, list(struct_pack(a := a, z := z) order by a) as m, string_agg(a || ':' || z || ':' || words || ':' || keep, ',' order by a) as removed from s group by doc_id)
+select d.doc_id, case when m is null then text else list_reduce(list_prepend('', list_transform(range(len(m) + 1), lambda b: text[case when b = 0 then 0 else m[b].z end + 1 : case when b = len(m) then len(text) else m[b + 1].a end])), lambda u, v: u || v) end as text,
+  coalesce(n_units, 0)::bigint as n_units, coalesce(n_removed, 0)::bigint as n_removed, coalesce(removed, '') as removed
+from d left join t using (doc_id) left join c using (doc_id)""",
     "op8_exact_dedup": f"""
 with n as (select doc_id, translate(coalesce(text, ''), {_AZ}) as t from documents)
 select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size, doc_id = max(doc_id) over (partition by t) as kept, sha256(t) as text_sha256 from n""",
@@ -145,20 +154,28 @@ select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (part
 
 
 def _secrets_sql() -> str:
-    from folioforge.llm.secrets import BASE, WEAK
-
+    # written out here, so that the SQL doesn't follow the operator's own patterns
+    keys = "[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]"
+    users = "[uU][sS][eE][rR](?:[nN][aA][mM][eE])?|[lL][oO][gG][iI][nN]|[cC][lL][iI][eE][nN][tT]_?[iI][dD]|[aA][cC][cC][oO][uU][nN][tT]"
+    given = "[\"'']?\\x20*[:=]\\x20*[\"'']?"
+    patterns = (
+        (f"(?:{keys}){given}([A-Za-z0-9+/_.=-]+)", 1, "len(v) >= 6"),
+        ("AKIA[A-Z0-9]+", 0, "len(v) >= 20"),
+        ("[0-9a-f]+", 0, "len(v) >= 24"),
+        (f"(?:{users}){given}[A-Za-z0-9@_.-]+", 0, "true"),
+        ("[A-Za-z0-9+/]+", 0, "len(v) >= 40 and regexp_matches(m, '[A-Z]') and regexp_matches(m, '[a-z]') and regexp_matches(m, '[0-9]')"),
+        ("[a-z][a-z0-9+]*://[A-Za-z0-9._~:/?#@%&=+-]+|[hH][oO][sS][tT][\"'']?\\x20*[:=]\\x20*[\"'']?[A-Za-z0-9_.:-]+|[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}", 0, "true"),
+    )
     each = []
-    for i, p in enumerate((*BASE, *WEAK)):
-        re = p.regex.replace("'", "''")
-        also = "".join(f" and regexp_matches(m, '{a}')" for a in p.also)
+    for i, (re, group, ok) in enumerate(patterns):
         each.append(f"""select doc_id, {i} as kind, s + len(m) as "end", s as start from (
   select doc_id, m, sum(len(g) + len(m)) over (partition by doc_id order by o) - len(m) as s, v from (
     select doc_id, unnest(string_split_regex(text, '{re}')[: len(m)]) as g, unnest(m) as m, unnest(v) as v, unnest(range(len(m))) as o from (
-      select doc_id, text, regexp_extract_all(text, '{re}') as m, regexp_extract_all(text, '{re}', {p.group}) as v from documents where regexp_matches(text, '{re}'))))
-where len(v) >= {p.least} and len(m) <= {p.most}{also}""")
+      select doc_id, text, regexp_extract_all(text, '{re}') as m, regexp_extract_all(text, '{re}', {group}) as v from documents where regexp_matches(text, '{re}'))))
+where {ok}""")
     return f"""
 with p0 as ({' union all '.join(each)}),
-p as (select * from p0 where kind < {len(BASE)} or not exists (select 1 from p0 b where b.doc_id = p0.doc_id and b.kind < {len(BASE)} and b.start < p0."end" and p0.start < b."end")),
+p as (select * from p0 where kind < 3 or not exists (select 1 from p0 b where b.doc_id = p0.doc_id and b.kind < 3 and b.start < p0."end" and p0.start < b."end")),
 near as (select a.doc_id, a.kind, a.start, a."end", bool_or(b.kind in (1, 3)) as ident, bool_or(b.kind in (0, 2, 4)) as secret, bool_or(b.kind = 5) as endpoint
   from p a left join p b on a.doc_id = b.doc_id and (a.kind, a.start, a."end") <> (b.kind, b.start, b."end") and b.start - a."end" <= 300 and a.start - b."end" <= 300 group by all),
 k as (select doc_id, kind, start, ['assign', 'access', 'hex', 'login', 'blob', 'endpoint'][kind + 1] || ':' || start || ':' || "end" as s from near

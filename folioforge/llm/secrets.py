@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,14 +14,14 @@ from folioforge.llm.common import left_on_row, texts
 @dataclass(frozen=True)
 class Pattern:
     """kind: name of its spans; regex: Java syntax; group and least: matches whose group has fewer
-    code points are dropped; also: what the whole match must contain, too; most: code points of a match at most."""
+    code points are dropped; also: what the whole match must contain, too; some: a text with none of these has no match."""
 
     kind: str
     regex: str
     group: int = 0
     least: int = 1
     also: tuple[str, ...] = ()
-    most: int = 1 << 30
+    some: tuple[str, ...] = ()
 
 
 #: Either case of the keywords by classes, so that no Unicode folding is involved.
@@ -32,14 +33,14 @@ _ENDPOINT = r"""[a-z][a-z0-9+]*://[A-Za-z0-9._~:/?#@%&=+-]+|[hH][oO][sS][tT]["']
 #: runs, so a shorter one can't hide a longer one, and most texts yield no match to size.
 #: Reported wherever they stand. In this order where spans start together.
 BASE = (
-    Pattern("assign", _ASSIGN, 2, 6),
-    Pattern("access", "AKIA[A-Z0-9]{16,}", 0, 20),
+    Pattern("assign", _ASSIGN, 2, 6, some=(":", "=")),
+    Pattern("access", "AKIA[A-Z0-9]{16,}", 0, 20, some=("AKIA",)),
     Pattern("hex", "[0-9a-f]{24,}", 0, 24),
 )
 #: Too common alone; reported only where the complementary parts stand within the scope.
 WEAK = (
-    Pattern("login", _LOGIN),
-    Pattern("blob", "[A-Za-z0-9+/]{40,}", also=("[A-Z]", "[a-z]", "[0-9]"), most=40),
+    Pattern("login", _LOGIN, some=(":", "=")),
+    Pattern("blob", "[A-Za-z0-9+/]{40,}", also=("[A-Z]", "[a-z]", "[0-9]")),
     Pattern("endpoint", _ENDPOINT),
 )
 ROLES = {"access": "identifier", "login": "identifier", "assign": "secret", "hex": "secret", "blob": "secret", "endpoint": "endpoint"}
@@ -51,16 +52,16 @@ def _matches(text: Column, p: Pattern) -> Column:
     The pieces between matches come from ``split`` with the same pattern."""
     re, none = F.lit(p.regex), F.array().cast("array<struct<kind:int,ord:int,gap:int,len:int,ok:boolean>>")
     found = F.regexp_extract_all(text, re, F.lit(0))
-    sized = F.regexp_extract_all(text, re, F.lit(p.group))
 
     def one(x: Column, i: Column) -> Column:
-        ok = (F.length(F.get(sized, i)) >= p.least) & (F.length(x) <= p.most)
+        ok = F.length(F.get(F.regexp_extract_all(text, re, F.lit(p.group)), i) if p.group else x) >= p.least
         for also in p.also:
             ok = ok & x.rlike(also)
         return F.struct(F.lit(KINDS.index(p.kind)).alias("kind"), i.alias("ord"), F.length(F.get(F.split(text, p.regex, -1), i)).alias("gap"), F.length(x).alias("len"), ok.alias("ok"))
 
-    # a match is looked for first: most texts have none
-    return F.when(text.rlike(p.regex), F.transform(found, one)).otherwise(none)
+    # a match is looked for first, and before it what it can't do without: most texts have none
+    may = reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in p.some]) & text.rlike(p.regex) if p.some else text.rlike(p.regex)
+    return F.when(may, F.transform(found, one)).otherwise(none)
 
 
 def find_secrets(docs: DataFrame, scope: int = 300, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -71,7 +72,8 @@ def find_secrets(docs: DataFrame, scope: int = 300, id_col: str = "doc_id", text
     secret. A weak span that overlaps a base span isn't reported.
 
     Returns one row for each row of ``docs``: doc_id, spans (array of kind, start, end in code points,
-    end exclusive, by start and then in the order of kinds). A null or empty text has none; where rows
+    end exclusive, by start and then in the order of kinds, and linked: of each other role - identifier, secret, endpoint - the part that
+    stands nearest within the scope, as role, kind, start, end). A null or empty text has none; where rows
     repeat a doc_id and a text they share the spans. An empty table gives an empty result; other columns are ignored.
 
     The join is an interval join by sorted order: for every part the nearest one of each role on
@@ -92,20 +94,29 @@ def find_secrets(docs: DataFrame, scope: int = 300, id_col: str = "doc_id", text
     parts = parts.withColumn("hit", F.coalesce(hit, F.lit(False))).where("not (weak and hit)")
 
     def near(role: str) -> Column:
+        """The nearest other part of the role within the scope, the earlier one of two."""
         of = F.col("role") == role
-        left, right = F.max(F.when(of, F.col("end"))).over(before), F.min(F.when(of, F.col("start"))).over(after)
-        return F.coalesce(F.col("start") - left <= scope, F.lit(False)) | F.coalesce(right - F.col("end") <= scope, F.lit(False))
+        left = F.max(F.when(of, F.struct("end", "start", "kind"))).over(before)
+        right = F.min(F.when(of, F.struct("start", "end", "kind"))).over(after)
+        left_by, right_by = F.col("start") - left["end"], right["start"] - F.col("end")
+        part = lambda x: F.struct(F.lit(role).alias("role"), F.get(names, x["kind"]).alias("kind"), x["start"].alias("start"), x["end"].alias("end"))
+        first = (left_by <= scope) & (right_by.isNull() | (left_by <= right_by))
+        return F.when(first, part(left)).when(right_by <= scope, part(right))
 
-    parts = parts.withColumns({r: near(r) for r in ("identifier", "secret", "endpoint")})
-    needs = {"login": F.col("secret"), "blob": F.col("identifier") | F.col("endpoint"), "endpoint": F.col("identifier") & F.col("secret")}
-    linked = ~F.col("weak")
+    names = F.array(*[F.lit(k) for k in KINDS])
+    roles = ("identifier", "secret", "endpoint")
+    parts = parts.withColumns({r: near(r) for r in roles})
+    have = {r: F.col(r).isNotNull() for r in roles}
+    needs = {"login": have["secret"], "blob": have["identifier"] | have["endpoint"], "endpoint": have["identifier"] & have["secret"]}
+    kept = ~F.col("weak")
     for k, need in needs.items():
-        linked = linked | ((F.col("kind") == KINDS.index(k)) & need)
-    spans = parts.where(linked).groupBy("doc_id", "_th").agg(F.array_sort(F.collect_list(F.struct("start", F.col("kind").alias("k"), "end"))).alias("found"))
+        kept = kept | ((F.col("kind") == KINDS.index(k)) & need)
+    linked = F.filter(F.array(*[F.when(F.col("role") != r, F.col(r)) for r in roles]), lambda x: x.isNotNull())
+    spans = parts.where(kept).groupBy("doc_id", "_th").agg(F.array_sort(F.collect_list(F.struct("start", F.col("kind").alias("k"), "end", linked.alias("linked")))).alias("found"))
     out = left_on_row(base.select("doc_id", "_th"), spans)
-    names = F.array(*[F.lit(k) for k in KINDS])
-    shown = F.transform("found", lambda x: F.struct(F.get(names, x["k"]).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    return out.select("doc_id", F.coalesce(shown, F.array().cast("array<struct<kind:string,start:int,end:int>>")).alias("spans"))
+    shown = F.transform("found", lambda x: F.struct(F.get(names, x["k"]).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["linked"].alias("linked")))
+    none = F.array().cast("array<struct<kind:string,start:int,end:int,linked:array<struct<role:string,kind:string,start:int,end:int>>>>")
+    return out.select("doc_id", F.coalesce(shown, none).alias("spans"))
 
 
 def written(spans: Column) -> Column:

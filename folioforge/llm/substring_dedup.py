@@ -1,4 +1,4 @@
-"""Substring dedup by hashing sentences and lines, and then windows of words."""
+"""Substring dedup by hashing lines, and then windows of words for passages that start or end within a line."""
 
 from __future__ import annotations
 
@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from folioforge.llm.common import BROADCAST_ROWS, LOWER_BYTES, ascii_lower, cut, hash_pair, left_on_row, texts
 
-#: A unit: up to the end of a sentence or line, with all ASCII marks and blanks after it. Units cover the text.
-UNIT = r"[^.!?\n]*+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*+"
+#: A unit: a line with all ASCII marks and blanks after it, so up to the next word. Units cover the text.
+MARKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*+"
+UNIT = r"[^\n]*+" + MARKS
 
 #: What separates words: ASCII other than letters and digits.
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -156,94 +157,95 @@ def _repeats(windows: DataFrame, passage: int) -> DataFrame:
     return found.groupBy("doc_id", "_th").agg(F.array_sort(F.collect_list(F.struct("start", "end", "keep_doc_id"))).alias("wins"))
 
 
-def repeated_passages(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", passage: int = 50) -> DataFrame:
-    """Remove passages that an earlier document, or an earlier place of the same document, has already.
-    A text is cut into units (sentences, and lines in them); units are equal when they are after
-    lower-casing A-Z when only their words count, without marks between them. Of equal units the one of the least doc_id stays, and in it
-    the first. Other occurrences go where they stand in an unbroken run of such of at least ``min_words``
-    words; single common sentences aren't touched. Then every window of ``passage`` words, wherever in a sentence
-    it starts and ends, goes in the same way: where the first occurrence is in another document, or in
-    this one without overlap. Windows that lie wholly in what the units took are not looked at.
-
-    Returns one row for each row of ``docs``: doc_id, text (what stays), n_units, n_removed (units, in whole or in part),
-    removed (array of start, end in code points of the original text, end exclusive, words,
-    keep_doc_id (of the first unit)). A null or empty text has no units; the blanks and marks before the first word never go. Rows that share a doc_id count
-    as one document, so neither loses what the other has; null doc_ids come after all others. An empty
-    table gives an empty result; other columns are ignored.
-
-    128-bit digests and positions are shuffled, texts once. Counts and least ids are combined before
-    the shuffle. The repeated digests are checkpointed, so that their join is one between plain shuffles,
-    which AQE can split where one unit is very common. Of windows only those are shuffled whose fingerprint
+def repeated_passages(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Remove passages of ``min_words`` words or more that an earlier document, or an earlier place of the same
+    document, has already. Words are what ASCII letters and digits and all non-ASCII characters make up; they are
+    compared after lower-casing A-Z, without the marks between them.
+
+    Lines are hashed first: of the occurrences of a line of at least ``min_words`` words, that of the least doc_id stays, and in it the
+    first; the rest goes. Then every window of ``min_words`` words, wherever in a line it starts and ends, goes in the same
+    way: where the first occurrence is in another document, or in this one without overlap. Windows in lines that went
+    already are not looked at again. So what goes is just this: every word in a window of ``min_words`` words that a
+    document of a lesser doc_id has too, or this one at ``min_words`` words before or more.
+
+    Returns one row for each row of ``docs``: doc_id, text (what stays), n_units (lines), n_removed (lines gone in whole or in
+    part), removed (array of start, end in code points of the original text, end exclusive, words, keep_doc_id (that has the
+    first words of it); spans that touch are one). A span reaches up to the next word or the end of the text. A null or empty text has no units; blanks and
+    marks before the first word never go. Rows that share a doc_id count as one document, so neither loses what the other
+    has; null doc_ids come after all others. An empty table gives an empty result; other columns are ignored.
+
+    128-bit digests and positions are shuffled, texts once at most. Counts and least ids are combined before
+    the shuffle. Long lines and repeated digests are checkpointed, so that their join is one between plain shuffles,
+    which AQE can split where one line is very common. Of windows only those are shuffled whose fingerprint
     is repeated; they and what is found are checkpointed. What is removed meets the texts by a broadcast
     where it is for few rows, and else by a shuffle of the texts, which are then checkpointed once.
     """
     base = texts(docs, id_col, text_col)
-    units = base.select("doc_id", "_th", F.posexplode(F.regexp_extract_all("text", F.lit(UNIT), F.lit(0))).alias("pos", "unit")).where("unit <> ''")
+    id_type = base.schema["doc_id"].dataType.simpleString()
+    units = base.select("doc_id", "_th", F.posexplode(F.regexp_extract_all("text", F.lit(UNIT), F.lit(0))).alias("pos", "unit"))
+    # so many words have as many characters, and one less between them
+    units = units.where(F.length("unit") >= 2 * min_words - 1)
     key = F.btrim(F.regexp_replace(ascii_lower(F.col("unit")), NO_WORD, " "))
     h1, h2 = hash_pair(F.col("key"))
-    units = units.select("doc_id", "_th", "pos", key.alias("key")).where("key <> ''").select("doc_id", "_th", "pos", (F.size(F.split("key", " "))).alias("words"), h1.alias("h1"), h2.alias("h2"))
+    units = units.select("doc_id", "_th", "pos", key.alias("key")).where(F.size(F.split("key", " ")) >= min_words)
+    units = cut(units.select("doc_id", "_th", "pos", h1.alias("h1"), h2.alias("h2")))
     often = cut(units.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("keep_doc_id")).where("n > 1").select("h1", "h2", "keep_doc_id"))
     again = Window.partitionBy("doc_id", "_th", "h1", "h2").orderBy("pos")
-    # by document before anything is ranked: else the join could not be split where a unit is very common
+    # by document before anything is ranked: else the join could not be split where a line is very common
     found = units.join(often, ["h1", "h2"]).repartition("doc_id", "_th")
     own = F.col("doc_id").eqNullSafe(F.col("keep_doc_id"))
     found = found.withColumn("nth", F.when(own, F.rank().over(again)).otherwise(2)).where("nth > 1")
-    line = Window.partitionBy("doc_id", "_th").orderBy("pos")
     # rows that repeat a doc_id and a text give the same positions
-    found = found.groupBy("doc_id", "_th", "pos").agg(F.first("words").alias("words"), F.first("keep_doc_id").alias("keep_doc_id"))
-    found = found.withColumn("island", F.col("pos") - F.row_number().over(line))
-    runs = found.groupBy("doc_id", "_th", "island").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.sum("words").alias("words"), F.min_by("keep_doc_id", "pos").alias("keep_doc_id")).where(F.col("words") >= min_words)
-    runs = runs.groupBy("doc_id", "_th").agg(F.array_sort(F.collect_list(F.struct("first", "last", "words", "keep_doc_id"))).alias("runs"))
-    runs = cut(runs)
-    few = runs.count() <= BROADCAST_ROWS
-    out = left_on_row(base, F.broadcast(runs)) if few else cut(left_on_row(base, runs))
+    lines = cut(found.groupBy("doc_id", "_th").agg(F.array_sort(F.array_distinct(F.collect_list(F.struct("pos", "keep_doc_id")))).alias("gone")))
+    few = lines.count() <= BROADCAST_ROWS
+    out = left_on_row(base, F.broadcast(lines)) if few else cut(left_on_row(base, lines))
     parts = F.regexp_extract_all("text", F.lit(UNIT), F.lit(0))
-    # one pass over the lengths of units gives the offsets of all runs
-    chars = lambda start, n: F.aggregate(F.slice("parts", start + 1, n), F.lit(0), lambda a, x: a + F.length(x))
-    kind = "array<struct<start:int,end:int,words:bigint,keep_doc_id:" + base.schema["doc_id"].dataType.simpleString() + ">>"
+    lead = F.length(F.regexp_extract("text", "^" + MARKS, 0))
+    kind = f"array<struct<start:int,end:int,keep_doc_id:{id_type}>>"
 
-    def step(s: Column, r: Column) -> Column:
-        start = s["chars"] + chars(s["units"], r["first"] - s["units"])
-        end = start + chars(r["first"], r["last"] - r["first"] + 1)
-        span = F.struct(start.alias("start"), end.alias("end"), r["words"].alias("words"), r["keep_doc_id"].alias("keep_doc_id"))
-        return F.struct((r["last"] + 1).alias("units"), end.alias("chars"), F.concat(s["spans"], F.array(span)).cast(kind).alias("spans"))
+    def line(s: Column, g: Column) -> Column:
+        """One pass over the lengths of lines gives the offsets of all that go."""
+        start = s["chars"] + F.aggregate(F.slice("parts", s["units"] + 1, g["pos"] - s["units"]), F.lit(0), lambda a, x: a + F.length(x))
+        end = start + F.length(F.get(F.col("parts"), g["pos"]))
+        span = F.struct(F.greatest(start, lead).alias("start"), end.alias("end"), g["keep_doc_id"].alias("keep_doc_id"))
+        return F.struct((g["pos"] + 1).alias("units"), end.alias("chars"), F.concat(s["spans"], F.array(span)).cast(kind).alias("spans"))
 
     start = F.struct(F.lit(0).alias("units"), F.lit(0).alias("chars"), F.array().cast(kind).alias("spans"))
-    spans = F.aggregate("runs", start, step, lambda s: s["spans"])
-    spans = F.when(F.col("runs").isNull(), F.array().cast(kind)).otherwise(spans)
-    slim = out.withColumn("parts", F.when(F.col("runs").isNotNull(), parts))
+    spans = F.aggregate("gone", start, line, lambda s: s["spans"])
+    spans = F.when(F.col("gone").isNull(), F.array().cast(kind)).otherwise(spans)
+    slim = out.withColumn("parts", F.when(F.col("gone").isNotNull(), parts))
     slim = slim.select("doc_id", "_th", "text", F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
-    windows = _repeated_windows(slim, passage)
+    windows = _repeated_windows(slim, min_words)
     if windows is None:
-        out = out.withColumn("wins", F.lit(None).cast("array<struct<start:int,end:int,keep_doc_id:" + base.schema["doc_id"].dataType.simpleString() + ">>"))
+        out = out.withColumn("wins", F.lit(None).cast(kind))
     else:
-        wins = cut(_repeats(windows, passage))
+        wins = cut(_repeats(windows, min_words))
         out = left_on_row(out, F.broadcast(wins) if wins.count() <= BROADCAST_ROWS else wins)
-    out = out.withColumn("parts", parts).withColumn("spans", spans)
 
     def join(s: Column, x: Column) -> Column:
         """Spans that meet or overlap become one, of the document of the first."""
-        end = F.element_at(s, -1)["end"]
-        last = F.struct(F.element_at(s, -1)["start"].alias("start"), F.greatest(end, x["end"]).alias("end"), F.lit(0).cast("long").alias("words"), F.element_at(s, -1)["keep_doc_id"].alias("keep_doc_id"))
-        meets = (F.size(s) > 0) & (F.try_element_at(s, F.lit(-1))["end"] > x["start"])
-        return F.when(meets, F.concat(F.slice(s, 1, F.size(s) - 1), F.array(last)).cast(kind)).otherwise(F.concat(s, F.array(x)).cast(kind))
+        last = F.try_element_at(s, F.lit(-1))
+        one = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), last["keep_doc_id"].alias("keep_doc_id"))
+        meets = (F.size(s) > 0) & (last["end"] >= x["start"])
+        return F.when(meets, F.concat(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))), F.array(one)).cast(kind)).otherwise(F.concat(s, F.array(x)).cast(kind))
 
-    both = F.array_sort(F.concat("spans", F.transform("wins", lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.lit(0).cast("long").alias("words"), w["keep_doc_id"].alias("keep_doc_id"))).cast(kind)))
+    some = F.col("gone").isNotNull() | F.col("wins").isNotNull()
+    out = out.withColumn("parts", parts).withColumn("spans", spans)
+    both = F.array_sort(F.concat("spans", F.coalesce(F.col("wins"), F.array()).cast(kind)))
+    out = out.withColumn("both", F.when(some, F.aggregate(both, F.array().cast(kind), join)).otherwise(F.array().cast(kind)))
     piece = lambda start, end: F.substring(F.col("text"), start + 1, end - start)
     count = lambda t: F.size(F.filter(F.split(F.regexp_replace(ascii_lower(t), NO_WORD, " "), " "), lambda w: w != "")).cast("long")
-    both = F.transform(F.aggregate(both, F.array().cast(kind), join), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), count(piece(s["start"], s["end"])).alias("words"), s["keep_doc_id"].alias("keep_doc_id")))
-    some = F.col("wins").isNotNull()
-    out = out.withColumn("removed", F.when(some, both.cast(kind)).otherwise(F.col("spans")))
-    starts = F.concat(F.array(F.lit(0)), F.transform("removed", lambda s: s["end"]))
-    ends = F.concat(F.transform("removed", lambda s: s["start"]), F.array(F.length("text")))
+    # before the text is replaced: a lambda would see the new one
+    out = out.withColumn("removed", F.transform("both", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), count(piece(s["start"], s["end"])).alias("words"), s["keep_doc_id"].alias("keep_doc_id"))))
+    starts = F.concat(F.array(F.lit(0)), F.transform("both", lambda s: s["end"]))
+    ends = F.concat(F.transform("both", lambda s: s["start"]), F.array(F.length("text")))
     kept = F.array_join(F.zip_with(starts, ends, piece), "")
-    in_span = lambda a, z: F.exists("removed", lambda s: (s["start"] < z) & (s["end"] > a)).cast("int")
+    in_span = lambda a, z: F.exists("both", lambda s: (s["start"] < z) & (s["end"] > a)).cast("int")
     touched = F.aggregate("parts", F.struct(F.lit(0).alias("chars"), F.lit(0).alias("n")), lambda s, x: F.struct((s["chars"] + F.length(x)).alias("chars"), (s["n"] + in_span(s["chars"], s["chars"] + F.length(x))).alias("n")), lambda s: s["n"])
-    by_units = F.aggregate("runs", F.lit(0), lambda a, r: a + r["last"] - r["first"] + 1)
     return out.select(
         "doc_id",
-        F.when(F.size("removed") == 0, F.col("text")).otherwise(kept).alias("text"),
+        F.when(some, kept).otherwise(F.col("text")).alias("text"),
         F.size(F.filter("parts", lambda x: x != "")).cast("long").alias("n_units"),
-        F.when(some, touched).otherwise(F.coalesce(by_units, F.lit(0))).cast("long").alias("n_removed"),
+        F.when(some, touched).otherwise(0).cast("long").alias("n_removed"),
         "removed",
     )
