@@ -55,7 +55,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeated_passages(table(spark, sf_dir, "documents"), min_words=50)
-    spans = F.transform("removed", lambda r: F.concat_ws(":", r["start"].cast("string"), r["end"].cast("string"), r["words"].cast("string"), r["keep_doc_id"].cast("string")))
+    spans = F.transform("removed", lambda r: F.concat_ws(":", r["start"].cast("string"), r["end"].cast("string"), r["words"].cast("string")))
     return out.select("doc_id", "text", "n_units", "n_removed", F.array_join(spans, ",").alias("removed"))
 
 
@@ -135,15 +135,15 @@ p as (select doc_id, i, (sum(len(gap) + len(v)) over (partition by doc_id order
 n as (select x.doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) as h from x, lateral (select unnest(range(1, len(w) - 48)) as i) where len(w) >= 50),
 o as (select h, min(doc_id) as keep from n group by h having count(*) > 1),
 f as (select doc_id, i, keep, case when doc_id = keep then i - min(i) over (partition by doc_id, h) else 50 end as since from n join o using (h)),
-j as (select doc_id, i, keep, (i - coalesce(lag(i) over (partition by doc_id order by i), -100) > 50)::int as new from f where since >= 50),
-k as (select doc_id, i, keep, sum(new) over (partition by doc_id order by i) as island from j),
-r as (select doc_id, min(i) as a, max(i) + 50 as z, arg_min(keep, i) as keep from k group by doc_id, island),
-s as (select r.doc_id, p.start as a, coalesce(q.start, len(x.text)) as z, r.z - r.a as words, keep from r join x using (doc_id) join p on p.doc_id = r.doc_id and p.i = r.a left join p q on q.doc_id = r.doc_id and q.i = r.z),
+j as (select doc_id, i, (i - coalesce(lag(i) over (partition by doc_id order by i), -100) > 50)::int as new from f where since >= 50),
+k as (select doc_id, i, sum(new) over (partition by doc_id order by i) as island from j),
+r as (select doc_id, min(i) as a, max(i) + 50 as z from k group by doc_id, island),
+s as (select r.doc_id, p.start as a, coalesce(q.start, len(x.text)) as z, r.z - r.a as words from r join x using (doc_id) join p on p.doc_id = r.doc_id and p.i = r.a left join p q on q.doc_id = r.doc_id and q.i = r.z),
 l0 as (select doc_id, list_filter(regexp_extract_all(text, '[^\\n]*[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*'), lambda y: y <> '') as u from d),
 l1 as (select doc_id, unnest(u) as line, unnest(range(len(u))) as pos from l0),
 l as (select doc_id, pos, len(line) as size, sum(len(line)) over (partition by doc_id order by pos) as upto from l1),
 c as (select l.doc_id, count(*) as n_units, count(*) filter (where exists (select 1 from s where s.doc_id = l.doc_id and s.a < l.upto and s.z > l.upto - l.size)) as n_removed from l group by l.doc_id),
-t as (select doc_id, list(struct_pack(a := a, z := z) order by a) as m, string_agg(a || ':' || z || ':' || words || ':' || keep, ',' order by a) as removed from s group by doc_id)
+t as (select doc_id, list(struct_pack(a := a, z := z) order by a) as m, string_agg(a || ':' || z || ':' || words, ',' order by a) as removed from s group by doc_id)
 select d.doc_id, case when m is null then text else list_reduce(list_prepend('', list_transform(range(len(m) + 1), lambda b: text[case when b = 0 then 0 else m[b].z end + 1 : case when b = len(m) then len(text) else m[b + 1].a end])), lambda u, v: u || v) end as text,
   coalesce(n_units, 0)::bigint as n_units, coalesce(n_removed, 0)::bigint as n_removed, coalesce(removed, '') as removed
 from d left join t using (doc_id) left join c using (doc_id)""",

@@ -1,4 +1,4 @@
-"""Substring dedup by hashing lines, and then windows of words for passages that start or end within a line."""
+"""Substring dedup by hashing runs of lines, and then windows of words for passages that start or end within a line."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import BROADCAST_ROWS, LOWER_BYTES, ascii_lower, cut, hash_pair, left_on_row, texts
+from folioforge.llm.common import BROADCAST_ROWS, LOWER_BYTES, ascii_lower, cut, left_on_row, texts
 
 #: A unit: a line with all ASCII marks and blanks after it, so up to the next word. Units cover the text.
 MARKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*+"
@@ -50,13 +50,11 @@ def _runs(x: np.ndarray, starts: np.ndarray, ends: np.ndarray, by: np.uint64) ->
     return _mix((sums[ends] - sums[starts]) * down[starts])
 
 
-class Windows:
-    """The windows of ``passage`` words of some texts that hold a word outside the spans given (start, end in
-    code points). row, at (its first word), start, end (of the text it covers, up to the next word) of each;
-    fp: its fingerprint, which is the least hash of the runs of half as many words in it. Equal windows have
-    equal fingerprints. ``first``: windows that are enough to tell which fingerprints lie in two places."""
+class Words:
+    """The words of some texts: row, number, first byte and hash of each, and the code points where it starts and where
+    the next one does (or the text ends)."""
 
-    def __init__(self, batch: list[str], spans: list[list[tuple[int, int]]], passage: int):
+    def __init__(self, batch: list[str]):
         # a byte that is in no word stands between texts
         raw = [t.encode("utf-8", "surrogatepass").translate(LOWER_BYTES) for t in batch]
         b = np.frombuffer(b"\n" + b"\n".join(raw) + b"\n", np.uint8)
@@ -64,19 +62,50 @@ class Windows:
         code_point = np.concatenate([[0], np.cumsum((b & 0xC0) != 0x80)])
         edge = np.flatnonzero(np.diff(_IN_WORD[b].view(np.int8))) + 1
         first, last = edge[::2], edge[1::2]
-        self.passage, self.words = passage, _runs(_BYTE[b], first, last, _M[0])
-        bounds = np.searchsorted(first, begin)
-        row = np.repeat(np.arange(len(batch)), np.diff(bounds))
-        start, base = code_point[first], code_point[begin]
-        # a window reaches to the next word of its text, or to the end of the text
-        after = np.append(start[1:], 0)[: len(row)]
-        full = np.flatnonzero(np.diff(bounds))
-        after[bounds[full + 1] - 1] = base[full + 1] - 1
+        self.words = _runs(_BYTE[b], first, last, _M[0])
+        self.bounds = np.searchsorted(first, begin)
+        self.row = np.repeat(np.arange(len(batch)), np.diff(self.bounds))
+        self.base = code_point[begin]
+        start = code_point[first]
+        after = np.append(start[1:], 0)[: len(first)]
+        full = np.flatnonzero(np.diff(self.bounds))
+        after[self.bounds[full + 1] - 1] = self.base[full + 1] - 1
+        self.start, self.after = start - self.base[self.row], after - self.base[self.row]
+        ends = np.cumsum(b == 10)
+        self.opens_line = np.append(True, ends[first[1:]] != ends[last[:-1] - 1])[: len(first)]
+
+    def digests(self, at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h1, h2 = (_runs(self.words, at, end, m).view(np.int64) for m in (_M[2], _M[0]))
+        return h1, h2
+
+    def line_runs(self, passage: int) -> tuple[np.ndarray, np.ndarray]:
+        """First word and word after the last of the runs of whole lines: from each line as many as it takes to
+        have ``passage`` words; and the shortest at the end of a text."""
+        lines, stop = np.flatnonzero(self.opens_line), self.bounds[self.row + 1]
+        at = np.append(lines, len(self.row))
+        end = at[np.minimum(np.searchsorted(at, lines + passage), len(lines))]
+        whole = end <= stop[lines] if len(lines) else np.zeros(0, bool)
+        whole &= end - lines >= passage
+        long = lines[stop[lines] - lines >= passage] if len(lines) else lines
+        last = long[np.append(self.row[long][1:] != self.row[long][:-1], True)[: len(long)]] if len(long) else long
+        start, end = np.append(lines[whole], last), np.append(end[whole], stop[last] if len(last) else last)
+        return start, end
+
+
+class Windows(Words):
+    """The windows of ``passage`` words of some texts that hold a word outside the spans given (start, end in
+    code points). place: the first word of each; fp: its fingerprint, which is the least hash of the runs of half as many
+    words in it. Equal windows have equal fingerprints. ``first``: windows that are enough to tell which fingerprints lie
+    in two places."""
+
+    def __init__(self, batch: list[str], spans: list[list[tuple[int, int]]], passage: int):
+        super().__init__(batch)
+        row, absolute = self.row, self.start + self.base[self.row]
         gone = np.zeros(len(row) + 1, np.int64)
         for i, s in enumerate(spans):
             for lo, hi in s:
-                gone[np.searchsorted(start, base[i] + lo)] += 1
-                gone[np.searchsorted(start, base[i] + hi)] -= 1
+                gone[np.searchsorted(absolute, self.base[i] + lo)] += 1
+                gone[np.searchsorted(absolute, self.base[i] + hi)] -= 1
         stays = np.concatenate([[0], np.cumsum(np.cumsum(gone)[:-1] == 0)])
         n, half = max(0, len(row) - passage + 1), (passage + 1) // 2
         self.place = at = np.flatnonzero((row[:n] == row[passage - 1 :][:n]) & (stays[passage:][:n] > stays[:n]))
@@ -90,21 +119,45 @@ class Windows:
         # one run of words is in ``width`` windows at most, so a fingerprint that holds on for longer is repeated
         index = np.arange(len(at))
         self.first = (index - np.maximum.accumulate(np.where(new, index, 0))) % width == 0
-        self.row, self.start, self.end = row[at], start[at] - base[row[at]], after[at + passage - 1] - base[row[at]]
-        self.at = at - bounds[self.row]
 
-    def digests(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = self.place[some]
-        h1, h2 = (_runs(self.words, at, at + self.passage, m).view(np.int64) for m in (_M[2], _M[0]))
-        return h1, h2
+
+_OCCURRENCE = ["doc_id", "_th", "at", "start", "end", "h1", "h2"]
+
+
+def _occurrences(ids: list[pa.Array], w: Words, at: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    """Runs of words as rows: where each lies in its text, and its digest."""
+    row = w.row[at]
+    place = [pa.array(x.astype(np.int32)) for x in (at - w.bounds[row], w.start[at], w.after[end - 1])]
+    return pa.RecordBatch.from_arrays([*(i.take(pa.array(row)) for i in ids), *place, *map(pa.array, w.digests(at, end))], names=_OCCURRENCE)
 
 
-def _windows_of(b: pa.RecordBatch, passage: int, chars: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, Windows]]:
-    """The windows of a batch of doc_id, _th, text, spans, about half a million code points at a time."""
+def _occurrence_schema(rows: DataFrame) -> str:
+    return f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, _th long, at int, start int, end int, h1 long, h2 long"
+
+
+def _portions(b: pa.RecordBatch, chars: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """A batch of doc_id, _th, text, ..., about half a million code points at a time."""
     size = np.cumsum([len(t) for t in b.column(2).to_pylist()], dtype=np.int64)
     cuts = np.flatnonzero(np.diff(size // chars)) + 1
     for lo, hi in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
-        part = b.slice(lo, hi - lo)
+        yield b.slice(lo, hi - lo)
+
+
+def _line_runs(rows: DataFrame, passage: int) -> DataFrame:
+    """doc_id, _th, at, start, end, h1, h2 of the runs of lines of doc_id, _th, text."""
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in _portions(b):
+                w = Words(part.column(2).to_pylist())
+                yield _occurrences([part.column(0), part.column(1)], w, *w.line_runs(passage))
+
+    return rows.select("doc_id", "_th", "text").mapInArrow(runs, _occurrence_schema(rows))
+
+
+def _windows_of(b: pa.RecordBatch, passage: int) -> Iterator[tuple[pa.RecordBatch, Windows]]:
+    """The windows of a batch of doc_id, _th, text, spans."""
+    for part in _portions(b):
         spans = [[(s["start"], s["end"]) for s in r or ()] for r in part.column(3).to_pylist()]
         yield part, Windows(part.column(2).to_pylist(), spans, passage)
 
@@ -134,26 +187,25 @@ def _repeated_windows(rows: DataFrame, passage: int) -> DataFrame | None:
             for part, w in _windows_of(b, passage):
                 bit = w.fp.view(np.uint64) >> np.uint64(64 - BITMAP_BITS)
                 on = np.flatnonzero((held.value[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1))
-                ids = [part.column(i).take(pa.array(w.row[on])) for i in (0, 1)]
-                rest = [pa.array(x[on].astype(np.int32)) for x in (w.at, w.start, w.end)]
-                yield pa.RecordBatch.from_arrays([*ids, *rest, *map(pa.array, w.digests(on))], names=["doc_id", "_th", "at", "start", "end", "h1", "h2"])
+                yield _occurrences([part.column(0), part.column(1)], w, w.place[on], w.place[on] + passage)
 
-    return rows.mapInArrow(windows, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, _th long, at int, start int, end int, h1 long, h2 long")
+    return rows.mapInArrow(windows, _occurrence_schema(rows))
 
 
-def _repeats(windows: DataFrame, passage: int) -> DataFrame:
-    """doc_id, _th, wins (array of start, end, keep_doc_id): the text under windows that the document of the
-    least doc_id has too, or that an earlier place of this one has without overlap."""
-    windows = cut(windows)
-    often = cut(windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("keep_doc_id")).where("n > 1").select("h1", "h2", "keep_doc_id"))
-    found = windows.join(often, ["h1", "h2"]).repartition("doc_id", "_th")
+def _repeats(found: DataFrame, passage: int) -> DataFrame:
+    """doc_id, _th, wins (array of start, end, keep_doc_id): the text under runs of words that the document of the
+    least doc_id has too, or that an earlier place of this one has, ``passage`` words before or more."""
+    found = cut(found)
+    often = cut(found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("keep_doc_id")).where("n > 1").select("h1", "h2", "keep_doc_id"))
+    # by document before anything is ranked: else the join could not be split where a run of words is very common
+    found = found.join(often, ["h1", "h2"]).repartition("doc_id", "_th")
     own = F.col("doc_id").eqNullSafe(F.col("keep_doc_id"))
     since = F.col("at") - F.min("at").over(Window.partitionBy("doc_id", "_th", "h1", "h2"))
     found = found.withColumn("since", since).where(~own | (F.col("since") >= passage))
-    line = Window.partitionBy("doc_id", "_th").orderBy("at")
-    found = found.withColumn("new", (F.col("at") - F.coalesce(F.lag("at").over(line), F.lit(-passage - 1)) > passage).cast("int"))
-    found = found.withColumn("island", F.sum("new").over(line))
-    found = found.groupBy("doc_id", "_th", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("keep_doc_id", "at").alias("keep_doc_id"))
+    line = Window.partitionBy("doc_id", "_th").orderBy("start", "end")
+    reach = F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    found = found.withColumn("island", F.sum(F.coalesce(F.col("start") > reach, F.lit(True)).cast("int")).over(line))
+    found = found.groupBy("doc_id", "_th", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("keep_doc_id", "start").alias("keep_doc_id"))
     return found.groupBy("doc_id", "_th").agg(F.array_sort(F.collect_list(F.struct("start", "end", "keep_doc_id"))).alias("wins"))
 
 
@@ -162,60 +214,32 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, id_col: str = "doc_i
     document, has already. Words are what ASCII letters and digits and all non-ASCII characters make up; they are
     compared after lower-casing A-Z, without the marks between them.
 
-    Lines are hashed first: of the occurrences of a line of at least ``min_words`` words, that of the least doc_id stays, and in it the
+    Lines are hashed first, each with as many after it as it takes to have ``min_words`` words (and the last of a text so that they
+    end it). Of the occurrences of such a run of lines that of the least doc_id stays, and in it the
     first; the rest goes. Then every window of ``min_words`` words, wherever in a line it starts and ends, goes in the same
-    way: where the first occurrence is in another document, or in this one without overlap. Windows in lines that went
+    way: where the first occurrence is in another document, or in this one without overlap. Windows in what went
     already are not looked at again. So what goes is just this: every word in a window of ``min_words`` words that a
     document of a lesser doc_id has too, or this one at ``min_words`` words before or more.
 
     Returns one row for each row of ``docs``: doc_id, text (what stays), n_units (lines), n_removed (lines gone in whole or in
-    part), removed (array of start, end in code points of the original text, end exclusive, words, keep_doc_id (that has the
-    first words of it); spans that touch are one). A span reaches up to the next word or the end of the text. A null or empty text has no units; blanks and
+    part), removed (array of start, end in code points of the original text, end exclusive, words, keep_doc_id (of a document that
+    has the first words of it); spans that touch are one). A span reaches up to the next word or the end of the text. A null or empty text has no units; blanks and
     marks before the first word never go. Rows that share a doc_id count as one document, so neither loses what the other
     has; null doc_ids come after all others. An empty table gives an empty result; other columns are ignored.
 
     128-bit digests and positions are shuffled, texts once at most. Counts and least ids are combined before
-    the shuffle. Long lines and repeated digests are checkpointed, so that their join is one between plain shuffles,
-    which AQE can split where one line is very common. Of windows only those are shuffled whose fingerprint
+    the shuffle. Runs of lines and repeated digests are checkpointed, so that their join is one between plain shuffles,
+    which AQE can split where one run is very common. Of windows only those are shuffled whose fingerprint
     is repeated; they and what is found are checkpointed. What is removed meets the texts by a broadcast
     where it is for few rows, and else by a shuffle of the texts, which are then checkpointed once.
     """
     base = texts(docs, id_col, text_col)
     id_type = base.schema["doc_id"].dataType.simpleString()
-    units = base.select("doc_id", "_th", F.posexplode(F.regexp_extract_all("text", F.lit(UNIT), F.lit(0))).alias("pos", "unit"))
-    # so many words have as many characters, and one less between them
-    units = units.where(F.length("unit") >= 2 * min_words - 1)
-    key = F.btrim(F.regexp_replace(ascii_lower(F.col("unit")), NO_WORD, " "))
-    h1, h2 = hash_pair(F.col("key"))
-    units = units.select("doc_id", "_th", "pos", key.alias("key")).where(F.size(F.split("key", " ")) >= min_words)
-    units = cut(units.select("doc_id", "_th", "pos", h1.alias("h1"), h2.alias("h2")))
-    often = cut(units.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("keep_doc_id")).where("n > 1").select("h1", "h2", "keep_doc_id"))
-    again = Window.partitionBy("doc_id", "_th", "h1", "h2").orderBy("pos")
-    # by document before anything is ranked: else the join could not be split where a line is very common
-    found = units.join(often, ["h1", "h2"]).repartition("doc_id", "_th")
-    own = F.col("doc_id").eqNullSafe(F.col("keep_doc_id"))
-    found = found.withColumn("nth", F.when(own, F.rank().over(again)).otherwise(2)).where("nth > 1")
-    # rows that repeat a doc_id and a text give the same positions
-    lines = cut(found.groupBy("doc_id", "_th").agg(F.array_sort(F.array_distinct(F.collect_list(F.struct("pos", "keep_doc_id")))).alias("gone")))
-    few = lines.count() <= BROADCAST_ROWS
-    out = left_on_row(base, F.broadcast(lines)) if few else cut(left_on_row(base, lines))
-    parts = F.regexp_extract_all("text", F.lit(UNIT), F.lit(0))
-    lead = F.length(F.regexp_extract("text", "^" + MARKS, 0))
     kind = f"array<struct<start:int,end:int,keep_doc_id:{id_type}>>"
-
-    def line(s: Column, g: Column) -> Column:
-        """One pass over the lengths of lines gives the offsets of all that go."""
-        start = s["chars"] + F.aggregate(F.slice("parts", s["units"] + 1, g["pos"] - s["units"]), F.lit(0), lambda a, x: a + F.length(x))
-        end = start + F.length(F.get(F.col("parts"), g["pos"]))
-        span = F.struct(F.greatest(start, lead).alias("start"), end.alias("end"), g["keep_doc_id"].alias("keep_doc_id"))
-        return F.struct((g["pos"] + 1).alias("units"), end.alias("chars"), F.concat(s["spans"], F.array(span)).cast(kind).alias("spans"))
-
-    start = F.struct(F.lit(0).alias("units"), F.lit(0).alias("chars"), F.array().cast(kind).alias("spans"))
-    spans = F.aggregate("gone", start, line, lambda s: s["spans"])
-    spans = F.when(F.col("gone").isNull(), F.array().cast(kind)).otherwise(spans)
-    slim = out.withColumn("parts", F.when(F.col("gone").isNotNull(), parts))
-    slim = slim.select("doc_id", "_th", "text", F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
-    windows = _repeated_windows(slim, min_words)
+    lines = cut(_repeats(_line_runs(base, min_words), min_words)).withColumnRenamed("wins", "lines")
+    out = left_on_row(base, F.broadcast(lines)) if lines.count() <= BROADCAST_ROWS else cut(left_on_row(base, lines))
+    spans = F.transform("lines", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    windows = _repeated_windows(out.select("doc_id", "_th", "text", spans.alias("spans")), min_words)
     if windows is None:
         out = out.withColumn("wins", F.lit(None).cast(kind))
     else:
@@ -229,9 +253,9 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, id_col: str = "doc_i
         meets = (F.size(s) > 0) & (last["end"] >= x["start"])
         return F.when(meets, F.concat(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))), F.array(one)).cast(kind)).otherwise(F.concat(s, F.array(x)).cast(kind))
 
-    some = F.col("gone").isNotNull() | F.col("wins").isNotNull()
-    out = out.withColumn("parts", parts).withColumn("spans", spans)
-    both = F.array_sort(F.concat("spans", F.coalesce(F.col("wins"), F.array()).cast(kind)))
+    some = F.col("lines").isNotNull() | F.col("wins").isNotNull()
+    out = out.withColumn("parts", F.regexp_extract_all("text", F.lit(UNIT), F.lit(0)))
+    both = F.array_sort(F.concat(F.coalesce(F.col("lines"), F.array()).cast(kind), F.coalesce(F.col("wins"), F.array()).cast(kind)))
     out = out.withColumn("both", F.when(some, F.aggregate(both, F.array().cast(kind), join)).otherwise(F.array().cast(kind)))
     piece = lambda start, end: F.substring(F.col("text"), start + 1, end - start)
     count = lambda t: F.size(F.filter(F.split(F.regexp_replace(ascii_lower(t), NO_WORD, " "), " "), lambda w: w != "")).cast("long")
