@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -81,20 +82,56 @@ def inspect(entries: DataFrame, settings: Settings = Settings(), id_col: str = "
     return x.withColumn("supported", real & F.col("extension").isin(*known)).withColumn("problem", problem)
 
 
-def extract(archives: DataFrame, chosen: DataFrame, settings: Settings = Settings(), id_col: str = "file_id") -> DataFrame:
-    """id, position, content, too_large of the chosen entries (id, position). Bytes are counted as they
-    come; an entry that goes over the limit for one file ends there, whatever size it declared."""
-    budget = min(settings.max_file_bytes, settings.max_archive_uncompressed_bytes)
-    wanted = chosen.groupBy(id_col).agg(F.sort_array(F.collect_list("position")).alias("positions"))
-
-    def read(z: zipfile.ZipFile, info: zipfile.ZipInfo) -> tuple[bytes | None, bool]:
-        out = bytearray()
+def entry_content(z: zipfile.ZipFile, info: zipfile.ZipInfo, budget: int) -> tuple[bytes | None, bool]:
+    """Bytes of an entry, counted as they come, and whether they go over the budget; None then, or where it can't be read."""
+    out = bytearray()
+    try:
         with z.open(info) as f:
             while part := f.read(CHUNK):
                 out += part
                 if len(out) > budget:
                     return None, True
-        return bytes(out), False
+    except (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, EOFError):
+        return None, False
+    return bytes(out), False
+
+
+def unpack(archives: DataFrame, plan: DataFrame, kind_of: Callable[[bytes], str | None], settings: Settings = Settings()) -> DataFrame:
+    """The rows that come of archives (file_id, job_id, ord, filename, safe_name, content) by a plan (file_id, problem,
+    members: array of position, name): one with its problem, or one for each member; one as it came where it isn't an
+    archive after all, by ``kind_of``."""
+    budget = min(settings.max_file_bytes, settings.max_archive_uncompressed_bytes)
+    columns = ["file_id", "job_id", "ord", "member_ord", "source_archive", "filename", "size", "content", "problem", "too_large"]
+
+    def rows(r) -> Iterator[tuple]:  # noqa: ANN001
+        data = bytes(r.content)
+        if kind_of(data) != ".zip":
+            yield (r.file_id, r.job_id, r.ord, 0, None, r.filename, len(data), data, None, False)
+        elif r.problem is not None:
+            yield (r.file_id, r.job_id, r.ord, 0, None, r.filename, len(data), None, r.problem, False)
+        else:
+            with zipfile.ZipFile(io.BytesIO(data)) as z:
+                infos = z.infolist()
+                for m in r.members:
+                    content, over = entry_content(z, infos[m["position"]], budget)
+                    yield (r.file_id, r.job_id, r.ord, m["position"] + 1, r.safe_name, m["name"], len(content or b""), content, None, over)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples():
+                for row in rows(r):
+                    yield pd.DataFrame([row], columns=columns)
+
+    kinds = {c: archives.schema[c].dataType.simpleString() for c in ("file_id", "job_id", "ord")}
+    schema = f"file_id {kinds['file_id']}, job_id {kinds['job_id']}, ord {kinds['ord']}, member_ord int, source_archive string, filename string, size long, content binary, problem string, too_large boolean"
+    return archives.join(plan, "file_id").mapInPandas(run, schema)
+
+
+def extract(archives: DataFrame, chosen: DataFrame, settings: Settings = Settings(), id_col: str = "file_id") -> DataFrame:
+    """id, position, content, too_large of the chosen entries (id, position). Bytes are counted as they
+    come; an entry that goes over the limit for one file ends there, whatever size it declared."""
+    budget = min(settings.max_file_bytes, settings.max_archive_uncompressed_bytes)
+    wanted = chosen.groupBy(id_col).agg(F.sort_array(F.collect_list("position")).alias("positions"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -102,10 +139,7 @@ def extract(archives: DataFrame, chosen: DataFrame, settings: Settings = Setting
                 with zipfile.ZipFile(io.BytesIO(bytes(data))) as z:
                     infos = z.infolist()
                     for p in positions:
-                        try:
-                            content, over = read(z, infos[p])
-                        except (zipfile.BadZipFile, RuntimeError, NotImplementedError, EOFError):
-                            content, over = None, False
+                        content, over = entry_content(z, infos[p], budget)
                         yield pd.DataFrame({id_col: [i], "position": [p], "content": [content], "too_large": [over]})
 
     kind = archives.schema[id_col].dataType.simpleString()

@@ -26,9 +26,9 @@ def formats_by_mime(names: DataFrame, mime: str = "mime") -> DataFrame:
     return names.join(F.broadcast(f), key == F.col("_mime")).drop("_mime")
 
 
-def orphan_formats(spark) -> DataFrame:  # noqa: ANN001
-    """Formats whose category isn't one: must be none."""
-    return formats(spark).join(categories(spark), F.col("category") == F.col("id"), "left_anti")
+def orphan_formats(spark, known: DataFrame | None = None) -> DataFrame:  # noqa: ANN001
+    """Formats whose category isn't one of the registry's, or of ``known`` (id): must be none."""
+    return formats(spark).join(known if known is not None else categories(spark), F.col("category") == F.col("id"), "left_anti")
 
 
 def labels_by_category(spark) -> DataFrame:  # noqa: ANN001

@@ -35,20 +35,22 @@ def within_caps(files: DataFrame, max_files: int, max_bytes: int) -> DataFrame:
 def unique_names(files: DataFrame) -> DataFrame:
     """Files (job_id, ord, filename) with ``name``: the file's own, or with -2, -3, ... before its
     extension, the first that no earlier file of the job has got. As 'a-2.md' may itself be a file's name,
-    the choice depends on all made before, so it is a fold over the names of one job."""
+    the choice depends on those made before, so it is a fold; but only names that are equal without such endings
+    can meet, so the fold is over these alone, not over a whole job."""
     kind = "struct<taken:array<string>,out:array<string>>"
+    dotted = F.instr("filename", ".") > 0
+    stem, end = F.when(dotted, F.regexp_replace("filename", r"\.[^.]*\z", "")).otherwise(F.col("filename")), F.when(dotted, F.regexp_extract("filename", r"\.[^.]+\z", 0)).otherwise("")
 
-    def step(s: Column, name: Column) -> Column:
-        dotted = F.instr(name, ".") > 0
-        stem, end = F.when(dotted, F.regexp_replace(name, r"\.[^.]*\z", "")).otherwise(name), F.when(dotted, F.regexp_extract(name, r"\.[^.]+\z", 0)).otherwise("")
-        tries = F.transform(F.sequence(F.lit(2), F.size(s["taken"]) + 2), lambda k: F.concat(stem, F.lit("-"), k.cast("string"), end))
-        got = F.when(F.array_contains(s["taken"], name), F.get(F.array_except(tries, s["taken"]), F.lit(0))).otherwise(name)
+    def step(s: Column, f: Column) -> Column:
+        tries = F.transform(F.sequence(F.lit(2), F.size(s["taken"]) + 2), lambda k: F.concat(f["stem"], F.lit("-"), k.cast("string"), f["end"]))
+        got = F.when(F.array_contains(s["taken"], f["filename"]), F.get(F.array_except(tries, s["taken"]), F.lit(0))).otherwise(f["filename"])
         return F.struct(F.concat(s["taken"], F.array(got)).alias("taken"), F.concat(s["out"], F.array(got)).alias("out")).cast(kind)
 
     start = F.struct(F.array().alias("taken"), F.array().alias("out")).cast(kind)
-    jobs = files.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("ord", "filename"))).alias("f"))
-    names = F.aggregate(F.transform("f", lambda x: x["filename"]), start, step, lambda s: s["out"])
-    return jobs.select("job_id", F.explode(F.arrays_zip(F.transform("f", lambda x: x["ord"]).alias("ord"), F.transform("f", lambda x: x["filename"]).alias("filename"), names.alias("name"))).alias("x")).select("job_id", "x.*")
+    root = F.concat(F.regexp_replace(stem, r"(?:-[0-9]+)+\z", ""), F.lit("/"), end)
+    meet = files.groupBy("job_id", root.alias("root")).agg(F.array_sort(F.collect_list(F.struct("ord", "filename", stem.alias("stem"), end.alias("end")))).alias("f"))
+    names = F.aggregate("f", start, step, lambda s: s["out"])
+    return meet.select("job_id", F.explode(F.arrays_zip(F.transform("f", lambda x: x["ord"]).alias("ord"), F.transform("f", lambda x: x["filename"]).alias("filename"), names.alias("name"))).alias("x")).select("job_id", "x.*")
 
 
 def unique_uploads(files: DataFrame) -> DataFrame:
@@ -76,6 +78,35 @@ def latest_status(events: DataFrame) -> DataFrame:
     return events.groupBy("file_id").agg(F.max_by("status", F.struct("ts", "event_id")).alias("status"))
 
 
+def cancelled(files: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Files (job_id, status, ...) after their jobs (job_id) were cancelled: queued ones become cancelled; those
+    in work stop by themselves, and what is over stays as it is."""
+    stop = jobs.select("job_id", F.lit(True).alias("_stop")).distinct()
+    return files.join(stop, "job_id", "left").withColumn("status", F.when(F.col("_stop") & (F.col("status") == "queued"), "cancelled").otherwise(F.col("status"))).drop("_stop")
+
+
+def running(files: DataFrame) -> DataFrame:
+    """job_id, affected: how many files of a job aren't over, so what cancelling it would stop."""
+    return files.groupBy("job_id").agg(F.count_if(~F.col("status").isin(*TERMINAL)).alias("affected"))
+
+
+def retried(files: DataFrame, again: DataFrame) -> DataFrame:
+    """Files (job_id, file_id, status, ...) of which some (job_id, file_id) are done again: they are in work, and without
+    the error and Markdown of the last time. Others stay."""
+    anew = files.join(again.select("job_id", "file_id", F.lit(True).alias("_again")).distinct(), ["job_id", "file_id"], "left")
+    out = anew.withColumn("status", F.when(F.col("_again"), "processing").otherwise(F.col("status")))
+    for c in ("error", "markdown"):
+        if c in files.columns:
+            out = out.withColumn(c, F.when(F.col("_again").isNull(), F.col(c)))
+    return out.drop("_again").select(*files.columns)
+
+
+def file_of(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The files (job_id, file_id, ...) that are asked for (session_id, job_id, file_id) by the session that owns their job;
+    ``files`` have session_id, too. Nothing comes of what isn't there or another's."""
+    return files.join(wanted.select("session_id", "job_id", "file_id").distinct(), ["session_id", "job_id", "file_id"], "left_semi")
+
+
 def noted(warnings: Column, message: str) -> Column:
     """Warnings with the message, once."""
     return F.array_union(warnings, F.array(F.lit(message)))

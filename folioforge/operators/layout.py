@@ -10,7 +10,7 @@ import re
 from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +21,7 @@ PAGE = ["doc_id", "page"]
 #: A gap of so many character widths parts two cells.
 CELL_GAP = 2.6
 GUTTER_SHARE, GUTTER_LINES = 0.035, 6
+_REBUILT = pa.schema([("doc_id", pa.int64()), ("page", pa.int32()), ("markdown", pa.string()), ("word_count", pa.int64()), ("confidence", pa.float64()), ("warnings", pa.list_(pa.string()))])
 
 
 def recognised(words: DataFrame) -> DataFrame:
@@ -230,10 +231,11 @@ def _gutter(left: np.ndarray, right: np.ndarray, width: int) -> float | None:
     return float(start[best]) if size[best] >= max(1, width * GUTTER_SHARE) else None
 
 
-def _page(key: tuple, words: pd.DataFrame) -> pd.DataFrame:
+def _page(key: tuple, words: pa.Table) -> pa.Table:
     """The Markdown of a page from its words; columns body_height and page_width say what its document and page are like."""
-    order = np.lexsort([words[c].to_numpy() for c in ("pos", "left", "line", "paragraph", "block")])
-    col = {c: words[c].to_numpy()[order] for c in words.columns}
+    col = {c: words.column(c).to_numpy() for c in words.column_names}
+    order = np.lexsort([col[c] for c in ("pos", "left", "line", "paragraph", "block")])
+    col = {c: v[order] for c, v in col.items()}
     ids = np.stack([col[c] for c in ("block", "paragraph", "line")], 1)
     first = np.append(True, (ids[1:] != ids[:-1]).any(1))
     starts = np.flatnonzero(first)
@@ -261,7 +263,8 @@ def _page(key: tuple, words: pd.DataFrame) -> pd.DataFrame:
         line.append({"text": shown, "block": col["block"][starts[i]], "right": right[i], "top": top[i], "bottom": bottom[i], "cells": cells[i], "item": _item(shown), "level": _level(shown, n, (bottom[i] - top[i]) / _factor(text), body), "widths": col["width"][starts[i] : ends[i]]})
     blocks = _blocks(line, body, gap)
     warnings = [] if blocks else ["No readable text was found on this page."]
-    return pd.DataFrame({"doc_id": [key[0]], "page": [key[1]], "markdown": ["\n\n".join(blocks)], "word_count": [len(first)], "confidence": [float(col["confidence"].mean())], "warnings": [warnings]})
+    row = (key[0].as_py(), key[1].as_py(), "\n\n".join(blocks), len(first), float(col["confidence"].mean()), warnings)
+    return pa.Table.from_arrays([pa.array([v], t) for v, t in zip(row, _REBUILT.types, strict=True)], schema=_REBUILT)
 
 
 def _blocks(line: list[dict], body: float, gap: float) -> list[str]:
@@ -339,4 +342,4 @@ def reconstruct(words: DataFrame, page_widths: DataFrame) -> DataFrame:
     w = recognised(words)
     page = page_widths.join(word_body_heights(w), "doc_id").select(*PAGE, "page_width", "body_height")
     x = w.select(*LINE, "pos", "text", "left", "top", "width", "height", "confidence").join(page, PAGE)
-    return x.groupBy(*PAGE).applyInPandas(_page, "doc_id long, page int, markdown string, word_count long, confidence double, warnings array<string>")
+    return x.groupBy(*PAGE).applyInArrow(_page, "doc_id long, page int, markdown string, word_count long, confidence double, warnings array<string>")

@@ -6,8 +6,10 @@ an exception in a task."""
 
 from __future__ import annotations
 
+import signal
 import time
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,13 +18,13 @@ from pyspark.sql.types import StructType
 
 from folioforge.functions import names, text
 from folioforge.functions.pages import page_range, recognition_mode
-from folioforge.operators import archives, formats, layout
+from folioforge.operators import archives, formats, jobs, layout
 from folioforge.registry import ERROR_SCHEMA
 from folioforge.settings import Settings
 from folioforge.sources import office, readers
 
 SNIFFED = StructType().add("real", "string").add("broken", "boolean").add("charset", "string").add("fault", "string")
-READ = StructType().add("markdown", "string").add("title", "string").add("pages", "integer").add("fault", "string").add("ms", "long")
+READ = StructType().add("markdown", "string").add("title", "string").add("pages", "integer").add("code", "string").add("fault", "string").add("ms", "long")
 #: Gives the words of the pages of an image or a scanned PDF: (content, extension) -> rows of page, block,
 #: paragraph, line, pos, text, left, top, width, height, confidence.
 Recognizer = Callable[[bytes, str], list[tuple]]
@@ -49,9 +51,39 @@ def sniff(content: pd.Series, extension: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["real", "broken", "charset", "fault"])
 
 
+@contextmanager
+def time_limit(seconds: float) -> Iterator[None]:
+    """Interrupts what is inside after so many seconds with TimeoutError. Only a main thread can be
+    interrupted, which is where Python workers run; elsewhere nothing is."""
+
+    def stop(*_: object) -> None:
+        raise TimeoutError("reader took too long")
+
+    try:
+        before = signal.signal(signal.SIGALRM, stop)
+    except ValueError:
+        yield
+        return
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+class OutsidePages(ValueError):
+    """No page that is asked for is in the document."""
+
+
+#: Error codes by exception, the first that fits. A damaged document makes a parser raise anything, so the rest is corrupt_file.
+FAULTS = ((TimeoutError, "timeout"), (OutsidePages, "conversion_failed"), (ImportError, "conversion_failed"), (MemoryError, "conversion_failed"), (NotImplementedError, "conversion_failed"), (Exception, "corrupt_file"))
+
+
 def reader_udf(custom: dict[str, readers.Reader], settings: Settings) -> Callable:
-    """The readers, and those that the caller adds, as one vectorised function. Pages of a PDF can be chosen."""
-    table = {**readers.READERS, **{k.lower(): v for k, v in custom.items()}}
+    """The readers, and those that the caller adds, as one vectorised function. Pages of a PDF can be chosen. A
+    reader is interrupted at the time limit of a row."""
+    table, chosen = {**readers.READERS, **{k.lower(): v for k, v in custom.items()}}, list(readers.CHOSEN)
 
     @F.pandas_udf(READ)
     def read(content: pd.Series, extension: pd.Series, charset: pd.Series, pages: pd.Series) -> pd.DataFrame:
@@ -59,55 +91,82 @@ def reader_udf(custom: dict[str, readers.Reader], settings: Settings) -> Callabl
         for data, ext, cs, wanted in zip(content, extension, charset, pages, strict=True):
             began = time.monotonic()
             try:
-                if ext == ".pdf" and ".pdf" not in custom:
-                    all_ = office.pdf_pages(bytes(data))
-                    chosen = [all_[p - 1] for p in wanted if p <= len(all_)] if wanted is not None else all_
-                    if wanted is not None and not chosen:
-                        raise ValueError("the requested page range is outside this document")
-                    row = ("\n\n".join(filter(None, chosen)), None, len(chosen), None)
-                else:
-                    md, title = table[ext](bytes(data), cs)
-                    row = (md, title, None, None)
+                with time_limit(settings.row_timeout_seconds):
+                    reader = readers.chosen_reader(ext, bytes(data), chosen, table)
+                    if reader is office.read_pdf:
+                        all_ = office.pdf_pages(bytes(data))
+                        picked = [all_[p - 1] for p in wanted if p <= len(all_)] if wanted is not None else all_
+                        if wanted is not None and not picked:
+                            raise OutsidePages("the requested page range is outside this document")
+                        row = ("\n\n".join(filter(None, picked)), None, len(picked), None, None)
+                    elif reader is None:
+                        row = (None, None, None, "unsupported_format", f"no reader for {ext}")
+                    else:
+                        md, title = reader(bytes(data), cs)
+                        row = (md, title, None, None, None)
             except Exception as e:  # the row carries what went wrong
-                row = (None, None, None, f"{type(e).__name__}: {e}")
-            ms = int((time.monotonic() - began) * 1000)
-            rows.append((*row[:3], "timeout" if ms > settings.row_timeout_seconds * 1000 else row[3], ms))
-        return pd.DataFrame(rows, columns=["markdown", "title", "pages", "fault", "ms"]).astype({"pages": "Int32"})
+                row = (None, None, None, next(code for kind, code in FAULTS if isinstance(e, kind)), f"{type(e).__name__}: {e}")
+            rows.append((*row, int((time.monotonic() - began) * 1000)))
+        return pd.DataFrame(rows, columns=["markdown", "title", "pages", "code", "fault", "ms"]).astype({"pages": "Int32"})
 
     return read
 
 
-def detected(files: DataFrame) -> DataFrame:
-    """Files with safe_name, extension, format columns, charset, detected extension and ``error``."""
+def detected(files: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Files with safe_name, extension, format columns, charset, detected extension and ``error``. Where files have
+    a ``size``, that counts, so that one whose content wasn't read for its size is too large, not empty."""
     x = files.withColumn("safe_name", names.safe_name(F.col("filename"))).withColumn("extension", names.extension_of(F.col("safe_name")))
-    x = formats.with_format(x).withColumn("size", F.coalesce(F.octet_length("content"), F.lit(0)).cast("long"))
+    known = [F.col("size")] if "size" in files.columns else []
+    x = formats.with_format(x).withColumn("size", F.coalesce(*known, F.octet_length("content"), F.lit(0)).cast("long"))
     x = x.withColumn("canonical", names.canonical_extension(F.col("extension"))).withColumn("sniffed", sniff(F.col("content"), F.col("canonical")))
     header = F.substring("content", 1, formats.HEADER_BYTES)
     signed = F.coalesce(formats.signatures_match(header, F.col("signatures")), F.lit(False))
     problem = formats.first_problem(F.col("extension"), F.col("label").isNotNull(), F.col("size"), signed, F.col("sniffed.real"), F.size("signatures") == 0, F.col("sniffed.fault"))
     broken = F.when(F.col("sniffed.broken") & F.col("label").isNotNull() & signed, formats.error("corrupt_file", F.lit("not a readable ZIP file")))
-    return x.withColumn("error", F.coalesce(broken, problem).cast(ERROR_SCHEMA)).withColumn("detected", F.coalesce("sniffed.real", "canonical")).withColumn("charset", F.col("sniffed.charset")).drop("sniffed")
+    large = F.when(F.col("label").isNotNull() & (F.col("size") > settings.max_file_bytes), formats.error("file_too_large", F.lit("file is too large")))
+    x = x.withColumn("error", F.coalesce(large, broken, problem).cast(ERROR_SCHEMA)).withColumn("detected", F.coalesce("sniffed.real", "canonical")).withColumn("charset", F.col("sniffed.charset")).drop("sniffed")
+    # the format of what a file is, and where that is none, of what its name says
+    real = formats.with_format(x.select("*", F.col("label").alias("_label"), F.col("category").alias("_category")).drop("label", "category", "icon", "mime_types", "signatures", "ocr_capable"), "detected")
+    return real.withColumns({"label": F.coalesce("label", "_label"), "category": F.coalesce("category", "_category")}).drop("_label", "_category")
 
 
 def expanded(files: DataFrame, settings: Settings) -> DataFrame:
-    """Detected files with sound archives replaced in place by what in them can be read; an archive that
-    isn't safe, or holds nothing readable, stays as a row with an error."""
-    zips = files.where(F.col("error").isNull() & (F.col("detected") == ".zip"))
-    rest = files.where(F.col("error").isNotNull() | (F.col("detected") != ".zip")).withColumns({"member_ord": F.lit(0), "source_archive": F.lit(None).cast("string")})
+    """Files, detected, with sound archives replaced in place by what in them can be read; an archive that
+    isn't safe, or holds nothing readable, stays as a row with an error.
+
+    What is to come of an archive is settled on the list of its entries, without contents; then each is opened
+    once more and gives all its rows. Everything is detected after that, once."""
+    size = F.coalesce(*([F.col("size")] if "size" in files.columns else []), F.octet_length("content").cast("long"))
+    named = files.withColumns({"safe_name": names.safe_name(F.col("filename")), "size": size}).withColumn("extension", names.extension_of(F.col("safe_name")))
+    packed = F.coalesce((F.col("extension") == ".zip") & formats.starts_zip(F.col("content")) & (F.col("size") <= settings.max_file_bytes), F.lit(False))
+    zips = named.where(packed)
     entries = archives.inspect(archives.list_entries(zips), settings)
-    over = F.max(F.col("problem").isNotNull() | F.lit(False))
-    verdict = entries.groupBy("file_id").agg(F.first("problem").alias("problem"), F.count_if("supported").alias("n_supported"), over.alias("bad"))
-    bad = zips.join(verdict, "file_id").where(F.col("bad") | (F.col("n_supported") == 0) | (F.col("size") > settings.max_archive_bytes))
-    code = F.when(F.col("problem") == "corrupt_file", formats.error("corrupt_file", F.col("problem"))).otherwise(formats.error("archive_rejected", F.coalesce("problem", F.lit("archive holds nothing that can be converted"))))
-    failed = bad.withColumn("error", code.cast(ERROR_SCHEMA)).withColumns({"member_ord": F.lit(0), "source_archive": F.lit(None).cast("string")}).drop("problem", "n_supported", "bad")
-    sound = entries.where("problem is null and supported").join(failed.select("file_id"), "file_id", "left_anti")
-    members = archives.extract(zips, sound.select("file_id", "position"), settings).join(sound.select("file_id", "position", "display_name"), ["file_id", "position"])
-    parents = zips.select("file_id", "job_id", "ord", F.col("safe_name").alias("source_archive"))
-    member = members.join(parents, "file_id").select("file_id", "job_id", "ord", (F.col("position") + 1).alias("member_ord"), "source_archive", F.col("display_name").alias("filename"), "content", "too_large")
-    seen = detected(member)
+    about = zips.select("file_id", "job_id", "ord", (F.col("size") > settings.max_archive_bytes).alias("large"))
+    verdict = entries.groupBy("file_id").agg(F.first("problem").alias("problem"), F.count_if("supported").alias("n")).join(about, "file_id")
+    verdict = verdict.withColumn("problem", F.coalesce("problem", F.when(F.col("n") == 0, "archive holds nothing that can be converted"), F.when(F.col("large"), "archive is larger than the limit")))
+    sound = entries.where("problem is null and supported").join(verdict.where("problem is null").select("file_id", "job_id", "ord"), "file_id")
+    wanted = member_names(named, sound.select("file_id", "job_id", "ord", "position", "display_name"))
+    wanted = wanted.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("position", "name"))).alias("members"))
+    plan = verdict.select("file_id", "problem").join(wanted, "file_id", "left")
+    rest = named.where(~packed).select("file_id", "job_id", "ord", F.lit(0).alias("member_ord"), F.lit(None).cast("string").alias("source_archive"), "filename", "size", "content", F.lit(None).cast("string").alias("problem"), F.lit(False).alias("too_large"))
+    seen = detected(rest.unionByName(archives.unpack(zips.select("file_id", "job_id", "ord", "filename", "safe_name", "content"), plan, readers.zip_kind, settings)), settings)
+    rejected = F.when(F.col("problem") == "corrupt_file", formats.error("corrupt_file", F.col("problem"))).when(F.col("problem").isNotNull(), formats.error("archive_rejected", F.col("problem")))
     large = F.when(F.col("too_large"), formats.error("archive_rejected", F.lit("archive entry is larger than the per-file limit")))
-    seen = seen.withColumn("error", F.coalesce(large.cast(ERROR_SCHEMA), F.col("error"))).drop("too_large")
-    return rest.unionByName(failed).unionByName(seen)
+    damaged = F.when(F.col("content").isNull() & F.col("source_archive").isNotNull(), formats.error("corrupt_file", F.lit("archive entry can't be read")))
+    return seen.withColumn("error", F.coalesce(rejected.cast(ERROR_SCHEMA), large.cast(ERROR_SCHEMA), damaged.cast(ERROR_SCHEMA), F.col("error"))).drop("problem", "too_large")
+
+
+def member_names(files: DataFrame, members: DataFrame) -> DataFrame:
+    """Members (file_id of their archive, job_id, ord, position, display_name, ...) with ``name``, which no
+    file and no earlier member of the job has."""
+    place = lambda member, *at: F.struct(F.lit(member).alias("member"), *[c.alias(n) for c, n in zip(at, ("ord", "position", "file_id", "own"), strict=True)])
+    none = F.lit(None)
+    ids = files.schema["file_id"].dataType
+    own = files.join(members.select("job_id").distinct(), "job_id", "left_semi").select("job_id", F.col("safe_name").alias("filename")).distinct()
+    own = own.select("job_id", place(0, none.cast(files.schema["ord"].dataType), none.cast("int"), none.cast(ids), F.col("filename")).alias("ord"), "filename")
+    at = place(1, F.col("ord"), F.col("position"), F.col("file_id"), none.cast("string"))
+    got = jobs.unique_names(own.unionByName(members.select("job_id", at.alias("ord"), F.col("display_name").alias("filename")))).where("ord.member = 1")
+    return members.join(got.select(F.col("ord.file_id").alias("file_id"), F.col("ord.position").alias("position"), "name"), ["file_id", "position"])
 
 
 def recognized(files: DataFrame, recognizer: Recognizer, max_pages: int) -> DataFrame:
@@ -134,11 +193,10 @@ def convert(files: DataFrame, mode: str = "auto", pages: str | None = None, sett
     """Convert every file; archives give a row for each member. ``mode``: auto, force or off, for
     recognition; ``pages``: of PDFs; ``custom``: readers by extension, before those of the package.
 
-    The only shuffles are those of archives, of recognised words, and of unique output names by job."""
-    x = expanded(detected(files), settings)
-    large = F.when(F.col("size") > settings.max_file_bytes, formats.error("file_too_large", F.lit("file is too large")).cast(ERROR_SCHEMA))
+    The only shuffles are those of archives, of recognised words, and of the names of an archive's members by job."""
+    x = expanded(files, settings)
     option = page_range(F.lit(pages).cast("string"))
-    x = x.withColumn("error", F.coalesce("error", large)).withColumn("range", option).withColumn("mode", recognition_mode(F.lit(mode)))
+    x = x.withColumn("range", option).withColumn("mode", recognition_mode(F.lit(mode)))
     x = x.withColumn("key", F.xxhash64("file_id", "member_ord"))
     image, pdf = F.col("detected").isin(*IMAGES), F.col("detected") == ".pdf"
     error = lambda when, code, detail: F.when(when, formats.error(code, F.lit(detail)).cast(ERROR_SCHEMA))
@@ -159,9 +217,11 @@ def convert(files: DataFrame, mode: str = "auto", pages: str | None = None, sett
     use = wanted & F.col("ocr").isNotNull() & (image | longer)
     md = text.normalize_markdown(F.when(use, F.col("ocr.markdown")).otherwise(layer))
     x = x.withColumn("used_ocr", F.coalesce(use, F.lit(False))).withColumn("whole", md).withColumn("markdown", text.cut_output(F.col("whole"), settings.max_output_chars))
-    fault = F.when(F.col("read.fault") == "timeout", formats.error("timeout", F.lit("reader took too long"))).when(F.col("read.fault").isNotNull(), formats.error("corrupt_file", F.col("read.fault")))
+    fault = F.lit(None).cast(ERROR_SCHEMA)
+    for code in ("timeout", "conversion_failed", "unsupported_format", "corrupt_file"):
+        fault = F.when(F.col("read.code") == code, formats.error(code, F.col("read.fault")).cast(ERROR_SCHEMA)).otherwise(fault)
     no_ocr = error(F.col("scanned") & F.lit(recognizer is None) & (F.trim(layer) == ""), "ocr_unavailable", "no recognizer is available")
-    x = x.withColumn("error", F.coalesce("error", fault.cast(ERROR_SCHEMA), no_ocr, error(F.col("markdown") == "", "empty_result", "conversion produced no content")))
+    x = x.withColumn("error", F.coalesce("error", fault, no_ocr, error(F.col("markdown") == "", "empty_result", "conversion produced no content")))
     return _results(x, pages, recognizer is not None)
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# What a converted file may be, and how users are told about it.
+# The formats, their MIME types and signatures, category ids, error codes and HTTP statuses are what
+# users of such a service rely on, and labels, hints and messages what they are shown, so all of them must be these.
 CATEGORIES = (
     ("documents", "Documents", "Word processors, presentations and spreadsheets"),
     ("data", "Data", "Structured and tabular data files"),
@@ -14,27 +15,25 @@ CATEGORIES = (
     ("archives", "Archives", "Bundles converted file-by-file"),
 )
 
-_OOXML = "application/vnd.openxmlformats-officedocument."
-_ZIP, _OLE = "504b0304", "d0cf11e0a1b11ae1"
 #: extension, label, category, icon, MIME types, signatures (offset, hex), read by recognition.
 FORMATS = (
     (".pdf", "PDF", "documents", "file-text", ["application/pdf", "application/x-pdf"], [(0, "25504446")], True),
-    (".docx", "Word", "documents", "file-type", [_OOXML + "wordprocessingml.document"], [(0, _ZIP)], False),
-    (".pptx", "PowerPoint", "documents", "presentation", [_OOXML + "presentationml.presentation"], [(0, _ZIP)], False),
-    (".xlsx", "Excel", "documents", "table", [_OOXML + "spreadsheetml.sheet"], [(0, _ZIP)], False),
-    (".xls", "Excel (legacy)", "documents", "table", ["application/vnd.ms-excel"], [(0, _OLE)], False),
+    (".docx", "Word", "documents", "file-type", ["application/vnd.openxmlformats-officedocument.wordprocessingml.document"], [(0, "504b0304")], False),
+    (".pptx", "PowerPoint", "documents", "presentation", ["application/vnd.openxmlformats-officedocument.presentationml.presentation"], [(0, "504b0304")], False),
+    (".xlsx", "Excel", "documents", "table", ["application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"], [(0, "504b0304")], False),
+    (".xls", "Excel (legacy)", "documents", "table", ["application/vnd.ms-excel"], [(0, "d0cf11e0a1b11ae1")], False),
     (".csv", "CSV", "data", "table", ["text/csv", "application/csv"], [], False),
     (".json", "JSON", "data", "braces", ["application/json", "text/json"], [], False),
     (".xml", "XML", "data", "code", ["application/xml", "text/xml"], [], False),
     (".html", "HTML", "web", "globe", ["text/html", "application/xhtml+xml"], [], False),
     (".htm", "HTML", "web", "globe", ["text/html", "application/xhtml+xml"], [], False),
     (".ipynb", "Jupyter Notebook", "technical", "notebook", ["application/x-ipynb+json", "application/json"], [], False),
-    (".epub", "EPUB", "technical", "book-open", ["application/epub+zip"], [(0, _ZIP)], False),
+    (".epub", "EPUB", "technical", "book-open", ["application/epub+zip"], [(0, "504b0304")], False),
     (".png", "PNG", "images", "image", ["image/png"], [(0, "89504e470d0a1a0a")], True),
     (".jpg", "JPEG", "images", "image", ["image/jpeg"], [(0, "ffd8ff")], True),
     (".jpeg", "JPEG", "images", "image", ["image/jpeg"], [(0, "ffd8ff")], True),
     (".webp", "WebP", "images", "image", ["image/webp"], [(0, "52494646"), (8, "57454250")], True),
-    (".zip", "ZIP archive", "archives", "folder-archive", ["application/zip", "application/x-zip-compressed"], [(0, _ZIP)], False),
+    (".zip", "ZIP archive", "archives", "folder-archive", ["application/zip", "application/x-zip-compressed"], [(0, "504b0304")], False),
 )
 
 #: Spellings of one format.

@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 from folioforge.operators.jobs import results_with_edits, unique_names
 
 
-def read_files(spark: SparkSession, path: str, job_id: int = 0, max_bytes: int | None = None) -> DataFrame:
-    """Files under a path as rows for ``convert``; content of files over ``max_bytes`` isn't read."""
+def read_files(spark: SparkSession, path: str, job_id: int | None = None, max_bytes: int | None = None) -> DataFrame:
+    """Files under a path as rows for ``convert``; content of files over ``max_bytes`` isn't read, their size is. A folder is a
+    job, so that what is done by job is spread, unless ``job_id`` makes one of all. Files of no bytes give no row."""
     x = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     content = F.when(F.col("length") <= max_bytes, F.col("content")) if max_bytes else F.col("content")
-    return x.select(F.xxhash64("path").alias("file_id"), F.lit(job_id).cast("long").alias("job_id"), F.xxhash64("path").alias("ord"), F.regexp_extract("path", r"[^/]*$", 0).alias("filename"), content.alias("content"))
+    job = F.xxhash64(F.regexp_extract("path", r"^(.*)/", 1)) if job_id is None else F.lit(job_id).cast("long")
+    return x.select(F.xxhash64("path").alias("file_id"), job.alias("job_id"), F.xxhash64("path").alias("ord"), F.regexp_extract("path", r"[^/]*$", 0).alias("filename"), F.col("length").alias("size"), content.alias("content"))
 
 
 def decoded_text(content: DataFrame, column: str = "content") -> DataFrame:
@@ -36,7 +38,8 @@ def write_markdown(results: DataFrame, path: str) -> None:
 
 def job_archives(results: DataFrame, edits: DataFrame | None = None) -> DataFrame:
     """job_id, archive: a ZIP of a job's completed files under unique names, edits in the place of results.
-    A job has few files, by the cap on files, so it is built in one group."""
+    An archive is one value, so a job is built in one group: results are to be within the caps on files and bytes of a job
+    (``operators.jobs.within_caps``), as those of a folder of any size may not be."""
     x = results.withColumn("file_id", F.col("file_id").cast("long"))
     x = results_with_edits(x, edits) if edits is not None else x.where("status = 'completed'")
     x = x.withColumn("place", F.struct("ord", "member_ord"))

@@ -44,6 +44,7 @@ class _Page(HTMLParser):
         self.in_title = False
         self.lists: list[int | None] = []
         self.links: list[tuple[str, int]] = []
+        self.found: list[tuple[str, str]] = []
         self.rows: list[list[str]] | None = None
         self.cell: int | None = None
 
@@ -109,6 +110,7 @@ class _Page(HTMLParser):
             label = self.text[at:].strip()
             if label and href and not re.match(r"(?i)\s*(javascript|data|vbscript):", href):
                 self.text = f"{self.text[:at]}[{label}]({href})"
+                self.found.append((label, href))
         elif tag in ("td", "th") and self.rows and self.cell is not None:
             self.rows[-1].append(cell(re.sub(r"\s+", " ", self.text).strip()))
             self.cell, self.text = None, ""
@@ -149,6 +151,14 @@ def read_html(data: bytes, charset: str | None = None) -> tuple[str, str | None]
     return out + "\n", page.title
 
 
+def html_links(data: bytes, charset: str | None = None) -> list[tuple[str, str]]:
+    """Label and target of the links that the Markdown of a page has, in order."""
+    page = _Page()
+    page.feed(decoded(data, charset))
+    page.close()
+    return page.found
+
+
 def _part(z: zipfile.ZipFile, name: str) -> ElementTree.Element | None:
     return parse_xml(z.read(name).decode("utf-8", "replace")) if name in z.namelist() else None
 
@@ -275,28 +285,55 @@ def read_epub(data: bytes, charset: str | None = None) -> tuple[str, str | None]
     return "\n\n".join([*([f"# {title}"] if title else []), *filter(None, chapters)]) + "\n", title
 
 
-# PDF: the text operators of page contents in simple encodings
+# PDF: the text operators of page contents, in simple encodings and by the ToUnicode maps of fonts
 
 _STREAM = re.compile(rb"(\d+) \d+ obj\s*(<<(?:(?!endobj).)*?>>)\s*stream\r?\n(.*?)\r?\n?endstream", re.DOTALL)
 _OBJECT = re.compile(rb"(\d+) \d+ obj(.*?)endobj", re.DOTALL)
-_SHOWN = re.compile(rb"\((?:[^()\\]|\\.)*\)|<[0-9A-Fa-f\s]*>|(?<![A-Za-z])(?:Tj|TJ|T\*|Td|TD|Tm|ET|'|\")(?![A-Za-z])|-?\d+\.?\d*", re.DOTALL)
+_SHOWN = re.compile(rb"/[^\s/<>\[\]()]+\s+-?[\d.]+\s+Tf|\((?:[^()\\]|\\.)*\)|<[0-9A-Fa-f\s]*>|(?<![A-Za-z])(?:Tj|TJ|T\*|Td|TD|Tm|ET|'|\")(?![A-Za-z])|-?\d+\.?\d*", re.DOTALL)
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+#: Codes of a font, each of so many bytes, and the text they stand for.
+_Map = tuple[int, dict[int, str]]
 
 
-def _literal(token: bytes) -> str:
+def _bytes_of(token: bytes) -> bytes:
     if token[:1] == b"<":
         digits = re.sub(rb"\s", b"", token[1:-1])
-        return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode()).decode("latin-1")
-    plain = re.sub(rb"\\([0-7]{1,3}|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else _ESCAPES.get(m[1], m[1]), token[1:-1], flags=re.DOTALL)
-    return plain.decode("cp1252", "replace")
-
-
-def _content_text(content: bytes) -> str:
-    out, held = [], []
+        return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+    return re.sub(rb"\\([0-7]{1,3}|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else _ESCAPES.get(m[1], m[1]), token[1:-1], flags=re.DOTALL)
+
+
+def _literal(token: bytes, font: _Map | None) -> str:
+    raw = _bytes_of(token)
+    if font is None:
+        return raw.decode("latin-1") if token[:1] == b"<" else raw.decode("cp1252", "replace")
+    width, codes = font
+    return "".join(codes.get(int.from_bytes(raw[i : i + width], "big"), "") for i in range(0, len(raw), width))
+
+
+def _unicode_map(cmap: bytes) -> _Map:
+    """The bfchar and bfrange entries of a ToUnicode map."""
+    text = lambda h: bytes.fromhex(h.decode()).decode("utf-16-be", "replace")
+    codes, width = {}, 1
+    for part in re.findall(rb"beginbfchar(.*?)endbfchar", cmap, re.DOTALL):
+        for code, to in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", part):
+            codes[int(code, 16)], width = text(to), len(code) // 2
+    for part in re.findall(rb"beginbfrange(.*?)endbfrange", cmap, re.DOTALL):
+        for first, last, to, each in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*(?:<([0-9A-Fa-f]+)>|\[([^\]]*)\])", part):
+            lo, hi, width = int(first, 16), int(last, 16), len(first) // 2
+            start, several = text(to) if to else "", re.findall(rb"<([0-9A-Fa-f]+)>", each)
+            for k in range(min(hi - lo + 1, 1 << 16)):
+                codes[lo + k] = (start[:-1] + chr(ord(start[-1]) + k)) if start else text(several[k]) if k < len(several) else ""
+    return max(1, width), codes
+
+
+def _content_text(content: bytes, fonts: dict[bytes, _Map]) -> str:
+    out, held, font = [], [], None
     for m in _SHOWN.finditer(content):
         token = m[0]
-        if token[:1] in b"(<":
-            held.append(_literal(token))
+        if token[:1] == b"/":
+            font = fonts.get(token[1:].split()[0])
+        elif token[:1] in b"(<":
+            held.append(_literal(token, font))
         elif token in (b"Tj", b"TJ"):
             out.append("".join(held))
             held = []
@@ -307,32 +344,87 @@ def _content_text(content: bytes) -> str:
     return "\n".join(x for x in lines if x)
 
 
-def pdf_pages(data: bytes) -> list[str]:
-    """Text of each page, in the order of page objects; [] where nothing can be read."""
-    streams = {}
-    for m in _STREAM.finditer(data):
-        raw = m[3]
-        if b"FlateDecode" in m[2]:
-            try:
-                raw = zlib.decompressobj().decompress(raw)
-            except zlib.error:
+def _refs(body: bytes, key: bytes) -> list[int]:
+    """Numbers of the objects that an entry refers to, alone or in an array."""
+    at = re.search(rb"/" + key + rb"\s*(\[[^\]]*\]|\d+ \d+ R)", body)
+    return [int(x) for x in re.findall(rb"(\d+) \d+ R", at[1])] if at else []
+
+
+class _Pdf:
+    """The objects of a file and its streams, decompressed."""
+
+    def __init__(self, data: bytes):
+        self.streams: dict[int, bytes] = {}
+        for m in _STREAM.finditer(data):
+            raw = m[3]
+            if b"FlateDecode" in m[2]:
+                try:
+                    raw = zlib.decompressobj().decompress(raw)
+                except zlib.error:
+                    continue
+            self.streams[int(m[1])] = raw
+        self.objects = {int(m[1]): m[2] for m in _OBJECT.finditer(data)}
+        for n, raw in list(self.streams.items()):
+            if n in self.objects and b"/ObjStm" in self.objects[n]:
+                first = int(re.search(rb"/First\s+(\d+)", self.objects[n])[1])
+                index = list(map(int, raw[:first].split()))
+                for k in range(0, len(index) - 1, 2):
+                    end = index[k + 3] if k + 3 < len(index) else len(raw)
+                    self.objects.setdefault(index[k], raw[first + index[k + 1] : first + end])
+
+    def _is(self, n: int, kind: bytes) -> bool:
+        return re.search(rb"/Type\s*/" + kind + rb"(?![s\w])", self.objects.get(n, b"")) is not None
+
+    def page_numbers(self) -> list[int]:
+        """Page objects in the order of the page tree; in that of their numbers where no tree leads to any."""
+        roots = [r for n in sorted(self.objects) if self._is(n, b"Catalog") for r in _refs(self.objects[n], b"Pages")]
+        out, seen, stack = [], set(), roots[-1:]
+        while stack:
+            n = stack.pop()
+            if n in seen:
                 continue
-        streams[int(m[1])] = raw
-    objects = {int(m[1]): m[2] for m in _OBJECT.finditer(data)}
-    for n, raw in list(streams.items()):
-        if n in objects and b"/ObjStm" in objects[n]:
-            first = int(re.search(rb"/First\s+(\d+)", objects[n])[1])
-            index = list(map(int, raw[:first].split()))
-            for k in range(0, len(index) - 1, 2):
-                end = index[k + 3] if k + 3 < len(index) else len(raw)
-                objects.setdefault(index[k], raw[first + index[k + 1] : first + end])
-    pages = []
-    for n in sorted(objects):
-        if re.search(rb"/Type\s*/Page(?![s\w])", objects[n]):
-            at = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+ \d+ R)", objects[n])
-            refs = [int(x) for x in re.findall(rb"(\d+) \d+ R", at[1])] if at else []
-            pages.append(_content_text(b"\n".join(streams.get(r, b"") for r in refs)))
-    return pages
+            seen.add(n)
+            if self._is(n, b"Page"):
+                out.append(n)
+            stack += reversed(_refs(self.objects.get(n, b""), b"Kids"))
+        return out or [n for n in sorted(self.objects) if self._is(n, b"Page")]
+
+    def _inherited(self, n: int, key: bytes) -> bytes:
+        """The dictionary of an entry of a page, or of what it stands under."""
+        for _ in range(32):
+            body = self.objects.get(n, b"")
+            at = re.search(rb"/" + key + rb"\s*(\d+) \d+ R", body)
+            if at:
+                return self.objects.get(int(at[1]), b"")
+            if re.search(rb"/" + key + rb"\s*<<", body):
+                return body[body.index(b"/" + key) :]
+            up = _refs(body, b"Parent")
+            if not up:
+                break
+            n = up[0]
+        return b""
+
+    def fonts(self, page: int) -> dict[bytes, _Map]:
+        """The fonts of a page by name that have a ToUnicode map."""
+        held = self._inherited(page, b"Resources")
+        at = re.search(rb"/Font\s*(?:(\d+) \d+ R|<<(.*?)>>)", held, re.DOTALL)
+        table = (self.objects.get(int(at[1]), b"") if at[1] else at[2]) if at else b""
+        out = {}
+        for name, ref in re.findall(rb"/([^\s/<>\[\]()]+)\s+(\d+) \d+ R", table):
+            for n in _refs(self.objects.get(int(ref), b""), b"ToUnicode"):
+                if n in self.streams:
+                    out[name] = _unicode_map(self.streams[n])
+        return out
+
+    def text(self, page: int) -> str:
+        content = b"\n".join(self.streams.get(r, b"") for r in _refs(self.objects[page], b"Contents"))
+        return _content_text(content, self.fonts(page))
+
+
+def pdf_pages(data: bytes) -> list[str]:
+    """Text of each page, in order; [] where nothing can be read."""
+    pdf = _Pdf(data)
+    return [pdf.text(n) for n in pdf.page_numbers()]
 
 
 def read_pdf(data: bytes, charset: str | None = None) -> tuple[str, str | None]:

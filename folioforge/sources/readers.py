@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import zipfile
 from collections.abc import Callable
 
@@ -35,6 +36,21 @@ def register(extension: str, reader: Reader) -> None:
     READERS[extension.lower()] = reader
 
 
+#: Readers that are asked before those by extension: the lowest priority first, of equals the latest; a reader takes a file
+#: by its extension and content.
+CHOSEN: list[tuple[float, int, Callable[[str, bytes], bool], Reader]] = []
+
+
+def register_for(accepts: Callable[[str, bytes], bool], reader: Reader, priority: float = 0.0) -> None:
+    """A reader for what ``accepts(extension, content)`` takes."""
+    CHOSEN.append((priority, -len(CHOSEN), accepts, reader))
+    CHOSEN.sort(key=lambda x: x[:2])
+
+
+def chosen_reader(extension: str, data: bytes, chosen: list, table: dict[str, Reader]) -> Reader | None:
+    return next((reader for *_, accepts, reader in chosen if accepts(extension, data)), table.get(extension))
+
+
 def reader_for(extension: str, mime: str = "") -> Reader | None:
     """The reader of an extension; the MIME type counts only where there is no extension at all."""
     ext = extension.lower()
@@ -68,19 +84,49 @@ def ole_kind(data: bytes) -> str:
     return next((e for marker, e in OLE.items() if marker.lower() in names), "")
 
 
-def charset_of(data: bytes) -> str:
-    """utf-8, with or without mark, where all bytes are; else the Western code page, which takes any byte."""
-    if data.startswith(b"\xef\xbb\xbf"):
-        return "utf-8-sig"
+#: Marks at the start of a file, the longer ones first.
+MARKS = ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe\x00\x00", "utf-32"), (b"\x00\x00\xfe\xff", "utf-32"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"))
+_DECLARED = re.compile(rb"""(?:encoding|charset)\s*=\s*["']?([A-Za-z0-9._:-]+)""")
+
+
+def _decodes(data: bytes, charset: str) -> bool:
     try:
-        data.decode("utf-8")
-    except UnicodeDecodeError:
-        try:
-            data.decode("cp1252")
-        except UnicodeDecodeError:
-            return "latin-1"
-        return "cp1252"
-    return "utf-8"
+        data.decode(charset)
+    except (UnicodeDecodeError, LookupError):
+        return False
+    return True
+
+
+def _in_case(text: str) -> int:
+    """Letters beyond ASCII where a text has them: small ones anywhere, capitals at the start of a word; others count against it."""
+    pairs = [(b, c) for b, c in zip(" " + text, text, strict=False) if ord(c) > 127]
+    return sum(1 if c.islower() or (c.isupper() and not b.isalpha()) else -1 for b, c in pairs)
+
+
+def charset_of(data: bytes) -> str:
+    """By a mark; utf-8 where all bytes are; what the file says of itself, if that reads it; UTF-16 where every other
+    byte of most pairs is 0. Else a guess: where most bytes beyond ASCII stand together, a Cyrillic code page, that
+    of which more letters are in a likely case; otherwise the Western one, or Latin-1, which takes any byte."""
+    for mark, charset in MARKS:
+        if data.startswith(mark) and _decodes(data, charset):
+            return charset
+    if b"\0" not in data[:PARSED_BYTES] and _decodes(data, "utf-8"):
+        return "utf-8"
+    said = _DECLARED.search(data[:1024])
+    if said and _decodes(data, name := said[1].decode().lower()):
+        return name
+    head = data[: PARSED_BYTES // 2 * 2]
+    for zeros, charset in ((head[1::2], "utf-16-le"), (head[::2], "utf-16-be")):
+        if len(head) >= 4 and zeros.count(0) > 0.4 * len(zeros) and _decodes(data, charset):
+            return charset
+    if _decodes(data, "utf-8"):
+        return "utf-8"
+    high = [len(m[0]) for m in re.finditer(rb"[\x80-\xff]+", head)]
+    if sum(high) >= 8 and sum(n for n in high if n > 2) > 0.6 * sum(high):
+        known = [c for c in ("cp1251", "koi8-r", "iso8859-5") if _decodes(data, c)]
+        if known:
+            return max(known, key=lambda c: _in_case(head.decode(c)))
+    return "cp1252" if _decodes(data, "cp1252") else "latin-1"
 
 
 def text_fault(extension: str, data: bytes, charset: str) -> str | None:

@@ -4,6 +4,7 @@ import io
 import math
 import os
 import random
+import time
 import zipfile
 
 import pytest
@@ -89,6 +90,43 @@ def test_unique_names(spark):
     assert [n for _, n in got] == ["a.md", "a-2.md", "a-3.md", "a-4.md", "b", "b-2"]
 
 
+def test_unique_names_against_one_fold_over_a_job(spark):
+    """Names that look like others' with a number, in random order, against a walk over all names of a job."""
+    rng = random.Random(5)
+    rows = [(j, i, rng.choice(["a", "a-2", "a-2-2", "b", "b-3", "a.tar"]) + rng.choice([".md", ".csv", ""])) for j in range(4) for i in range(40)]
+    got = {(r["job_id"], r["ord"]): r["name"] for r in jobs.unique_names(spark.createDataFrame(rows, "job_id long, ord int, filename string")).collect()}
+    for j in range(4):
+        taken = set()
+        for _, i, name in sorted(r for r in rows if r[0] == j):
+            stem, dot, end = name.rpartition(".") if "." in name else (name, "", "")
+            k, new = 2, name
+            while new in taken:
+                new, k = f"{stem}-{k}{dot}{end}", k + 1
+            taken.add(new)
+            assert got[j, i] == new
+        assert len(taken) == 40
+
+
+def test_cancel_and_retry(spark):
+    rows = [(1, 10, "queued", None, None), (1, 11, "processing", None, None), (1, 12, "failed", "e", None), (2, 20, "queued", None, None), (2, 21, "failed", "e", "m"), (2, 22, "completed", None, "m")]
+    files = spark.createDataFrame(rows, "job_id long, file_id long, status string, error string, markdown string")
+    after = jobs.cancelled(files, spark.createDataFrame([(1,), (1,), (9,)], "job_id long"))
+    assert {r["file_id"]: r["status"] for r in after.collect()} == {10: "cancelled", 11: "processing", 12: "failed", 20: "queued", 21: "failed", 22: "completed"}
+    assert {tuple(r) for r in jobs.running(files).collect()} == {(1, 2), (2, 1)}
+    again = jobs.retried(files, spark.createDataFrame([(2, 21), (2, 21), (1, 21)], "job_id long, file_id long"))
+    assert again.columns == files.columns and {tuple(r) for r in again.collect()} == {r if r[1] != 21 else (2, 21, "processing", None, None) for r in rows}
+    owned = files.withColumn("session_id", F.col("job_id") * 100)
+    asked = spark.createDataFrame([(100, 1, 12), (100, 2, 21), (200, 2, 99)], "session_id long, job_id long, file_id long")
+    assert [r["file_id"] for r in jobs.file_of(owned, asked).collect()] == [12]
+
+
+def test_sweep_counts(spark):
+    events = requests(spark, [(1, 1, 0, 0), (2, 2, 5000, 0), (3, 3, 9900, 0)])
+    folders = spark.createDataFrame([(1, 0), (2, 5000), (3, 0), (8, 0), (9, 9000)], "session_id long, s long").select("session_id", F.timestamp_seconds(F.col("s") + 1_000_000_000).alias("modified"))
+    now = F.timestamp_seconds(F.lit(1_000_010_000))
+    assert sessions.sweep_counts(events, folders, now).first()[:] == (2, 3, 2)
+
+
 def test_spliced_and_nested(spark):
     files = spark.createDataFrame([(1, 10, 0), (1, 11, 1), (1, 12, 2)], "job_id long, file_id long, ord int")
     members = spark.createDataFrame([(1, 11, 1), (1, 11, 2)], "job_id long, file_id long, member_ord int")
@@ -212,6 +250,50 @@ def test_archives_give_a_row_for_each_member(converted):
     assert set(got) == {"table.csv", "table.json"} and all(r["status"] == "completed" for r in got.values()) and got["table.csv"]["member_ord"] == 1
 
 
+def test_members_get_names_of_their_own(spark):
+    packed = zipped({"a/data.csv": "x\n1", "b/data.csv": "y\n2", "c/data-2.csv": "z\n3", "own.csv": "o\n4"})
+    df = spark.createDataFrame([(1, 1, 0, "own.csv", b"h\n0"), (2, 1, 1, "z.zip", packed), (3, 2, 0, "z.zip", packed)], "file_id long, job_id long, ord int, filename string, content binary")
+    got = {(r["job_id"], r["member_ord"], r["ord"]): r["filename"] for r in convert(df).collect()}
+    assert got == {(1, 0, 0): "own.csv", (1, 1, 1): "data.csv", (1, 2, 1): "data-2.csv", (1, 3, 1): "data-2-2.csv", (1, 4, 1): "own-2.csv", (2, 1, 0): "data.csv", (2, 2, 0): "data-2.csv", (2, 3, 0): "data-2-2.csv", (2, 4, 0): "own.csv"}
+
+
+def test_large_files_and_damaged_members(spark, tmp_path):
+    """A file over the limit isn't read, and is too large rather than empty; a damaged member isn't empty either."""
+    (tmp_path / "one").mkdir()
+    (tmp_path / "two").mkdir()
+    (tmp_path / "one" / "big.csv").write_text("x\n" + "1\n" * 300)
+    (tmp_path / "two" / "small.csv").write_text("x\n1")
+    files = read_files(spark, str(tmp_path), max_bytes=100)
+    got = {r["filename"]: (r["error"] or {"code": None})["code"] for r in convert(files, settings=Settings(max_file_bytes=100)).collect()}
+    assert got == {"big.csv": "file_too_large", "small.csv": None}
+    assert files.select("job_id").distinct().count() == 2 and read_files(spark, str(tmp_path), job_id=7).select("job_id").distinct().first()[0] == 7
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("good.csv", "a\n1")
+        z.writestr("bad.csv", "b\n" + "2\n" * 50)
+    data = bytearray(out.getvalue())
+    at = data.index(b"bad.csv") + len("bad.csv")
+    data[at : at + 3] = b"\xff\xff\xff"
+    got = {r["filename"]: r for r in convert(spark.createDataFrame([(1, 1, 0, "z.zip", bytes(data))], "file_id long, job_id long, ord int, filename string, content binary")).collect()}
+    assert got["good.csv"]["status"] == "completed" and got["bad.csv"]["error"]["code"] == "corrupt_file" and "can't be read" in got["bad.csv"]["error"]["detail"]
+
+
+def test_a_reader_that_hangs_is_interrupted(spark):
+    def hangs(data, charset):
+        import time
+
+        if data == b"slow":
+            time.sleep(60)
+        if data == b"none":
+            raise ImportError("no such library")
+        return "quick " * 3, None
+
+    df = spark.createDataFrame([(i, 1, i, "a.pages", d) for i, d in enumerate([b"slow", b"fast", b"none"])], "file_id long, job_id long, ord int, filename string, content binary")
+    began = time.monotonic()
+    got = {r["ord"]: (r["error"] or {"code": None})["code"] for r in convert(df.withColumn("filename", F.lit("a.xls")).withColumn("content", F.concat(F.unhex(F.lit("d0cf11e0a1b11ae1")), "content")), custom={".xls": lambda data, cs: hangs(data[8:], cs)}, settings=Settings(row_timeout_seconds=1.0)).collect()}
+    assert got == {0: "timeout", 1: None, 2: "conversion_failed"} and time.monotonic() - began < 40
+
+
 def test_options_and_recognition(spark, converted):
     three = spark.createDataFrame([(1, 1, 1, "a.pdf", pdf("one", "two", "three")), (2, 1, 2, "i.png", FILES["i.png"])], "file_id long, job_id long, ord int, filename string, content binary")
 

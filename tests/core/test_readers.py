@@ -161,6 +161,43 @@ def test_pdf_text():
     assert office.pdf_pages(b"%PDF-1.4 nothing") == []
 
 
+def test_pdf_pages_follow_the_tree():
+    """Objects in another order than pages, nested nodes, a loop, and a page that the tree doesn't have."""
+    page = lambda n, c: b"%d 0 obj <</Type /Page /Parent 2 0 R /Contents [%d 0 R]>> endobj\n%d 0 obj <<>>\nstream\nBT (page %d) Tj ET\nendstream endobj" % (n, c, c, n)
+    body = b"\n".join([b"1 0 obj <</Type /Catalog /Pages 2 0 R>> endobj", b"2 0 obj <</Type /Pages /Kids [30 0 R 3 0 R 10 0 R]>> endobj", b"3 0 obj <</Type /Pages /Kids [20 0 R 2 0 R]>> endobj", page(10, 11), page(20, 21), page(30, 31), page(40, 41)])
+    assert office.pdf_pages(b"%PDF-1.4\n" + body) == ["page 30", "page 20", "page 10"]
+
+
+def test_pdf_fonts_with_unicode_maps():
+    cmap = b"2 beginbfchar\n<0001> <0048>\n<0002> <00E9>\nendbfchar\n2 beginbfrange\n<0010> <0012> <0061>\n<0020> <0021> [<03B1> <D83DDE00>]\nendbfrange"
+    objects = [
+        b"1 0 obj <</Type /Catalog /Pages 2 0 R>> endobj", b"2 0 obj <</Type /Pages /Kids [3 0 R] /Resources <</Font <</F1 5 0 R /F2 6 0 R>>>>>> endobj", b"3 0 obj <</Type /Page /Parent 2 0 R /Contents 4 0 R>> endobj",
+        b"4 0 obj <<>>\nstream\nBT /F1 12 Tf <000100020010001100120020> Tj <0021FFFF> Tj /F2 9 Tf 0 -14 Td (plain) Tj ET\nendstream endobj", b"5 0 obj <</Type /Font /ToUnicode 7 0 R>> endobj", b"6 0 obj <</Type /Font>> endobj", b"7 0 obj <<>>\nstream\n" + cmap + b"\nendstream endobj",
+    ]
+    assert office.pdf_pages(b"%PDF-1.4\n" + b"\n".join(objects)) == ["Héabcα😀\nplain"]
+
+
+def test_charsets_are_told_apart():
+    russian, german = "Широкая электрификация южных губерний даст мощный толчок подъёму", "Die Größe übertrifft alle Erwartungen, schön für Ärzte"
+    assert [readers.charset_of(russian.encode(c)) for c in ("cp1251", "koi8-r", "utf-8", "utf-16", "utf-32")] == ["cp1251", "koi8-r", "utf-8", "utf-16", "utf-32"]
+    assert readers.charset_of(german.encode("cp1252")) == "cp1252" and readers.charset_of(german.encode("utf-16-le")) == "utf-16-le" and readers.charset_of(german.encode("utf-16-be")) == "utf-16-be"
+    assert readers.charset_of(b'<?xml version="1.0" encoding="ISO-8859-2"?><a>\xb1</a>') == "iso-8859-2" and readers.charset_of(b"<meta charset=nonsense>\xe9") == "cp1252"
+    assert readers.charset_of(b"") == "utf-8" and readers.charset_of(b"a\0b") == "utf-8"
+    assert office.read_csv("größe;b\n1;2".encode("utf-16"), "utf-16")[0].startswith("| größe | b |")
+
+
+def test_readers_by_priority(monkeypatch):
+    monkeypatch.setattr(readers, "CHOSEN", [])
+    first, second = (lambda data, cs: ("first", None)), (lambda data, cs: ("second", None))
+    readers.register_for(lambda ext, data: ext == ".json", second)
+    readers.register_for(lambda ext, data: data.startswith(b"!"), first, priority=-1.0)
+    get = lambda ext, data: readers.chosen_reader(ext, data, readers.CHOSEN, readers.READERS)
+    assert get(".json", b"!x") is first and get(".json", b"{}") is second and get(".xml", b"<a/>") is trees.read_xml and get(".none", b"") is None
+    third = lambda data, cs: ("third", None)
+    readers.register_for(lambda ext, data: True, third)
+    assert get(".json", b"{}") is third and get(".json", b"!") is first
+
+
 def test_kinds_of_containers():
     assert [readers.zip_kind(x) for x in (docx(), xlsx(), pptx(), epub(), zipped({"a.txt": "x"}), b"PK\x03\x04broken")] == [".docx", ".xlsx", ".pptx", ".epub", ".zip", None]
     entry = "Workbook".encode("utf-16-le")
