@@ -101,7 +101,17 @@ def doc_fence_segments(spark, d):
     return s.groupBy("doc_id").agg(F.sum(prose).cast("long").alias("prose_lines"), F.sum(F.when(F.col("s.code"), n).otherwise(0)).cast("long").alias("code_lines"), F.count_if("s.code").alias("n_code"))
 
 
-@query()
+_TIDY = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?m)[ \\t]+$', '', 'g'), '(?m)^(#{1,6})[ \\t]*(\\S.*?)[ \\t]*#*$', '\\1 \\2', 'g'), '([^\\n])\\n(#{1,6} )', '\\1' || chr(10) || chr(10) || '\\2', 'g'), '(?m)^(#{1,6} [^\\n]*)$', '\\1' || chr(10), 'g'), '\\A\\n{2,}|\\n{2,}\\z', chr(10), 'g'), '\\A\\n\\z', ''), '\\n{3,}', chr(10) || chr(10), 'g')"
+
+
+@query(f"""with {t.FENCED},
+c as (select doc_id, regexp_replace(translate(nfc_normalize(regexp_replace(md, '\\r\\n?', chr(10), 'g')), chr(160) || chr(65279), ' '), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g') as md from fenced),
+l as (select doc_id, unnest(string_split(md, {NL})) as line, unnest(range(len(string_split(md, {NL})))) as i from c),
+m as (select *, starts_with(trim(line), '```') as mark, sum(starts_with(trim(line), '```')::int) over (partition by doc_id order by i) as n from l),
+s as (select doc_id, (case when mark then (n + 1) // 2 * 2 - 1 else n end)::int as seg, string_agg(line, {NL} order by i) as t from m group by all),
+a as (select doc_id, seg, t from s union all select o.doc_id, o.seg - 1, '' from s o left join s p on p.doc_id = o.doc_id and p.seg = o.seg - 1 where o.seg % 2 = 1 and p.seg is null),
+j as (select doc_id, string_agg(case when seg % 2 = 1 then t else {_TIDY} end, {NL} order by seg) as t from a group by doc_id)
+select doc_id, md5(case when trim(t, ' ' || chr(9) || {NL}) = '' then '' else trim(t, {NL}) || {NL} end) as digest from j""")
 def doc_normalize_fenced(spark, d):
     return t.fenced(spark, d).select("doc_id", F.md5(text.normalize_markdown(F.col("md")).cast("binary")).alias("digest"))
 
