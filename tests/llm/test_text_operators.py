@@ -116,6 +116,7 @@ def test_pii_surrogates_never_run_out(spark, monkeypatch):
     import folioforge.llm.pii as module
 
     monkeypatch.setattr(module, "SYLLABLES", {"latin": ("ba", "de"), "cyrillic": ("ба", "де"), "greek": ("βα", "δε")})
+    monkeypatch.setattr(module, "REDRAWS", 1)
     canon = [("name", f"{g}:name{i}") for g in "mf" for i in range(30)] + [("email", f"{i}@mail.org") for i in range(10)] + [("email", f"+@{c}.org") for c in "abcdefghijklmnopqrstuvwxyz0123456789"]
     got = rows(assign_surrogates(spark.createDataFrame(canon, "kind string, canon string"), "k"))
     assert {(r["kind"], r["canon"]) for r in got} == set(canon) and len({(r["kind"], r["surrogate"]) for r in got}) == len(canon)
@@ -131,7 +132,7 @@ def test_pii_raises_where_surrogates_cannot_suffice(spark, monkeypatch):
     """Of a kind of a set length with more entities than surrogates some are left after all rounds."""
     import folioforge.llm.pii as module
 
-    monkeypatch.setattr(module, "ROUNDS", 3)
+    monkeypatch.setattr(module, "ROUNDS", 2)
     canon = [("ssn", f"{i}") for i in range(10)]
     with pytest.raises(ValueError, match="no surrogates are left"):
         assign_surrogates(spark.createDataFrame(canon, "kind string, canon string"), "k")
