@@ -334,17 +334,28 @@ def ocr_list_items(spark, d):
     return _lines(spark, d).select("doc_id", "line", text.list_item(F.expr(_MARKS)).alias("item"))
 
 
-@query(f"""with {t.LINES}, c as (select doc_id, coalesce(median(width / length(text)) filter (where length(text) > 1), 8.0) as cw, median(width) as ww from words group by doc_id),
+_TWO_LINES = (
+    t.WORDS.replace("words as (", "words0 as (", 1)
+    + """, words as (select doc_id, page, block, line, pos, text, ("left" + case when line % 2 = 1 then widest + 100 else 0 end)::int as "left", (top - case when line % 2 = 1 then 40 else 0 end)::int as top, width, height, confidence
+  from (select *, max("left" + width) over (partition by doc_id) as widest from words0))"""
+    + t.LINES[len(t.WORDS) :]
+    + """, l2 as (select doc_id, line, "left", "right", top from lines), p2 as (select doc_id, max("right") + 100 as w, count(*) as n from l2 group by doc_id)"""
+    + _GAPS[len(_TWO) :]
+)
+
+
+@query(f"""with {_TWO_LINES}, c as (select doc_id, coalesce(median(width / length(text)) filter (where length(text) > 1), 8.0) as cw, median(width) as ww from words group by doc_id),
 r as (select doc_id, block, list_sort(list("right")) as r from lines group by doc_id, block), m as (select doc_id, block, r[(len(r) * 9 // 10) + 1] - greatest(cw * 2.6, ww * 1.3) as threshold from r join c using (doc_id)),
 b as (select doc_id, median(norm_height) as body from (select doc_id, norm_height, unnest(range(n_words)) from lines) group by doc_id),
-x as (select l.doc_id, l.block, line, top, bottom, text, "right" >= threshold as wrapped, body, row_number() over (partition by l.doc_id order by top, "left", l.block, line) as k from lines l join m on m.doc_id = l.doc_id and m.block = l.block join b on b.doc_id = l.doc_id),
+x as (select l.doc_id, l.block, line, top, bottom, text, "right" >= threshold as wrapped, body, row_number() over (partition by l.doc_id order by coalesce(("left" + "right") / 2.0 > gutter_start, false), top, "left", l.block, line) as k from lines l join m on m.doc_id = l.doc_id and m.block = l.block join b on b.doc_id = l.doc_id left join gutter g on g.doc_id = l.doc_id),
 y as (select *, coalesce(block = lag(block) over o and (body <= 0 or top - lag(bottom) over o <= body * 1.2) and lag(wrapped) over o, false) as goes_on from x window o as (partition by doc_id order by k)),
 z as (select *, sum((not goes_on)::int) over (partition by doc_id order by k) as n from y)
 select doc_id, n::bigint as paragraph, count(*)::bigint as n_lines, string_agg(trim(text), ' ' order by k) as text from z group by doc_id, n""")
 def ocr_paragraphs(spark, d):
-    w = t.words(spark, d)
+    """Of pages in two columns, read down one and then the other."""
+    w = t.two_columns(t.words(spark, d))
     line = layout.lines(w)
-    ordered = layout.reading_order(line, layout.gutters(line, t.page_widths(w)).where("false"))
+    ordered = layout.reading_order(line, layout.gutters(line, t.page_widths(w)))
     return layout.paragraphs(ordered, layout.body_heights(line), layout.margins(line, layout.char_widths(w))).select("doc_id", "paragraph", "n_lines", "text")
 
 
