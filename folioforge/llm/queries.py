@@ -9,6 +9,7 @@ from folioforge.llm.common import fold, small_batches, table
 from folioforge.llm.decontam import find_contamination
 from folioforge.llm.exact_dedup import exact_groups
 from folioforge.llm.language import fit_languages, identify_languages
+from folioforge.llm.lexical_search import search
 from folioforge.llm.line_dedup import drop_frequent_lines
 from folioforge.llm.mixing import mix_sources
 from folioforge.llm.near_dup import near_duplicates
@@ -16,10 +17,15 @@ from folioforge.llm.pii import replace_pii
 from folioforge.llm.quality import fit_neighbours, score_quality
 from folioforge.llm.secrets import find_secrets, written
 from folioforge.llm.substring_dedup import repeated_passages
+from folioforge.llm.url_filter import Rule, filter_urls
+from folioforge.llm.vector_codes import codebooks_digest, encode, fit_codebooks, hex_code, with_label_errors
 
 #: Draws the surrogates of op3; an installation passes its own to ``replace_pii``.
 PII_KEY = "folioforge-demo-key"
 
+#: Fixed by the contract of op13.
+URL_RULES = (Rule("allow", "org"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"), Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/"))
+
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_frequent_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
@@ -77,6 +83,22 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    books = fit_codebooks(vectors, parts=8, entries=16, rounds=6)
+    out = with_label_errors(encode(vectors, books))
+    return out.select("vec_id", hex_code(F.col("codes")).alias("code"), "error", "label_error", F.lit(None if books is None else codebooks_digest(books)).cast("string").alias("codebooks_sha256"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 SQL = {
@@ -188,4 +210,81 @@ from documents d left join g using (doc_id)"""
 
 SQL["op9_secret_scan"] = _secrets_sql()
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_decontamination, op3_pii, op4_quality, op5_near_dup, op6_mixing, op7_substring_dedup, op8_exact_dedup, op9_secret_scan, op10_language_id)}
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    steps = [
+        f"""v as materialized (select vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::double)::bigint) as x from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)""",
+        f"x as materialized (select vec_id, p, x[p * len(x) // {parts} + 1 : (p + 1) * len(x) // {parts}] as x from v, (select unnest(range({parts})) as p))",
+        f"""c0 as materialized (select p, x as c, row_number() over (partition by p order by vec_id) - 1 as e from x
+  where vec_id in (select vec_id from v order by vec_id limit {entries}))""",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} as materialized (select vec_id, p, min(struct_pack(d := d, e := e)) as b from (
+  select vec_id, x.p, e, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d from x join c{r} on x.p = c{r}.p) group by all)""")
+        if r < rounds:
+            steps.append(f"""m{r} as materialized (select p, e, list(m order by j) as c from (
+  select p, e, j, floor(sum(y) // count(*) - case when sum(y) % count(*) < 0 then 1 else 0 end)::bigint as m from (
+    select x.p, a.b.e as e, unnest(x.x) as y, unnest(range(len(x.x))) as j from a{r} a join x using (vec_id, p)) group by all) group by all)""")
+            steps.append(f"c{r + 1} as materialized (select p, e, coalesce(m{r}.c, c{r}.c) as c from c{r} left join m{r} using (p, e))")
+    return f"""
+with {', '.join(steps)},
+k as (select sha256(string_agg(array_to_string(c, ','), ',' order by p, e)) as codebooks_sha256 from c{rounds}),
+o as (select vec_id, string_agg(lpad(lower(hex(b.e)), 2, '0'), '' order by p) as code, sum(b.d)::bigint as error from a{rounds} group by vec_id)
+select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, codebooks_sha256 from o join v using (vec_id), k"""
+
+
+SQL["op11_vector_codes"] = _codes_sql()
+
+SQL["op12_lexical_search"] = f"""
+with q0 as (select item_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as w from benchmark),
+q as (select item_id, t, count(*) as times from (select item_id, unnest(w) as t from q0) group by all),
+d as materialized (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as w from documents),
+s as (select count(*) filter (where len(w) > 0) as n, sum(len(w))::bigint as l from d),
+p as materialized (select r, t, count(*) as tf from (select r, unnest(w) as t from d) where t in (select t from q) group by all),
+f as (select t, floor(1000 * ln((2 * any_value(s.n) + 2) / (2 * count(*) + 1)))::bigint as w from p, s group by t),
+m as (select r, doc_id, 100 - 25 + (25 * len(w) * n) // l as m from d, s where len(w) > 0),
+g as (select item_id, r, sum(times * f.w * ((1000000000 * tf) // (1000 * tf + 12 * m.m)))::bigint as score from q join p using (t) join f using (t) join m using (r) group by all),
+k as (select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from g join m using (r) where score > 0)
+select item_id, rank, doc_id, score from k where rank <= 20"""
+
+
+def _urls_sql() -> str:
+    url = "(?s)^.*?://([^/?#]*)([^?#]*)(?:\\?([^#]*))?"
+    part = lambda c, k: f"coalesce(regexp_extract({c}, '{url}', {k}), '')"
+    host = lambda c: f"translate({part(c, 1)}, {_AZ})"
+
+    def node(c: str) -> str:
+        kept = f"list_filter(string_split({part(c, 3)}, '&'), lambda y: y <> '' and not regexp_matches(y, '^(?:utm_[a-z]+|gclid|fbclid)='))"
+        bare = f"regexp_replace({host(c)}, ':(?:80|443)$', '')"
+        bare = f"case when regexp_matches({bare}, '^www\\.[^.]+\\.') then substr({bare}, 5) else {bare} end"
+        path = f"rtrim(regexp_replace({part(c, 2)}, '/index\\.(?:html?|php)$', '/'), '/')"
+        return f"case when contains({c}, '://') then {bare} || {path} || case when len({kept}) > 0 then '?' || array_to_string({kept}, '&') else '' end end"
+
+    def attr(name: str) -> str:
+        found = f"(?is)\\s{name}\\s*=\\s*(?:\"([^\"]*)\"|''([^'']*)''|([^\\s\"''>]+))"
+        return "trim(replace(" + " || ".join(f"regexp_extract(tag, '{found}', {k})" for k in (1, 2, 3)) + ", '&amp;', '&'))"
+
+    rule = " ".join(f"when ({{h}} = '{r.host}' or ends_with({{h}}, '.{r.host}')) and starts_with({{p}}, '{r.path}') then '{r.name}'" for r in sorted(URL_RULES, key=lambda r: -len(r.name)))
+    ruled = lambda h, p: "case " + rule.format(h=h, p=p) + " end"
+    blocks = ", ".join(f"'{r.name}'" for r in URL_RULES if r.verdict == "block")
+    return f"""
+with recursive j as (select page_id, url, {host('url')} as host, {part('url', 2)} as path, {node('url')} as node from pages),
+r as (select *, {ruled('host', 'path')} as rule from j),
+g as (select url, unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script\\b.*?</script>', ' ', 'g'), '(?is)<(?:link|meta)\\s[^>]*>')) as tag from pages),
+t as (select url, case when regexp_matches(tag, '(?i)^<link\\s') and list_contains(string_split_regex(lower({attr('rel')}), '\\s+'), 'canonical') then {attr('href')}
+  when regexp_matches(tag, '(?i)^<meta\\s') and lower({attr('http-equiv')}) = 'refresh' then regexp_extract({attr('content')}, '(?is)^\\s*[0-9.]+\\s*[;,]\\s*(?:url\\s*=\\s*)?["'']?(.*?)["'']?\\s*$', 1) end as t from g),
+l as (select url, case when regexp_matches(t, '(?i)^[a-z][a-z0-9+.-]*://') then t when starts_with(t, '//') then regexp_extract(url, '(?s)^(.*?:)//', 1) || t
+  when starts_with(t, '#') or regexp_matches(t, '(?i)^[a-z][a-z0-9+.-]*:') then null when starts_with(t, '/') then regexp_extract(url, '(?s)^.*?://[^/?#]*') || t
+  when starts_with(t, '?') then regexp_extract(url, '(?s)^.*?://[^/?#]*') || {part('url', 2)} || t
+  else regexp_extract(url, '(?s)^.*?://[^/?#]*') || coalesce(nullif(regexp_replace({part('url', 2)}, '[^/]*$', ''), ''), '/') || regexp_replace(t, '^(?:\\./)+', '') end as target from t where t <> ''),
+e as (select distinct {node('url')} as a, {node('target')} as b, url, target from l),
+way as (select a, b from e where a <> b union select b, a from e where a <> b),
+blocked as (select node from r where rule in ({blocks}) union select {node('u')} from (select unnest([url, target]) as u from e where a <> b) where {ruled(host('u'), part('u', 2))} in ({blocks})),
+reach as (select node from blocked union select b from reach join way on a = node)
+select page_id, host, path, rule, case when rule in ({blocks}) or (rule is null and node in (select node from reach where node is not null)) then 'block' else 'allow' end as verdict from r"""
+
+
+SQL["op13_url_filter"] = _urls_sql()
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_decontamination, op3_pii, op4_quality, op5_near_dup, op6_mixing, op7_substring_dedup, op8_exact_dedup, op9_secret_scan, op10_language_id, op11_vector_codes, op12_lexical_search, op13_url_filter)}
