@@ -28,6 +28,11 @@ def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: t if t is None or unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t))
 
 
+def stripped(c: Column) -> Column:
+    """Without blanks at either end, of all kinds."""
+    return F.regexp_replace(c, rf"\A{BLANK}+|{BLANK}+\z", "")
+
+
 def clean_characters(c: Column) -> Column:
     """One kind of line end, no no-break space or byte-order mark, no control character but tab and newline."""
     c = F.regexp_replace(c, r"\r\n?", "\n")

@@ -1,27 +1,25 @@
 """Positioned words to lines, blocks and Markdown.
 
 Input is a table of words: doc_id, page, block, paragraph, line, pos (input order), text, left, top,
-width, height, confidence. Everything up to reading order is set-based; only the assembly of a page,
-an ordered walk over few lines, is a grouped function."""
+width, height, confidence. All of it is set-based, up to the blocks of a page: lines carry the measures of
+their page, and get their labels, places and paragraphs by windows over it."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.functions.text import BULLET, NUMBER, extent_factor, join_lines
+from folioforge.functions.text import extent_factor, heading_level, join_lines, let, list_item, stripped
 
 LINE = ["doc_id", "page", "block", "paragraph", "line"]
 PAGE = ["doc_id", "page"]
 #: A gap of so many character widths parts two cells.
 CELL_GAP = 2.6
 GUTTER_SHARE, GUTTER_LINES = 0.035, 6
-_REBUILT = pa.schema([("doc_id", pa.int64()), ("page", pa.int32()), ("markdown", pa.string()), ("word_count", pa.int64()), ("confidence", pa.float64()), ("warnings", pa.list_(pa.string()))])
+#: Columns that a table may have.
+TABLE_COLUMNS = 10
 
 
 def recognised(words: DataFrame) -> DataFrame:
@@ -113,198 +111,199 @@ def nearest_column(anchors: Column, x: Column) -> Column:
     return F.array_min(F.transform(anchors, lambda a, i: F.struct(F.abs(a - x).alias("d"), i.alias("i"))))["i"]
 
 
-def gutters(line: DataFrame, page_widths: DataFrame) -> DataFrame:
-    """doc_id, page, gutter_start, gutter_end of pages with two columns: the widest stretch (the first of
-    equals) in the middle half of the page that no line covers, of 3.5 % of the width at least, on a page
-    of six lines or more. As no line covers it, none crosses it."""
-    w = F.col("page_width")
-    x = line.join(page_widths, PAGE).where(w > 0)
+def measured(words: DataFrame, page_widths: DataFrame) -> DataFrame:
+    """Words with what their page and document are like: page_width, body_height (of the whole document, so that headings agree
+    across pages), char_width and word_width of the page, page_words, page_confidence. Words move once, by page; all that follows keeps that partitioning."""
+    page = page_widths.join(word_body_heights(words), "doc_id").select(*PAGE, "page_width", "body_height")
+    x = words.select(*LINE, "pos", "text", "left", "top", "width", "height", "confidence").join(page, PAGE)
+    on_page = Window.partitionBy(*PAGE)
+    long = F.when(F.length("text") > 1, F.col("width") / F.length("text"))
+    return x.withColumns({
+        "char_width": F.coalesce(F.median(long).over(on_page), F.lit(8.0)),
+        "word_width": F.coalesce(F.median("width").over(on_page), F.lit(0.0)),
+        "page_words": F.count(F.lit(1)).over(on_page),
+        "page_confidence": F.avg("confidence").over(on_page),
+    })
+
+
+MEASURES = ["page_width", "body_height", "char_width", "word_width", "page_words", "page_confidence"]
+
+
+def measured_lines(words: DataFrame) -> DataFrame:
+    """``lines`` of measured words, with the measures."""
+    carried = words.groupBy(*LINE).agg(
+        F.array_sort(F.collect_list(F.struct("left", "pos", "text", "width"))).alias("words"),
+        F.min("left").alias("left"),
+        F.max(F.col("left") + F.col("width")).alias("right"),
+        F.min("top").alias("top"),
+        F.max(F.col("top") + F.col("height")).alias("bottom"),
+        *[F.first(m).alias(m) for m in MEASURES],
+    )
+    out = carried.withColumn("text", F.array_join(F.transform("words", lambda w: w["text"]), " "))
+    return out.withColumn("norm_height", (F.col("bottom") - F.col("top")) / extent_factor(F.col("text")))
+
+
+def with_gutters(line: DataFrame) -> DataFrame:
+    """Lines (with page_width) with gutter_start and gutter_end of their page, null but on pages with two columns: the widest stretch (the first
+    of equals) in the middle half of the page that no line covers, of 3.5 % of the width at least, on a page of six lines or more.
+    As no line covers it, none crosses it. Windows over the page alone: lines by left end, and how far those before reach."""
+    w, on_page = F.col("page_width"), Window.partitionBy(*PAGE)
     clip = lambda c: F.greatest(F.lit(0), F.least(c, w - 1))
     lo, hi = F.floor(w * 0.25).cast("int"), F.floor(w * 0.75).cast("int")
-    x = x.select(*PAGE, clip(F.col("left")).alias("l"), (clip(F.col("right")) + 1).alias("r"), lo.alias("lo"), hi.alias("hi"), w.alias("w"))
-    n = Window.partitionBy(*PAGE)
-    order = n.orderBy("l", "r")
-    reach = F.max("r").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    before = x.select(*PAGE, "w", F.count(F.lit(1)).over(n).alias("n"), F.greatest(F.coalesce(reach, F.lit(0)), F.col("lo")).alias("a"), F.least("l", "hi").alias("b"))
-    after = x.groupBy(*PAGE).agg(F.first("w").alias("w"), F.count(F.lit(1)).alias("n"), F.greatest(F.max("r"), F.first("lo")).alias("a"), F.first("hi").alias("b"))
-    gaps = before.unionByName(after).where((F.col("b") > F.col("a")) & (F.col("n") >= GUTTER_LINES))
-    best = gaps.groupBy(*PAGE).agg(F.max_by(F.struct("a", "b", "w"), F.struct(F.col("b") - F.col("a"), -F.col("a"))).alias("g"))
-    return best.where(F.col("g.b") - F.col("g.a") >= F.col("g.w") * GUTTER_SHARE).select(*PAGE, F.col("g.a").alias("gutter_start"), F.col("g.b").alias("gutter_end"))
-
-
-def reading_order(line: DataFrame, gutter: DataFrame) -> DataFrame:
-    """Lines with ``rank`` from 0 on each page: down the page, or where there is a gutter down the left
+    x = line.withColumns({"_l": clip(F.col("left")), "_r": clip(F.col("right")) + 1})
+    reach = F.max("_r").over(on_page.orderBy("_l", "_r").rowsBetween(Window.unboundedPreceding, -1))
+    stretch = lambda a, b: F.when(b > a, F.struct((b - a).alias("size"), (-a).alias("before")))
+    x = x.withColumn("_gap", stretch(F.greatest(F.coalesce(reach, F.lit(0)), lo), F.least(F.col("_l"), hi)))
+    best = F.greatest(F.max("_gap").over(on_page), stretch(F.greatest(F.max("_r").over(on_page), lo), hi))
+    x = x.withColumns({"_n": F.count(F.lit(1)).over(on_page), "_best": best})
+    there = (w > 0) & (F.col("_n") >= GUTTER_LINES) & (F.col("_best.size") >= w * GUTTER_SHARE)
+    start = F.when(there, -F.col("_best.before"))
+    return x.withColumns({"gutter_start": start, "gutter_end": start + F.col("_best.size")}).drop("_l", "_r", "_gap", "_n", "_best")
+
+
+def gutters(line: DataFrame, page_widths: DataFrame) -> DataFrame:
+    """doc_id, page, gutter_start, gutter_end of pages with two columns, as ``with_gutters`` finds them."""
+    return with_gutters(line.join(page_widths, PAGE)).where("gutter_start is not null").select(*PAGE, "gutter_start", "gutter_end").distinct()
+
+
+def reading_order(line: DataFrame) -> DataFrame:
+    """Lines (with gutter_start) with ``rank`` from 0 on each page: down the page, or where there is a gutter down the left
     column and then the right."""
     middle = (F.col("left") + F.col("right")) / 2
-    x = line.join(gutter, PAGE, "left").withColumn("side", F.when(middle > F.col("gutter_start"), 1).otherwise(0))
+    x = line.withColumn("side", F.when(middle > F.col("gutter_start"), 1).otherwise(0))
     order = Window.partitionBy(*PAGE).orderBy("side", "top", "left", "block", "paragraph", "line")
     return x.withColumn("rank", F.row_number().over(order) - 1)
 
 
-def paragraphs(ordered: DataFrame, heights: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Paragraphs of lines in reading order (all taken as prose): a line goes on with the paragraph when
-    it has the block of the line before, follows within 1.2 body heights, and that line reached its margin."""
+def _reach(line: DataFrame, counts: Column, allowance: Column) -> DataFrame:
+    """Lines with ``threshold``, of their block: where a line must reach to have wrapped, as ``margins`` has it, measured on the lines that ``counts``
+    names; null where a block has none. By rank within the block, so that no list of ends is kept."""
+    x = line.withColumn("_counts", counts)
+    alike = Window.partitionBy(*PAGE, "block", "_counts")
+    place, n = F.row_number().over(alike.orderBy("right")), F.count(F.lit(1)).over(alike)
+    x = x.withColumns({"_place": place, "_of": n})
+    at = F.when(F.col("_counts") & (F.col("_place") == F.floor(F.col("_of") * 0.9) + 1), F.col("right"))
+    return x.withColumn("threshold", F.max(at).over(Window.partitionBy(*PAGE, "block")) - allowance).drop("_counts", "_place", "_of")
+
+
+def _goes_on(before: Column, line: dict[str, Column]) -> Column:
+    """Whether a prose line continues the paragraph of the line ``before`` (block, bottom, right, threshold): same block, within
+    1.2 body heights, and that line reached its margin."""
+    near = (line["body_height"] <= 0) | (line["top"] - before["bottom"] <= line["body_height"] * 1.2)
+    return (line["block"] == before["block"]) & near & F.coalesce(before["right"] >= before["threshold"], F.lit(True))
+
+
+_GOES_ON = ("block", "top", "body_height")
+
+
+def paragraphs(ordered: DataFrame) -> DataFrame:
+    """Paragraphs of measured lines in reading order, all taken as prose: doc_id, page, paragraph, n_lines, text."""
+    allowance = F.greatest(F.col("char_width") * CELL_GAP, F.col("word_width") * 1.3)
+    x = _reach(ordered, F.lit(True), allowance)
     order = Window.partitionBy(*PAGE).orderBy("rank")
-    x = ordered.join(heights, "doc_id").join(thresholds, [*PAGE, "block"], "left")
-    gap = F.col("top") - F.lag("bottom").over(order)
-    wrapped = F.lag(F.coalesce(F.col("right") >= F.col("threshold"), F.lit(True))).over(order)
-    goes_on = (F.col("block") == F.lag("block").over(order)) & ((F.col("body_height") <= 0) | (gap <= F.col("body_height") * 1.2)) & wrapped
-    x = x.withColumn("n", F.sum((~F.coalesce(goes_on, F.lit(False))).cast("int")).over(order))
+    before = F.lag(F.struct("block", "bottom", "right", "threshold")).over(order)
+    x = x.withColumn("_before", before)
+    opens = ~F.coalesce(_goes_on(F.col("_before"), {c: F.col(c) for c in _GOES_ON}), F.lit(False))
+    x = x.withColumn("_opens", opens.cast("int")).withColumn("n", F.sum("_opens").over(order))
     out = x.groupBy(*PAGE, "n").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("t"), F.count(F.lit(1)).alias("n_lines"))
     return out.select(*PAGE, F.col("n").alias("paragraph"), "n_lines", join_lines(F.transform("t", lambda v: v["text"])).alias("text"))
 
 
-def _render(rows: list[list[tuple[float, str]]]) -> str | None:
-    """Rows of cells put into shared columns, as a Markdown table; None where that makes no table."""
-    xs = np.unique([x for row in rows for x, _ in row]).astype(float)
-    room = max((xs[-1] - xs[0]) * 0.06, 12.0)
-    anchors: list[float] = []
-    for x in xs:
-        if not anchors or x - anchors[-1] > room:
-            anchors.append(x)
-    if not 2 <= len(anchors) <= 10:
-        return None
-    grid = np.full((len(rows), len(anchors)), "", object)
-    for k, row in enumerate(rows):
-        for x, text in row:
-            at = int(np.argmin(np.abs(np.array(anchors) - x)))
-            grid[k, at] = f"{grid[k, at]} {text}".strip()
-    if not any(grid[0]):
-        return None
-    shown = [[c.replace("|", "\\|") for c in row] for row in grid]
-    shown.insert(1, ["---"] * len(anchors))
-    return "\n".join(f"| {' | '.join(row)} |" for row in shown)
-
-
-def _runs(n_cells: list[int]) -> dict[int, int]:
-    out, at = {}, 0
-    while at < len(n_cells):
-        end = at
-        while n_cells[at] >= 2 and end + 1 < len(n_cells) and n_cells[end + 1] >= 2 and abs(n_cells[end + 1] - n_cells[at]) <= 1:
-            end += 1
-        if end > at:
-            out[at] = end + 1
-        at = end + 1
-    return out
-
-
-def _glued(parts: list[str]) -> str:
-    out = ""
-    for p in filter(None, map(str.strip, parts)):
-        out = out[:-1] + p if out.endswith("-") and not out.endswith("--") else f"{out} {p}".strip()
-    return out
-
-
-def _factor(text: str) -> float:
-    if not re.search("[A-Za-z]", text):
-        return 1.0
-    deep, tall = re.search("[gjpqy]", text), re.search("[bdfhklt]", text) or any(c.isupper() or c.isdigit() for c in text)
-    return 1.0 if deep and tall else 0.78 if tall else 0.82 if deep else 0.58
-
-
-def _item(text: str) -> str | None:
-    if m := re.match(BULLET, text):
-        return f"- {text[m.end() :].strip()}"
-    if m := re.match(NUMBER, text):
-        return f"{m[1]}. {text[m.end() :].strip()}"
-    return None
-
-
-def _level(text: str, n: int, height: float, body: float) -> int | None:
-    if body <= 0 or n > 14:
-        return None
-    grade = sum(height / body >= r for r in (1.70, 1.40, 1.22))
-    shout = n <= 8 and len(text) >= 3 and text == text.upper() and re.search("[a-zA-Z]", text)
-    return 4 - grade if grade else 2 if shout else None
-
-
-def _gutter(left: np.ndarray, right: np.ndarray, width: int) -> float | None:
-    """Where the widest stretch begins that no line covers in the middle half; None without one."""
-    if len(left) < GUTTER_LINES or width <= 0:
-        return None
-    order = np.argsort(left, kind="stable")
-    l, r = np.clip(left, 0, width - 1)[order], np.clip(right, 0, width - 1)[order] + 1
-    lo, hi = int(width * 0.25), int(width * 0.75)
-    start = np.maximum(np.concatenate([[0], np.maximum.accumulate(r)]), lo)
-    size = np.minimum(np.append(l, hi), hi) - start
-    best = int(np.argmax(size))
-    return float(start[best]) if size[best] >= max(1, width * GUTTER_SHARE) else None
-
-
-def _page(key: tuple, words: pa.Table) -> pa.Table:
-    """The Markdown of a page from its words; columns body_height and page_width say what its document and page are like."""
-    col = {c: words.column(c).to_numpy() for c in words.column_names}
-    order = np.lexsort([col[c] for c in ("pos", "left", "line", "paragraph", "block")])
-    col = {c: v[order] for c, v in col.items()}
-    ids = np.stack([col[c] for c in ("block", "paragraph", "line")], 1)
-    first = np.append(True, (ids[1:] != ids[:-1]).any(1))
-    starts = np.flatnonzero(first)
-    ends = np.append(starts[1:], len(first))
-    word_right = col["left"] + col["width"]
-    left, right = np.minimum.reduceat(col["left"], starts), np.maximum.reduceat(word_right, starts)
-    top, bottom = np.minimum.reduceat(col["top"], starts), np.maximum.reduceat(col["top"] + col["height"], starts)
-    sizes = np.array([len(t) for t in col["text"]])
-    long = sizes > 1
-    gap = (float(np.median(col["width"][long] / sizes[long])) if long.any() else 8.0) * CELL_GAP
-    opens = first | np.append(True, col["left"][1:] - word_right[:-1] > gap)
-    cell_at = np.flatnonzero(opens)
-    cell_end = np.append(cell_at[1:], len(opens))
-    line_of = np.cumsum(first) - 1
-    cells: list[list] = [[] for _ in starts]
-    for s, e in zip(cell_at, cell_end, strict=True):
-        cells[line_of[s]].append((float(col["left"][s]), " ".join(col["text"][s:e])))
-    gutter = _gutter(left, right, int(col["page_width"][0]))
-    side = (left + right) / 2 > gutter if gutter is not None else np.zeros(len(starts), bool)
-    body = float(col["body_height"][0])
-    line = []
-    for i in np.lexsort([left, top, side]):
-        text = " ".join(col["text"][starts[i] : ends[i]])
-        n, shown = int(ends[i] - starts[i]), text.strip()
-        line.append({"text": shown, "block": col["block"][starts[i]], "right": right[i], "top": top[i], "bottom": bottom[i], "cells": cells[i], "item": _item(shown), "level": _level(shown, n, (bottom[i] - top[i]) / _factor(text), body), "widths": col["width"][starts[i] : ends[i]]})
-    blocks = _blocks(line, body, gap)
-    warnings = [] if blocks else ["No readable text was found on this page."]
-    row = (key[0].as_py(), key[1].as_py(), "\n\n".join(blocks), len(first), float(col["confidence"].mean()), warnings)
-    return pa.Table.from_arrays([pa.array([v], t) for v, t in zip(row, _REBUILT.types, strict=True)], schema=_REBUILT)
-
-
-def _blocks(line: list[dict], body: float, gap: float) -> list[str]:
-    """Walk down the lines: tables take lines first, and one that can't be rendered falls back to lines;
-    then list items, headings and prose. A prose line opens a paragraph after any other block."""
-    runs = _runs([len(x["cells"]) for x in line])
-    in_table = {i for a, b in runs.items() for i in range(a, b)}
-    prose = [x for i, x in enumerate(line) if i not in in_table and x["level"] is None] or line
-    allowance = max(gap, float(np.median(np.concatenate([x["widths"] for x in prose]))) * 1.3)
-    reach: dict = {}
-    for x in prose:
-        reach.setdefault(x["block"], []).append(x["right"])
-    reach = {b: sorted(v)[int(len(v) * 0.9)] - allowance for b, v in reach.items()}
-    blocks: list[str] = []
-    open_: list[str] = []
-    before = None
-
-    def close() -> None:
-        if text := _glued(open_):
-            blocks.append(text)
-        open_.clear()
-
-    at = 0
-    while at < len(line):
-        x = line[at]
-        table = _render([v["cells"] for v in line[at : runs[at]]]) if at in runs else None
-        if table or x["item"] is not None or x["level"] is not None:
-            close()
-            blocks.append(table or x["item"] or f"{'#' * x['level']} {x['text']}")
-            at = runs[at] if table else at + 1
-            continue
-        if x["text"]:
-            far = body > 0 and before is not None and x["top"] - before["bottom"] > body * 1.2
-            if open_ and (x["block"] != before["block"] or far or before["right"] < reach.get(before["block"], -np.inf)):
-                close()
-            open_.append(x["text"])
-            before = x
-        at += 1
-    close()
-    return blocks
+def line_cells(words: Column, gap: Column) -> Column:
+    """array<struct<x, text>> of a line's words by position: cells part where the space before a word is wider than ``gap``."""
+    n = F.size(words)
+    wide = lambda i: F.get(words, i)["left"] - F.get(words, i - 1)["left"] - F.get(words, i - 1)["width"] > gap
+    cuts = F.when(n > 1, F.filter(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), wide)).otherwise(F.array().cast("array<int>"))
+    cell = lambda s, e: F.struct(F.get(words, s)["left"].cast("double").alias("x"), F.array_join(F.transform(F.slice(words, s + 1, e - s), lambda w: w["text"]), " ").alias("text"))
+    return let(cuts, lambda c: F.zip_with(F.concat(F.array(F.lit(0)), c), F.concat(c, F.array(n)), cell))
+
+
+def table_markdown(rows: Column) -> Column:
+    """Rows of cells put into shared columns, as a Markdown table; null where that makes no table: fewer than two or more than ten
+    columns, or nothing in the first row. Cells that fall into the same column are joined."""
+
+    def row(cells: Column, anchors: Column) -> Column:
+        placed = F.transform(cells, lambda c: F.struct(nearest_column(anchors, c["x"]).alias("k"), stripped(c["text"]).alias("text")))
+        held = lambda p, k: F.array_join(F.transform(F.filter(p, lambda c: c["k"] == k), lambda c: c["text"]), " ")
+        return let(placed, lambda p: F.transform(anchors, lambda _, k: F.replace(stripped(held(p, k)), F.lit("|"), F.lit("\\|"))))
+
+    piped = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
+
+    def shown(grid: Column, anchors: Column) -> Column:
+        rule = piped(F.transform(anchors, lambda _: F.lit("---")))
+        body = F.transform(grid, piped)
+        text = let(body, lambda b: F.array_join(F.concat(F.slice(b, 1, 1), F.array(rule), F.slice(b, F.lit(2), F.size(b))), "\n"))
+        return F.when(F.exists(F.get(grid, F.lit(0)), lambda c: c != ""), text)
+
+    def laid(anchors: Column) -> Column:
+        return F.when(F.size(anchors).between(2, TABLE_COLUMNS), let(F.transform(rows, lambda r: row(r, anchors)), lambda g: shown(g, anchors)))
+
+    return let(column_anchors(F.flatten(F.transform(rows, lambda r: F.transform(r, lambda c: c["x"])))), laid)
+
+
+def with_tables(ordered: DataFrame) -> DataFrame:
+    """Lines in reading order with in_run (part of a run of lines that look like a table), in_table (of one that could be laid out) and, on the first
+    line of such, ``table``, its Markdown. Runs can't reach over a line of one cell, so only the stretches between those are gathered and folded,
+    never a whole page; the lines come back from the same rows, without a join."""
+    x = ordered.withColumn("cells", line_cells(F.col("words"), F.col("char_width") * CELL_GAP))
+    order = Window.partitionBy(*PAGE).orderBy("rank")
+    x = x.withColumn("_island", F.sum((F.size("cells") < 2).cast("int")).over(order))
+    held = [c for c in x.columns if c not in (*PAGE, "_island", "rank")]
+    x = x.groupBy(*PAGE, "_island").agg(F.array_sort(F.collect_list(F.struct("rank", *held))).alias("l"))
+    l = F.col("l")  # noqa: E741
+    kept = ["rank", *[c for c in held if c != "cells"]]
+    part = lambda start, end, run, table: F.struct(start.alias("start"), end.alias("end"), run.alias("run"), table.alias("table"))
+
+    def parts(runs: Column) -> Column:
+        """The runs, and the stretches before, between and after them."""
+        table = lambda r: table_markdown(F.transform(F.slice(l, r["start"] + 1, r["length"]), lambda v: v["cells"]))
+        tables = F.transform(runs, lambda r: part(r["start"], r["start"] + r["length"], F.lit(True), table(r)))
+        starts, ends = F.transform(runs, lambda r: r["start"]), F.transform(runs, lambda r: r["start"] + r["length"])
+        between = F.zip_with(F.concat(F.array(F.lit(0)), ends), F.concat(starts, F.array(F.size(l))), lambda a, z: part(a, z, F.lit(False), F.lit(None).cast("string")))
+        return F.concat(tables, between)
+
+    def labelled(p: Column) -> Column:
+        line = lambda v, j: F.struct(*[v[c].alias(c) for c in kept], p["run"].alias("in_run"), p["table"].isNotNull().alias("in_table"), F.when(j == 0, p["table"]).alias("table"))
+        return F.transform(F.slice(l, p["start"] + 1, p["end"] - p["start"]), line)
+
+    runs = table_runs(F.transform(l, lambda v: F.size(v["cells"])))
+    return x.select(*PAGE, F.inline(F.flatten(F.transform(let(runs, parts), labelled))))
+
+
+def page_blocks(words: DataFrame, page_widths: DataFrame) -> DataFrame:
+    """doc_id, page, n, kind, text of each block of a page in reading order, and page_words, page_confidence: table, item, heading or prose. Lines
+    are taken first by tables, then as list items, as headings, and else as prose, of which a line opens a paragraph after any other block or where it
+    doesn't go on with the one before. Blank lines count for nothing; a page of them alone has one row without kind and text.
+
+    Labels, running sums and windows over one partitioning by page: words are shuffled once, and nothing but a paragraph, a table or a line
+    is gathered into one value."""
+    on_page = Window.partitionBy(*PAGE)
+    order = on_page.orderBy("rank")
+    x = with_tables(reading_order(with_gutters(measured_lines(measured(recognised(words), page_widths)))))
+    x = x.withColumn("text", stripped(F.col("text"))).withColumn("n_words", F.size("words"))
+    x = x.withColumn("level", heading_level(F.col("text"), F.col("n_words"), F.col("norm_height"), F.col("body_height")))
+    # margins are measured on prose, as long as the page has any: neither tables nor headings
+    plain = ~F.col("in_run") & F.col("level").isNull()
+    x = x.withColumn("_plain", plain).withColumn("_measures", F.col("_plain") | ~F.max("_plain").over(on_page))
+    heavy = ["text", "table"]
+    x = x.select("*", F.posexplode(F.transform("words", lambda w: w["width"])).alias("_at", "_width")).drop("words")
+    x = x.withColumns({c: F.when(F.col("_at") == 0, F.col(c)) for c in heavy})
+    x = x.withColumn("_median", F.coalesce(F.median(F.when(F.col("_measures"), F.col("_width"))).over(on_page), F.lit(0.0))).where("_at = 0")
+    x = _reach(x, F.col("_measures"), F.greatest(F.col("char_width") * CELL_GAP, F.col("_median") * 1.3))
+    item = list_item(F.col("text"))
+    kind = F.when(F.col("table").isNotNull(), "table").when(F.col("in_table") | (F.col("text") == ""), F.lit(None)).when(item.isNotNull(), "item").when(F.col("level").isNotNull(), "heading").otherwise("prose")
+    x = x.withColumn("kind", kind)
+    shown = F.when(F.col("kind") == "table", F.col("table")).when(F.col("kind") == "item", item).when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), F.col("text"))).when(F.col("kind") == "prose", F.col("text"))
+    x = x.withColumn("shown", shown)
+    last = F.last(F.when(F.col("kind").isNotNull(), F.struct("kind", "block", "bottom", "right", "threshold")), ignorenulls=True)
+    x = x.withColumn("_before", last.over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    goes_on = (F.col("kind") == "prose") & (F.col("_before.kind") == "prose") & _goes_on(F.col("_before"), {c: F.col(c) for c in _GOES_ON})
+    opens = F.col("kind").isNotNull() & ~F.coalesce(goes_on, F.lit(False))
+    x = x.withColumn("_opens", opens.cast("int")).withColumn("n", F.sum("_opens").over(order))
+    lines_ = F.array_sort(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("rank", "shown"))))
+    out = x.groupBy(*PAGE, "n").agg(F.max("kind").alias("kind"), lines_.alias("l"), F.first("page_words").alias("page_words"), F.first("page_confidence").alias("page_confidence"))
+    texts = F.transform("l", lambda v: v["shown"])
+    return out.select(*PAGE, "n", "kind", F.when(F.col("kind") == "prose", join_lines(texts)).otherwise(F.get(texts, F.lit(0))).alias("text"), "page_words", "page_confidence")
 
 
 def documents(pages: DataFrame, low: float = 70.0) -> DataFrame:
@@ -336,10 +335,9 @@ def word_body_heights(words: DataFrame) -> DataFrame:
 
 
 def reconstruct(words: DataFrame, page_widths: DataFrame) -> DataFrame:
-    """doc_id, page, markdown, word_count, confidence, warnings of every page. The body height is that of
-    the whole document, so headings agree across pages; it is the one thing a page can't know, and is
-    aggregated first. Then each page is put together from its words, which are shuffled once, by page."""
-    w = recognised(words)
-    page = page_widths.join(word_body_heights(w), "doc_id").select(*PAGE, "page_width", "body_height")
-    x = w.select(*LINE, "pos", "text", "left", "top", "width", "height", "confidence").join(page, PAGE)
-    return x.groupBy(*PAGE).applyInArrow(_page, "doc_id long, page int, markdown string, word_count long, confidence double, warnings array<string>")
+    """doc_id, page, markdown, word_count, confidence, warnings of every page: its blocks in order, an empty line between them."""
+    blocks = page_blocks(words, page_widths)
+    listed = F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("n", "text"))))
+    out = blocks.groupBy(*PAGE).agg(listed.alias("b"), F.first("page_words").alias("word_count"), F.first("page_confidence").alias("confidence"))
+    warned = F.when(F.size("b") == 0, F.array(F.lit("No readable text was found on this page."))).otherwise(F.array().cast("array<string>"))
+    return out.select(*PAGE, F.array_join(F.transform("b", lambda v: v["text"]), "\n\n").alias("markdown"), "word_count", "confidence", warned.alias("warnings"))

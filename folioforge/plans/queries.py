@@ -304,18 +304,18 @@ gutter as (select doc_id, arg_max(a, (least(b, hi) - a) * 1000000 - a) as gutter
 
 def _two(spark, d):
     w = t.two_columns(t.words(spark, d))
-    line = layout.lines(w)
-    return line, layout.gutters(line, t.page_widths(w))
+    return layout.lines(w), t.page_widths(w)
 
 
 @query(f"with {_GAPS} select doc_id, gutter_start::bigint as gutter_start, gutter_end::bigint as gutter_end from gutter")
 def ocr_gutter(spark, d):
-    return _two(spark, d)[1].select("doc_id", F.col("gutter_start").cast("long").alias("gutter_start"), F.col("gutter_end").cast("long").alias("gutter_end"))
+    return layout.gutters(*_two(spark, d)).select("doc_id", F.col("gutter_start").cast("long").alias("gutter_start"), F.col("gutter_end").cast("long").alias("gutter_end"))
 
 
 @query(f"""with {_GAPS} select l.doc_id, line, (row_number() over (partition by l.doc_id order by coalesce(("left" + "right") / 2.0 > gutter_start, false), top, "left", line // 20, line) - 1)::int as rank from l2 l left join gutter g on g.doc_id = l.doc_id""")
 def ocr_reading_order(spark, d):
-    return layout.reading_order(*_two(spark, d)).select("doc_id", "line", F.col("rank").cast("int").alias("rank"))
+    line, widths = _two(spark, d)
+    return layout.reading_order(layout.with_gutters(line.join(widths, layout.PAGE))).select("doc_id", "line", F.col("rank").cast("int").alias("rank"))
 
 
 @query(f"""with {t.LINES}, b as (select doc_id, median(norm_height) as body from (select doc_id, norm_height, unnest(range(n_words)) from lines) group by doc_id)
@@ -354,9 +354,8 @@ select doc_id, n::bigint as paragraph, count(*)::bigint as n_lines, string_agg(t
 def ocr_paragraphs(spark, d):
     """Of pages in two columns, read down one and then the other."""
     w = t.two_columns(t.words(spark, d))
-    line = layout.lines(w)
-    ordered = layout.reading_order(line, layout.gutters(line, t.page_widths(w)))
-    return layout.paragraphs(ordered, layout.body_heights(line), layout.margins(line, layout.char_widths(w))).select("doc_id", "paragraph", "n_lines", "text")
+    line = layout.measured_lines(layout.measured(w, t.page_widths(w)))
+    return layout.paragraphs(layout.reading_order(layout.with_gutters(line))).select("doc_id", "paragraph", "n_lines", "text")
 
 
 @query(f"select doc_id, md5(list_reduce(list_transform(string_split(text, '. '), lambda v: trim(v) || '-'), lambda s, v: case when ends_with(s, '-') and not ends_with(s, '--') then left(s, length(s) - 1) || v else s || ' ' || v end)) as digest from documents")
@@ -392,12 +391,75 @@ def ocr_warnings_distinct(spark, d):
     return layout.documents(_page_results(spark, d), low=80.0).select("doc_id", F.array_join("warnings", "|").alias("warnings"))
 
 
-@query()
+_LETTERS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
+def _marked_words(w: DataFrame) -> DataFrame:
+    """Words of which some lines open with list marks and some are in capitals."""
+    first = (F.col("pos") == 0) & (F.col("line") % 5 == 1) & (F.col("doc_id") % 2 == 0)
+    shout = (F.col("line") % 7 == 2) & (F.col("doc_id") % 5 == 0)
+    mark = F.when(F.col("line") % 2 == 1, "• ").otherwise("2) ")
+    return w.withColumn("text", F.when(first, F.concat(mark, F.col("text"))).when(shout, F.translate("text", *_LETTERS)).otherwise(F.col("text")))
+
+
+_TWO_MARKED = (
+    t.WORDS.replace("words as (", "words0 as (", 1)
+    + """, words1 as (select * replace (case when pos = 0 and line % 5 = 1 and doc_id % 2 = 0 then case when line % 2 = 1 then '• ' else '2) ' end || text when line % 7 = 2 and doc_id % 5 = 0 then translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') else text end as text) from words0),
+words as (select doc_id, page, block, line, pos, text, ("left" + case when line % 2 = 1 then widest + 100 else 0 end)::int as "left", (top - case when line % 2 = 1 then 40 else 0 end)::int as top, width, height, confidence
+  from (select *, max("left" + width) over (partition by doc_id) as widest from words1))"""
+)
+
+
+def _blocks_sql(words: str) -> str:
+    """Common tables up to blocks (doc_id, n, kind, text), of words given as such."""
+    bullet, number = "^\\s*[•▪●○◦⁃–—*+-]\\s+", "^\\s*\\(?([0-9০-৯]{1,3}|[a-zA-Z])[.)]\\s+"
+    return f"""{words}{t.LINES[len(t.WORDS):]}, l2 as (select doc_id, line, "left", "right", top from lines), p2 as (select doc_id, max("right") + 100 as w, count(*) as n from l2 group by doc_id)
+{_GAPS[len(_TWO):]}, {_CELLS[len(t.WORDS) + 2:]},
+body as (select doc_id, median(norm_height) as body from (select doc_id, norm_height, unnest(range(n_words)) from lines) group by doc_id),
+o as materialized (select l.*, body, cw, row_number() over (partition by l.doc_id order by coalesce(("left" + "right") / 2.0 > gutter_start, false), top, "left", l.block, line) - 1 as i from lines l join body using (doc_id) join c using (doc_id) left join gutter g on g.doc_id = l.doc_id),
+n as materialized (select doc_id, i, count(*) as n from cells join o using (doc_id, line) group by doc_id, i),
+s as (select doc_id, 0::bigint as i, 0::bigint as start, case when n >= 2 then n else 0 end as first from n where i = 0
+  union all select s.doc_id, n.i, case when s.first > 0 and n.n >= 2 and abs(n.n - s.first) <= 1 then s.start else n.i end, case when s.first > 0 and n.n >= 2 and abs(n.n - s.first) <= 1 then s.first when n.n >= 2 then n.n else 0 end from s join n on n.doc_id = s.doc_id and n.i = s.i + 1),
+runs as (select doc_id, start, count(*) as length from s where first > 0 group by doc_id, start having count(*) >= 2),
+tc as materialized (select o.doc_id, start, o.i, cell, x, cells.text from runs r join o on o.doc_id = r.doc_id and o.i between r.start and r.start + r.length - 1 join cells on cells.doc_id = o.doc_id and cells.line = o.line),
+u as (select doc_id, start, list_sort(list(distinct x)) as xs from tc group by all),
+an as (select doc_id, start, list_reduce(list_transform(xs, lambda v: [v::double]), lambda q, v: case when v[1] - q[-1] > greatest((list_max(xs) - list_min(xs)) * 0.06, 12.0) then list_concat(q, v) else q end) as anchors from u),
+e as (select doc_id, start, unnest(anchors) as anchor, unnest(range(len(anchors))) as k from an where len(anchors) between 2 and 10),
+pc as (select tc.doc_id, tc.start, tc.i, cell, any_value(text) as text, arg_min(k, abs(anchor - x) * 100000 + k) as k from tc join e on e.doc_id = tc.doc_id and e.start = tc.start group by tc.doc_id, tc.start, tc.i, cell),
+gr as (select doc_id, start, i, k, replace(string_agg(text, ' ' order by cell), '|', '\\|') as text from pc group by all),
+tr as (select r.doc_id, r.start, r.i, string_agg(coalesce(gr.text, ''), ' | ' order by e.k) as line, count(*) as n, count(gr.text) as filled from (select distinct doc_id, start, i from pc) r
+  join e on e.doc_id = r.doc_id and e.start = r.start left join gr on gr.doc_id = r.doc_id and gr.start = r.start and gr.i = r.i and gr.k = e.k group by r.doc_id, r.start, r.i),
+tables as (select doc_id, start, max(i) as until, string_agg('| ' || line || ' |' || case when i = start then chr(10) || '|' || repeat(' --- |', n::int) else '' end, chr(10) order by i) as md from tr group by doc_id, start having count(*) filter (where i = start and filled > 0) > 0),
+v as (select o.*, r.start is not null as in_run, b.start is not null as in_table, case when b.start = o.i then b.md end as md,
+  case when n_words > 14 or body <= 0 then null when norm_height / body >= 1.7 then 1 when norm_height / body >= 1.4 then 2 when norm_height / body >= 1.22 then 3 when n_words <= 8 and regexp_matches(o.text, '[a-zA-Z]') and o.text = upper(o.text) and length(o.text) >= 3 then 2 end as level
+  from o left join runs r on r.doc_id = o.doc_id and o.i between r.start and r.start + r.length - 1 left join tables b on b.doc_id = o.doc_id and o.i between b.start and b.until),
+m as materialized (select *, (not in_run and level is null) or not bool_or(not in_run and level is null) over (partition by doc_id) as counts from v),
+ww as (select words.doc_id, median(width) as ww from words join m on m.doc_id = words.doc_id and m.line = words.line where counts group by words.doc_id),
+th as (select doc_id, block, list_sort(list("right")) as r from m where counts group by all),
+k0 as (select m.*, r[(len(r) * 9 // 10) + 1] - greatest(cw * 2.6, ww * 1.3) as threshold,
+  case when md is not null then 'table' when in_table then null when regexp_matches(text, '{bullet}') or regexp_matches(text, '{number}') then 'item' when level is not null then 'heading' else 'prose' end as kind
+  from m join ww on ww.doc_id = m.doc_id left join th on th.doc_id = m.doc_id and th.block = m.block),
+k1 as (select *, coalesce(kind = 'prose' and lag(kind) over z = 'prose' and block = lag(block) over z and (body <= 0 or top - lag(bottom) over z <= body * 1.2) and coalesce(lag("right") over z >= lag(threshold) over z, true), false) as goes_on from k0 where kind is not null window z as (partition by doc_id order by i)),
+k2 as (select *, sum((not goes_on)::int) over (partition by doc_id order by i) as n, case kind when 'table' then md when 'heading' then repeat('#', level) || ' ' || text when 'prose' then text
+  else case when regexp_matches(text, '{bullet}') then '- ' || trim(regexp_replace(text, '{bullet}', '')) else regexp_extract(text, '{number}', 1) || '. ' || trim(regexp_replace(text, '{number}', '')) end end as shown from k1),
+blocks as (select doc_id, n::bigint as n, any_value(kind) as kind, string_agg(shown, ' ' order by i) as text from k2 group by doc_id, n)"""
+
+
+@query(f"""with recursive {_blocks_sql(t.WORDS)}, b as (select doc_id, string_agg(text, chr(10) || chr(10) order by n) as markdown from blocks group by doc_id),
+q as (select doc_id, count(*)::bigint as word_count from words group by doc_id) select b.doc_id, markdown, word_count from b join q on b.doc_id = q.doc_id""")
 def ocr_reconstruct(spark, d):
     w = t.words(spark, d)
     return layout.documents(layout.reconstruct(w, t.page_widths(w)).withColumn("confidence", F.round("confidence", 6))).select("doc_id", "markdown", "word_count")
 
 
+@query(f"with recursive {_blocks_sql(_TWO_MARKED)} select doc_id, n, kind, length(text)::bigint as size, md5(text) as digest from blocks")
+def ocr_blocks(spark, d):
+    """Tables, items, headings and paragraphs of pages in two columns, with list marks and capitals."""
+    w = t.two_columns(_marked_words(t.words(spark, d)))
+    x = layout.page_blocks(w, t.page_widths(w)).where("kind is not null")
+    return x.select("doc_id", "n", "kind", F.length("text").cast("long").alias("size"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 # jobs and clients
 
 

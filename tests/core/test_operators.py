@@ -56,6 +56,25 @@ def test_two_columns_are_read_one_after_the_other(spark):
     assert rebuilt(spark, spanning)[1, 1]["markdown"].index("right0") < rebuilt(spark, spanning)[1, 1]["markdown"].index("left5")
 
 
+def test_tables_that_cant_be_laid_out_fall_back_to_lines(spark):
+    wide = [[(100 + 130 * k, f"c{k}") for k in range(12)] for _ in range(2)]
+    prose = "plain words of the body that reach to the margin"
+    lines = [(prose, 26), *[(row, 26) for row in wide], (prose, 26), ([(100, "A"), (520, "B")], 26), ([(100, "c"), (520, "d"), (700, "e")], 26), ([(100, "f"), (300, "g"), (520, "h"), (700, "i")], 26)]
+    w = spark.createDataFrame(page(lines), WORDS)
+    got = layout.page_blocks(w, w.select("doc_id", "page").distinct().withColumn("page_width", F.lit(0))).orderBy("n").collect()
+    assert [r["kind"] for r in got].count("table") == 1 and "| A | B |  |" in [r["text"] for r in got if r["kind"] == "table"][0]
+    assert " ".join(f"c{k}" for k in range(12)) in "\n".join(r["text"] for r in got if r["kind"] == "prose")
+    assert got[-1]["kind"] == "prose" and got[-1]["text"] == "f g h i"
+
+
+def test_blank_lines_count_for_nothing(spark):
+    words = page([("one line of prose here", 26), ("two lines of prose here", 26)])
+    blank = [(1, 1, 1, 1, 9, 0, "\u3000", 100, 20, 10, 26, 90.0), (2, 1, 1, 1, 0, 0, "\t", 0, 0, 5, 5, 50.0)]
+    got = rebuilt(spark, words + blank)
+    assert got[1, 1]["markdown"].split() == "one line of prose here two lines of prose here".split() and got[1, 1]["word_count"] == 11
+    assert got[2, 1]["markdown"] == "" and got[2, 1]["warnings"] == ["No readable text was found on this page."]
+
+
 def test_words_that_dont_count_and_empty_pages(spark):
     w = spark.createDataFrame([(1, 1, 1, 1, 1, 0, " ", 0, 0, 1, 1, 90.0), (1, 1, 1, 1, 1, 1, "x", 0, 0, 1, 1, -1.0), (1, 1, 1, 1, 1, 2, "y", 0, 0, 1, 1, None)], WORDS)
     assert layout.recognised(w).count() == 0
