@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -41,20 +41,21 @@ def register(spark: SparkSession) -> None:
     spark.udtf.register("zip_entries", ZipEntries)
 
 
-def list_entries(archives: DataFrame, id_col: str = "file_id") -> DataFrame:
-    """id, readable, entry columns of the archives (id, content). An archive that can't be read has one row with readable = false."""
+def list_entries(archives: DataFrame, id_col: str = "file_id", carried: Sequence[str] = ()) -> DataFrame:
+    """id, ``carried`` columns, readable, entry columns of the archives (id, content). An archive that can't be read has one row with readable = false."""
+    names, kept = ["readable", "name", "declared_size", "compressed_size", "mode", "position"], [id_col, *carried]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for i, data in zip(b[id_col], b["content"], strict=True):
+            for *own, data in zip(*(b[c] for c in kept), b["content"], strict=True):
                 try:
-                    rows = [(i, True, *e) for e in entries_of(bytes(data))] or [(i, True, None, 0, 0, 0, -1)]
+                    rows = [(*own, True, *e) for e in entries_of(bytes(data))] or [(*own, True, None, 0, 0, 0, -1)]
                 except (zipfile.BadZipFile, TypeError):
-                    rows = [(i, False, None, 0, 0, 0, -1)]
-                yield pd.DataFrame(rows, columns=[id_col, "readable", "name", "declared_size", "compressed_size", "mode", "position"])
+                    rows = [(*own, False, None, 0, 0, 0, -1)]
+                yield pd.DataFrame(rows, columns=[*kept, *names])
 
-    kind = archives.schema[id_col].dataType.simpleString()
-    return archives.select(id_col, "content").mapInPandas(run, f"{id_col} {kind}, readable boolean, {ENTRY}")
+    kinds = ", ".join(f"{c} {archives.schema[c].dataType.simpleString()}" for c in kept)
+    return archives.select(*kept, "content").mapInPandas(run, f"{kinds}, readable boolean, {ENTRY}")
 
 
 def inspect(entries: DataFrame, settings: Settings = Settings(), id_col: str = "file_id") -> DataFrame:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioforge.checkpoints import cut
+
 TERMINAL = ("completed", "failed", "cancelled")
 
 
@@ -32,25 +38,79 @@ def within_caps(files: DataFrame, max_files: int, max_bytes: int) -> DataFrame:
     return out.withColumn("error", F.when(F.col("n_so_far") > max_files, "too_many_files").when(F.col("bytes_so_far") > max_bytes, "file_too_large"))
 
 
+#: A number at the end of a stem that a generated name can have: 2 or more, no leading zero.
+_NUMBER = r"-(?:[2-9]|[1-9][0-9]{1,17})"
+_STEM = ["job_id", "stem", "end"]
+
+
+def _fitting(claims: DataFrame) -> DataFrame:
+    """Of the claims (job_id, stem, end, k, a) those that come before the generated names, with ``free``, how many numbers from 2 below k stay free.
+    A claim on number k holds if no more than ``a`` smaller claims hold. That is one counter going up the numbers of a stem, so rows stream through it in
+    order and nothing of them is kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stem, held = None, 0
+        for b in batches:
+            keys = list(zip(*(b.column(c).to_pylist() for c in _STEM), strict=True))
+            fits, free = [], []
+            for key, k, a in zip(keys, b.column("k").to_pylist(), b.column("a").to_pylist(), strict=True):
+                if key != stem:
+                    stem, held = key, 0
+                fits.append(held <= a)
+                free.append(k - 2 - held)
+                held += held <= a
+            out = pa.RecordBatch.from_arrays([*(b.column(c) for c in (*_STEM, "k")), pa.array(free, pa.int64())], names=[*_STEM, "k", "free"])
+            yield out.filter(pa.array(fits, pa.bool_()))
+
+    job = claims.schema["job_id"].dataType.simpleString()
+    x = claims.select(*_STEM, "k", "a").repartition(*_STEM).sortWithinPartitions(*_STEM, "k")
+    return x.mapInArrow(run, f"job_id {job}, stem string, end string, k long, free long")
+
+
 def unique_names(files: DataFrame) -> DataFrame:
     """Files (job_id, ord, filename) with ``name``: the file's own, or with -2, -3, ... before its
-    extension, the first that no earlier file of the job has got. As 'a-2.md' may itself be a file's name,
-    the choice depends on those made before, so it is a fold; but only names that are equal without such endings
-    can meet, so the fold is over these alone, not over a whole job."""
-    kind = "struct<taken:array<string>,out:array<string>>"
+    extension, the first that no earlier file of the job has got.
+
+    Without a walk over the names. Only names that occur twice in a job make new ones, so all others, and what they can meet (equal
+    names but for numbers at the end), are left as they are. Of the rest, the i-th file that needs a number gets the i-th one that is free: numbers are
+    taken by files really called so, where they came before the count had reached them (``_fitting``), and the i-th gap between
+    those is a running count over the taken numbers and the files. A file that finds its own name given away needs a number itself, one level down
+    (a-2-2), so levels follow one another, as many as numbers are strung together in the names of such a family. Nulls in filename stay null."""
     dotted = F.instr("filename", ".") > 0
-    stem, end = F.when(dotted, F.regexp_replace("filename", r"\.[^.]*\z", "")).otherwise(F.col("filename")), F.when(dotted, F.regexp_extract("filename", r"\.[^.]+\z", 0)).otherwise("")
-
-    def step(s: Column, f: Column) -> Column:
-        tries = F.transform(F.sequence(F.lit(2), F.size(s["taken"]) + 2), lambda k: F.concat(f["stem"], F.lit("-"), k.cast("string"), f["end"]))
-        got = F.when(F.array_contains(s["taken"], f["filename"]), F.get(F.array_except(tries, s["taken"]), F.lit(0))).otherwise(f["filename"])
-        return F.struct(F.concat(s["taken"], F.array(got)).alias("taken"), F.concat(s["out"], F.array(got)).alias("out")).cast(kind)
-
-    start = F.struct(F.array().alias("taken"), F.array().alias("out")).cast(kind)
-    root = F.concat(F.regexp_replace(stem, r"(?:-[0-9]+)+\z", ""), F.lit("/"), end)
-    meet = files.groupBy("job_id", root.alias("root")).agg(F.array_sort(F.collect_list(F.struct("ord", "filename", stem.alias("stem"), end.alias("end")))).alias("f"))
-    names = F.aggregate("f", start, step, lambda s: s["out"])
-    return meet.select("job_id", F.explode(F.arrays_zip(F.transform("f", lambda x: x["ord"]).alias("ord"), F.transform("f", lambda x: x["filename"]).alias("filename"), names.alias("name"))).alias("x")).select("job_id", "x.*")
+    x = files.select("job_id", "ord", "filename").withColumns({
+        "stem": F.when(dotted, F.regexp_replace("filename", r"\.[^.]*\z", "")).otherwise(F.col("filename")),
+        "end": F.when(dotted, F.regexp_extract("filename", r"\.[^.]+\z", 0)).otherwise(""),
+    })
+    numbers = F.regexp_extract("stem", f"((?:{_NUMBER})*)\\z", 1)
+    x = x.withColumns({"root": F.regexp_replace("stem", f"(?:{_NUMBER})*\\z", ""), "depth": F.length(numbers) - F.length(F.replace(numbers, F.lit("-"), F.lit("")))})
+    family = ["job_id", "root", "end"]
+    twice = x.groupBy(*family, "filename").count().where("count > 1").select(*family).distinct()
+    same = reduce(lambda a, b: a & b, [F.col(f"x.{c}").eqNullSafe(F.col(f"t.{c}")) for c in family])
+    alone = x.alias("x").join(twice.alias("t"), same, "left_anti").select("job_id", "ord", "filename", F.col("filename").alias("name"))
+    meet = cut(x.alias("x").join(twice.alias("t"), same, "left_semi").withColumn("first", F.row_number().over(Window.partitionBy("job_id", "filename").orderBy("ord")) == 1))
+    last = meet.agg(F.max("depth")).first()[0]
+    out, lost = alone, meet.select("job_id", "filename").where("false")
+    # the number that a file's own name is, of the stem one level up
+    claim = meet.where(F.col("first") & (F.col("depth") > 0) & (F.col("filename") == F.concat("stem", "end")))
+    claim = claim.select("job_id", F.regexp_replace("stem", f"{_NUMBER}\\z", "").alias("stem"), "end", "ord", "filename", F.regexp_extract("stem", r"([0-9]+)\z", 1).cast("long").alias("k"), "depth")
+    for depth in range(-1 if last is None else last + 1):
+        level = meet.where(F.col("depth") == depth).join(lost.withColumn("_lost", F.lit(True)), ["job_id", "filename"], "left")
+        level = level.withColumn("wins", F.col("first") & F.col("_lost").isNull())
+        spills = level.where("not wins").select(*_STEM, "ord", "filename", F.lit(None).cast("long").alias("k"))
+        taken = claim.where(F.col("depth") == depth + 1).join(spills.select(*_STEM).distinct(), _STEM, "left_semi").select(*spills.columns)
+        in_time = Window.partitionBy(*_STEM).orderBy("ord", "filename")
+        events = cut(spills.unionByName(taken).withColumn("n", F.count(F.when(F.col("k").isNull(), 1)).over(in_time)))
+        claims = events.where("k is not null").withColumn("a", F.col("k") - 2 - F.col("n"))
+        held = cut(_fitting(claims))
+        lost = claims.join(held, [*_STEM, "k"], "left_anti").select("job_id", "filename")
+        # files by their turn, and before each the taken numbers that have fewer free ones below them than that
+        turns = events.where("k is null").select(*_STEM, "ord", "filename", F.col("n").alias("at"), F.lit(0).alias("gap"))
+        gaps = held.select(*_STEM, F.col("free").alias("at"), F.lit(1).alias("gap"))
+        upto = F.sum("gap").over(Window.partitionBy(*_STEM).orderBy("at", "gap").rowsBetween(Window.unboundedPreceding, 0))
+        named = turns.unionByName(gaps, allowMissingColumns=True).withColumn("k", F.col("at") + 1 + upto).where("gap = 0")
+        named = named.select("job_id", "ord", "filename", F.concat("stem", F.lit("-"), F.col("k").cast("string"), "end").alias("name"))
+        out = out.unionByName(level.where("wins").select("job_id", "ord", "filename", F.col("filename").alias("name"))).unionByName(named)
+    return out
 
 
 def unique_uploads(files: DataFrame) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,26 +28,53 @@ def session_spans(events: DataFrame, minutes: int = 30) -> DataFrame:
     return out.agg(F.min("ts").alias("started"), F.max("ts").alias("last_seen"), F.count(F.lit(1)).alias("n_events"))
 
 
+def apart(events: DataFrame, seconds: int) -> DataFrame:
+    """Events (user_id, t in microseconds, ...) with ``piece``: they part where a client pauses for longer than ``seconds``. Hours of that
+    length tell it: within one there is no such pause, so only the first and last time of each are compared, and a client with very many events is
+    counted in pieces before anything of it meets."""
+    span = seconds * 1_000_000
+    x = events.withColumn("_hour", F.floor(F.col("t") / span))
+    hours = x.groupBy("user_id", "_hour").agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    order = Window.partitionBy("user_id").orderBy("_hour")
+    paused = F.coalesce(F.col("first") - F.lag("last").over(order) > span, F.lit(True))
+    hours = hours.withColumn("_new", F.when(paused, F.col("_hour"))).withColumn("piece", F.max("_new").over(order))
+    hours = hours.select(F.col("user_id").alias("_user"), F.col("_hour").alias("_at"), "piece")
+    return x.join(hours, F.col("user_id").eqNullSafe(F.col("_user")) & (F.col("_hour") == F.col("_at"))).drop("_hour", "_user", "_at")
+
+
 def rate_limited(events: DataFrame, max_jobs: int = 40, max_bytes: int = 500 << 20, seconds: int = 3600) -> DataFrame:
     """Requests (user_id, ts, event_id, bytes) with ``accepted`` and ``reason``. A request is refused if
     within the last ``seconds`` (both ends count) the client had ``max_jobs`` accepted requests, or
     accepted bytes that with its own go beyond ``max_bytes``. Only accepted ones count later, so each
-    decision depends on those before: a fold over one client's requests, which keeps no more than the window."""
-    recent = "array<struct<t:bigint,b:bigint>>"
-    kind = f"struct<held:{recent},out:array<struct<event_id:bigint,reason:string>>>"
-
-    def step(s: Column, e: Column) -> Column:
-        held = F.filter(s["held"], lambda x: x["t"] >= e["t"] - seconds * 1_000_000)
-        used = F.aggregate(held, F.lit(0).cast("bigint"), lambda a, x: a + x["b"])
-        reason = F.when(F.size(held) >= max_jobs, "jobs").when(used + e["b"] > max_bytes, "bytes")
-        kept = F.when(reason.isNull(), F.concat(held, F.array(F.struct(e["t"].alias("t"), e["b"].alias("b"))))).otherwise(held)
-        return F.struct(kept.alias("held"), F.concat(s["out"], F.array(F.struct(e["event_id"].alias("event_id"), reason.alias("reason")))).alias("out")).cast(kind)
-
-    start = F.struct(F.array().alias("held"), F.array().alias("out")).cast(kind)
-    each = F.struct(micros(F.col("ts")).alias("t"), F.col("event_id"), F.col("bytes").cast("bigint").alias("b"))
-    out = events.groupBy("user_id").agg(F.array_sort(F.collect_list(each)).alias("e"))
-    out = out.select("user_id", F.explode(F.aggregate("e", start, step, lambda s: s["out"])).alias("x"))
-    return out.select("user_id", "x.event_id", F.col("x.reason").isNull().alias("accepted"), "x.reason")
+    decision depends on those before. A null time is the earliest, null bytes are none.
+
+    A client's requests part where it pauses for longer than the window, as nothing carries over; pieces are independent. Within one, requests stream by in order
+    past the accepted ones of the window, ``max_jobs`` at most, and their bytes: time grows with the requests, memory doesn't."""
+    span = seconds * 1_000_000
+    x = events.select("user_id", "event_id", F.coalesce(micros(F.col("ts")), F.lit(0)).alias("t"), F.coalesce(F.col("bytes").cast("bigint"), F.lit(0)).alias("b"))
+    kinds = {c: x.schema[c].dataType.simpleString() for c in ("user_id", "event_id")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, used = None, deque(), 0
+        for batch in batches:
+            users, pieces, times, sizes = (batch.column(c).to_pylist() for c in ("user_id", "piece", "t", "b"))
+            reasons = []
+            for user, piece, t, size in zip(users, pieces, times, sizes, strict=True):
+                if group != (user, piece):
+                    group, used = (user, piece), 0
+                    held.clear()
+                while held and held[0][0] < t - span:
+                    used -= held.popleft()[1]
+                reason = "jobs" if len(held) >= max_jobs else "bytes" if used + size > max_bytes else None
+                if reason is None:
+                    held.append((t, size))
+                    used += size
+                reasons.append(reason)
+            accepted = pa.array([r is None for r in reasons], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("user_id"), batch.column("event_id"), accepted, pa.array(reasons, pa.string())], names=["user_id", "event_id", "accepted", "reason"])
+
+    ordered = apart(x, seconds).select("user_id", "event_id", "piece", "t", "b").repartition("user_id", "piece").sortWithinPartitions("user_id", "piece", "t", "event_id", "b")
+    return ordered.mapInArrow(run, f"user_id {kinds['user_id']}, event_id {kinds['event_id']}, accepted boolean, reason string")
 
 
 def client_key(address: Column, salt: str) -> Column:

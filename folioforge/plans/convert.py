@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from folioforge.checkpoints import cut
 from folioforge.functions import names, text
 from folioforge.functions.pages import page_range, recognition_mode
 from folioforge.operators import archives, formats, jobs, layout
@@ -134,22 +135,30 @@ def expanded(files: DataFrame, settings: Settings) -> DataFrame:
     """Files, detected, with sound archives replaced in place by what in them can be read; an archive that
     isn't safe, or holds nothing readable, stays as a row with an error.
 
-    What is to come of an archive is settled on the list of its entries, without contents; then each is opened
-    once more and gives all its rows. Everything is detected after that, once."""
+    Where no name ends in .zip, which the names alone tell, contents are read once, by the job itself. Else what is to come of an archive is settled first, in a
+    pass of its own over archives alone, on the list of its entries; that list and all that follows from it hold no contents and are checkpointed. The
+    job then reads contents twice: of files that aren't archives, and of archives, each of which gives all its rows. Everything is detected after that, once."""
     size = F.coalesce(*([F.col("size")] if "size" in files.columns else []), F.octet_length("content").cast("long"))
     named = files.withColumns({"safe_name": names.safe_name(F.col("filename")), "size": size}).withColumn("extension", names.extension_of(F.col("safe_name")))
+    own = lambda x: x.select("file_id", "job_id", "ord", F.lit(0).alias("member_ord"), F.lit(None).cast("string").alias("source_archive"), "filename", "size", "content", F.lit(None).cast("string").alias("problem"), F.lit(False).alias("too_large"))
+    if named.where(F.col("extension") == ".zip").select("file_id").isEmpty():
+        return _archive_errors(detected(own(named), settings))
     packed = F.coalesce((F.col("extension") == ".zip") & formats.starts_zip(F.col("content")) & (F.col("size") <= settings.max_file_bytes), F.lit(False))
     zips = named.where(packed)
-    entries = archives.inspect(archives.list_entries(zips), settings)
-    about = zips.select("file_id", "job_id", "ord", (F.col("size") > settings.max_archive_bytes).alias("large"))
-    verdict = entries.groupBy("file_id").agg(F.first("problem").alias("problem"), F.count_if("supported").alias("n")).join(about, "file_id")
+    listed = cut(archives.list_entries(zips.select("file_id", "job_id", "ord", "size", "content"), carried=["job_id", "ord", "size"]))
+    entries = archives.inspect(listed, settings)
+    verdict = entries.groupBy("file_id").agg(F.first("problem").alias("problem"), F.count_if("supported").alias("n"), F.first("job_id").alias("job_id"), F.first("ord").alias("ord"), F.bool_or(F.col("size") > settings.max_archive_bytes).alias("large"))
     verdict = verdict.withColumn("problem", F.coalesce("problem", F.when(F.col("n") == 0, "archive holds nothing that can be converted"), F.when(F.col("large"), "archive is larger than the limit")))
-    sound = entries.where("problem is null and supported").join(verdict.where("problem is null").select("file_id", "job_id", "ord"), "file_id")
+    sound = entries.where("problem is null and supported").join(verdict.where("problem is null").select("file_id"), "file_id")
     wanted = member_names(named, sound.select("file_id", "job_id", "ord", "position", "display_name"))
     wanted = wanted.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("position", "name"))).alias("members"))
-    plan = verdict.select("file_id", "problem").join(wanted, "file_id", "left")
-    rest = named.where(~packed).select("file_id", "job_id", "ord", F.lit(0).alias("member_ord"), F.lit(None).cast("string").alias("source_archive"), "filename", "size", "content", F.lit(None).cast("string").alias("problem"), F.lit(False).alias("too_large"))
-    seen = detected(rest.unionByName(archives.unpack(zips.select("file_id", "job_id", "ord", "filename", "safe_name", "content"), plan, readers.zip_kind, settings)), settings)
+    plan = cut(verdict.select("file_id", "problem").join(wanted, "file_id", "left"))
+    members = archives.unpack(zips.select("file_id", "job_id", "ord", "filename", "safe_name", "content"), plan, readers.zip_kind, settings)
+    return _archive_errors(detected(own(named.where(~packed)).unionByName(members), settings))
+
+
+def _archive_errors(seen: DataFrame) -> DataFrame:
+    """What is wrong with archives and their members, before what was detected."""
     rejected = F.when(F.col("problem") == "corrupt_file", formats.error("corrupt_file", F.col("problem"))).when(F.col("problem").isNotNull(), formats.error("archive_rejected", F.col("problem")))
     large = F.when(F.col("too_large"), formats.error("archive_rejected", F.lit("archive entry is larger than the per-file limit")))
     damaged = F.when(F.col("content").isNull() & F.col("source_archive").isNotNull(), formats.error("corrupt_file", F.lit("archive entry can't be read")))
@@ -193,7 +202,8 @@ def convert(files: DataFrame, mode: str = "auto", pages: str | None = None, sett
     """Convert every file; archives give a row for each member. ``mode``: auto, force or off, for
     recognition; ``pages``: of PDFs; ``custom``: readers by extension, before those of the package.
 
-    The only shuffles are those of archives, of recognised words, and of the names of an archive's members by job."""
+    The only shuffles are those of archives, of recognised words, and of the names of an archive's members by job. Whether there are archives is
+    asked, and they are listed, when this is called; on a stream, call it for each batch (``foreachBatch``)."""
     x = expanded(files, settings)
     option = page_range(F.lit(pages).cast("string"))
     x = x.withColumn("range", option).withColumn("mode", recognition_mode(F.lit(mode)))

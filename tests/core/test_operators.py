@@ -126,6 +126,53 @@ def test_unique_names_against_one_fold_over_a_job(spark):
         assert len(taken) == 40
 
 
+def test_unique_names_where_numbers_meet(spark):
+    """Several levels, dots without an extension, numbers with zeros, numbers beyond reach, names of numbers alone."""
+    rng = random.Random(11)
+    stems = ["a", "a-2", "a-3", "a-2-2", "a-2-3", "a-4-2", "a-02", "a-1", "a-10", "a-99999999999999999999", "-2", "", "7-7"]
+    rows = [(j, i, rng.choice(stems[: 3 + 5 * j]) + rng.choice([".md", ".", ""])) for j in range(3) for i in range(150)]
+    rows += [(9, i, n) for i, n in enumerate(["a-3", "a", "a", "a-2", "a", "a-2", "a-2-2", "a-5", "a", "a"])]
+    got = {(r["job_id"], r["ord"]): r["name"] for r in jobs.unique_names(spark.createDataFrame(rows, "job_id long, ord int, filename string")).collect()}
+    assert len(got) == len(rows)
+    for j in {r[0] for r in rows}:
+        taken = set()
+        for _, i, name in sorted(r for r in rows if r[0] == j):
+            stem, dot, end = name.rpartition(".")
+            stem, end = (stem, f".{end}" if end else "") if dot else (name, "")
+            k, new = 2, name
+            while new in taken:
+                new, k = f"{stem}-{k}{end}", k + 1
+            taken.add(new)
+            assert got[j, i] == new, (j, i, name)
+
+
+def test_very_many_equal_names(spark):
+    n = 100_000
+    rows = spark.range(n).select(F.lit(1).alias("job_id"), F.col("id").alias("ord"), F.when(F.col("id") % 10 == 7, F.concat(F.lit("part-"), (F.col("id") + 3).cast("string"), F.lit(".csv"))).otherwise("part.csv").alias("filename"))
+    began = time.monotonic()
+    got = jobs.unique_names(rows)
+    assert got.select("name").distinct().count() == n and time.monotonic() - began < 120
+
+
+def test_a_client_with_very_many_requests(spark):
+    n, rng = 200_000, random.Random(4)
+    t, rows = 0, []
+    for i in range(n):
+        t += rng.choice([0, 1, 5, 30, 400 if i % 1000 else 5000])
+        rows.append((1, i, t, rng.randint(0, 90)))
+    events = spark.createDataFrame(rows, "user_id long, event_id long, s long, bytes long").withColumn("ts", F.timestamp_seconds("s"))
+    began = time.monotonic()
+    got = {r["event_id"]: r["reason"] for r in sessions.rate_limited(events, max_jobs=40, max_bytes=1500, seconds=600).collect()}
+    assert time.monotonic() - began < 120
+    held = []
+    for _, i, s, b in rows:
+        held = [x for x in held if x[0] >= s - 600]
+        want = "jobs" if len(held) >= 40 else "bytes" if sum(x[1] for x in held) + b > 1500 else None
+        if want is None:
+            held.append((s, b))
+        assert got[i] == want
+
+
 def test_cancel_and_retry(spark):
     rows = [(1, 10, "queued", None, None), (1, 11, "processing", None, None), (1, 12, "failed", "e", None), (2, 20, "queued", None, None), (2, 21, "failed", "e", "m"), (2, 22, "completed", None, "m")]
     files = spark.createDataFrame(rows, "job_id long, file_id long, status string, error string, markdown string")
@@ -269,6 +316,24 @@ def test_archives_give_a_row_for_each_member(converted):
     assert set(got) == {"table.csv", "table.json"} and all(r["status"] == "completed" for r in got.values()) and got["table.csv"]["member_ord"] == 1
 
 
+def content_scans(df):
+    """How many scans of the plan read contents of files."""
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    return sum("binaryFile" in x and "content" in x for x in plan.split("\n"))
+
+
+def test_contents_are_read_once_and_archives_once_more(spark, tmp_path):
+    folder = tmp_path / "plain"
+    folder.mkdir()
+    for k in range(3):
+        (folder / f"f{k}.json").write_bytes(b'{"a": %d}' % k)
+    assert content_scans(convert(read_files(spark, str(folder)))) == 1
+    (folder / "z.zip").write_bytes(zipped({"m.csv": b"a,b\n1,2\n", "f0.json": b"[]"}))
+    both = convert(read_files(spark, str(folder)))
+    assert content_scans(both) == 2
+    assert sorted(r["filename"] for r in both.collect()) == ["f0-2.json", "f0.json", "f1.json", "f2.json", "m.csv"]
+
+
 def test_members_get_names_of_their_own(spark):
     packed = zipped({"a/data.csv": "x\n1", "b/data.csv": "y\n2", "c/data-2.csv": "z\n3", "own.csv": "o\n4"})
     df = spark.createDataFrame([(1, 1, 0, "own.csv", b"h\n0"), (2, 1, 1, "z.zip", packed), (3, 2, 0, "z.zip", packed)], "file_id long, job_id long, ord int, filename string, content binary")
