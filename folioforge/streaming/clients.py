@@ -74,6 +74,35 @@ def rate_limit_stream(requests: DataFrame, max_jobs: int = 40, max_bytes: int =
     return x.groupBy("user_id").applyInPandasWithState(run, "user_id long, event_id long, accepted boolean, reason string", "times array<long>, sizes array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def quiet(touches: DataFrame, activity: DataFrame, seconds: int, beyond: bool, late: str = "1 hour") -> DataFrame:
+    """id, since: the touches (id, ts) after which no activity (id, ts) of the same id came for ``seconds``; ``beyond``: it would still count at exactly that time.
+
+    A left outer join of two streams on an interval: each touch waits for what follows it, and comes out unmatched once both watermarks have
+    passed the end of its wait. State is what lies within the wait and the allowed lateness; the rest is dropped."""
+    a = touches.select(F.col("id").alias("id"), F.col("ts").cast("timestamp").alias("since")).withWatermark("since", late)
+    b = activity.select(F.col("id").alias("_id"), F.col("ts").cast("timestamp").alias("_at")).withWatermark("_at", late)
+    span = F.expr(f"since + interval {seconds} seconds")
+    until = F.col("_at") <= span if beyond else F.col("_at") < span
+    return a.join(b, (F.col("id") == F.col("_id")) & (F.col("_at") > F.col("since")) & until, "left_outer").where("_id is null").select("id", "since")
+
+
+def sweep_stream(events: DataFrame, folders: DataFrame, minutes: int = 30, window_seconds: int = 3600, late: str = "1 hour") -> DataFrame:
+    """kind, id, since: what sweeps clear, each as soon as its time is over: expired_session, a client (events: user_id, ts) that paused for a session's
+    time; orphaned_workspace, a folder (session_id, modified) that neither it nor its session was touched for over twice that time; rate_limit_bucket, a client
+    without a request for over the window of the limit. One that comes back and pauses again comes out again.
+
+    Three interval joins of the same streams; each has state of its own that goes with the watermark. Events that share client and time count once or more alike."""
+    active = events.select(F.col("user_id").alias("id"), "ts")
+    touched = folders.select(F.col("session_id").alias("id"), F.col("modified").alias("ts"))
+    kinds = [
+        ("expired_session", quiet(active, active, 60 * minutes, False, late)),
+        ("orphaned_workspace", quiet(touched, active.unionByName(touched), 120 * minutes, True, late)),
+        ("rate_limit_bucket", quiet(active, active, window_seconds, True, late)),
+    ]
+    out = [x.select(F.lit(kind).alias("kind"), "id", "since") for kind, x in kinds]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 def status_stream(events: DataFrame) -> DataFrame:
     """file_id, status: the latest status of each file, as an updating aggregate over a stream of
     (file_id, ts, event_id, status)."""
@@ -81,6 +110,6 @@ def status_stream(events: DataFrame) -> DataFrame:
 
 
 def uploads_stream(spark, folder: str, pattern: str = "*") -> DataFrame:  # noqa: ANN001
-    """Files that arrive in a folder, as rows for ``convert``."""
+    """Files that arrive in a folder, as rows for ``convert``: a folder is a job, as for files that are read at once, and a file's place in it is the hash of its path."""
     x = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern).load(folder)
-    return x.select(F.xxhash64("path").alias("file_id"), F.lit(0).cast("long").alias("job_id"), F.lit(0).alias("ord"), F.regexp_extract("path", r"[^/]*$", 0).alias("filename"), "content")
+    return x.select(F.xxhash64("path").alias("file_id"), F.xxhash64(F.regexp_extract("path", r"^(.*)/", 1)).alias("job_id"), F.xxhash64("path").alias("ord"), F.regexp_extract("path", r"[^/]*$", 0).alias("filename"), "content")

@@ -13,7 +13,8 @@ from folioforge.plans.convert import convert
 from folioforge.registry import CATEGORIES, FORMATS
 from folioforge.settings import Settings
 from folioforge.sources.files import audit_lines, decoded_text, job_archives, read_files, write_results
-from folioforge.streaming.clients import rate_limit_stream, session_stream, status_stream, uploads_stream
+from folioforge.streaming.clients import rate_limit_stream, session_stream, status_stream, sweep_stream, uploads_stream
+from folioforge.streaming.states import ROCKSDB, file_states
 from pyspark.sql import functions as F
 
 from tests.core.test_readers import docx, epub, pdf, pptx, xlsx, zipped
@@ -254,6 +255,101 @@ def test_session_stream_agrees_with_batch(spark, tmp_path):
     assert {tuple(r) for r in stream.where("user_id < 9").collect()} == batch
 
 
+HOUR = 3600
+
+
+def test_sweeps_as_streams_agree_with_batch(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(u, 100 * u + i, t, 0) for u in range(6) for i, t in enumerate(sorted(rng.sample(range(0, 12 * HOUR, 7), 9)))]
+    rows += [(0, 9000, 10**6, 0), (0, 9001, 10**6 + 1, 0), (1, 9002, 10**6 + 5, 0)]  # time goes on
+    df = requests(spark, rows)
+    spans = {}
+    for u, _, t, _ in rows:
+        spans.setdefault(u, []).append(t)
+    touched = [(u, max(x for x in ts if x < 10**6) - 600 * (u % 3)) for u, ts in spans.items()] + [(77, 5), (77, 5 + HOUR), (78, 3 * HOUR)]
+    folders = spark.createDataFrame([(i, t) for i, t in touched] + [(0, 10**6)], "session_id long, s long").withColumn("modified", F.timestamp_seconds(F.col("s") + 1_000_000_000)).drop("s")
+    for part in ("ev", "fo"):
+        (tmp_path / part).mkdir()
+    ev = streamed(spark, tmp_path / "ev", df)
+    fo = streamed(spark, tmp_path / "fo", folders.withColumnRenamed("modified", "ts")).withColumnRenamed("ts", "modified")
+    q = sweep_stream(ev, fo, late="0 seconds").writeStream.format("memory").queryName("sweeps").outputMode("append").option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    got = {(r["kind"], r["id"], int(r["since"].timestamp()) - 1_000_000_000) for r in spark.sql("select kind, id, cast(since as timestamp) as since from sweeps").collect()}
+    # pauses, one by one
+    def paused(own, others, wait, beyond):
+        return {(u, t) for u, ts in own.items() for t in ts if not any(x > t and (x - t <= wait if beyond else x - t < wait) for x in others.get(u, [])) and t + wait < 10**6}
+
+    fold = {}
+    for i, t in [*touched, (0, 10**6)]:
+        fold.setdefault(i, []).append(t)
+    both = {u: fold.get(u, []) + spans.get(u, []) for u in {*fold, *spans}}
+    assert {x[1:] for x in got if x[0] == "expired_session"} == paused(spans, spans, HOUR // 2, False)
+    assert {x[1:] for x in got if x[0] == "rate_limit_bucket"} == paused(spans, spans, HOUR, True)
+    assert {x[1:] for x in got if x[0] == "orphaned_workspace"} == paused(fold, both, HOUR, True)
+    # as sweeps in batch have it, for folders as they stand when time has gone on
+    now = F.timestamp_seconds(F.lit(1_000_000_000 + 10**6 - 1))
+    early = df.where(F.col("ts") < now)
+    lost = {r["session_id"] for r in sessions.orphans(folders.where(F.col("modified") < now).groupBy("session_id").agg(F.max("modified").alias("modified")), early.where("false").selectExpr("user_id as session_id"), now).collect()}
+    assert {i for k, i, _ in got if k == "orphaned_workspace"} == lost - {u for u in lost if max(both[u], key=lambda t: t if t < 10**6 else -1) not in fold[u]}
+    counts = sessions.sweep_counts(early, folders.where("false"), now).first()
+    assert len({i for k, i, _ in got if k == "expired_session"}) == counts["expired_sessions"] and len({i for k, i, _ in got if k == "rate_limit_bucket"}) == counts["rate_limit_buckets"]
+    kept = [sum(s["numRowsTotal"] for s in p["stateOperators"]) for p in q.recentProgress if p["stateOperators"]]
+    assert max(kept) > kept[-1]
+
+
+def job_events(files, spark):
+    """Events that lead files (job_id, file_id, status) to their states, then cancelling of each third job and retrying of failed files with even ids."""
+    rows, n = [], 0
+    for job, file, status in files:
+        for k, event in enumerate(["queue", *([] if status == "queued" else ["start"]), *{"completed": ["complete"], "failed": ["fail"]}.get(status, [])]):
+            rows.append((job, file, 10 * k, n := n + 1, event, "broken" if event == "fail" else None))
+    rows += [(job, None, 1000, n := n + 1, "cancel", None) for job in sorted({f[0] for f in files}) if job % 3 == 0]
+    rows += [(job, file, 2000, n := n + 1, "retry", None) for job, file, status in files if status == "failed" and file % 2 == 0]
+    # too late: a job's end isn't reopened, and what is known already isn't queued again
+    rows += [(job, file, -1, n := n + 1, "start", None) for job, file, _ in files] + [(job, file, 3000, n := n + 1, "queue", None) for job, file, _ in files]
+    df = spark.createDataFrame(rows, "job_id long, file_id long, s long, event_id long, event string, error string")
+    return df.withColumn("ts", F.timestamp_seconds(F.col("s") + 1_000_000_000)).drop("s").withColumn("arrives", F.col("event_id"))
+
+
+@pytest.fixture
+def keyed_states(spark):
+    """The state store of several variables, and runs that end."""
+    wanted = {ROCKSDB[0]: ROCKSDB[1], "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_job_states_over_a_stream_and_a_restart(spark, tmp_path, keyed_states):
+    rng = random.Random(2)
+    files = [(j, 10 * j + i, rng.choice(["queued", "processing", "completed", "failed"])) for j in range(6) for i in range(5)]
+    table = spark.createDataFrame([(*f, None, None) for f in files], "job_id long, file_id long, status string, error string, markdown string")
+    stopped = jobs.cancelled(table, table.where("job_id % 3 = 0").select("job_id").distinct())
+    want = {r["file_id"]: r["status"] for r in jobs.retried(stopped, stopped.where("status = 'failed' and file_id % 2 = 0").select("job_id", "file_id")).collect()}
+    events = job_events(files, spark)
+    src, n = str(tmp_path / "ev"), events.count()
+    for part in range(2):  # the query ends, and starts again from its checkpoint
+        events.where(f"arrives > {n * part // 2} and arrives <= {n * (part + 1) // 2}").drop("arrives").coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(events.drop("arrives").schema).parquet(src)
+        q = file_states(stream).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "at")).foreachBatch(lambda b, _: b.write.mode("append").parquet(str(tmp_path / "moved"))).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+    # the event that moved a file last tells its state
+    out = {r["file_id"]: r for r in spark.read.parquet(str(tmp_path / "moved")).orderBy("event_id").collect()}
+    assert {f: r["status"] for f, r in out.items()} == want
+    assert all((r["attempt"], r["error"]) == ((2, None) if r["status"] == "processing" and f % 2 == 0 and r["attempt"] > 1 else (1, "broken" if r["status"] == "failed" else None)) for f, r in out.items())
+
+
+def test_job_states_in_a_cancelled_job(spark, keyed_states):
+    rows = [(1, 1, 1, 1, "queue"), (1, 2, 1, 2, "queue"), (1, 3, 1, 3, "queue"), (1, 2, 2, 4, "start"), (1, 3, 2, 5, "start"), (1, None, 3, 6, "cancel"), (1, 2, 4, 7, "fail"), (1, 3, 4, 8, "complete"), (1, 4, 5, 9, "queue"), (1, 4, 6, 10, "start"),
+            (1, 1, 7, 11, "retry"), (1, 5, 8, 12, "queue"), (1, 5, 9, 13, "start"), (1, 5, 10, 14, "fail"), (1, 9, 11, 15, "complete"), (1, None, 11, 16, "start"), (1, 5, 12, 17, "odd"), (None, 1, 1, 18, "queue"), (1, 5, 3, 19, "complete")]
+    df = spark.createDataFrame([(*r, None) for r in rows], "job_id long, file_id long, s long, event_id long, event string, error string").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    got = {r["file_id"]: (r["status"], r["attempt"]) for r in file_states(df).collect()}
+    assert got == {1: ("processing", 2), 2: ("cancelled", 1), 3: ("completed", 1), 4: ("cancelled", 1), 5: ("failed", 1)}
+
+
 def test_status_and_upload_streams(spark, tmp_path):
     df = spark.createDataFrame([(1, 1, 1, "queued"), (1, 2, 2, "processing"), (2, 1, 3, "failed")], "file_id long, s long, event_id long, status string").withColumn("ts", F.timestamp_seconds(F.col("s") + 1_000_000_000)).drop("s")
     got = run_to_memory(status_stream(streamed(spark, tmp_path, df)), "states", "complete")
