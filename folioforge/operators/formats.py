@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.functions.names import canonical_extension, hint_for
-from folioforge.registry import ERRORS, categories, formats
+from folioforge.registry import ERRORS, formats
 
 HEADER_BYTES = 8192
 ZIP_STARTS = ("504B0304", "504B0506", "504B0708")
@@ -26,15 +26,15 @@ def formats_by_mime(names: DataFrame, mime: str = "mime") -> DataFrame:
     return names.join(F.broadcast(f), key == F.col("_mime")).drop("_mime")
 
 
-def orphan_formats(spark, known: DataFrame | None = None) -> DataFrame:  # noqa: ANN001
-    """Formats whose category isn't one of the registry's, or of ``known`` (id): must be none."""
-    return formats(spark).join(known if known is not None else categories(spark), F.col("category") == F.col("id"), "left_anti")
+def of_no_category(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows (category, ...) with a category that isn't among those known (id), so that of the registry's formats there must be none. Rows without one are left out."""
+    return rows.where("category is not null").join(F.broadcast(known.select("id")), F.col("category") == F.col("id"), "left_anti")
 
 
-def labels_by_category(spark) -> DataFrame:  # noqa: ANN001
-    """Distinct labels of a category with the first extension of each."""
-    f = formats(spark).select("category", "label", "extension", F.monotonically_increasing_id().alias("n"))
-    return f.groupBy("category", "label").agg(F.min_by("extension", "n").alias("extension"))
+def labels_by_category(rows: DataFrame) -> DataFrame:
+    """category, label, extension, n_files of rows (category, label, extension): distinct labels of a category with the first extension of each."""
+    known = rows.where("label is not null")
+    return known.groupBy("category", "label").agg(F.min("extension").alias("extension"), F.count(F.lit(1)).alias("n_files"))
 
 
 def signatures_match(header: Column, signatures: Column) -> Column:

@@ -21,9 +21,6 @@ from folioforge.sources.office import html_links
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-SPECS = ["1-3,7", "5,1-2", "", "  ", "0", "abc", "3-1", "-5", "1-999999", "4, 4 ,2-3", ",,9", "1-500", "1-400,300-600"]
-LANGUAGES = ["eng+ben", "deu", "ben + eng", "fra+deu+ben", ""]
-MIMES = ["application/json", "TEXT/HTML; charset=utf-8", "image/png", "text/csv ", "application/octet-stream"]
 RATE = {"max_jobs": 3, "max_bytes": 5_000_000, "seconds": 86_400}
 NL = "chr(10)"
 
@@ -38,10 +35,6 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-def _values(values: list[str]) -> str:
-    return ", ".join(f"({i}, '{v}')" for i, v in enumerate(values))
-
-
 def _map(pairs: dict[str, str]) -> str:
     return "(values " + ", ".join("('" + k + "', '" + v.replace("'", "''") + "')" for k, v in pairs.items()) + ")"
 
@@ -161,20 +154,30 @@ def file_format_join(spark, d):
     return x.select("file_id", "extension", "label", "category", F.coalesce("ocr_capable", F.lit(False)).alias("ocr_capable"), F.col("label").isNotNull().alias("supported"))
 
 
-@query(f"with {_FORMATS_SQL}, m(id, mime) as (values {_values(MIMES)}) select id, extension as format from m, (select extension, unnest(mimes) as x from formats) f where lower(trim(string_split(mime, ';')[1])) = f.x")
+_MIME_LIST = sorted({m for f in FORMATS for m in f[4]} | {"application/octet-stream", "text/plain"})
+_MIME_SQL = f"""m as (select doc_id, case doc_id % 4 when 0 then upper(m) when 1 then m || '; charset=utf-8' when 2 then '  ' || m || ' ' else m end as mime from (select doc_id, ({t._list(_MIME_LIST)})[(length(text) % {len(_MIME_LIST)} + 1)::int] as m from documents))"""
+
+
+@query(f"with {_FORMATS_SQL}, {_MIME_SQL} select doc_id, extension as format from m, (select extension, unnest(mimes) as x from formats) f where lower(trim(string_split(mime, ';')[1])) = f.x")
 def format_by_mime(spark, d):
-    return formats.formats_by_mime(t.literal(spark, "mime", MIMES)).select("id", "format")
+    """MIME types as uploads name them, in any case, with blanks and parameters."""
+    m = F.get(F.array(*map(F.lit, _MIME_LIST)), F.length("text") % len(_MIME_LIST))
+    k = F.col("doc_id") % 4
+    mime = F.when(k == 0, F.upper(m)).when(k == 1, F.concat(m, F.lit("; charset=utf-8"))).when(k == 2, F.concat(F.lit("  "), m, F.lit(" "))).otherwise(m)
+    return formats.formats_by_mime(t.table(spark, d, "documents").select("doc_id", mime.alias("mime"))).select("doc_id", "format")
 
 
-@query(f"with {_FORMATS_SQL} select extension from formats where category = 'web'")
+@query(f"with {t.FILES}, {_SAFE}, {_FORMATS_SQL} select file_id, n.extension, category from named n join formats f on f.extension = n.extension where category = 'web'")
 def format_fk_anti(spark, d):
-    """With a category taken away, so that there is something to find; with all of them there is nothing."""
-    return formats.orphan_formats(spark, categories(spark).where("id <> 'web'")).select("extension").union(formats.orphan_formats(spark).select("extension"))
+    """Files whose format belongs to no category that is known, with one taken away; with all of them there is nothing."""
+    x = formats.with_format(_named(spark, d))
+    some = formats.of_no_category(x, categories(spark).where("id <> 'web'")).select("file_id", "extension", "category")
+    return some.union(formats.of_no_category(x, categories(spark)).select("file_id", "extension", "category"))
 
 
-@query(f"with {_FORMATS_SQL} select category, label, arg_min(extension, pos) as extension from formats group by category, label")
+@query(f"with {t.FILES}, {_SAFE}, {_FORMATS_SQL} select category, label, min(n.extension) as extension, count(*)::bigint as n_files from named n join formats f on f.extension = n.extension group by category, label")
 def format_labels(spark, d):
-    return formats.labels_by_category(spark)
+    return formats.labels_by_category(formats.with_format(_named(spark, d)))
 
 
 _SIGNED = "case when doc_id % 5 = 0 then '25504446' when doc_id % 5 = 1 then '504B0304' when doc_id % 5 = 2 then '52494646000000005745425000' when doc_id % 5 = 3 then '5249464600' else 'FFD8FFE0' end"
@@ -201,17 +204,33 @@ def file_detect(spark, d):
     return x.select("file_id", problem["code"].alias("code"))
 
 
-@query(f"with p(id, spec) as (values {_values(SPECS)}), e(id, pages, error) as (values (0, '1,2,3,7', null), (1, '1,2,5', null), (2, null, null), (3, null, null), (4, null, '''0'' is not a valid page range'), (5, null, '''abc'' is not a valid page range'), (6, null, '''3-1'' is not a valid page range'), (7, null, '''-5'' is not a valid page range'), (8, null, 'that page range covers too many pages'), (9, '2,3,4', null), (10, '9', null), (11, array_to_string(range(1, 501), ','), null), (12, null, 'that page range covers too many pages')) select id, pages, error from p join e using (id)")
+_SPECS = """case doc_id % 10 when 0 then (length(text) % 30 + 1) || '-' || (length(text) % 30 + 1 + doc_id % 40) when 1 then ' ' || (doc_id % 7 + 1) || ' , 5 - ' || (doc_id % 9 + 5) || ',3' when 2 then '' when 3 then ' , ,' when 4 then '2,' || coalesce(lang, 'x') || ' ,y'
+  when 5 then (doc_id + 9) || '-' || (doc_id % 5) when 6 then '0' when 7 then '1-' || length(text) when 8 then '1-400,300-' || (600 + doc_id % 100) else '-' || doc_id end"""
+
+
+@query(f"""with s as (select doc_id, {_SPECS} as spec from documents), p as (select doc_id, unnest(string_split(spec, ',')) as part, unnest(range(len(string_split(spec, ',')))) as k from s),
+q as (select doc_id, k, trim(part) as part, try_cast(regexp_extract(part, '^\\s*([0-9]{{1,9}})\\s*(?:-\\s*([0-9]{{1,9}})\\s*)?$', 1) as int) as a, coalesce(try_cast(regexp_extract(part, '^\\s*([0-9]{{1,9}})\\s*(?:-\\s*([0-9]{{1,9}})\\s*)?$', 2) as int), try_cast(regexp_extract(part, '^\\s*([0-9]{{1,9}})\\s*(?:-\\s*([0-9]{{1,9}})\\s*)?$', 1) as int)) as z from p where trim(part) <> ''),
+w as (select doc_id, arg_min(part, k) filter (where a is null or a < 1 or z < a) as wrong, bool_or(z - a + 1 > 500) as wide from q group by doc_id),
+g as (select doc_id, count(*) as n, string_agg(page, ',' order by page) as pages from (select distinct doc_id, unnest(range(a, z + 1)) as page from q join w using (doc_id) where wrong is null and not wide) group by doc_id)
+select s.doc_id, case when wrong is null and not coalesce(wide, false) and n <= 500 then pages end as pages, case when wrong is not null then '''' || wrong || ''' is not a valid page range' when wide or n > 500 then 'that page range covers too many pages' end as error
+from s left join w using (doc_id) left join g using (doc_id)""")
 def page_range_pages(spark, d):
-    x = t.literal(spark, "spec", SPECS).withColumn("r", pages.page_range(F.col("spec")))
-    return x.select("id", F.array_join("r.pages", ",").alias("pages"), "r.error")
+    x = t.table(spark, d, "documents").select("doc_id", F.expr(_SPECS).alias("spec")).withColumn("r", pages.page_range(F.col("spec")))
+    return x.select("doc_id", F.array_join("r.pages", ",").alias("pages"), "r.error")
+
+
+_ASKED = "coalesce(lang, '') || case doc_id % 6 when 0 then '+eng' when 1 then ' + ben+eng' when 2 then '+xx+' || coalesce(lang, 'yy') || '+xx' when 3 then '+' when 4 then '+osd +fr' else '' end"
 
 
-@query("select * from (values (0, 'eng+ben', ''), (1, 'eng', 'deu'), (2, 'ben+eng', ''), (3, 'ben', 'fra,deu'), (4, 'eng', '')) x(id, languages, missing)")
+@query(f"""with a as (select doc_id, list_filter(list_transform(string_split({_ASKED}, '+'), lambda x: trim(x)), lambda x: x <> '') as asked, case doc_id % 3 when 0 then ['osd', 'eng', 'ben'] when 1 then ['fr', 'osd'] else ['de', 'eng', 'es'] end as installed from documents),
+b as (select *, list_filter(asked, lambda x: list_contains(installed, x)) as usable, list_filter(asked, lambda x: not list_contains(installed, x)) as lacking from a)
+select doc_id, case when len(usable) > 0 then array_to_string(usable, '+') when list_contains(installed, 'eng') then 'eng' else installed[1] end as languages, array_to_string(list_filter(lacking, lambda x, i: list_position(lacking, x) = i), ',') as missing from b""")
 def lang_resolve(spark, d):
-    installed = F.array(F.lit("osd"), F.lit("eng"), F.lit("ben"))
-    x = t.literal(spark, "requested", LANGUAGES).withColumn("r", pages.usable_languages(F.col("requested"), installed))
-    return x.select("id", "r.languages", F.array_join("r.missing", ",").alias("missing"))
+    """Languages asked for by documents against those that are installed, three sets of them."""
+    sets = F.array(*[F.array(*map(F.lit, s)) for s in (("osd", "eng", "ben"), ("fr", "osd"), ("de", "eng", "es"))])
+    x = t.table(spark, d, "documents").select("doc_id", F.expr(_ASKED).alias("asked"), F.get(sets, (F.col("doc_id") % 3).cast("int")).alias("installed"))
+    x = x.withColumn("r", pages.usable_languages(F.col("asked"), F.col("installed")))
+    return x.select("doc_id", "r.languages", F.array_join("r.missing", ",").alias("missing"))
 
 
 # positioned words

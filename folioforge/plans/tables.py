@@ -124,9 +124,3 @@ FILES = f"""files as (select doc_id as file_id, doc_id // 6 as job_id, (doc_id %
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as requests of clients, with bytes."""
     return table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", (F.col("value") * 10000).cast("long").alias("bytes"))
-
-
-def literal(spark: SparkSession, column: str, values: list) -> DataFrame:
-    return spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"id int, {column} string")
-
-

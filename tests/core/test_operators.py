@@ -10,7 +10,8 @@ import zipfile
 import pytest
 from folioforge.operators import archives, formats, imaging, jobs, layout, sessions
 from folioforge.plans.convert import convert
-from folioforge.registry import CATEGORIES, FORMATS
+from folioforge.registry import CATEGORIES, FORMATS, categories
+from folioforge.registry import formats as registry_formats
 from folioforge.settings import Settings
 from folioforge.sources.files import audit_lines, decoded_text, job_archives, read_files, write_results
 from folioforge.streaming.clients import rate_limit_stream, session_stream, status_stream, sweep_stream, uploads_stream
@@ -514,7 +515,7 @@ def test_sinks(spark, converted, tmp_path):
 
 
 def test_registry_holds_together(spark):
-    assert len(FORMATS) == 17 and len(CATEGORIES) == 6 and formats.orphan_formats(spark).count() == 0
+    assert len(FORMATS) == 17 and len(CATEGORIES) == 6 and formats.of_no_category(registry_formats(spark), categories(spark)).count() == 0
     webp = "array(struct(0 as offset, '52494646' as hex), struct(8 as offset, '57454250' as hex))"
     df = spark.createDataFrame([(b"RIFF0000WEBP",), (b"RIFF0000WAVE",), (b"RI",)], "c binary")
     assert [r[0] for r in df.select(formats.signatures_match(F.col("c"), F.expr(webp))).collect()] == [True, False, False]
