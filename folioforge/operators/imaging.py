@@ -1,11 +1,18 @@
-"""Statistics of pixel tables (image, level [, x, y]): what decides about contrast and skew."""
+"""Pixel tables (image, level [, x, y]): what decides about size, noise, contrast and skew, and the steps themselves."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioforge.checkpoints import cut
+
 LOW_CONTRAST, MARGIN = 90, 0.35
+#: An image's speckle is measured over so many pixels a side and taken out from so much on; tones and skew on a copy of so
+#: many pixels at the longer side; a smaller turn isn't made.
+NOISE_PATCH, NOISE_LEAST, DECISION_SIDE, LEAST_TURN = 1000, 6.0, 1200, 0.35
 
 
 def part_pixels(part: DataFrame) -> DataFrame:
@@ -111,3 +118,137 @@ def better_reading(words: DataFrame, weak: float = 62.0) -> DataFrame:
     mean = F.avg(F.when(F.col("processed"), F.col("confidence")))
     keep = F.coalesce(mean >= weak, F.lit(False)) | (of(False) <= of(True))
     return words.groupBy("doc_id", "page").agg(keep.alias("processed"))
+
+
+def grid(sizes: DataFrame, width: str = "width", height: str = "height") -> DataFrame:
+    """A row for each pixel (x, y) of the images (image, width, height, ...)."""
+    span = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1))
+    return sizes.withColumn("y", F.explode(span(height))).withColumn("x", F.explode(span(width)))
+
+
+#: kernel: how far it reaches, and its value at a distance.
+KERNELS = {
+    "triangle": (1.0, lambda d: F.greatest(F.lit(0.0), 1.0 - F.abs(d))),
+    "lanczos": (3.0, lambda d: F.when(d == 0, 1.0).when(F.abs(d) < 3, 3.0 * F.sin(F.lit(math.pi) * d) * F.sin(F.lit(math.pi) * d / 3.0) / (F.lit(math.pi) * d * F.lit(math.pi) * d)).otherwise(0.0)),
+}
+#: Weights are whole numbers of so many bits after the point, so that sums are exact in any order.
+WEIGHT_BITS = 22
+
+
+def axis_weights(lengths: DataFrame, kernel: str) -> DataFrame:
+    """n_in, n_out, source, target, weight: what a pixel counts for in a line that is made ``n_out`` long from ``n_in`` (lengths: n_in, n_out).
+    Where a line is made shorter the kernel is as much wider. The weights of a target add up to one."""
+    reach, value = KERNELS[kernel]
+    scale = F.col("n_in") / F.col("n_out")
+    wide = F.greatest(scale, F.lit(1.0))
+    x = lengths.distinct().withColumn("target", F.explode(F.sequence(F.lit(0), F.col("n_out") - 1)))
+    x = x.withColumn("centre", (F.col("target") + 0.5) * scale)
+    first = F.greatest(F.lit(0), F.floor(F.col("centre") - wide * reach + 0.5).cast("int"))
+    last = F.least(F.col("n_in"), F.floor(F.col("centre") + wide * reach + 0.5).cast("int")) - 1
+    x = x.withColumn("source", F.explode(F.sequence(first, last)))
+    x = x.withColumn("w", value((F.col("source") - F.col("centre") + 0.5) / wide))
+    whole = F.sum("w").over(Window.partitionBy("n_in", "n_out", "target"))
+    return x.select("n_in", "n_out", "source", "target", F.round(F.col("w") / whole * (1 << WEIGHT_BITS)).cast("long").alias("weight"))
+
+
+def _along(pixels: DataFrame, axis: str, other: str, n_in: str, n_out: str, kernel: str) -> DataFrame:
+    """Pixels resampled along one axis: each counts for the targets near it, and what falls to a target is added up."""
+    weights = axis_weights(pixels.select(F.col(n_in).alias("n_in"), F.col(n_out).alias("n_out")), kernel)
+    x = pixels.withColumnsRenamed({n_in: "n_in", n_out: "n_out", axis: "source"}).join(weights, ["n_in", "n_out", "source"])
+    keep = [c for c in ("width", "height", "new_width", "new_height") if c in x.columns]
+    out = x.groupBy("image", other, "target").agg(F.sum(F.col("level") * F.col("weight")).alias("s"), *[F.first(c).alias(c) for c in keep])
+    level = F.shiftright(F.col("s") + (1 << (WEIGHT_BITS - 1)), WEIGHT_BITS)
+    return out.select("image", other, F.col("target").alias(axis), F.greatest(F.lit(0), F.least(F.lit(255), level)).cast("int").alias("level"), *keep)
+
+
+def resized(pixels: DataFrame, sizes: DataFrame, kernel: str = "lanczos") -> DataFrame:
+    """Pixels (image, x, y, level) of whole images at other sizes (image, width, height, new_width, new_height): along x, then along y, rounded
+    and cut to 0..255 each time. lanczos to enlarge, triangle to measure a small copy. A weight table for each length that occurs
+    is joined by axis, so the work is pixels times the kernel's reach."""
+    x = pixels.select("image", "x", "y", "level").join(sizes.select("image", "width", "height", "new_width", "new_height"), "image")
+    x = _along(x, "x", "y", "width", "new_width", kernel)
+    return _along(x, "y", "x", "height", "new_height", kernel).select("image", "x", "y", "level")
+
+
+def upscaled_sizes(sizes: DataFrame) -> DataFrame:
+    """Sizes with those that narrow images are enlarged to; others keep theirs."""
+    f = upscale_factor(F.col("width"))
+    return sizes.withColumns({"new_width": F.floor(F.col("width") * f).cast("int"), "new_height": F.floor(F.col("height") * f).cast("int")})
+
+
+def decision_sizes(sizes: DataFrame, longest: int = DECISION_SIDE) -> DataFrame:
+    """Sizes with those of the small copy that tones and skew are measured on."""
+    side = F.greatest("width", "height")
+    f = F.when(side > longest, longest / side).otherwise(1.0)
+    return sizes.withColumns({"new_width": F.greatest(F.floor(F.col("width") * f).cast("int"), F.lit(1)), "new_height": F.greatest(F.floor(F.col("height") * f).cast("int"), F.lit(1))})
+
+
+def with_median(pixels: DataFrame) -> DataFrame:
+    """Pixels of whole images with ``median``, of the 3 x 3 around each; beyond an edge the pixel at the edge stands. Each line looks at its
+    neighbours by windows, first along it and then across, so no pixel is copied to its neighbours."""
+    across, down = Window.partitionBy("image", "y").orderBy("x"), Window.partitionBy("image", "x").orderBy("y")
+    own = F.col("level")
+    x = pixels.repartition("image").withColumn("_row", F.array(F.coalesce(F.lag(own).over(across), own), own, F.coalesce(F.lead(own).over(across), own)))
+    near = F.concat(F.coalesce(F.lag("_row").over(down), F.col("_row")), F.col("_row"), F.coalesce(F.lead("_row").over(down), F.col("_row")))
+    return x.withColumn("median", F.get(F.array_sort(near), F.lit(4))).drop("_row")
+
+
+def denoised(pixels: DataFrame, sizes: DataFrame, least: float = NOISE_LEAST, patch: int = NOISE_PATCH) -> DataFrame:
+    """Pixels with ``changed``: the medians, where they differ from the levels by ``least`` or more on average over the middle of the image, of ``patch`` a side."""
+    x = with_median(pixels.select("image", "x", "y", "level").join(sizes.select("image", "width", "height"), "image"))
+    middle = lambda at, n: (F.col(at) >= F.greatest(F.floor((F.col(n) - patch) / 2), F.lit(0))) & (F.col(at) < F.greatest(F.floor((F.col(n) - patch) / 2), F.lit(0)) + patch)
+    change = F.avg(F.when(middle("x", "width") & middle("y", "height"), F.abs(F.col("level") - F.col("median")))).over(Window.partitionBy("image"))
+    x = x.withColumn("changed", F.coalesce(change >= least, F.lit(False)))
+    return x.select("image", "x", "y", F.when(F.col("changed"), F.col("median")).otherwise(F.col("level")).alias("level"), "changed")
+
+
+def rotated_sizes(turns: DataFrame) -> DataFrame:
+    """Turns (image, width, height, angle) with the size that holds the whole turned image."""
+    rad = F.radians("angle")
+    side = lambda a, b: F.ceil(F.round(F.abs(a * F.cos(rad)) + F.abs(b * F.sin(rad)), 6)).cast("int")
+    return turns.withColumns({"new_width": side(F.col("width"), F.col("height")), "new_height": side(F.col("height"), F.col("width"))})
+
+
+def rotated(pixels: DataFrame, turns: DataFrame, fill: int = 255) -> DataFrame:
+    """Whole images turned by ``angle`` degrees, counter-clockwise (turns: image, width, height, angle), corners kept, what is new filled with ``fill``. Each pixel of
+    the turned image looks where it comes from, between four pixels, and takes them by nearness; of those outside, the fill."""
+    t = rotated_sizes(turns)
+    rad = F.radians("angle")
+    g = grid(t, "new_width", "new_height")
+    dx, dy = F.col("x") + 0.5 - F.col("new_width") / 2, F.col("y") + 0.5 - F.col("new_height") / 2
+    u = F.round(dx * F.cos(rad) - dy * F.sin(rad) + F.col("width") / 2 - 0.5, 9)
+    v = F.round(dx * F.sin(rad) + dy * F.cos(rad) + F.col("height") / 2 - 0.5, 9)
+    g = g.select("image", "x", "y", u.alias("u"), v.alias("v"), F.floor(u).cast("int").alias("l"), F.floor(v).cast("int").alias("t"))
+    corners = F.array(*[F.struct((F.col("l") + i).alias("sx"), (F.col("t") + j).alias("sy"), F.lit(2 * j + i).alias("k")) for j in (0, 1) for i in (0, 1)])
+    fx, fy = F.col("u") - F.col("l"), F.col("v") - F.col("t")
+    g = g.select("image", "x", "y", fx.alias("fx"), fy.alias("fy"), F.explode(corners).alias("c")).select("image", "x", "y", "fx", "fy", "c.*")
+    g = g.join(pixels.select("image", F.col("x").alias("sx"), F.col("y").alias("sy"), "level"), ["image", "sx", "sy"], "left")
+    at = g.groupBy("image", "x", "y").agg(F.first("fx").alias("fx"), F.first("fy").alias("fy"), *[F.coalesce(F.max(F.when(F.col("k") == k, F.col("level"))), F.lit(fill)).alias(f"c{k}") for k in range(4)])
+    top = F.col("c0") * (1 - F.col("fx")) + F.col("c1") * F.col("fx")
+    low = F.col("c2") * (1 - F.col("fx")) + F.col("c3") * F.col("fx")
+    return at.select("image", "x", "y", F.floor(F.round(top * (1 - F.col("fy")) + low * F.col("fy"), 6) + 0.5).cast("int").alias("level"))
+
+
+def sizes_of(pixels: DataFrame) -> DataFrame:
+    return pixels.groupBy("image").agg((F.max("x") + 1).cast("int").alias("width"), (F.max("y") + 1).cast("int").alias("height"))
+
+
+def preprocessed(pixels: DataFrame) -> DataFrame:
+    """Whole images (image, x, y, level) made ready for recognition: narrow ones enlarged, then speckle taken out, then faded ones stretched, then straightened; each only
+    where its measure says so, tones and skew by a small copy. Between the steps the pixels are checkpointed, as measures and change both need them."""
+    sizes = upscaled_sizes(sizes_of(pixels))
+    grow = F.col("new_width") != F.col("width")
+    same = pixels.join(sizes.where(~grow).select("image"), "image", "left_semi").select("image", "x", "y", "level")
+    x = cut(same.unionByName(resized(pixels, sizes.where(grow))))
+    sizes = cut(sizes.select("image", F.col("new_width").alias("width"), F.col("new_height").alias("height")))
+    x = cut(denoised(x, sizes).drop("changed"))
+    copy = decision_sizes(sizes)
+    small = lambda p: p.join(copy.where("new_width = width and new_height = height").select("image"), "image", "left_semi").unionByName(resized(p, copy.where("new_width <> width or new_height <> height"), "triangle"))
+    measured = cut(small(x))
+    x = cut(stretch(x, ink_paper(measured, otsu(measured))).select("image", "x", "y", "level"))
+    measured = cut(small(x))
+    turn = skew(dark_pixels(measured), copy.select("image", F.col("new_width").alias("width"), F.col("new_height").alias("height")))
+    turn = cut(sizes.join(turn, "image", "left").withColumn("angle", -F.coalesce("angle", F.lit(0.0))))
+    straight = F.abs("angle") < LEAST_TURN
+    level = x.join(turn.where(straight).select("image"), "image", "left_semi")
+    return level.unionByName(rotated(x.join(turn.where(~straight).select("image"), "image", "left_semi"), turn.where(~straight)))

@@ -625,6 +625,69 @@ def image_stretch(spark, d):
     return imaging.stretch(px, tones).select("image", "before", F.col("level").alias("after")).distinct()
 
 
+_SHEETS = """sheets as (select p_partkey as image, x, y, least(255, case when p_partkey % 3 = 0 and (x * 5 + y * 3 + p_partkey) % 4 = 0 then 255 else p_size * 5 + (p_partkey * 7 + x * 13 + y * 29) % 11 end)::int as level
+  from part, (select unnest(range(8)) as x), (select unnest(range(6)) as y))"""
+
+
+def _sheets(spark, d):
+    """Small images, one for each part, a third of them with specks; and their sizes."""
+    p = t.table(spark, d, "part").select(F.col("p_partkey").alias("image"), F.col("p_size").alias("s"), F.lit(8).alias("width"), F.lit(6).alias("height"))
+    k, x, y = F.col("image"), F.col("x"), F.col("y")
+    speck = (k % 3 == 0) & ((x * 5 + y * 3 + k) % 4 == 0)
+    level = F.least(F.lit(255), F.when(speck, 255).otherwise(F.col("s") * 5 + (k * 7 + x * 13 + y * 29) % 11)).cast("int")
+    return imaging.grid(p).select("image", "x", "y", level.alias("level")), p.drop("s")
+
+
+def _resize_sql(name: str, kernel: str, reach: float, new_width: str, new_height: str) -> str:
+    """Common tables up to ``name`` (image, x, y, level): the sheets at other sizes."""
+    steps = []
+    for axis, other, of, n_in, n_out, out in (("x", "y", "sheets", 8, new_width, f"{name}_x"), ("y", "x", f"{name}_x", 6, new_height, name)):
+        steps.append(f"""{out}_w0 as (select distinct {n_out} as n_out, unnest(range({n_out})) as target from (select distinct image from sheets)),
+{out}_w1 as (select *, greatest({n_in} / n_out, 1.0::double) as wide, (target + 0.5) * ({n_in} / n_out) as centre from {out}_w0),
+{out}_w2 as (select *, unnest(range(greatest(0, floor(centre - wide * {reach} + 0.5)::int), least({n_in}, floor(centre + wide * {reach} + 0.5)::int))) as source from {out}_w1),
+{out}_w3 as (select n_out, target, source, (source - centre + 0.5) / wide as k from {out}_w2),
+{out}_w4 as (select n_out, target, source, {kernel} as w from {out}_w3),
+{out}_w as (select n_out, target, source, round(w / sum(w) over (partition by n_out, target) * 4194304)::bigint as weight from {out}_w4),
+{out} as (select image, {other}, target as {axis}, greatest(0, least(255, floor((sum(level * weight) + 2097152) / 4194304.0)))::int as level from {of} join {out}_w w on {axis} = source and w.n_out = {n_out} group by image, {other}, target)""")
+    return ",\n".join(steps)
+
+
+_LANCZOS = "case when k = 0 then 1.0 when abs(k) < 3 then 3.0 * sin(pi() * k) * sin(pi() * k / 3.0) / (pi() * k * pi() * k) else 0.0 end"
+
+
+@query(f"""with {_SHEETS}, {_resize_sql('large', _LANCZOS, 3.0, '(11 + image % 5)', '(9 + image % 2)')}, {_resize_sql('small', 'greatest(0.0, 1.0 - abs(k))', 1.0, '(3 + image % 2)', '4')}
+select image, 'large' as kind, x::int as x, y::int as y, level from large union all select image, 'small', x::int, y::int, level from small""")
+def image_resize(spark, d):
+    """Each sheet enlarged and made smaller."""
+    px, sizes = _sheets(spark, d)
+    k = F.col("image")
+    large = imaging.resized(px, sizes.withColumns({"new_width": (11 + k % 5).cast("int"), "new_height": (9 + k % 2).cast("int")}), "lanczos")
+    small = imaging.resized(px, sizes.withColumns({"new_width": (3 + k % 2).cast("int"), "new_height": F.lit(4)}), "triangle")
+    return large.withColumn("kind", F.lit("large")).unionByName(small.withColumn("kind", F.lit("small"))).select("image", "kind", "x", "y", "level")
+
+
+@query(f"""with {_SHEETS}, m as (select a.image, a.x, a.y, any_value(a.level) as level, list_sort(list(b.level))[5] as median from sheets a, (select unnest([-1, 0, 1]) as dx), (select unnest([-1, 0, 1]) as dy), sheets b
+  where b.image = a.image and b.x = greatest(0, least(7, a.x + dx)) and b.y = greatest(0, least(5, a.y + dy)) group by a.image, a.x, a.y),
+n as (select image, avg(abs(level - median)) >= 6 as changed from m group by image) select m.image, x::int as x, y::int as y, changed, (case when changed then median else level end)::int as level from m join n using (image)""")
+def image_denoise(spark, d):
+    px, sizes = _sheets(spark, d)
+    return imaging.denoised(px, sizes).select("image", "x", "y", "changed", "level")
+
+
+@query(f"""with {_SHEETS}, a as (select p_partkey as image, radians((p_partkey % 7 - 3) * 2.5 + case when p_partkey % 11 = 0 then 90 else 0 end) as r from part),
+s as (select image, r, ceil(round(8 * abs(cos(r)) + 6 * abs(sin(r)), 6))::int as nw, ceil(round(6 * abs(cos(r)) + 8 * abs(sin(r)), 6))::int as nh from a),
+g0 as (select *, unnest(range(nh)) as y from s), g as (select *, unnest(range(nw)) as x from g0),
+h as (select image, x, y, round((x + 0.5 - nw / 2) * cos(r) - (y + 0.5 - nh / 2) * sin(r) + 4 - 0.5, 9) as u, round((x + 0.5 - nw / 2) * sin(r) + (y + 0.5 - nh / 2) * cos(r) + 3 - 0.5, 9) as v from g),
+q as (select h.*, floor(u)::int as l, floor(v)::int as t from h),
+c as (select q.*, coalesce(c0.level, 255) as c0, coalesce(c1.level, 255) as c1, coalesce(c2.level, 255) as c2, coalesce(c3.level, 255) as c3 from q left join sheets c0 on c0.image = q.image and c0.x = l and c0.y = t
+  left join sheets c1 on c1.image = q.image and c1.x = l + 1 and c1.y = t left join sheets c2 on c2.image = q.image and c2.x = l and c2.y = t + 1 left join sheets c3 on c3.image = q.image and c3.x = l + 1 and c3.y = t + 1)
+select image, x::int as x, y::int as y, floor(round((c0 * (1 - (u - l)) + c1 * (u - l)) * (1 - (v - t)) + (c2 * (1 - (u - l)) + c3 * (u - l)) * (v - t), 6) + 0.5)::int as level from c""")
+def image_rotate(spark, d):
+    px, sizes = _sheets(spark, d)
+    angle = (F.col("image") % 7 - 3) * 2.5 + F.when(F.col("image") % 11 == 0, 90).otherwise(0)
+    return imaging.rotated(px, sizes.withColumn("angle", angle.cast("double"))).select("image", "x", "y", "level")
+
+
 @query("""select event_id, case when value < 50 then 0 else ((event_id % 6) * 90 % 360)::int end as degrees from events""")
 def ocr_orientation(spark, d):
     e = t.table(spark, d, "events")

@@ -537,6 +537,47 @@ def test_tones_and_skew(spark):
     assert abs(got["s"] - 3) <= 0.25 and got["l"] == 0.0 and got["f"] == 0.0
 
 
+def test_images_are_made_ready(spark):
+    """Tilted faint lines with specks on a narrow page: afterwards large, level, without specks and with full contrast."""
+    rng = random.Random(1)
+    w, h = 160, 110
+    level = {(x, y): 170 for x in range(w) for y in range(h)}
+    for y0 in range(20, 100, 16):
+        for x in range(10, w - 10):
+            for k in range(5):
+                level[x, int(y0 + k + (x - w / 2) * math.tan(math.radians(4)))] = 110
+    for _ in range(1500):
+        level[rng.randrange(w), rng.randrange(h)] = rng.choice([0, 255])
+    px = spark.createDataFrame([(1, x, y, v) for (x, y), v in level.items()] + [(2, x, y, 255) for x in range(3) for y in range(2)], "image int, x int, y int, level int")
+    quiet_ = imaging.denoised(px, imaging.sizes_of(px))
+    assert {(r["image"], r["changed"]) for r in quiet_.select("image", "changed").distinct().collect()} == {(1, True), (2, False)}
+    dark = imaging.dark_pixels(quiet_.where("image = 1"))
+    turn = imaging.skew(dark, imaging.sizes_of(px)).first()["angle"]
+    assert abs(abs(turn) - 4) <= 0.5
+    level_again = imaging.rotated(quiet_.where("image = 1"), imaging.sizes_of(px).where("image = 1").withColumn("angle", F.lit(-turn)))
+    assert abs(imaging.skew(imaging.dark_pixels(level_again), imaging.sizes_of(level_again)).first()["angle"]) <= 0.5
+    sizes = imaging.upscaled_sizes(imaging.sizes_of(px)).orderBy("image").collect()
+    assert [(r["new_width"], r["new_height"]) for r in sizes] == [(1400, 962), (1400, 933)]
+
+
+def test_the_whole_chain_on_a_wide_page(spark):
+    w, h = 1400, 24
+    level = [(1, x, y, 100 if y % 8 < 3 and 20 < x < 1380 else 150) for x in range(w) for y in range(h)]
+    out = imaging.preprocessed(spark.createDataFrame(level, "image int, x int, y int, level int"))
+    got = {(r["x"], r["y"]): r["level"] for r in out.collect()}
+    assert len(got) == w * h and got[700, 1] == 0 and got[700, 5] == 255 and set(got.values()) <= {0, 255}
+
+
+def test_weights_add_up_and_plain_areas_stay(spark):
+    for kernel in imaging.KERNELS:
+        for n_in, n_out in ((8, 20), (20, 7), (5, 5)):
+            sums = imaging.axis_weights(spark.createDataFrame([(n_in, n_out)], "n_in int, n_out int"), kernel).groupBy("target").agg(F.sum("weight").alias("s")).collect()
+            assert len(sums) == n_out and all(abs(r["s"] - (1 << imaging.WEIGHT_BITS)) <= 8 for r in sums)
+    flat = imaging.grid(spark.createDataFrame([(1, 6, 4)], "image int, width int, height int")).withColumn("level", F.lit(77))
+    out = imaging.resized(flat, imaging.sizes_of(flat).withColumns({"new_width": F.lit(13), "new_height": F.lit(3)}))
+    assert out.count() == 39 and {r["level"] for r in out.collect()} == {77}
+
+
 def test_scales(spark):
     one = spark.range(1)
     assert one.select(imaging.upscale_factor(F.lit(700)), imaging.upscale_factor(F.lit(1390)), imaging.render_scale(F.lit(300), F.lit(612), F.lit(792), 10000), imaging.render_scale(F.lit(300), F.lit(7200), F.lit(10), 10000)).first()[:] == (2.0, 1.0, 300 / 72, 10000 / 7200)
