@@ -111,11 +111,15 @@ def nearest_column(anchors: Column, x: Column) -> Column:
     return F.array_min(F.transform(anchors, lambda a, i: F.struct(F.abs(a - x).alias("d"), i.alias("i"))))["i"]
 
 
-def measured(words: DataFrame, page_widths: DataFrame) -> DataFrame:
-    """Words with what their page and document are like: page_width, body_height (of the whole document, so that headings agree
-    across pages), char_width and word_width of the page, page_words, page_confidence. Words move once, by page; all that follows keeps that partitioning."""
-    page = page_widths.join(word_body_heights(words), "doc_id").select(*PAGE, "page_width", "body_height")
-    x = words.select(*LINE, "pos", "text", "left", "top", "width", "height", "confidence").join(page, PAGE)
+def measured(words: DataFrame, page_widths: DataFrame | None = None) -> DataFrame:
+    """Words with what their page and document are like: page_width (their own column, or of ``page_widths``), body_height (of the whole document, so that headings
+    agree across pages), char_width and word_width of the page, page_words, page_confidence. Words that are dealt by doc_id already stay where they are, and all
+    that follows keeps that partitioning: a document is the unit of work."""
+    own = [] if page_widths is not None else ["page_width"]
+    x = words.select(*LINE, "pos", "text", "left", "top", "width", "height", "confidence", *own)
+    if page_widths is not None:
+        x = x.join(page_widths.select(*PAGE, "page_width"), PAGE)
+    x = x.join(word_body_heights(words), "doc_id")
     on_page = Window.partitionBy(*PAGE)
     long = F.when(F.length("text") > 1, F.col("width") / F.length("text"))
     return x.withColumns({
@@ -270,12 +274,12 @@ def with_tables(ordered: DataFrame) -> DataFrame:
     return x.select(*PAGE, F.inline(F.flatten(F.transform(let(runs, parts), labelled))))
 
 
-def page_blocks(words: DataFrame, page_widths: DataFrame) -> DataFrame:
+def page_blocks(words: DataFrame, page_widths: DataFrame | None = None) -> DataFrame:
     """doc_id, page, n, kind, text of each block of a page in reading order, and page_words, page_confidence: table, item, heading or prose. Lines
     are taken first by tables, then as list items, as headings, and else as prose, of which a line opens a paragraph after any other block or where it
     doesn't go on with the one before. Blank lines count for nothing; a page of them alone has one row without kind and text.
 
-    Labels, running sums and windows over one partitioning by page: words are shuffled once, and nothing but a paragraph, a table or a line
+    Labels, running sums and windows over one partitioning: words are shuffled once at most, and nothing but a paragraph, a table or a line
     is gathered into one value."""
     on_page = Window.partitionBy(*PAGE)
     order = on_page.orderBy("rank")
@@ -334,7 +338,7 @@ def word_body_heights(words: DataFrame) -> DataFrame:
     return line.groupBy("doc_id").agg(F.percentile(F.col("span") / factor, F.lit(0.5), F.col("n")).alias("body_height"))
 
 
-def reconstruct(words: DataFrame, page_widths: DataFrame) -> DataFrame:
+def reconstruct(words: DataFrame, page_widths: DataFrame | None = None) -> DataFrame:
     """doc_id, page, markdown, word_count, confidence, warnings of every page: its blocks in order, an empty line between them."""
     blocks = page_blocks(words, page_widths)
     listed = F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("n", "text"))))

@@ -373,7 +373,7 @@ select doc_id, n::bigint as paragraph, count(*)::bigint as n_lines, string_agg(t
 def ocr_paragraphs(spark, d):
     """Of pages in two columns, read down one and then the other."""
     w = t.two_columns(t.words(spark, d))
-    line = layout.measured_lines(layout.measured(w, t.page_widths(w)))
+    line = layout.measured_lines(layout.measured(t.with_page_width(w)))
     return layout.paragraphs(layout.reading_order(layout.with_gutters(line))).select("doc_id", "paragraph", "n_lines", "text")
 
 
@@ -467,15 +467,15 @@ blocks as (select doc_id, n::bigint as n, any_value(kind) as kind, string_agg(sh
 @query(f"""with recursive {_blocks_sql(t.WORDS)}, b as (select doc_id, string_agg(text, chr(10) || chr(10) order by n) as markdown from blocks group by doc_id),
 q as (select doc_id, count(*)::bigint as word_count from words group by doc_id) select b.doc_id, markdown, word_count from b join q on b.doc_id = q.doc_id""")
 def ocr_reconstruct(spark, d):
-    w = t.words(spark, d)
-    return layout.documents(layout.reconstruct(w, t.page_widths(w)).withColumn("confidence", F.round("confidence", 6))).select("doc_id", "markdown", "word_count")
+    w = t.with_page_width(t.words(spark, d))
+    return layout.documents(layout.reconstruct(w).withColumn("confidence", F.round("confidence", 6))).select("doc_id", "markdown", "word_count")
 
 
 @query(f"with recursive {_blocks_sql(_TWO_MARKED)} select doc_id, n, kind, length(text)::bigint as size, md5(text) as digest from blocks")
 def ocr_blocks(spark, d):
     """Tables, items, headings and paragraphs of pages in two columns, with list marks and capitals."""
-    w = t.two_columns(_marked_words(t.words(spark, d)))
-    x = layout.page_blocks(w, t.page_widths(w)).where("kind is not null")
+    w = t.with_page_width(t.two_columns(_marked_words(t.words(spark, d))))
+    x = layout.page_blocks(w).where("kind is not null")
     return x.select("doc_id", "n", "kind", F.length("text").cast("long").alias("size"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 

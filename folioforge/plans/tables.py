@@ -16,11 +16,18 @@ STEMS = ["../../etc/passwd", "C:\\Users\\admin\\secret", ".hidden", "CON", "a  b
 SPREAD_BELOW = 32 << 20
 
 
+#: So many bytes of texts, as they are stored, become the words of one task: some 30 to 60 times as many in memory.
+WORDS_FROM, MOST_PARTS = 1 << 20, 100_000
+
+
+def stored_bytes(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table as it is; only a very small one is spread over the cores before work is done on it."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SPREAD_BELOW
-    return df.repartition(spark.sparkContext.defaultParallelism) if small else df
+    return df.repartition(spark.sparkContext.defaultParallelism) if stored_bytes(df) < SPREAD_BELOW else df
 
 
 def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,8 +75,11 @@ FENCED = """fenced as (select doc_id, case when doc_id % 3 = 0 then '```py' || c
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents with positions: ten units a character, 40 a line, the first line set larger;
-    a block of 20 lines; wide gaps before every fifth word of some documents."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "l"))
+    a block of 20 lines; wide gaps before every fifth word of some documents. Texts are dealt by document before they become words, so that
+    words, many times as large, needn't be, and into parts that fit a task once they are words."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(stored_bytes(docs) // WORDS_FROM, MOST_PARTS))
+    d = docs.select("doc_id", "text").repartition(parts, "doc_id").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "l"))
     w = d.select("doc_id", "line", F.posexplode(F.split("l", " ", -1)).alias("pos", "text"))
     size, order = F.length("text"), Window.partitionBy("doc_id", "line").orderBy("pos")
     before = F.coalesce(F.sum(size + 1 + 5 * ((F.col("doc_id") % 3 == 0) & (F.col("pos") % 5 == 4)).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -99,6 +109,11 @@ def two_columns(words: DataFrame) -> DataFrame:
     return words.withColumn("left", F.when(odd, F.col("left") + widest + 100).otherwise(F.col("left")).cast("int")).withColumn("top", F.when(odd, F.col("top") - 40).otherwise(F.col("top")).cast("int"))
 
 
+def with_page_width(words: DataFrame) -> DataFrame:
+    """Words with the page_width of ``page_widths``."""
+    return words.withColumn("page_width", (F.max(F.col("left") + F.col("width")).over(Window.partitionBy("doc_id", "page")) + 100).cast("int"))
+
+
 def page_widths(words: DataFrame) -> DataFrame:
     return words.groupBy("doc_id", "page").agg((F.max(F.col("left") + F.col("width")) + 100).cast("int").alias("page_width"))
 
