@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+# What counts as risky markup, as a list mark or number, as a blank and as a control character decides flags, counts and Markdown that must
+# be these, so the patterns RISKY_HTML, BLANK, BULLET and NUMBER and that of ``clean_characters`` must, too.
 #: Markup that can run or embed something when rendered.
 RISKY_HTML = r"(?i)<\s*(script|iframe|object|embed|svg|form|link|meta|base)\b|\son[a-z]+\s*=|javascript\s*:"
 #: What str.split() of Python takes for blanks, beyond the ASCII ones.
@@ -56,25 +58,25 @@ FENCED = r"(?md)^[ \t]*(```|~~~)"
 
 def fence_segments(c: Column) -> Column:
     """array<struct<code, text>>: prose and code by turns. A fence opens at a line that starts, after
-    blanks, with ``` or ~~~, and closes at the next line that starts with the same mark; an open one runs to the end."""
-    kind = "struct<open:string,lines:array<string>,done:array<struct<code:boolean,text:string>>>"
-
-    def step(s: Column, line: Column) -> Column:
-        mark = F.regexp_extract(F.trim(line), r"^(```|~~~)", 1)
-        opens = (s["open"] == "") & (mark != "")
-        closes = (s["open"] != "") & F.startswith(F.trim(line), s["open"])
-        held = F.concat(s["lines"], F.array(line))
-        segment = lambda code, lines: F.array(F.struct(F.lit(code).alias("code"), F.array_join(lines, "\n").alias("text")))
-        return (
-            F.when(opens, F.struct(mark.alias("open"), F.array(line).alias("lines"), F.concat(s["done"], segment(False, s["lines"])).alias("done")))
-            .when(closes, F.struct(F.lit("").alias("open"), F.array().cast("array<string>").alias("lines"), F.concat(s["done"], segment(True, held)).alias("done")))
-            .otherwise(F.struct(s["open"].alias("open"), held.alias("lines"), s["done"].alias("done")))
-            .cast(kind)
-        )
-
-    start = F.struct(F.lit("").alias("open"), F.array().alias("lines"), F.array().alias("done")).cast(kind)
-    last = lambda s: F.when(F.size(s["lines"]) > 0, F.concat(s["done"], F.array(F.struct((s["open"] != "").alias("code"), F.array_join(s["lines"], "\n").alias("text"))))).otherwise(s["done"])
-    return F.aggregate(F.split(c, "\n", -1), start, step, last)
+    blanks, with ``` or ~~~, and closes at the next line that starts with the same mark; an open one runs to the end.
+
+    Only the lines with a mark are walked over, which gives where segments begin and end; each is then cut out of the lines as it is."""
+    kind = "struct<open:string,since:int,done:array<struct<code:boolean,a:int,z:int>>>"
+    part = lambda code, a, z: F.array(F.struct(code.alias("code"), a.alias("a"), z.alias("z")))
+    state = lambda open_, since, done: F.struct(open_.alias("open"), since.alias("since"), done.alias("done")).cast(kind)
+
+    def step(s: Column, x: Column) -> Column:
+        opened = state(x["mark"], x["i"], F.concat(s["done"], part(F.lit(False), s["since"], x["i"])))
+        closed = state(F.lit(""), x["i"] + 1, F.concat(s["done"], part(F.lit(True), s["since"], x["i"] + 1)))
+        return F.when(s["open"] == "", opened).when(s["open"] == x["mark"], closed).otherwise(s)
+
+    def segments(lines: Column) -> Column:
+        marks = F.filter(F.transform(lines, lambda v, i: F.struct(i.alias("i"), F.regexp_extract(F.trim(v), r"^(```|~~~)", 1).alias("mark"))), lambda x: x["mark"] != "")
+        last = lambda s: F.when(s["since"] < F.size(lines), F.concat(s["done"], part(s["open"] != "", s["since"], F.size(lines)))).otherwise(s["done"])
+        bounds = F.aggregate(marks, state(F.lit(""), F.lit(0), F.array()), step, last)
+        return F.transform(bounds, lambda b: F.struct(b["code"].alias("code"), F.array_join(F.slice(lines, b["a"] + 1, b["z"] - b["a"]), "\n").alias("text")))
+
+    return let(F.split(c, "\n", -1), segments)
 
 
 def outside_fences(c: Column, change: Callable[[Column], Column]) -> Column:

@@ -67,4 +67,4 @@ def first_problem(ext: Column, known: Column, size: Column, signed: Column, real
 
 def text_problem(ext: Column, text: Column) -> Column:
     """What native expressions can tell about text: 'empty', or HTML and XML without markup; else null."""
-    return F.when(F.trim(text) == "", "empty").when(canonical_extension(ext).isin(".html") & (F.instr(F.substring(text, 1, 4096), "<") == 0), "file contains no HTML markup").when((ext == ".xml") & ~F.ltrim(text).startswith("<"), "file does not start with an XML element")
+    return F.when(F.trim(text) == "", "empty").when(canonical_extension(ext).isin(".html") & (F.instr(F.substring(text, 1, 4096), "<") == 0), "no tag within the first 4096 characters").when((ext == ".xml") & ~F.ltrim(text).startswith("<"), "text before the first tag")

@@ -95,12 +95,12 @@ def expired(events: DataFrame, now: Column, minutes: int = 30) -> DataFrame:
 
 
 def sweep_counts(events: DataFrame, folders: DataFrame, now: Column, minutes: int = 30, window_seconds: int = 3600) -> DataFrame:
-    """One row of what a sweep at ``now`` clears: expired_sessions, of clients whose session is over;
-    orphaned_workspaces, folders (session_id, modified) of no session that still lives, old enough; rate_limit_buckets, clients
+    """One row of what a sweep at ``now`` clears: ended_sessions, of clients whose session is over;
+    lost_folders, folders (session_id, modified) of no session that still lives, old enough; idle_limits, clients
     without a request within the window of the limit."""
     last = expired(events, now, minutes)
     live = last.where("not is_over").select(F.col("user_id").alias("session_id"))
     idle = micros(now) - micros(F.col("last_seen")) > window_seconds * 1_000_000
-    clients = last.agg(F.count_if("is_over").alias("expired_sessions"), F.count_if(idle).alias("rate_limit_buckets"))
-    lost = orphans(folders, live, now, minutes).agg(F.count(F.lit(1)).alias("orphaned_workspaces"))
-    return clients.withColumn("_one", F.lit(1)).join(lost.withColumn("_one", F.lit(1)), "_one").select("expired_sessions", "orphaned_workspaces", "rate_limit_buckets")
+    clients = last.agg(F.count_if("is_over").alias("ended_sessions"), F.count_if(idle).alias("idle_limits"))
+    lost = orphans(folders, live, now, minutes).agg(F.count(F.lit(1)).alias("lost_folders"))
+    return clients.withColumn("_one", F.lit(1)).join(lost.withColumn("_one", F.lit(1)), "_one").select("ended_sessions", "lost_folders", "idle_limits")

@@ -98,7 +98,7 @@ def reader_udf(custom: dict[str, readers.Reader], settings: Settings) -> Callabl
                         all_ = office.pdf_pages(bytes(data))
                         picked = [all_[p - 1] for p in wanted if p <= len(all_)] if wanted is not None else all_
                         if wanted is not None and not picked:
-                            raise OutsidePages("the requested page range is outside this document")
+                            raise OutsidePages("none of the pages asked for exist")
                         row = ("\n\n".join(filter(None, picked)), None, len(picked), None, None)
                     elif reader is None:
                         row = (None, None, None, "unsupported_format", f"no reader for {ext}")
@@ -231,7 +231,7 @@ def convert(files: DataFrame, mode: str = "auto", pages: str | None = None, sett
     for code in ("timeout", "conversion_failed", "unsupported_format", "corrupt_file"):
         fault = F.when(F.col("read.code") == code, formats.error(code, F.col("read.fault")).cast(ERROR_SCHEMA)).otherwise(fault)
     no_ocr = error(F.col("scanned") & F.lit(recognizer is None) & (F.trim(layer) == ""), "ocr_unavailable", "no recognizer is available")
-    x = x.withColumn("error", F.coalesce("error", fault, no_ocr, error(F.col("markdown") == "", "empty_result", "conversion produced no content")))
+    x = x.withColumn("error", F.coalesce("error", fault, no_ocr, error(F.col("markdown") == "", "empty_result", "nothing readable came out")))
     return _results(x, pages, recognizer is not None)
 
 

@@ -756,7 +756,7 @@ def job_file_lookup(spark, d):
 
 @query("""with n as (select max(ts) as now from events), l as (select user_id, epoch_us(any_value(now)) - epoch_us(max(ts)) as idle from events, n group by user_id),
 f as (select user_id, epoch_us(any_value(now)) - epoch_us(min(ts)) as age from events, n group by user_id)
-select (select count(*) from l where idle >= 1800000000)::bigint as expired_sessions, (select count(*) from f where age > 3600000000 and user_id not in (select user_id from l where idle < 1800000000))::bigint as orphaned_workspaces, (select count(*) from l where idle > 3600000000)::bigint as rate_limit_buckets""")
+select (select count(*) from l where idle >= 1800000000)::bigint as ended_sessions, (select count(*) from f where age > 3600000000 and user_id not in (select user_id from l where idle < 1800000000))::bigint as lost_folders, (select count(*) from l where idle > 3600000000)::bigint as idle_limits""")
 def sweep_counts(spark, d):
     e = t.table(spark, d, "events")
     now = F.lit(e.agg(F.max("ts").cast("string")).first()[0]).cast("timestamp")

@@ -141,15 +141,15 @@ def text_fault(extension: str, data: bytes, charset: str) -> str | None:
         except (ValueError, RecursionError) as e:
             return f"not valid JSON: {str(e.args[0]).split(':')[0]}" if whole else None
         if extension == ".ipynb" and not (isinstance(value, dict) and "cells" in value):
-            return "JSON file is not a Jupyter notebook"
+            return "no cells, as a notebook would have"
     elif extension == ".xml":
         if not text.lstrip().startswith("<"):
-            return "file does not start with an XML element"
+            return "text before the first tag"
         try:
             if whole:
                 trees.parse_xml(text)
         except Exception as e:
             return f"not well-formed XML: {e}"
     elif extension == ".html" and "<" not in text[:4096]:
-        return "file contains no HTML markup"
+        return "no tag within the first 4096 characters"
     return None

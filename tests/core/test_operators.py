@@ -293,7 +293,7 @@ def test_sweeps_as_streams_agree_with_batch(spark, tmp_path):
     lost = {r["session_id"] for r in sessions.orphans(folders.where(F.col("modified") < now).groupBy("session_id").agg(F.max("modified").alias("modified")), early.where("false").selectExpr("user_id as session_id"), now).collect()}
     assert {i for k, i, _ in got if k == "orphaned_workspace"} == lost - {u for u in lost if max(both[u], key=lambda t: t if t < 10**6 else -1) not in fold[u]}
     counts = sessions.sweep_counts(early, folders.where("false"), now).first()
-    assert len({i for k, i, _ in got if k == "expired_session"}) == counts["expired_sessions"] and len({i for k, i, _ in got if k == "rate_limit_bucket"}) == counts["rate_limit_buckets"]
+    assert len({i for k, i, _ in got if k == "expired_session"}) == counts["ended_sessions"] and len({i for k, i, _ in got if k == "rate_limit_bucket"}) == counts["idle_limits"]
     kept = [sum(s["numRowsTotal"] for s in p["stateOperators"]) for p in q.recentProgress if p["stateOperators"]]
     assert max(kept) > kept[-1]
 

@@ -208,7 +208,7 @@ def test_kinds_of_containers():
 
 
 def test_text_faults_and_charsets():
-    assert readers.text_fault(".json", b"{", "utf-8").startswith("not valid JSON") and readers.text_fault(".ipynb", b"{}", "utf-8") == "JSON file is not a Jupyter notebook"
+    assert readers.text_fault(".json", b"{", "utf-8").startswith("not valid JSON") and readers.text_fault(".ipynb", b"{}", "utf-8") == "no cells, as a notebook would have"
     assert readers.text_fault(".xml", b"x<a/>", "utf-8") and readers.text_fault(".xml", b"<a/>", "utf-8") is None and readers.text_fault(".html", b"plain", "utf-8")
     assert readers.text_fault(".csv", b" \n", "utf-8") == "empty" and readers.text_fault(".json", b"[" * (600 * 1024), "utf-8") is None
     assert [readers.charset_of(x) for x in (b"\xef\xbb\xbfa", "é".encode(), b"\xe9", b"\x81")] == ["utf-8-sig", "utf-8", "cp1252", "latin-1"]
