@@ -326,7 +326,8 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, id_col: s
     proportion to its size. Then, in buckets that hold several components, members of different
     components meet in blocks inside a task: first their sketches, which tells the members that have a candidate,
     then the full sets of these. Every pair is compared in the first bucket it shares, and only links that
-    connect components leave a task, so neither pass gives more rows than it reads. Nothing is left out.
+    connect components leave a task, so neither pass gives more rows than it reads. Dealing the members into blocks does: a member of a bucket
+    whose members stay apart gets a row for each block of the bucket. Nothing is left out.
     """
     hashes = Hashes(percent / 100)
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
