@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.llm.common import LOWER_BYTES, cut
@@ -19,6 +19,8 @@ HASHES, MISS = 180, 1e-6
 SKETCH_BITS = 1024
 #: Members of a bucket that are compared with each other in one go, and shingles of theirs at most; what is larger is dealt into blocks.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
+#: A bucket whose largest component leaves out more blocks of members than these isn't dealt; its members meet in rare shingles.
+CROWD = 4
 #: A set of ids of at most so many rows is broadcast; a larger one is joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -198,30 +200,72 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, size: int) -> Da
     return both.mapInArrow(compare, "a long, b long")
 
 
-def _cells(held: DataFrame, capacity: int, rows: int) -> DataFrame:
-    """Deal the members of the buckets that hold several components into cells, so that any two members
-    of different components of a bucket meet in just one. ``held``: h, node, component, w.
-
-    The members of a bucket's largest component needn't meet each other. They and the rest are dealt into
-    blocks of about ``capacity`` of w. A cell (h, kind, i, j) holds the blocks i and j of the rest (kind 0),
-    or block i of the rest and block j of the largest component (kind 1). side: 0 and 1 are to be
-    compared with each other, 2 among themselves. A bucket of one large component and few others gives as many rows as it has members."""
+def _buckets(held: DataFrame) -> DataFrame:
+    """h, main (the largest component), w_main, w_rest of the buckets that hold several components. ``held``: h, node, component, w."""
     each = held.groupBy("h", "component").agg(F.sum("w").alias("w"))
     each = each.groupBy("h").agg(F.max(F.struct("w", (-F.col("component")).alias("c"))).alias("top"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    blocks = lambda w: F.greatest(F.lit(1), F.ceil(w / capacity)).cast("int")
-    open_ = cut(each.select("h", (-F.col("top.c")).alias("main"), blocks(F.col("top.w")).alias("most"), blocks(F.col("w") - F.col("top.w")).alias("rest")), rows)
-    main = F.col("component") == F.col("main")
-    own = F.pmod(F.xxhash64("node"), F.when(main, F.col("most")).otherwise(F.col("rest")).cast("long")).cast("int")
+    return each.select("h", (-F.col("top.c")).alias("main"), F.col("top.w").alias("w_main"), (F.col("w") - F.col("top.w")).alias("w_rest"))
+
+
+def _cells(held: DataFrame, open_: DataFrame, capacity: int) -> DataFrame:
+    """Deal the members of buckets into cells, so that any two members meet in just one, but for two passive
+    ones, who needn't meet. ``held``: h, node, component, passive; ``open_``: h and the weights of a bucket's passive
+    members (w_main) and of the others (w_rest).
+
+    Both are dealt into blocks of about ``capacity``. A cell (h, kind, i, j) holds the blocks i and j of the rest (kind 0),
+    or block i of the rest and block j of the passive ones (kind 1). side: 0 and 1 are to be
+    compared with each other, 2 among themselves. Where the rest fits in a few blocks, the rows grow in proportion to the members."""
+    blocks = lambda w: F.greatest(F.lit(1), F.ceil(F.col(w) / capacity)).cast("int")
+    open_ = open_.select("h", blocks("w_main").alias("most"), blocks("w_rest").alias("rest"))
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("passive"), F.col("most")).otherwise(F.col("rest")).cast("long")).cast("int")
     cell = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     mine = F.col("own")
     of_main = F.transform(upto("rest"), lambda k: cell(1, k, mine, F.lit(1)))
     of_rest = F.transform(upto("rest"), lambda k: cell(0, F.least(mine, k), F.greatest(mine, k), F.when(mine == k, 2).when(mine < k, 0).otherwise(1)))
     of_rest = F.concat(of_rest, F.transform(upto("most"), lambda k: cell(1, mine, k, F.lit(0))))
-    dealt = held.join(open_, "h").withColumn("own", own).select("h", "node", "component", F.explode(F.when(main, of_main).otherwise(of_rest)).alias("cell"))
+    dealt = held.join(open_, "h").withColumn("own", own).select("h", "node", "component", F.explode(F.when(F.col("passive"), of_main).otherwise(of_rest)).alias("cell"))
     return dealt.select("h", "cell.*", "node", "component")
 
 
+def _with_passive(held: DataFrame, open_: DataFrame) -> DataFrame:
+    """``held`` in the buckets of ``open_``; members of a bucket's largest component are passive."""
+    return held.join(open_.select("h", "main"), "h").withColumn("passive", F.col("component") == F.col("main")).drop("main")
+
+
+def _rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """h (a shingle), node, passive: of each set the shingles in which it can meet a partner, by prefix filtering.
+
+    Shingles have one order, rare ones first. Let 100 * intersection >= percent * union hold for sets of x <= y shingles: then the intersection
+    has 2 * percent * x / (100 + percent) shingles or more, and percent * y / 100 or more. So some shingle is among the first
+    x - 2 * percent * x / (100 + percent) + 1 of the smaller set (where it is active) and the first y - percent * y / 100 + 1 of
+    the larger (where it may be passive). Shingles that no other set has come first and meet nobody, so texts that share a template, but
+    not enough of it, give few rows or none, however many they are; a set gives no more rows than a share of its own size.
+    ``sets``: node, s (sorted distinct 64-bit hashes as binary)."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            each = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in each], pa.int64()), pa.array(each, pa.list_(pa.int64()))], names=["node", "n", "s"])
+
+    each = cut(sets.select("node", "s").mapInArrow(listed, "node long, n long, s array<long>"))
+    each = each.select("node", "n", F.explode("s").alias("h"))
+    often = each.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    of_node = Window.partitionBy("node")
+    place = F.row_number().over(of_node.orderBy("df", "h")) + F.col("n") - F.count(F.lit(1)).over(of_node)
+    least = lambda times, of: F.expr(f"(n * {times} + {of} - 1) div {of}")
+    ranked = each.join(often, "h").withColumn("place", place).where(F.col("place") <= F.col("n") - least(percent, 100) + 1)
+    return ranked.select("h", "node", (F.col("place") > F.col("n") - least(2 * percent, 100 + percent) + 1).alias("passive"))
+
+
+def _met_in_rare(rare: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``held`` and ``open_`` for ``_cells``: the rare shingles where an active member meets another component."""
+    held = rare.join(labels, "node", "left").select("h", "node", F.coalesce("component", "node").alias("component"), "passive")
+    held = cut(held)
+    sums = held.groupBy("h").agg(F.count_if("passive").alias("w_main"), F.count_if(~F.col("passive")).alias("w_rest"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    return held, sums.where("w_rest > 0 and lo < hi").select("h", "w_main", "w_rest")
+
+
 def _by_cell(rows: DataFrame, run_cell: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Calls ``run_cell`` with all rows of each cell: columns h, kind, i, j and what follows."""
 
@@ -248,9 +292,21 @@ def _met_before(bands: np.ndarray, h: int) -> Callable[[np.ndarray, np.ndarray],
     return lambda i, j: (before[i] == before[j]).any(-1)
 
 
+def _reached(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """For each of n members the least that it reaches over the pairs i, j."""
+    label, before = np.arange(n), None
+    while before is None or (label != before).any():
+        before = label.copy()
+        np.minimum.at(label, i, label[j])
+        np.minimum.at(label, j, label[i])
+        label = label[label]
+    return label
+
+
 def _candidates(cells: DataFrame, hashes: Hashes) -> DataFrame:
-    """h, node: the members of a cell of which some pair passes by its sketches, is of different components and in no
-    earlier bucket; at most as many rows as the cell has. Columns of ``cells``: of ``_cells``, bands, sketch."""
+    """h, node, least: the members of a cell of which some pair passes by its sketches, is of different components and in no
+    earlier bucket, with the first member of the cell that they reach over such pairs; at most as many rows as the cell has. Columns of ``cells``: of
+    ``_cells``, bands, sketch."""
 
     def run_cell(t: pa.Table) -> Iterator[pa.RecordBatch]:
         side, node, comp = (t.column(c).to_numpy() for c in ("side", "node", "component"))
@@ -258,17 +314,18 @@ def _candidates(cells: DataFrame, hashes: Hashes) -> DataFrame:
             return
         words, h = _words(t.column("sketch")), int(t.column(0)[0].as_py())
         met = _met_before(np.array(t.column("bands").to_pylist(), np.int64), h)
-        x, y, on = np.flatnonzero(side != 1), np.flatnonzero(side != 0), np.zeros(len(node), bool)
+        x, y, on, label = np.flatnonzero(side != 1), np.flatnonzero(side != 0), np.zeros(len(node), bool), np.arange(len(node))
         for lo in range(0, len(x), step := max(1, (1 << 16) // max(1, len(y)))):
             u = x[lo : lo + step, None]
             i, j = np.nonzero(hashes.close(words[u], words[y][None]) & (comp[u] != comp[y]))
             i, j = u[i, 0], y[j]
             new = ~met(i, j)
             on[i[new]] = on[j[new]] = True
+            label = _reached(np.concatenate([i[new], np.arange(len(node))]), np.concatenate([j[new], label]), len(node))
         if on.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(on.sum(), h)), pa.array(node[on])], names=["h", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(on.sum(), h)), pa.array(node[on]), pa.array(node[label[on]])], names=["h", "node", "least"])
 
-    return _by_cell(cells, run_cell, "h long, node long")
+    return _by_cell(cells, run_cell, "h long, node long, least long")
 
 
 def _linked(cells: DataFrame, percent: int) -> DataFrame:
@@ -326,8 +383,12 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, id_col: s
     proportion to its size. Then, in buckets that hold several components, members of different
     components meet in blocks inside a task: first their sketches, which tells the members that have a candidate,
     then the full sets of these. Every pair is compared in the first bucket it shares, and only links that
-    connect components leave a task, so neither pass gives more rows than it reads. Dealing the members into blocks does: a member of a bucket
-    whose members stay apart gets a row for each block of the bucket. Nothing is left out.
+    connect components leave a task.
+
+    A bucket of which more than CROWD blocks of members stay outside its largest component isn't dealt, as rows would grow by its square. Any two
+    members of such buckets that reach the threshold share a rare shingle (``_rare_shingles``), so they meet there instead, by sketches, and those that
+    candidates connect by full sets. The rows dealt elsewhere are at most some 2 * CROWD times the members. What is still compared by the square, in blocks, are active members of one rare
+    shingle, and candidates connected with each other that no link joins. Nothing is left out.
     """
     hashes = Hashes(percent / 100)
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -355,12 +416,25 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, id_col: s
     labels = link_components(cut(links, n))
     held = shared.select("h", "node").join(labels, "node", "left").select("h", "node", F.coalesce("component", "node").alias("component"))
     traits = nodes.select("node", "bands", "sketch")
-    near = cut(_candidates(_cells(held.withColumn("w", F.lit(1)), BLOCK, n).join(traits, "node"), hashes).distinct(), n)
+    held = held.withColumn("w", F.lit(1))
+    open_ = cut(_buckets(held), n)
+    loose = F.col("w_rest") > CROWD * BLOCK
+    near = _candidates(_cells(_with_passive(held, open_.where(~loose)), open_.where(~loose), BLOCK).join(traits, "node"), hashes).select("h", "node")
+    crowd = cut(held.join(open_.where(loose).select("h"), "h", "left_semi").select(F.col("node").alias("doc_id")).distinct(), n)
+    if not crowd.isEmpty():
+        sets_of_crowd = _sets_of(crowd, known, size).withColumnRenamed("doc_id", "node")
+        met, rare = _met_in_rare(_rare_shingles(sets_of_crowd.dropDuplicates(["node"]) if some_twice else sets_of_crowd, percent), labels)
+        # a node is in many shingles, so its set goes on just once: with the nodes it reaches over candidate pairs
+        sketches = nodes.select("node", F.array(F.lit(0).cast("long")).alias("bands"), "sketch")
+        pairs = _candidates(_cells(met, rare, BLOCK).join(sketches, "node"), hashes).select(F.col("node").alias("b"), F.col("least").alias("a"))
+        near = near.union(link_components(pairs).select(F.col("component").alias("h"), "node"))
+    near = cut(near.distinct(), n)
     full = _sets_of(near.select(F.col("node").alias("doc_id")), known, size).withColumnRenamed("doc_id", "node")
     if some_twice:
         full = full.dropDuplicates(["node"])
     held = near.join(labels, "node", "left").join(nodes.select("node", F.col("n").alias("w")), "node").select("h", "node", F.coalesce("component", "node").alias("component"), "w")
-    found = cut(_linked(_cells(held, BLOCK_SHINGLES, n).join(nodes.select("node", "bands"), "node").join(full, "node"), percent), n)
+    open_ = cut(_buckets(held), n)
+    found = cut(_linked(_cells(_with_passive(held, open_), open_, BLOCK_SHINGLES).join(nodes.select("node", "bands"), "node").join(full, "node"), percent), n)
     of = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"{side}_c"))
     between = found.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b"))
     above = link_components(between).select(F.col("node").alias("component"), F.col("component").alias("top"))

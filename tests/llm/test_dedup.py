@@ -318,3 +318,61 @@ def test_passages_within_sentences(spark):
         assert re.split(r"[ .,\n]+", lower(text[s["start"] : s["end"]]).strip()) == re.split(r"[ .,\n]+", lower(shared))
         assert (s["words"], s["keep_doc_id"], got[k]["n_removed"]) == (50, 0, 2) and got[k]["text"] == text[: s["start"]] + text[s["end"] :]
     assert got[9]["removed"][0]["words"] == 50
+
+
+@pytest.mark.parametrize("fresh", [True, False])
+def test_rows_dealt_grow_with_the_members_of_a_crowded_bucket(spark, monkeypatch, fresh):
+    """Texts of one template, each with edits of its own (``fresh``) or of a small vocabulary, that stay below the threshold, and
+    a few with a near copy: components are those of all pairs, and four times the members give about four times the rows."""
+    import folioforge.llm.near_dup as module
+
+    monkeypatch.setattr(module, "BLOCK", 8)
+    monkeypatch.setattr(module, "CROWD", 2)
+    real, dealt = module._cells, {}
+    for n in (150, 600):
+        rng, data, counts = random.Random(n), [], []
+        for d in range(n):
+            w = [f"w{i}" for i in range(120)]
+            for i in range(rng.randrange(12), 120, 14):
+                w[i] = f"x{d}y{i}" if fresh else f"x{rng.randrange(200)}"
+            data.append((d, " ".join(w)))
+            if d % 50 == 7:
+                data.append((100000 + d, " ".join([*w[:-1], "last"])))
+
+        def counted(held, open_, capacity):
+            out = real(held, open_, capacity).cache()
+            counts.append(out.count())  # noqa: B023
+            return out
+
+        monkeypatch.setattr(module, "_cells", counted)
+        got = rows(near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), 3, 75))
+        want = components_by_all_pairs(data, 3, 75)
+        assert {r["doc_id"]: r["component_id"] for r in got} == want and len(set(want.values())) == n
+        assert len(counts) == 3, "the bucket wasn't crowded"
+        dealt[n] = sum(counts)
+    assert dealt[600] <= 6 * dealt[150] + 600, dealt
+
+
+def test_rare_shingles_meet_every_pair_at_the_threshold(spark):
+    """Sets of all sizes over few shingles: each pair that reaches the threshold has a shingle in common where one is active."""
+    from folioforge.llm.near_dup import _rare_shingles
+
+    rng = np.random.default_rng(9)
+    sets = {}
+    for i in range(160):
+        s = rng.choice(60, int(rng.integers(1, 30)), replace=False) if i % 3 or i < 3 else np.append(sets[i - 1][:-1], 100 + i)
+        sets[i] = np.sort(np.unique(s))
+    data = spark.createDataFrame([(i, bytearray(s.astype(np.uint64).tobytes())) for i, s in sets.items()], "node long, s binary")
+    for percent in (50, 80, 85, 100):
+        at = {}
+        for r in rows(_rare_shingles(data, percent)):
+            at.setdefault(r["node"], {})[r["h"]] = r["passive"]
+        pairs = 0
+        for a in sets:
+            for b in sets:
+                both = len(np.intersect1d(sets[a], sets[b]))
+                if a < b and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                    pairs += 1
+                    x, y = at.get(a, {}), at.get(b, {})
+                    assert any(not (x[h] and y[h]) for h in set(x) & set(y)), (a, b, percent)
+        assert pairs or percent == 100
