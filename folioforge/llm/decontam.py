@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
@@ -109,11 +108,13 @@ def _opened(key: str, texts: list[bytes], window: int) -> BenchmarkItems:
 
 def original_spans(text: str, runs: list[tuple[int, int]]) -> list[dict]:
     """Code-point offsets in the text as it came of runs of words."""
-    flat, _ = words_of(text)
-    raw = text.encode("utf-8", "surrogatepass")
-    at = [m.span() for m in re.finditer(rb"[^ ]+", flat)]
-    chars = lambda b: len(raw[:b].decode("utf-8", "surrogatepass"))
-    return [{"start": chars(at[lo][0]), "end": chars(at[hi - 1][1])} for lo, hi in runs]
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    in_word = np.frombuffer(words_of(text)[0], np.uint8) != 32
+    edges = np.flatnonzero(np.diff(in_word.astype(np.int8), prepend=0, append=0))
+    # code points before each byte: all bytes but those that continue one
+    before = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+    chars = before[edges].reshape(-1, 2).tolist()
+    return [{"start": chars[lo][0], "end": chars[hi - 1][1]} for lo, hi in runs]
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:

@@ -11,11 +11,16 @@ _EDGE, _END = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 #: Titles that tell a gender.
 MALE = ("Mr", "Sir", "Herr", "Señor", "Don", "Monsieur", "Signor", "Господин", "Г-н", "Κύριος")
 FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Señora", "Doña", "Madame", "Signora", "Госпожа", "Г-жа", "Κυρία")
-#: A title, and a word of a name in a script that surrogates are drawn in.
-TITLE = "(?:" + "|".join((*MALE, *FEMALE)) + r")\.? "
+#: Titles that tell none.
+NEUTRAL = ("Dr", "Prof", "Professor", "Doktor", "Доктор", "Профессор", "Δρ")
+#: Titles, one to three, and a word of a name in a script that surrogates are drawn in: whole, with inner capitals, and on over hyphens, and over apostrophes that a capital follows.
+TITLE = "(?:(?:" + "|".join((*MALE, *FEMALE, *NEUTRAL)) + r")\.? ){1,3}"
 #: Ruled out at most places by one look at a character, before anything else is tried.
-_TITLED = "(?=[" + "".join(sorted({t[0] for t in (*MALE, *FEMALE)})) + r"])(?<!\p{L})" + TITLE
-_WORD = r"[[\p{IsLatin}\p{IsCyrillic}\p{IsGreek}]&&\p{Lu}]\p{Ll}+"
+_TITLED = "(?=[" + "".join(sorted({t[0] for t in (*MALE, *FEMALE, *NEUTRAL)})) + r"])(?<!\p{L})" + TITLE
+_WORD = r"(?:\p{L}['’])?[[\p{IsLatin}\p{IsCyrillic}\p{IsGreek}]&&\p{Lu}]\p{L}++(?:-\p{L}++|['’]\p{Lu}\p{L}*+)*+"
+#: Small words within family names.
+PARTICLES = ("von", "van", "de", "der", "den", "del", "della", "di", "da", "dos", "la", "le")
+_NEXT = "(?: (?:(?:" + "|".join(PARTICLES) + ") ){0,2}" + _WORD + "){0,2}"
 #: Letters and digits of addresses: ASCII, and by ranges the alphabets up to the Greek extensions, which is faster than a property of characters.
 _LETTER = r"A-Za-z0-9\u00C0-\u024F\u0370-\u1FFF"
 #: Kinds in the order of precedence where two match at one place. Runs are possessive and start at their
@@ -27,7 +32,7 @@ KINDS = {
     "ip": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9A-Za-z])",
     "card": _EDGE + r"[0-9](?:[ -]?[0-9]){12,18}" + _END,
     "iban": _EDGE + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?" + _END,
-    "name": _TITLED + _WORD + "(?: " + _WORD + ")?",
+    "name": _TITLED + _WORD + _NEXT,
 }
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 #: The kinds that are led by a digit, a bracket, a plus or a capital; elsewhere one look at a character rules them out.
@@ -38,6 +43,9 @@ REDRAWS = 4
 ROUNDS = 64
 #: Given names by gender, and syllables of family names, by script.
 GIVEN = {
+    ("latin", "n"): ("Alex", "Andy", "Charlie", "Chris", "Dana", "Eli", "Jamie", "Kim", "Lou", "Mika", "Noa", "Quinn", "Robin", "Sam", "Sascha", "Toni"),
+    ("cyrillic", "n"): ("Валя", "Женя", "Саша", "Слава"),
+    ("greek", "n"): ("Άλεξ", "Κρις"),
     ("latin", "m"): ("Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karim", "Leon", "Marco", "Nils", "Oscar", "Paul"),
     ("latin", "f"): ("Anna", "Bella", "Clara", "Diana", "Elena", "Frida", "Greta", "Hanna", "Irma", "Julia", "Katia", "Lena", "Maria", "Nora", "Olga", "Paula"),
     ("cyrillic", "m"): ("Антон", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Иван", "Кирилл", "Лев", "Максим", "Никита", "Олег", "Павел", "Роман", "Семён", "Тимур"),
@@ -70,7 +78,11 @@ def bare(value: Column) -> Column:
 
 
 def gender(value: Column) -> Column:
-    return F.when(F.regexp_extract(value, r"^([^ .]+)", 1).isin(*FEMALE), "f").otherwise("m")
+    """m or f by the title; where it tells none by the given name, if it is one of ``GIVEN``; else n, as without a title."""
+    titles, first = F.regexp_extract(value, f"^({TITLE})", 1), F.substring_index(bare(value), " ", 1)
+    has = lambda of: titles.rlike(r"(?:^| )(?:" + "|".join(of) + r")\.? ")
+    named = lambda g: (titles != "") & bare(value).contains(" ") & first.isin(*(n.lower() for (_, of), names in GIVEN.items() if of == g for n in names))
+    return F.when(has(FEMALE), "f").when(has(MALE), "m").when(named("f"), "f").when(named("m"), "m").otherwise("n")
 
 
 def canonical(kind: Column, value: Column) -> Column:
@@ -161,7 +173,7 @@ def surrogate_of(key: str, kind: Column, canon: Column, attempt: Column) -> Colu
 
 def written_as(kind: Column, value: Column, surrogate: Column, part: Column) -> Column:
     """The surrogate in the format of one mention: separators, country code, title and case stay; of a name
-    that the mention has in ``part``, the family name."""
+    of which the mention has a ``part``, the given name (1) or the family name (2)."""
     keep = F.greatest(F.length(_digits(value)) - F.length(surrogate), F.lit(0))
 
     def put(of: str) -> Column:
@@ -179,7 +191,7 @@ def written_as(kind: Column, value: Column, surrogate: Column, part: Column) ->
         lambda s: s["out"],
     )
     title = F.regexp_extract(value, f"^({TITLE})", 1)
-    name = F.concat(title, F.when(part, F.substring_index(surrogate, " ", -1)).otherwise(surrogate))
+    name = F.concat(title, F.when(part == 1, F.substring_index(surrogate, " ", 1)).when(part == 2, F.substring_index(surrogate, " ", -1)).otherwise(surrogate))
     email = F.when(value == F.upper(value), F.upper(surrogate)).otherwise(surrogate)
     return F.when(kind.isin("phone", "ssn", "card"), put("[0-9]")).when(kind == "iban", spaced).when(kind == "name", name).when(kind == "email", email).otherwise(surrogate)
 
@@ -215,27 +227,37 @@ def _found_in(text: Column) -> Column:
 
 
 def _pattern() -> Column:
-    """``ANY``, and the full names that the text has after a title, wherever they stand without one."""
-    full = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(KINDS["name"]), F.lit(0)), lambda x: F.regexp_replace(x, "^" + TITLE, "")))
-    full = F.filter(full, lambda x: x.contains(" "))
-    more = F.concat(F.lit(ANY + r"|(?=\p{Lu})(?<!\p{L})(?:"), F.array_join(full, "|"), F.lit(r")(?!\p{L})"))
-    return F.when(F.col("text").rlike(KINDS["name"]), F.when(F.size(full) > 0, more).otherwise(F.lit(ANY))).otherwise(F.lit(ANY))
+    """``ANY``, and the full names that the text has after a title, whole or in part, wherever they stand without one; longer ones first."""
+    names = F.transform(F.regexp_extract_all("text", F.lit(KINDS["name"]), F.lit(0)), lambda x: F.regexp_replace(x, "^" + TITLE, ""))
+    names = F.filter(names, lambda x: x.contains(" "))
+    parts = F.filter(F.flatten(F.transform(names, lambda x: F.split(x, " "))), lambda x: ~x.isin(*PARTICLES))
+    forms = F.array_sort(F.array_distinct(F.concat(names, parts)), lambda x, y: F.length(y) - F.length(x))
+    more = F.concat(F.lit(ANY + r"|(?=\p{L})(?<!\p{L}|\p{L}-)(?:"), F.array_join(forms, "|"), F.lit(r")(?!\p{L}|-\p{L}|['’]\p{Lu})"))
+    return F.when(F.col("text").rlike(KINDS["name"]), F.when(F.size(forms) > 0, more).otherwise(F.lit(ANY))).otherwise(F.lit(ANY))
 
 
 def _resolved(names: DataFrame) -> DataFrame:
-    """Mentions of names (doc_id, _th, value, canon, ...) with the canon of the full name that the same text has
-    after a title: where the full name stands without one, and where only the family name does after a title of the
-    gender, if just one full name has it (part: true)."""
+    """Mentions of names (doc_id, _th, value, canon, ...) with the canon of the name that the same text has
+    after a title: where it stands without one, and where only one of its words does, if just one full name has that word (after a
+    title that tells a gender, one of this gender). part: 1 for a given name, 2 for the family name, else 0."""
     row = ["doc_id", "_th"]
     titled, words = F.col("value").rlike("^" + TITLE), bare(F.col("value"))
-    full = names.where(titled & words.contains(" ")).select(*row, "canon", words.alias("full"), gender(F.col("value")).alias("gender"))
-    links = full.groupBy(*row, F.concat(F.lit("="), F.col("full")).alias("link")).agg(F.min("canon").alias("of"))
-    family = F.concat_ws(":", "gender", F.substring_index("full", " ", -1)).alias("link")
-    links = links.unionByName(full.groupBy(*row, family).agg(F.min("canon").alias("of"), F.max("canon").alias("other")).where("of = other").drop("other"))
-    links = links.select(F.col("doc_id").alias("_of_id"), F.col("_th").alias("_of_th"), F.col("link").alias("_of_link"), "of")
-    link = F.when(~titled, F.concat(F.lit("="), words)).when(~words.contains(" "), F.col("canon"))
+    mine = names.where(titled).select(*row, "canon", words.alias("words"), F.substring_index("canon", ":", 1).alias("gender"))
+    full = mine.where(F.col("words").contains(" "))
+    links = full.select(*row, F.concat(F.lit("="), "words").alias("link"), "canon", F.lit(0).alias("part"))
+    pieces = full.withColumn("p", F.split("words", " ")).select(*row, "canon", "gender", F.size("p").alias("n"), F.posexplode("p").alias("pos", "word")).where(~F.col("word").isin(*PARTICLES))
+    pieces = pieces.withColumn("part", F.when(F.col("pos") == F.col("n") - 1, 2).otherwise(1))
+    for told in ("gender", F.lit("")):
+        link = F.concat_ws(":", told, "word").alias("link")
+        one = pieces.groupBy(*row, link).agg(F.min("canon").alias("canon"), F.max("canon").alias("other"), F.max("part").alias("part"))
+        links = links.unionByName(one.where("canon = other").drop("other"))
+    links = links.withColumn("order", F.lit(0)).unionByName(mine.where(~F.col("words").contains(" ")).select(*row, F.concat(F.lit(":"), "words").alias("link"), "canon", F.lit(0).alias("part"), F.lit(1).alias("order")))
+    links = links.groupBy(*row, "link").agg(F.min(F.struct("order", "canon", "part")).alias("m"))
+    links = links.select(F.col("doc_id").alias("_of_id"), F.col("_th").alias("_of_th"), F.col("link").alias("_of_link"), F.col("m.canon").alias("of"), F.col("m.part").alias("part"))
+    told = F.regexp_replace(F.substring_index("canon", ":", 1), "n", "")
+    link = F.when(~words.contains(" "), F.concat_ws(":", told, words)).when(~titled, F.concat(F.lit("="), words))
     same = F.col("doc_id").eqNullSafe(F.col("_of_id")) & (F.col("_th") == F.col("_of_th")) & (link == F.col("_of_link"))
-    out = names.join(links, same, "left").withColumn("part", titled & F.col("of").isNotNull())
+    out = names.join(links, same, "left").withColumn("part", F.coalesce("part", F.lit(0)))
     return out.withColumn("canon", F.coalesce("of", "canon")).drop("_of_id", "_of_th", "_of_link", "of")
 
 
@@ -243,7 +265,8 @@ def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     """Replace e-mail addresses, phone numbers, social security numbers, IPv4 addresses, card numbers (13 to 19
     digits with a right check digit), IBANs and names after a title by surrogates that a secret ``key`` draws.
     Mentions of one entity get one surrogate everywhere, in the format of each mention. A full name that stands after a
-    title is also replaced where the same text has it without one, and a family name alone after a title belongs to it.
+    title is also replaced where the same text has it without one, whole or one of its words, as written there; if a word is in several full names of the text, it is an
+    entity of its own. Names are up to three words, with particles, hyphens, apostrophes and inner capitals; a title that tells no gender leaves it to the given name.
     Names are those in Latin, Cyrillic and Greek letters; other scripts are left alone.
 
     Returns one row for each row of ``docs``: doc_id, text (with surrogates), n_entities, entities (array
@@ -261,7 +284,7 @@ def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     hits = hits.select("doc_id", "_th", "pos", "m.value", "m.gap").distinct().withColumn("kind", kind_of(F.col("value"))).withColumn("canon", canonical(F.col("kind"), F.col("value")))
     digits = _digits(F.col("value"))
     luhn = _luhn(F.substring(digits, F.lit(1), F.length(digits) - 1)) == F.right(digits, F.lit(1))
-    hits = cut(hits.withColumn("real", (F.col("kind") != "card") | luhn).withColumn("part", F.lit(False)))
+    hits = cut(hits.withColumn("real", (F.col("kind") != "card") | luhn).withColumn("part", F.lit(0)))
     hits = hits.where("kind <> 'name'").unionByName(_resolved(hits.where("kind = 'name'").drop("part")))
     surrogates = assign_surrogates(hits.where("real").select("kind", "canon"), key)
     end = F.sum(F.col("gap") + F.length("value")).over(Window.partitionBy("doc_id", "_th").orderBy("pos")).cast("int")

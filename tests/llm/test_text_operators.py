@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -561,3 +562,45 @@ def test_pipeline_stages_with_odd_rows(spark, tmp_path, clashing):
             assert out.columns == odd.columns and {tuple(r) for r in got} <= before, name
         empty = stage(spark, odd.limit(0), str(tmp_path))
         assert empty.collect() == [] and set(odd.columns) <= set(empty.columns)
+
+
+def test_pii_names_are_replaced_whole_and_in_every_part(spark):
+    """Hyphens, apostrophes, inner capitals, particles, titles without a gender, and later parts of a name."""
+    data = [
+        (1, "Mrs. Anna-Maria Weiss-Müller came."),
+        (2, "Ms McDonald left, and Ms McDonald's car."),
+        (3, "Mr O'Brien and Mr. D’Angelo met."),
+        (4, "Dr. Anna Schmidt spoke. Prof. Dr. Schmidt left."),
+        (5, "Mr. John Smith wrote. John said hi. Smith left. Smithson and Johnny stay, so does John-Paul."),
+        (6, "Herr Ludwig van Beethoven, Frau Eva Smith, Herr Carl Smith. Smith? Beethoven! Eva."),
+        (7, "Mr Juan Carlos Pérez: Carlos, Pérez."),
+    ]
+    got = {r["doc_id"]: r for r in rows(replace_pii(spark.createDataFrame(data, "doc_id long, text string"), "k"))}
+    text = {i: r["text"] for i, r in got.items()}
+    for i, gone in {1: "Anna Maria Weiss Müller", 2: "McDonald Donald", 3: "Brien Angelo", 4: "Anna Schmidt", 6: "Ludwig Beethoven Eva Smith Carl", 7: "Juan Carlos Pérez"}.items():
+        words = re.findall(r"\w+", text[i])
+        assert not set(words) & set(gone.split()), text[i]
+    assert re.fullmatch(r"Mrs\. \w+ \w+ came\.", text[1])
+    two = re.fullmatch(r"Ms (\w+) left, and Ms (\w+)'s car\.", text[2])
+    assert two and two[1] == two[2]
+    assert re.fullmatch(r"Mr \w+ and Mr\. \w+ met\.", text[3])
+    four = re.fullmatch(r"Dr\. (\w+) (\w+) spoke\. Prof\. Dr\. (\w+) left\.", text[4])
+    assert four and four[2] == four[3]
+    from folioforge.llm.pii import GIVEN
+
+    assert four[1] in GIVEN["latin", "f"]
+    five = re.fullmatch(r"Mr\. (\w+) (\w+) wrote\. (\w+) said hi\. (\w+) left\. Smithson and Johnny stay, so does John-Paul\.", text[5])
+    assert five and five[1] == five[3] != "John" and five[2] == five[4] != "Smith" and five[1] in GIVEN["latin", "m"]
+    for (i, t) in data:
+        last, out = 0, ""
+        for e in got[i]["entities"]:
+            out += t[last : e["start"]] + e["surrogate"]
+            last = e["end"]
+        assert out + t[last:] == text[i]
+
+
+def test_original_spans_take_time_in_proportion_to_the_runs():
+    text = "Ünï x " * 100_000
+    start = time.perf_counter()
+    spans = original_spans(text, [(2 * k, 2 * k + 1) for k in range(100_000)])
+    assert time.perf_counter() - start < 2 and spans[0] == {"start": 0, "end": 3} and spans[-1] == {"start": 6 * 99_999, "end": 6 * 99_999 + 3}
