@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -198,9 +198,10 @@ def recognized(files: DataFrame, recognizer: Recognizer, max_pages: int) -> Data
     return d.select(F.col("doc_id").alias("key"), F.struct("markdown", "confidence", "pages", "warnings").alias("ocr"))
 
 
-def convert(files: DataFrame, mode: str = "auto", pages: str | None = None, settings: Settings = Settings(), recognizer: Recognizer | None = None, custom: dict[str, readers.Reader] | None = None) -> DataFrame:
+def convert(files: DataFrame, mode: str = "auto", pages: str | None = None, settings: Settings = Settings(), recognizer: Recognizer | None = None, custom: dict[str, readers.Reader] | None = None, observation: Observation | None = None) -> DataFrame:
     """Convert every file; archives give a row for each member. ``mode``: auto, force or off, for
-    recognition; ``pages``: of PDFs; ``custom``: readers by extension, before those of the package.
+    recognition; ``pages``: of PDFs; ``custom``: readers by extension, before those of the package. ``observation`` has, once the results
+    were computed, how many files have come to each stage: detecting (all), converting, ocr, finalizing (those done), and how many failed.
 
     The only shuffles are those of archives, of recognised words, and of the names of an archive's members by job. Whether there are archives is
     asked, and they are listed, when this is called; on a stream, call it for each batch (``foreachBatch``)."""
@@ -232,6 +233,9 @@ def convert(files: DataFrame, mode: str = "auto", pages: str | None = None, sett
         fault = F.when(F.col("read.code") == code, formats.error(code, F.col("read.fault")).cast(ERROR_SCHEMA)).otherwise(fault)
     no_ocr = error(F.col("scanned") & F.lit(recognizer is None) & (F.trim(layer) == ""), "ocr_unavailable", "no recognizer is available")
     x = x.withColumn("error", F.coalesce("error", fault, no_ocr, error(F.col("markdown") == "", "empty_result", "nothing readable came out")))
+    if observation is not None:
+        n = lambda when, name: F.count_if(F.coalesce(when, F.lit(False))).alias(name)
+        x = x.observe(observation, F.count(F.lit(1)).alias("detecting"), n(F.col("read").isNotNull(), "converting"), n(F.col("ocr").isNotNull(), "ocr"), n(F.col("error").isNull(), "finalizing"), n(F.col("error").isNotNull(), "failed"))
     return _results(x, pages, recognizer is not None)
 
 

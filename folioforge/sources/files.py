@@ -31,11 +31,6 @@ def write_results(results: DataFrame, path: str) -> None:
     results.write.partitionBy("status").mode("overwrite").parquet(path)
 
 
-def write_markdown(results: DataFrame, path: str) -> None:
-    """The Markdown of completed files as text, one record a file."""
-    results.where("status = 'completed'").select(F.col("markdown").alias("value")).write.mode("overwrite").option("lineSep", "\u0000").text(path)
-
-
 def job_archives(results: DataFrame, edits: DataFrame | None = None) -> DataFrame:
     """job_id, archive: a ZIP of a job's completed files under unique names, edits in the place of results.
     An archive is one value, so a job is built in one group: results are to be within the caps on files and bytes of a job

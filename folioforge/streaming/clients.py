@@ -109,7 +109,7 @@ def status_stream(events: DataFrame) -> DataFrame:
     return events.groupBy("file_id").agg(F.max_by("status", F.struct("ts", "event_id")).alias("status"))
 
 
-def uploads_stream(spark, folder: str, pattern: str = "*") -> DataFrame:  # noqa: ANN001
+def uploads_stream(spark, folder: str, pattern: str = "*", files_per_batch: int = 10_000) -> DataFrame:  # noqa: ANN001
     """Files that arrive in a folder, as rows for ``convert``: a folder is a job, as for files that are read at once, and a file's place in it is the hash of its path."""
-    x = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern).load(folder)
+    x = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).load(folder)
     return x.select(F.xxhash64("path").alias("file_id"), F.xxhash64(F.regexp_extract("path", r"^(.*)/", 1)).alias("job_id"), F.xxhash64("path").alias("ord"), F.regexp_extract("path", r"[^/]*$", 0).alias("filename"), "content")
