@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from folioforge.checkpoints import shared_folder
 from folioforge.functions import names, pages, text
 from folioforge.operators import archives, formats, imaging, jobs, layout, sessions
 from folioforge.plans import tables as t
@@ -17,6 +19,7 @@ from folioforge.plans.convert import convert, sniff
 from folioforge.registry import FORMATS, HINTS, categories
 from folioforge.settings import Settings
 from folioforge.sources.office import html_links
+from folioforge.sources.stored import retry_failed, store_results
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -802,6 +805,37 @@ def notebook_markdown(spark, d):
     return convert(_as_files(x.select("doc_id", book.alias("b")), "doc_id", F.col("b"), ".ipynb")).select(F.col("file_id").alias("doc_id"), "markdown", "metadata.title")
 
 
+def _late_files(spark, d):
+    """Documents as files of five jobs: their length as JSON, and each seventh as a workbook of the old kind, which needs a reader of the caller's."""
+    x, old = t.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), F.col("doc_id") % 7 == 0
+    content = F.when(old, F.concat(F.unhex(F.lit("d0cf11e0a1b11ae1")), F.col("text").cast("binary"))).otherwise(F.concat(F.lit('{"n": '), F.length("text").cast("string"), F.lit("}")).cast("binary"))
+    return x.select(F.col("doc_id").cast("long").alias("file_id"), (F.col("doc_id") % 5).cast("long").alias("job_id"), F.col("doc_id").cast("long").alias("ord"), F.when(old, "old.xls").otherwise("new.json").alias("filename"), content.alias("content"))
+
+
+@query("""select doc_id, case when doc_id % 7 <> 0 then 'completed' when strlen(coalesce(text, '')) % 3 = 0 then 'failed' else 'completed' end as status, case when doc_id % 7 = 0 and strlen(coalesce(text, '')) % 3 = 0 then 'corrupt_file' end as code,
+  case when doc_id % 7 <> 0 then '- **n**: ' || length(coalesce(text, '')) || chr(10) when strlen(coalesce(text, '')) % 3 <> 0 then '# Read ' || strlen(coalesce(text, '')) || chr(10) end as markdown from documents""")
+def results_retried(spark, d):
+    """Results stored without a reader for workbooks; those that failed are done again with one, which doesn't read all of them."""
+
+    def reader(data, charset):
+        if (len(data) - 8) % 3 == 0:
+            raise ValueError("not such a workbook")
+        return f"# Read {len(data) - 8}", None
+
+    files, path = _late_files(spark, d), f"{shared_folder(spark)}/results-{uuid.uuid4().hex}"
+    store_results(convert(files), path)
+    retry_failed(files, path, custom={".xls": reader})
+    return spark.read.parquet(path).select(F.col("file_id").alias("doc_id"), "status", "error.code", "markdown")
+
+
+@query("select count(*) as detecting, count(*) filter (where doc_id % 7 <> 0) as converting, 0::bigint as ocr, count(*) filter (where doc_id % 7 <> 0) as finalizing, count(*) filter (where doc_id % 7 = 0) as failed from documents")
+def stage_progress(spark, d):
+    """How many files came to each stage, told by the job itself."""
+    seen = Observation()
+    convert(_late_files(spark, d), observation=seen).write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([seen.get], "detecting long, converting long, ocr long, finalizing long, failed long")
+
+
 @query("select page_id, trim(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) as title, true as converted from pages")
 def page_html_title(spark, d):
     files = _as_files(t.table(spark, d, "pages"), "page_id", F.col("html"), ".html")
