@@ -7,6 +7,7 @@ their page, and get their labels, places and paragraphs by windows over it."""
 from __future__ import annotations
 
 from collections.abc import Iterable
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,7 +18,8 @@ LINE = ["doc_id", "page", "block", "paragraph", "line"]
 PAGE = ["doc_id", "page"]
 #: A gap of so many character widths parts two cells.
 CELL_GAP = 2.6
-GUTTER_SHARE, GUTTER_LINES = 0.035, 6
+#: The share is a decimal, so that a stretch of just that share of a page counts as one, as it should: 1400 * 0.035 is over 49 in doubles.
+GUTTER_SHARE, GUTTER_LINES = Decimal("0.035"), 6
 #: Columns that a table may have.
 TABLE_COLUMNS = 10
 
@@ -160,7 +162,7 @@ def with_gutters(line: DataFrame) -> DataFrame:
     x = x.withColumn("_gap", stretch(F.greatest(F.coalesce(reach, F.lit(0)), lo), F.least(F.col("_l"), hi)))
     best = F.greatest(F.max("_gap").over(on_page), stretch(F.greatest(F.max("_r").over(on_page), lo), hi))
     x = x.withColumns({"_n": F.count(F.lit(1)).over(on_page), "_best": best})
-    there = (w > 0) & (F.col("_n") >= GUTTER_LINES) & (F.col("_best.size") >= w * GUTTER_SHARE)
+    there = (w > 0) & (F.col("_n") >= GUTTER_LINES) & (F.col("_best.size") >= w * F.lit(GUTTER_SHARE))
     start = F.when(there, -F.col("_best.before"))
     return x.withColumns({"gutter_start": start, "gutter_end": start + F.col("_best.size")}).drop("_l", "_r", "_gap", "_n", "_best")
 
