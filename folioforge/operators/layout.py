@@ -67,11 +67,18 @@ def margins(line: DataFrame, widths: DataFrame) -> DataFrame:
     return ends.join(widths, PAGE).select(*PAGE, "block", (at - allowance).alias("threshold"))
 
 
-def cells(words: DataFrame, widths: DataFrame) -> DataFrame:
-    """A row for each cell of a line: words part where the gap before one is wider than CELL_GAP characters."""
+def with_char_width(words: DataFrame) -> DataFrame:
+    """Words with the char_width of ``char_widths``. Those that are dealt by doc_id stay where they are, and are made once."""
+    long = F.when(F.length("text") > 1, F.col("width") / F.length("text"))
+    return words.withColumn("char_width", F.coalesce(F.median(long).over(Window.partitionBy(*PAGE)), F.lit(8.0)))
+
+
+def cells(words: DataFrame, widths: DataFrame | None = None) -> DataFrame:
+    """A row for each cell of a line: words (with char_width, or of ``widths``) part where the gap before one is wider than CELL_GAP characters."""
     order = Window.partitionBy(*LINE).orderBy("left", "pos")
     gap = F.col("left") - F.lag(F.col("left") + F.col("width")).over(order)
-    x = words.join(widths, PAGE).withColumn("opens", (gap > F.col("char_width") * CELL_GAP).cast("int"))
+    x = words if widths is None else words.join(widths, PAGE)
+    x = x.withColumn("opens", (gap > F.col("char_width") * CELL_GAP).cast("int"))
     x = x.withColumn("cell", F.coalesce(F.sum("opens").over(order), F.lit(0)))
     out = x.groupBy(*LINE, "cell").agg(F.min("left").alias("x"), F.array_sort(F.collect_list(F.struct("left", "pos", "text"))).alias("w"))
     return out.select(*LINE, "cell", "x", F.array_join(F.transform("w", lambda v: v["text"]), " ").alias("text"))
@@ -102,10 +109,10 @@ def table_runs(counts: Column) -> Column:
 def column_anchors(xs: Column) -> Column:
     """Distinct positions reduced to columns: a new one starts over a tolerance beyond the last that
     started, which is 6 % of the spread, 12 at least."""
-    sorted_ = F.array_sort(F.array_distinct(xs))
-    tolerance = F.greatest((F.array_max(sorted_) - F.array_min(sorted_)) * 0.06, F.lit(12.0))
-    far = lambda s, x: (F.size(s) == 0) | (x - F.element_at(s, F.greatest(F.size(s), F.lit(1))) > tolerance)
-    return F.aggregate(sorted_, F.array().cast("array<double>"), lambda s, x: F.when(F.coalesce(far(s, x), F.lit(True)), F.concat(s, F.array(x.cast("double")))).otherwise(s))
+    far = lambda s, x, tolerance: (F.size(s) == 0) | (x - F.element_at(s, F.greatest(F.size(s), F.lit(1))) > tolerance)
+    fold = lambda at, tolerance: F.aggregate(at, F.array().cast("array<double>"), lambda s, x: F.when(F.coalesce(far(s, x, tolerance), F.lit(True)), F.concat(s, F.array(x.cast("double")))).otherwise(s))
+    # both are computed once; as mere expressions they would be for each position anew
+    return let(F.array_sort(F.array_distinct(xs)), lambda at: let(F.greatest((F.array_max(at) - F.array_min(at)) * 0.06, F.lit(12.0)), lambda tolerance: fold(at, tolerance)))
 
 
 def nearest_column(anchors: Column, x: Column) -> Column:
