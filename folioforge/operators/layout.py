@@ -109,6 +109,15 @@ def table_runs(counts: Column) -> Column:
 def column_anchors(xs: Column) -> Column:
     """Distinct positions reduced to columns: a new one starts over a tolerance beyond the last that
     started, which is 6 % of the spread, 12 at least."""
+    sorted_ = F.array_sort(F.array_distinct(xs))
+    tolerance = F.greatest((F.array_max(sorted_) - F.array_min(sorted_)) * 0.06, F.lit(12.0))
+    far = lambda s, x: (F.size(s) == 0) | (x - F.element_at(s, F.greatest(F.size(s), F.lit(1))) > tolerance)
+    return F.aggregate(sorted_, F.array().cast("array<double>"), lambda s, x: F.when(F.coalesce(far(s, x), F.lit(True)), F.concat(s, F.array(x.cast("double")))).otherwise(s))
+
+
+def document_anchors(xs: Column) -> Column:
+    """``column_anchors`` of a whole document: distinct positions reduced to columns: a new one starts over a tolerance beyond the last that
+    started, which is 6 % of the spread, 12 at least."""
     far = lambda s, x, tolerance: (F.size(s) == 0) | (x - F.element_at(s, F.greatest(F.size(s), F.lit(1))) > tolerance)
     fold = lambda at, tolerance: F.aggregate(at, F.array().cast("array<double>"), lambda s, x: F.when(F.coalesce(far(s, x, tolerance), F.lit(True)), F.concat(s, F.array(x.cast("double")))).otherwise(s))
     # both are computed once; as mere expressions they would be for each position anew
