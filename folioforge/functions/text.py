@@ -56,9 +56,14 @@ def tidy_prose(c: Column) -> Column:
 FENCED = r"(?md)^[ \t]*(```|~~~)"
 
 
-def fence_segments(c: Column) -> Column:
-    """array<struct<code, text>>: prose and code by turns. A fence opens at a line that starts, after
-    blanks, with ``` or ~~~, and closes at the next line that starts with the same mark; an open one runs to the end.
+#: The mark of a fence at the start of a line, after spaces.
+FENCE_MARK = r"^ *(```|~~~)"
+
+
+def fence_segments(c: Column, mark: str = FENCE_MARK) -> Column:
+    """array<struct<code, text, n_lines>>: prose and code by turns. A fence opens at a line that starts, after
+    spaces, with ``` or ~~~ (or what group 1 of ``mark`` finds), and closes at the next line that starts with the same mark; an open one runs to the end.
+    Prose before a fence at the start, or between two that meet, has no line; a text of '' with one line is an empty line.
 
     Only the lines with a mark are walked over, which gives where segments begin and end; each is then cut out of the lines as it is."""
     kind = "struct<open:string,since:int,done:array<struct<code:boolean,a:int,z:int>>>"
@@ -71,10 +76,10 @@ def fence_segments(c: Column) -> Column:
         return F.when(s["open"] == "", opened).when(s["open"] == x["mark"], closed).otherwise(s)
 
     def segments(lines: Column) -> Column:
-        marks = F.filter(F.transform(lines, lambda v, i: F.struct(i.alias("i"), F.regexp_extract(F.trim(v), r"^(```|~~~)", 1).alias("mark"))), lambda x: x["mark"] != "")
+        marks = F.filter(F.transform(lines, lambda v, i: F.struct(i.alias("i"), F.regexp_extract(v, mark, 1).alias("mark"))), lambda x: x["mark"] != "")
         last = lambda s: F.when(s["since"] < F.size(lines), F.concat(s["done"], part(s["open"] != "", s["since"], F.size(lines)))).otherwise(s["done"])
         bounds = F.aggregate(marks, state(F.lit(""), F.lit(0), F.array()), step, last)
-        return F.transform(bounds, lambda b: F.struct(b["code"].alias("code"), F.array_join(F.slice(lines, b["a"] + 1, b["z"] - b["a"]), "\n").alias("text")))
+        return F.transform(bounds, lambda b: F.struct(b["code"].alias("code"), F.array_join(F.slice(lines, b["a"] + 1, b["z"] - b["a"]), "\n").alias("text"), (b["z"] - b["a"]).alias("n_lines")))
 
     return let(F.split(c, "\n", -1), segments)
 
