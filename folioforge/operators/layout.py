@@ -34,7 +34,7 @@ def lines(words: DataFrame) -> DataFrame:
     """A row for each visual line: its words by position, and its geometry."""
     word = F.struct("left", "pos", "text", "width")
     out = words.groupBy(*LINE).agg(
-        F.array_sort(F.collect_list(word)).alias("words"),
+        F.sort_array(F.collect_list(word)).alias("words"),
         F.min("left").alias("left"),
         F.max(F.col("left") + F.col("width")).alias("right"),
         F.min("top").alias("top"),
@@ -80,7 +80,7 @@ def cells(words: DataFrame, widths: DataFrame | None = None) -> DataFrame:
     x = words if widths is None else words.join(widths, PAGE)
     x = x.withColumn("opens", (gap > F.col("char_width") * CELL_GAP).cast("int"))
     x = x.withColumn("cell", F.coalesce(F.sum("opens").over(order), F.lit(0)))
-    out = x.groupBy(*LINE, "cell").agg(F.min("left").alias("x"), F.array_sort(F.collect_list(F.struct("left", "pos", "text"))).alias("w"))
+    out = x.groupBy(*LINE, "cell").agg(F.min("left").alias("x"), F.sort_array(F.collect_list(F.struct("left", "pos", "text"))).alias("w"))
     return out.select(*LINE, "cell", "x", F.array_join(F.transform("w", lambda v: v["text"]), " ").alias("text"))
 
 
@@ -109,15 +109,6 @@ def table_runs(counts: Column) -> Column:
 def column_anchors(xs: Column) -> Column:
     """Distinct positions reduced to columns: a new one starts over a tolerance beyond the last that
     started, which is 6 % of the spread, 12 at least."""
-    sorted_ = F.array_sort(F.array_distinct(xs))
-    tolerance = F.greatest((F.array_max(sorted_) - F.array_min(sorted_)) * 0.06, F.lit(12.0))
-    far = lambda s, x: (F.size(s) == 0) | (x - F.element_at(s, F.greatest(F.size(s), F.lit(1))) > tolerance)
-    return F.aggregate(sorted_, F.array().cast("array<double>"), lambda s, x: F.when(F.coalesce(far(s, x), F.lit(True)), F.concat(s, F.array(x.cast("double")))).otherwise(s))
-
-
-def document_anchors(xs: Column) -> Column:
-    """``column_anchors`` of a whole document: distinct positions reduced to columns: a new one starts over a tolerance beyond the last that
-    started, which is 6 % of the spread, 12 at least."""
     far = lambda s, x, tolerance: (F.size(s) == 0) | (x - F.element_at(s, F.greatest(F.size(s), F.lit(1))) > tolerance)
     fold = lambda at, tolerance: F.aggregate(at, F.array().cast("array<double>"), lambda s, x: F.when(F.coalesce(far(s, x, tolerance), F.lit(True)), F.concat(s, F.array(x.cast("double")))).otherwise(s))
     # both are computed once; as mere expressions they would be for each position anew
@@ -129,40 +120,46 @@ def nearest_column(anchors: Column, x: Column) -> Column:
     return F.array_min(F.transform(anchors, lambda a, i: F.struct(F.abs(a - x).alias("d"), i.alias("i"))))["i"]
 
 
-def measured(words: DataFrame, page_widths: DataFrame | None = None) -> DataFrame:
-    """Words with what their page and document are like: page_width (their own column, or of ``page_widths``), body_height (of the whole document, so that headings
-    agree across pages), char_width and word_width of the page, page_words, page_confidence. Words that are dealt by doc_id already stay where they are, and all
-    that follows keeps that partitioning: a document is the unit of work."""
-    own = [] if page_widths is not None else ["page_width"]
-    x = words.select(*LINE, "pos", "text", "left", "top", "width", "height", "confidence", *own)
-    if page_widths is not None:
-        x = x.join(page_widths.select(*PAGE, "page_width"), PAGE)
-    x = x.join(word_body_heights(words), "doc_id")
-    on_page = Window.partitionBy(*PAGE)
-    long = F.when(F.length("text") > 1, F.col("width") / F.length("text"))
-    return x.withColumns({
-        "char_width": F.coalesce(F.median(long).over(on_page), F.lit(8.0)),
-        "word_width": F.coalesce(F.median("width").over(on_page), F.lit(0.0)),
-        "page_words": F.count(F.lit(1)).over(on_page),
-        "page_confidence": F.avg("confidence").over(on_page),
-    })
-
+def _median(values: Column) -> Column:
+    """The median of an array of numbers, as F.median has it; null of none."""
+    at = lambda v, i: F.get(v, F.floor(i).cast("int"))
+    return let(F.sort_array(values), lambda v: 0.5 * at(v, (F.size(v) - 1) / 2) + 0.5 * at(v, F.size(v) / 2))
 
-MEASURES = ["page_width", "body_height", "char_width", "word_width", "page_words", "page_confidence"]
 
+def measured_lines(words: DataFrame, page_widths: DataFrame | None = None) -> DataFrame:
+    """A row for each line, with what its page and document are like: page_width (of ``page_widths``, else the words' own column, else 100 more than the words
+    take up), body_height (of the whole document, so that headings agree across pages), char_width and word_width of the page, page_words, page_confidence.
 
-def measured_lines(words: DataFrame) -> DataFrame:
-    """``lines`` of measured words, with the measures."""
-    carried = words.groupBy(*LINE).agg(
-        F.array_sort(F.collect_list(F.struct("left", "pos", "text", "width"))).alias("words"),
+    Words become lines first, and measures are taken of lines: words that are dealt by doc_id are made once and stay where they are, and all that follows keeps
+    that partitioning."""
+    own = [F.first("page_width").alias("page_width")] if page_widths is None and "page_width" in words.columns else []
+    x = words.groupBy(*LINE).agg(
+        F.sort_array(F.collect_list(F.struct("left", "pos", "text", "width"))).alias("words"),
+        F.collect_list(F.when(F.length("text") > 1, F.col("width") / F.length("text"))).alias("_long"),
         F.min("left").alias("left"),
         F.max(F.col("left") + F.col("width")).alias("right"),
         F.min("top").alias("top"),
         F.max(F.col("top") + F.col("height")).alias("bottom"),
-        *[F.first(m).alias(m) for m in MEASURES],
+        F.sum("confidence").alias("_sure"),
+        *own,
     )
-    out = carried.withColumn("text", F.array_join(F.transform("words", lambda w: w["text"]), " "))
-    return out.withColumn("norm_height", (F.col("bottom") - F.col("top")) / extent_factor(F.col("text")))
+    if page_widths is not None:
+        x = x.join(page_widths.select(*PAGE, "page_width"), PAGE)
+    x = x.withColumn("text", F.array_join("words.text", " "))
+    x = x.withColumn("norm_height", (F.col("bottom") - F.col("top")) / extent_factor(F.col("text")))
+    n = F.size("words")
+    x = x.withColumn("body_height", F.percentile("norm_height", F.lit(0.5), n).over(Window.partitionBy("doc_id")))
+    width = F.first("page_width") if "page_width" in x.columns else F.max("right") + 100
+    held = [c for c in x.columns if c not in (*PAGE, "_long", "_sure", "page_width")]
+    x = x.groupBy(*PAGE).agg(
+        F.collect_list(F.struct(*held)).alias("l"),
+        width.alias("page_width"),
+        F.coalesce(_median(F.flatten(F.collect_list("_long"))), F.lit(8.0)).alias("char_width"),
+        F.coalesce(_median(F.flatten(F.collect_list("words.width"))), F.lit(0.0)).alias("word_width"),
+        F.sum(n).alias("page_words"),
+        (F.sum("_sure") / F.sum(n)).alias("page_confidence"),
+    )
+    return x.select(*PAGE, "page_width", "char_width", "word_width", "page_words", "page_confidence", F.inline("l"))
 
 
 def with_gutters(line: DataFrame) -> DataFrame:
@@ -202,7 +199,8 @@ def _reach(line: DataFrame, counts: Column, allowance: Column) -> DataFrame:
     names; null where a block has none. By rank within the block, so that no list of ends is kept."""
     x = line.withColumn("_counts", counts)
     alike = Window.partitionBy(*PAGE, "block", "_counts")
-    place, n = F.row_number().over(alike.orderBy("right")), F.count(F.lit(1)).over(alike)
+    ends = alike.orderBy("right")
+    place, n = F.row_number().over(ends), F.count(F.lit(1)).over(ends.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     x = x.withColumns({"_place": place, "_of": n})
     at = F.when(F.col("_counts") & (F.col("_place") == F.floor(F.col("_of") * 0.9) + 1), F.col("right"))
     return x.withColumn("threshold", F.max(at).over(Window.partitionBy(*PAGE, "block")) - allowance).drop("_counts", "_place", "_of")
@@ -227,7 +225,7 @@ def paragraphs(ordered: DataFrame) -> DataFrame:
     x = x.withColumn("_before", before)
     opens = ~F.coalesce(_goes_on(F.col("_before"), {c: F.col(c) for c in _GOES_ON}), F.lit(False))
     x = x.withColumn("_opens", opens.cast("int")).withColumn("n", F.sum("_opens").over(order))
-    out = x.groupBy(*PAGE, "n").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("t"), F.count(F.lit(1)).alias("n_lines"))
+    out = x.groupBy(*PAGE, "n").agg(F.sort_array(F.collect_list(F.struct("rank", "text"))).alias("t"), F.count(F.lit(1)).alias("n_lines"))
     return out.select(*PAGE, F.col("n").alias("paragraph"), "n_lines", join_lines(F.transform("t", lambda v: v["text"])).alias("text"))
 
 
@@ -264,54 +262,54 @@ def table_markdown(rows: Column) -> Column:
 
 
 def with_tables(ordered: DataFrame) -> DataFrame:
-    """Lines in reading order with in_run (part of a run of lines that look like a table), in_table (of one that could be laid out) and, on the first
-    line of such, ``table``, its Markdown. Runs can't reach over a line of one cell, so only the stretches between those are gathered and folded,
-    never a whole page; the lines come back from the same rows, without a join."""
+    """Lines in reading order (with level) with in_run (part of a run of lines that look like a table), in_table (of one that could be laid out) and, on the
+    first line of such, ``table``, its Markdown; with measures (margins are measured on it: prose, neither of a table nor a heading, as long as the page has any)
+    and prose_width, the median width of the words of those lines. The lines of a page are gathered and folded, and come back from the same row, without a join."""
     x = ordered.withColumn("cells", line_cells(F.col("words"), F.col("char_width") * CELL_GAP))
-    order = Window.partitionBy(*PAGE).orderBy("rank")
-    x = x.withColumn("_island", F.sum((F.size("cells") < 2).cast("int")).over(order))
-    held = [c for c in x.columns if c not in (*PAGE, "_island", "rank")]
-    x = x.groupBy(*PAGE, "_island").agg(F.array_sort(F.collect_list(F.struct("rank", *held))).alias("l"))
+    held = [c for c in x.columns if c not in (*PAGE, "rank")]
+    x = x.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("rank", *held))).alias("l"))
     l = F.col("l")  # noqa: E741
     kept = ["rank", *[c for c in held if c != "cells"]]
     part = lambda start, end, run, table: F.struct(start.alias("start"), end.alias("end"), run.alias("run"), table.alias("table"))
 
     def parts(runs: Column) -> Column:
         """The runs, and the stretches before, between and after them."""
-        table = lambda r: table_markdown(F.transform(F.slice(l, r["start"] + 1, r["length"]), lambda v: v["cells"]))
+        table = lambda r: table_markdown(F.slice(l["cells"], r["start"] + 1, r["length"]))
         tables = F.transform(runs, lambda r: part(r["start"], r["start"] + r["length"], F.lit(True), table(r)))
-        starts, ends = F.transform(runs, lambda r: r["start"]), F.transform(runs, lambda r: r["start"] + r["length"])
-        between = F.zip_with(F.concat(F.array(F.lit(0)), ends), F.concat(starts, F.array(F.size(l))), lambda a, z: part(a, z, F.lit(False), F.lit(None).cast("string")))
+        ends = F.transform(runs, lambda r: r["start"] + r["length"])
+        between = F.zip_with(F.concat(F.array(F.lit(0)), ends), F.concat(runs["start"], F.array(F.size(l))), lambda a, z: part(a, z, F.lit(False), F.lit(None).cast("string")))
         return F.concat(tables, between)
 
     def labelled(p: Column) -> Column:
-        line = lambda v, j: F.struct(*[v[c].alias(c) for c in kept], p["run"].alias("in_run"), p["table"].isNotNull().alias("in_table"), F.when(j == 0, p["table"]).alias("table"))
+        line = lambda v, j: F.struct(*[v[c].alias(c) for c in kept], p["run"].alias("in_run"), p["table"].isNotNull().alias("in_table"), F.when(j == 0, p["table"]).alias("table"), (~p["run"] & v["level"].isNull()).alias("plain"))
         return F.transform(F.slice(l, p["start"] + 1, p["end"] - p["start"]), line)
 
-    runs = table_runs(F.transform(l, lambda v: F.size(v["cells"])))
-    return x.select(*PAGE, F.inline(F.flatten(F.transform(let(runs, parts), labelled))))
+    def with_width(lines_: Column) -> Column:
+        prose = let(F.filter(lines_, lambda v: v["plain"]), lambda p: F.when(F.size(p) > 0, p).otherwise(lines_))
+        return F.struct(lines_.alias("l"), F.exists(lines_, lambda v: v["plain"]).alias("any"), _median(F.flatten(F.transform(prose, lambda v: v["words"]["width"]))).alias("width"))
+
+    runs = table_runs(F.transform(l["cells"], F.size))
+    x = x.select(*PAGE, let(F.flatten(F.transform(let(runs, parts), labelled)), with_width).alias("p"))
+    x = x.select(*PAGE, F.col("p.any").alias("_any"), F.coalesce("p.width", F.lit(0.0)).alias("prose_width"), F.inline("p.l"))
+    return x.withColumn("measures", F.col("plain") | ~F.col("_any")).drop("plain", "_any")
 
 
-def page_blocks(words: DataFrame, page_widths: DataFrame | None = None) -> DataFrame:
+def page_blocks(words: DataFrame, page_widths: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """doc_id, page, n, kind, text of each block of a page in reading order, and page_words, page_confidence: table, item, heading or prose. Lines
     are taken first by tables, then as list items, as headings, and else as prose, of which a line opens a paragraph after any other block or where it
-    doesn't go on with the one before. Blank lines count for nothing; a page of them alone has one row without kind and text.
+    doesn't go on with the one before. Blank lines count for nothing; a page of them alone has one row without kind and text. ``parts`` is how many tasks the
+    words are dealt to, that of a shuffle if not given.
 
-    Labels, running sums and windows over one partitioning: words are shuffled once at most, and nothing but a paragraph, a table or a line
-    is gathered into one value."""
-    on_page = Window.partitionBy(*PAGE)
-    order = on_page.orderBy("rank")
-    x = with_tables(reading_order(with_gutters(measured_lines(measured(recognised(words), page_widths)))))
+    Labels, running sums and windows over one partitioning: words are shuffled once at most and lines once, and no more than the lines of a page are gathered into one value."""
+    order = Window.partitionBy(*PAGE).orderBy("rank")
+    x = reading_order(with_gutters(measured_lines(recognised(words), page_widths)))
     x = x.withColumn("text", stripped(F.col("text"))).withColumn("n_words", F.size("words"))
-    x = x.withColumn("level", heading_level(F.col("text"), F.col("n_words"), F.col("norm_height"), F.col("body_height")))
-    # margins are measured on prose, as long as the page has any: neither tables nor headings
-    plain = ~F.col("in_run") & F.col("level").isNull()
-    x = x.withColumn("_plain", plain).withColumn("_measures", F.col("_plain") | ~F.max("_plain").over(on_page))
-    heavy = ["text", "table"]
-    x = x.select("*", F.posexplode(F.transform("words", lambda w: w["width"])).alias("_at", "_width")).drop("words")
-    x = x.withColumns({c: F.when(F.col("_at") == 0, F.col(c)) for c in heavy})
-    x = x.withColumn("_median", F.coalesce(F.median(F.when(F.col("_measures"), F.col("_width"))).over(on_page), F.lit(0.0))).where("_at = 0")
-    x = _reach(x, F.col("_measures"), F.greatest(F.col("char_width") * CELL_GAP, F.col("_median") * 1.3))
+    x = with_tables(x.withColumn("level", heading_level(F.col("text"), F.col("n_words"), F.col("norm_height"), F.col("body_height")))).drop("words")
+    # A stage of all of this has more generated classes than Spark keeps (spark.sql.codegen.cache.maxEntries, 100), and each task would compile them anew; so
+    # lines, without their words, are dealt once more. Were the number that of the words' parts, Spark would leave that out.
+    parts = parts or int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = x.repartition(parts // 2 + 1, "doc_id")
+    x = _reach(x, F.col("measures"), F.greatest(F.col("char_width") * CELL_GAP, F.col("prose_width") * 1.3))
     item = list_item(F.col("text"))
     kind = F.when(F.col("table").isNotNull(), "table").when(F.col("in_table") | (F.col("text") == ""), F.lit(None)).when(item.isNotNull(), "item").when(F.col("level").isNotNull(), "heading").otherwise("prose")
     x = x.withColumn("kind", kind)
@@ -322,7 +320,7 @@ def page_blocks(words: DataFrame, page_widths: DataFrame | None = None) -> DataF
     goes_on = (F.col("kind") == "prose") & (F.col("_before.kind") == "prose") & _goes_on(F.col("_before"), {c: F.col(c) for c in _GOES_ON})
     opens = F.col("kind").isNotNull() & ~F.coalesce(goes_on, F.lit(False))
     x = x.withColumn("_opens", opens.cast("int")).withColumn("n", F.sum("_opens").over(order))
-    lines_ = F.array_sort(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("rank", "shown"))))
+    lines_ = F.sort_array(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("rank", "shown"))))
     out = x.groupBy(*PAGE, "n").agg(F.max("kind").alias("kind"), lines_.alias("l"), F.first("page_words").alias("page_words"), F.first("page_confidence").alias("page_confidence"))
     texts = F.transform("l", lambda v: v["shown"])
     return out.select(*PAGE, "n", "kind", F.when(F.col("kind") == "prose", join_lines(texts)).otherwise(F.get(texts, F.lit(0))).alias("text"), "page_words", "page_confidence")
@@ -333,12 +331,12 @@ def documents(pages: DataFrame, low: float = 70.0) -> DataFrame:
     pages of unknown confidence (-1) or without words left out, -1 where none counts; tally and warnings."""
     counts = (F.col("confidence") >= 0) & (F.col("word_count") > 0)
     out = pages.groupBy("doc_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.trim("markdown") != "", F.struct("page", "markdown")))), lambda p: p["markdown"]), "\n\n").alias("markdown"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.trim("markdown") != "", F.struct("page", "markdown")))), lambda p: p["markdown"]), "\n\n").alias("markdown"),
         (F.sum(F.when(counts, F.col("confidence") * F.col("word_count"))) / F.sum(F.when(counts, F.col("word_count")))).alias("confidence"),
         F.sum("word_count").alias("word_count"),
         F.count(F.lit(1)).alias("pages"),
         F.count_if(F.trim("markdown") == "").alias("empty_pages"),
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("page", "warnings"))), lambda p: p["warnings"])).alias("noted"),
+        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("page", "warnings"))), lambda p: p["warnings"])).alias("noted"),
     )
     out = out.withColumn("confidence", F.coalesce("confidence", F.lit(-1.0)))
     low_ = F.when((F.col("confidence") >= 0) & (F.col("confidence") < low), F.array(F.lit("Recognition confidence is low; please check the text against the original.")))
@@ -347,19 +345,10 @@ def documents(pages: DataFrame, low: float = 70.0) -> DataFrame:
     return out.withColumn("warnings", F.array_distinct(F.concat("noted", F.coalesce(empty, none), F.coalesce(low_, none)))).drop("noted")
 
 
-def word_body_heights(words: DataFrame) -> DataFrame:
-    """``body_heights`` straight from words: what a line's text is like is a few flags, so lines are
-    aggregated before the shuffle and no text is moved."""
-    has = lambda p: F.bool_or(F.col("text").rlike(p))
-    line = words.groupBy(*LINE).agg((F.max(F.col("top") + F.col("height")) - F.min("top")).alias("span"), F.count(F.lit(1)).alias("n"), has("[A-Za-z]").alias("latin"), has("[gjpqy]").alias("deep"), has(r"[bdfhklt]|\p{Lu}|\p{Nd}").alias("tall"))
-    factor = F.when(~F.col("latin") | (F.col("deep") & F.col("tall")), 1.0).when(F.col("tall"), 0.78).when(F.col("deep"), 0.82).otherwise(0.58)
-    return line.groupBy("doc_id").agg(F.percentile(F.col("span") / factor, F.lit(0.5), F.col("n")).alias("body_height"))
-
-
-def reconstruct(words: DataFrame, page_widths: DataFrame | None = None) -> DataFrame:
+def reconstruct(words: DataFrame, page_widths: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """doc_id, page, markdown, word_count, confidence, warnings of every page: its blocks in order, an empty line between them."""
-    blocks = page_blocks(words, page_widths)
-    listed = F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("n", "text"))))
+    blocks = page_blocks(words, page_widths, parts)
+    listed = F.sort_array(F.collect_list(F.when(F.col("text") != "", F.struct("n", "text"))))
     out = blocks.groupBy(*PAGE).agg(listed.alias("b"), F.first("page_words").alias("word_count"), F.first("page_confidence").alias("confidence"))
     warned = F.when(F.size("b") == 0, F.array(F.lit("No readable text was found on this page."))).otherwise(F.array().cast("array<string>"))
     return out.select(*PAGE, F.array_join(F.transform("b", lambda v: v["text"]), "\n\n").alias("markdown"), "word_count", "confidence", warned.alias("warnings"))
